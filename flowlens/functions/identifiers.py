@@ -52,8 +52,40 @@ def classify_identifier(identifier: Column, d: Dictionaries = BUILTIN) -> Column
     return classify_tokens(identifier_tokens(identifier), d)
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def categories_in(snippet: Column, d: Dictionaries = BUILTIN) -> Column:
-    """Distinct category ids named by the identifiers of a snippet, in first-seen order."""
-    token_lists = F.transform(F.array_distinct(identifiers(snippet)), identifier_tokens)
-    found = F.transform(token_lists, lambda tk: classify_tokens(tk, d))
+    """Distinct category ids named by the identifiers of a snippet, in first-seen order.
+
+    Same answer as ``classify_identifier`` on each identifier, but case changes are marked once for
+    the whole snippet: identifiers are ASCII, so a case change is written as one more ``_``.
+    """
+    marked = F.translate(F.regexp_replace(snippet, "([a-z0-9])([A-Z])", "$1_$2"), _UPPER, _UPPER.lower())
+    names = F.regexp_extract_all(marked, F.lit("([a-z_][a-z0-9_]*)"), F.lit(1))
+
+    known = [t for t, *_ in d.pii_tokens]
+    lookup = literal_map((t, cid) for t, cid, _, _ in d.pii_tokens)
+
+    def in_dictionary(t: Column) -> Column:
+        return F.when(t.isin(known), F.element_at(lookup, t))  # hash test before the map scan
+
+    def by_position(tokens: Column) -> Column:
+        def beside(i: Column, qualifiers: list[str]) -> Column:
+            return (F.coalesce(F.get(tokens, i - 1).isin(qualifiers), F.lit(False))
+                    | F.coalesce(F.get(tokens, i + 1).isin(qualifiers), F.lit(False)))
+
+        def one(t: Column, i: Column) -> Column:
+            return (F.when(t.isin(known), F.element_at(lookup, t))
+                    .when((t == "name") & beside(i, d.name_qualifiers), "name")
+                    .when((t == "address") & beside(i, d.address_qualifiers), "address"))
+
+        return F.get(F.filter(F.transform(tokens, one), lambda c: c.isNotNull()), F.lit(0))
+
+    def one_name(name: Column) -> Column:
+        split = F.array(F.filter(F.split(name, "_"), lambda t: t != ""))
+        return F.coalesce(in_dictionary(F.replace(name, F.lit("_"), F.lit(""))),
+                          F.when(name.contains("_"), F.get(F.transform(split, by_position), F.lit(0))))
+
+    found = F.transform(F.array_distinct(names), one_name)
     return F.array_distinct(F.filter(found, lambda c: c.isNotNull()))

@@ -129,9 +129,11 @@ def with_target(calls: DataFrame, d: Dictionaries = BUILTIN) -> DataFrame:
     """
     name_of = literal_map(d.vendors)
     staged = (
-        calls.withColumn("_low", F.lower("callee"))
-        .withColumns({"_recv": receiver_of(F.col("_low")), "_method": method_of(F.col("_low")),
+        calls.withColumn("_low", F.lower(trim_space(F.col("callee"))))
+        # receiver up to and with its delimiter: no word, so no word test sees the difference
+        .withColumns({"_recv": F.regexp_extract("_low", "(?s)^(.*[.:>])", 1),
                       "_vendor": match_vendor(F.col("_low"), d)})
+        .withColumn("_method", F.substring(F.col("_low"), F.length("_recv") + 1, F.length("_low")))
         .withColumn("_rule",
                     F.when(F.col("_vendor").isNotNull(), "vendor")
                     .when(is_comms(F.col("_low")), "comms")

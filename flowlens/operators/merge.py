@@ -141,8 +141,10 @@ def edges_to_graph(edges: DataFrame, d: Dictionaries = BUILTIN) -> Graph:
     targets = edges.select(
         F.col("target_id").alias("id"), F.col("target_kind").alias("kind"), F.col("target_label").alias("label"),
         target_system(F.col("target_kind")).alias("system"), blank.alias("location"), "seq")
-    user = spark.createDataFrame([("source:user", "source", "User", "People", "")],
-                                 "id string, kind string, label string, system string, location string")
+    # every service and target has a flow by construction, and the user has one as soon as there is any
+    user = edges.limit(1).select(
+        F.lit("source:user").alias("id"), F.lit("source").alias("kind"), F.lit("User").alias("label"),
+        F.lit("People").alias("system"), blank.alias("location"))
     nodes = merge_nodes(services.unionByName(targets)).unionByName(user)
 
     used = edges.select(F.explode("categories").alias("id")).distinct()

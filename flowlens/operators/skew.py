@@ -17,19 +17,25 @@ HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 1_000
 
 
-def hot_keys(df: DataFrame, key: str, rows: int | None = None) -> DataFrame:
-    """The (at most ``MAX_HOT_KEYS``) heaviest keys having at least ``rows`` rows."""
-    return (df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-            .filter(F.col("_n") >= (HOT_ROWS if rows is None else rows))
-            .orderBy(F.desc("_n"), key).limit(MAX_HOT_KEYS).select(key))
+def hot_keys(df: DataFrame, key: str, rows: int | None = None) -> list:
+    """The (at most ``MAX_HOT_KEYS``) heaviest keys having at least ``rows`` rows. Runs a counting job."""
+    heavy = (df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+             .filter(F.col("_n") >= (HOT_ROWS if rows is None else rows))
+             .orderBy(F.desc("_n"), key).limit(MAX_HOT_KEYS))
+    return [r[0] for r in heavy.collect()]
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, key: str, how: str = "left",
-                hot: DataFrame | None = None) -> DataFrame:
+                hot_rows: int | None = None) -> DataFrame:
     """Join ``df`` to ``lookup`` (one row per ``key``) whatever the skew of ``df``; ``how`` is
-    ``left``, ``inner``, ``left_semi`` or ``left_anti``."""
-    hot = F.broadcast(hot_keys(df, key) if hot is None else hot)
-    hot_lookup = F.broadcast(lookup.join(hot, key, "left_semi"))
-    heavy = df.join(hot, key, "left_semi").join(hot_lookup, key, how)
-    rest = df.join(hot, key, "left_anti").join(lookup, key, how)
-    return rest.unionByName(heavy)
+    ``left``, ``inner``, ``left_semi`` or ``left_anti``. Columns of ``df`` come first."""
+    hot = hot_keys(df, key, hot_rows)
+    if not hot:
+        joined = df.join(lookup, key, how)
+    else:
+        is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+        # one row per key, so this side has at most MAX_HOT_KEYS rows
+        hot_lookup = F.broadcast(lookup.filter(is_hot))
+        joined = (df.filter(~is_hot).join(lookup.filter(~is_hot), key, how)
+                  .unionByName(df.filter(is_hot).join(hot_lookup, key, how)))
+    return joined.select(*df.columns, *[c for c in joined.columns if c not in df.columns])

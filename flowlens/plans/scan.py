@@ -6,21 +6,22 @@ from pyspark.sql import DataFrame
 
 from ..dims import BUILTIN, Dictionaries
 from ..model import Graph
-from ..operators.merge import call_edges, edges_to_graph, prune_orphans, relabel_nodes
+from ..operators.merge import call_edges, edges_to_graph, relabel_nodes
 from ..session import cut
 from ..sources.infra import store_relabels
 
 
 def graph_from_calls(calls: DataFrame, infra_files: DataFrame | None = None, d: Dictionaries = BUILTIN,
-                     store_edges: bool = False) -> Graph:
+                     store_edges: bool = True) -> Graph:
     """The graph of a ``calls`` table, with store labels refined by ``infra_files``.
 
-    ``store_edges`` writes the merged (service, target) table to the checkpoint directory first, so
-    that calls are classified once however many of the three tables are read afterwards.
+    The merged (service, target) table is written to the checkpoint directory, so that calls are
+    classified once although nodes, categories and both flow directions all come from it. With
+    ``store_edges=False`` nothing runs until a table is used.
     """
     edges = call_edges(calls, d)
     graph = edges_to_graph(cut(edges) if store_edges else edges, d)
     nodes = graph.nodes
     if infra_files is not None:
         nodes = relabel_nodes(nodes, store_relabels(infra_files, d))
-    return Graph(graph.categories, prune_orphans(nodes, graph.flows), graph.flows)
+    return Graph(graph.categories, nodes, graph.flows)
