@@ -92,3 +92,39 @@ def key_graph(spark: SparkSession, sf_dir: str) -> Graph:
         [("card", "Card details", "financial"), ("email", "Email", "pii"), ("geo", "Location", "pii"),
          ("name", "Name", "pii")], "id string, label string, sensitivity string")
     return Graph(categories, nodes, flows)
+
+
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file path per document."""
+    dirs = ["src", "node_modules/x", ".git", "a/.hid", "k8s", "deploy", "app/build", "lib"]
+    exts = [".py", ".ts", ".go", ".tf", ".yaml", ".json", ".min.js", ".lock"]
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    d = d.withColumn("name", F.concat(F.lit("f"), "doc_id", _pick(exts, "(doc_id div 8) % 8")))
+    d = d.withColumn("rel", F.concat(_pick(dirs, "doc_id % 8"), F.lit("/"), "name"))
+    return d.select(F.lit(0).alias("root_idx"), F.lit("docs").alias("base"), "rel", "name",
+                    F.concat(F.lit("docs/"), "rel").alias("path"), F.col("n_chars").alias("length"))
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files of 50 calls each, one call per line, and the infrastructure files."""
+    c = calls(spark, sf_dir).withColumn("block", F.expr("start_byte div 50"))
+    lines = F.array_sort(F.collect_list(F.struct("start_byte", "full_text")))  # at most 50 per block
+    code = c.groupBy("block").agg(F.array_join(F.transform(lines, lambda x: x["full_text"]), "\n").alias("text"))
+    code = code.select(
+        F.lit(0).alias("root_idx"), F.lit("events").alias("base"), F.concat(F.lit("b"), "block", F.lit(".py")).alias("rel"),
+        F.col("text").cast("binary").alias("content"))
+    infra = infra_files(spark, sf_dir).select(
+        "root_idx", F.lit("events").alias("base"), F.concat(F.lit("infra/"), "walk_key", F.lit(".tf")).alias("rel"),
+        F.col("src").cast("binary").alias("content"))
+    files = code.unionByName(infra)
+    return files.select(
+        "*", F.split("rel", "/").alias("segments"), F.element_at(F.split("rel", "/"), -1).alias("name"),
+        F.concat(F.lit("events/"), "rel").alias("path"), F.length("content").cast("bigint").alias("length"))
+
+
+def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The script of each page as a source file."""
+    body = F.regexp_extract("html", "(?s)<script>(.*?)</script>", 1)
+    return table(spark, sf_dir, "pages").select(
+        F.lit(0).alias("root_idx"), F.lit("pages").alias("base"), F.concat(F.lit("p"), "page_id", F.lit(".js")).alias("rel"),
+        body.cast("binary").alias("content"), F.lit("javascript").alias("language"))

@@ -72,9 +72,8 @@ def _walk(edges: DataFrame, start: DataFrame, visited: list[DataFrame], near: st
     while True:
         step = (frontier.withColumnRenamed("id", near).join(edges, near)
                 .select("start_id", F.col(far).alias("id")).distinct())
-        for seen in visited + found:
-            step = step.join(seen, ["start_id", "id"], "left_anti")
-        frontier = cut(step)
+        seen = reduce(DataFrame.unionByName, visited + found)
+        frontier = cut(step.join(seen, ["start_id", "id"], "left_anti"))
         if frontier.isEmpty():
             return found
         found.append(frontier)
