@@ -152,15 +152,20 @@ def edges_to_graph(edges: DataFrame, d: Dictionaries = BUILTIN) -> Graph:
     return Graph(categories, nodes, outward.unionByName(inward))
 
 
+def remap_ends(flows: DataFrame, ids: DataFrame, new_id: str) -> DataFrame:
+    """Replace both ends by ``new_id`` where they are in ``ids(id)``."""
+    for end in ("from", "to"):
+        hit = ids.select(F.col("id").alias(end), F.lit(True).alias("_hit"))
+        flows = (lookup_join(flows, hit, end, "left")
+                 .withColumn(end, F.when(F.col("_hit"), F.lit(new_id)).otherwise(F.col(end))).drop("_hit"))
+    return flows
+
+
 def collapse(graph: Graph, kind: str = "service", new_id: str = "svc:app", label: str = "Application") -> Graph:
     """Black box: all nodes of one kind become a single node; flows are merged again without via and
     evidence, flows inside the box vanish, untouched nodes go."""
     boxed = graph.nodes.filter(F.col("kind") == kind).select("id")
-    flows = graph.flows.select("from", "to", "categories")
-    for end in ("from", "to"):
-        hit = boxed.select(F.col("id").alias(end), F.lit(True).alias("_hit"))
-        flows = (lookup_join(flows, hit, end, "left")
-                 .withColumn(end, F.when(F.col("_hit"), F.lit(new_id)).otherwise(F.col(end))).drop("_hit"))
+    flows = remap_ends(graph.flows.select("from", "to", "categories"), boxed, new_id)
     merged = (drop_invalid_flows(flows).withColumn("_cat", F.explode_outer("categories")).groupBy("from", "to")
               .agg(F.array_sort(F.collect_set("_cat")).alias("categories"))
               .withColumns({"via": F.lit(""), "evidence": F.lit("")}))
