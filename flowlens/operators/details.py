@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import node_subtitle, non_blank
 from ..model import Graph
-from .sensitivity import dominant_sensitivity, flow_categories
+from .sensitivity import category_rows, dominant_sensitivity, flow_categories, lookup
 from .skew import lookup_join
 
 
@@ -49,6 +49,12 @@ def with_subtitle(nodes: DataFrame) -> DataFrame:
 
 def _labels(flows: DataFrame, categories: DataFrame, fallback_to_id: bool) -> DataFrame:
     """``(from, to, labels)``: category labels in category order, joined by ", "."""
+    rows = category_rows(categories)
+    if rows is not None:
+        label = lookup([r for r in rows if r["label"]], "label")
+        shown = F.transform(F.coalesce("categories", F.array().cast("array<string>")),
+                            lambda c: F.coalesce(F.element_at(label, c), c if fallback_to_id else F.lit(None)))
+        return flows.select("from", "to", F.array_join(shown, ", ").alias("labels"))
     shown = non_blank(F.col("label"))
     if fallback_to_id:
         shown = F.coalesce(shown, F.col("cat_id"))

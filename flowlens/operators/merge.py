@@ -68,6 +68,12 @@ def prune_orphans(nodes: DataFrame, flows: DataFrame) -> DataFrame:
     return nodes.join(endpoints(flows), "id", "left_semi")
 
 
+def has_node(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """``ids(id)`` with ``exists``: is there such a node?"""
+    return (ids.join(nodes.select("id", F.lit(True).alias("exists")), "id", "left")
+            .withColumn("exists", F.coalesce("exists", F.lit(False))))
+
+
 def endpoints(flows: DataFrame) -> DataFrame:
     """Distinct ids at either end of a flow."""
     return flows.select(F.explode(F.array("from", "to")).alias("id")).distinct()

@@ -1,49 +1,89 @@
-"""How sensitive is a flow, and which flows are visible under a sensitivity filter?"""
+"""How sensitive is a flow, and which flows are visible under a sensitivity filter?
+
+Two ways to the same rows. A category list of ordinary size becomes a literal map, and each flow is
+judged in place: no join, no shuffle. A longer list is joined to one row per flow and category.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..dims import SENSITIVITY_CHIPS, dim_sensitivity
+from ..dims import SENSITIVITIES, SENSITIVITY_CHIPS, dim_sensitivity, literal_map
 from ..functions.text import non_blank, sensitivity_rank
+from .skew import lookup_join
+
+#: Longest category list that becomes a literal; a longer one is joined.
+MAX_LITERAL_CATEGORIES = 500
+
+
+def category_rows(categories: DataFrame, most: int | None = None) -> list | None:
+    """The category rows, or None if there are too many for a literal."""
+    most = MAX_LITERAL_CATEGORIES if most is None else most
+    rows = categories.select("id", "label", "sensitivity").limit(most + 1).collect()
+    return rows if len(rows) <= most else None
+
+
+def lookup(rows: list, field: str) -> Column:
+    """Literal map from category id to a non-null field; a null map if there is nothing to map."""
+    pairs = [(r["id"], r[field]) for r in rows if r[field] is not None]
+    return literal_map(pairs) if pairs else F.lit(None).cast("map<string,string>")
+
+
+def _listed() -> Column:
+    return F.coalesce(F.col("categories"), F.array().cast("array<string>"))
 
 
 def flow_categories(flows: DataFrame, categories: DataFrame) -> DataFrame:
     """One row per flow and category with the category's ``label`` and ``sensitivity`` (null if it is
     unknown); a flow without categories keeps one row with a null ``cat_id``."""
     exploded = flows.select("from", "to", F.posexplode_outer("categories").alias("pos", "cat_id"))
-    known = categories.select(F.col("id").alias("cat_id"), "label", "sensitivity", F.lit(True).alias("known"))
-    return exploded.join(known, "cat_id", "left")
-
-
-def _loudest(flows: DataFrame, categories: DataFrame) -> DataFrame:
-    """Highest-ranked sensitivity per flow; the first category id wins among equals; null if no rank."""
-    rank = sensitivity_rank(F.col("sensitivity"))
-    order = F.when(rank > 0, F.struct((-rank).alias("r"), F.col("cat_id")))
-    return (flow_categories(flows, categories).groupBy("from", "to")
-            .agg(F.min_by("sensitivity", order).alias("sensitivity")))
+    known = categories.select(F.col("id").alias("cat_id"), "label", "sensitivity")
+    return lookup_join(exploded, known, "cat_id", "left")
+
+
+def _loudest(flows: DataFrame, categories: DataFrame, none: str) -> DataFrame:
+    """Highest-ranked sensitivity per flow; the first category id wins among equals."""
+    rows = category_rows(categories)
+    if rows is None:
+        rank = sensitivity_rank(F.col("sensitivity"))
+        order = F.when(rank > 0, F.struct((-rank).alias("r"), F.col("cat_id")))
+        found = (flow_categories(flows, categories).groupBy("from", "to")
+                 .agg(F.min_by("sensitivity", order).alias("sensitivity")))
+    else:
+        ranks = {s: r for s, r, _ in SENSITIVITIES}
+        ranked = [r for r in rows if ranks.get(r["sensitivity"], 0) > 0]
+        sens = lookup(ranked, "sensitivity")
+        scored = F.transform(F.filter(_listed(), lambda c: F.element_at(sens, c).isNotNull()), lambda c: F.struct(
+            (-sensitivity_rank(F.element_at(sens, c))).alias("r"), c.alias("c"), F.element_at(sens, c).alias("s")))
+        found = flows.select("from", "to", F.array_min(scored)["s"].alias("sensitivity"))
+    return found.withColumn("sensitivity", F.coalesce("sensitivity", F.lit(none)))
 
 
 def dominant_sensitivity(flows: DataFrame, categories: DataFrame) -> DataFrame:
     """``(from, to, sensitivity)``; empty for a flow with no known category."""
-    return _loudest(flows, categories).withColumn("sensitivity", F.coalesce("sensitivity", F.lit("")))
+    return _loudest(flows, categories, "")
 
 
 def flow_sensitivity_public(flows: DataFrame, categories: DataFrame) -> DataFrame:
     """``(from, to, sensitivity)`` with ``public`` as the floor."""
-    return _loudest(flows, categories).withColumn("sensitivity", F.coalesce("sensitivity", F.lit("public")))
+    return _loudest(flows, categories, "public")
 
 
 def filter_by_sensitivity(flows: DataFrame, categories: DataFrame, active: Iterable[str]) -> DataFrame:
     """Flows with at least one category of an active sensitivity. No category, an unknown category and
     a blank sensitivity all count as ``public``."""
-    as_shown = F.coalesce(non_blank(F.col("sensitivity")), F.lit("public"))
-    seen = (flow_categories(flows, categories).filter(as_shown.isin(list(active)))
-            .select("from", "to").distinct())
-    return flows.join(seen, ["from", "to"], "left_semi")
+    wanted, public = list(active), F.lit("public")
+    rows = category_rows(categories)
+    if rows is not None:
+        sens = lookup([r for r in rows if r["sensitivity"]], "sensitivity")
+        shown = F.when(F.size(_listed()) > 0, _listed()).otherwise(F.array(F.lit("")))
+        return flows.filter(F.exists(shown, lambda c: F.coalesce(F.element_at(sens, c), public).isin(wanted)))
+    as_shown = F.coalesce(non_blank(F.col("sensitivity")), public)
+    seen = flow_categories(flows, categories).filter(as_shown.isin(wanted)).select("from", "to").distinct()
+    return flows.join(seen, ["from", "to"], "left_semi").select(*flows.columns)
 
 
 def legend_sensitivities(categories: DataFrame) -> DataFrame:

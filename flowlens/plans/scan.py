@@ -28,7 +28,8 @@ def graph_from_calls(calls: DataFrame, infra_files: DataFrame | None = None, d:
     graph = edges_to_graph(cut(edges) if store_edges else edges, d)
     nodes = graph.nodes
     if infra_files is not None:
-        nodes = relabel_nodes(nodes, store_relabels(infra_files, d))
+        relabels = store_relabels(infra_files, d)  # one row per store node named in the dictionary
+        nodes = relabel_nodes(nodes, cut(relabels) if store_edges else relabels)
     return Graph(graph.categories, nodes, graph.flows)
 
 

@@ -26,6 +26,7 @@ ENTRY = ("root_idx int, base string, path string, segments array<string>, name s
 _ROWS_PER_BATCH = 5_000
 _BYTES_PER_BATCH = 16 << 20
 _BYTES_PER_TASK = 64 << 20
+_MOST_TASKS = 100_000
 
 
 def _entries(path: str) -> Iterator[tuple[str, bool, int, bool]]:
@@ -136,9 +137,11 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_content(files: DataFrame) -> DataFrame:
-    """Add ``content``; files that cannot be read are dropped. Tasks get about 64 MiB each."""
+    """Add ``content``; files that cannot be read are dropped. Tasks get about 64 MiB each, more once
+    that would take over 100,000 tasks; contents pass through a task 16 MiB at a time."""
     total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-int(total) // _BYTES_PER_TASK))
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism,
+                min(-(-int(total) // _BYTES_PER_TASK), _MOST_TASKS))
     schema = ", ".join(f"`{n}` {t}" for n, t in files.dtypes) + ", content binary"
     return (files.repartition(tasks, "path").mapInPandas(_read_batches, schema)
             .filter(F.col("content").isNotNull()))
