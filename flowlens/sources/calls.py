@@ -152,6 +152,8 @@ def _declares(code: str, start: int, paren: int, close: int, opens: dict[int, in
         return False
     if re.search(r"\w<[\w\s,.?<>\[\]]*>[ \t]+\Z", code[max(0, start - 200):start]):
         return True  # generic return type
+    if before == "void" and language not in ("javascript", "typescript", "tsx", "vue", "svelte"):
+        return True
     if before and not before[0].isdigit() and before not in BEFORE_CALL and start > at - len(before):
         return at < start or code[start - 1] in "*&"
     if "." not in code[start:paren] and re.match(r"\s*(?::[^={};()]+|throws [\w., ]+)?\{", code[close + 1:close + 200]):
