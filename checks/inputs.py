@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.model import Graph
+from flowlens.session import spread
 
 # callee, url
 VOCABULARY = [
@@ -38,7 +39,7 @@ def _pick(words: list[str], index: str):
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One call per event."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"))
     e = e.withColumns({
         "callee": _pick([c for c, _ in VOCABULARY], "event_id % 24"),
         "url": _pick([u for _, u in VOCABULARY], "event_id % 24"),

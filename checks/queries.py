@@ -15,6 +15,7 @@ from flowlens.model import Graph
 from flowlens.operators import details, merge, sensitivity, traversal, weights
 from flowlens.plans import scan as scans
 from flowlens.plans import views
+from flowlens.session import spread
 from flowlens.sinks import graph_json
 from flowlens.sources import calls as call_source
 from flowlens.sources import files as file_ops
@@ -231,7 +232,7 @@ def _(s, sf):
   WHERE regexp_matches(text, '{PLACEHOLDER}')
   UNION ALL SELECT 'page', page_id FROM pages WHERE regexp_matches(url, '{PLACEHOLDER}')""")
 def _(s, sf):
-    docs = inputs.table(s, sf, "documents").filter(tgt.is_placeholder(F.col("text")))
+    docs = spread(inputs.table(s, sf, "documents").select("doc_id", "text")).filter(tgt.is_placeholder(F.col("text")))
     pages = inputs.table(s, sf, "pages").filter(tgt.is_placeholder(F.col("url")))
     return (docs.select(F.lit("document").alias("source"), F.col("doc_id").alias("id"))
             .unionByName(pages.select(F.lit("page").alias("source"), F.col("page_id").alias("id"))))
@@ -711,8 +712,8 @@ def _(s, sf):
 @query("scl5_identifiers", """SELECT id, count(*) AS occurrences FROM (
   SELECT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS id FROM documents) GROUP BY id""")
 def _(s, sf):
-    return (inputs.table(s, sf, "documents").select(F.explode(idf.identifiers(F.col("text"))).alias("id"))
-            .groupBy("id").agg(F.count("*").alias("occurrences")))
+    return (spread(inputs.table(s, sf, "documents").select("text"))
+            .select(F.explode(idf.identifiers(F.col("text"))).alias("id")).groupBy("id").agg(F.count("*").alias("occurrences")))
 
 
 _DOC_IDS = """ids AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS id FROM documents
@@ -721,7 +722,7 @@ _DOC_IDS = """ids AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-
 
 
 def _doc_ids(s, sf):
-    docs = inputs.table(s, sf, "documents").select(F.explode(idf.identifiers(F.col("text"))).alias("id"))
+    docs = spread(inputs.table(s, sf, "documents").select("text")).select(F.explode(idf.identifiers(F.col("text"))).alias("id"))
     args = inputs.calls(s, sf).select(F.explode(idf.identifiers(F.col("args_text"))).alias("id"))
     return docs.unionByName(args).unionByName(inputs.table(s, sf, "pages").select(F.col("url").alias("id"))).distinct()
 
@@ -756,7 +757,7 @@ ids AS (SELECT doc_id, unnest(l) AS id, generate_subscripts(l, 1) AS pos FROM (
     """SELECT d.doc_id, coalesce(string_agg(cat, ',' ORDER BY pos), '') AS categories
   FROM documents d LEFT JOIN doc_cats USING (doc_id) GROUP BY d.doc_id"""))
 def _(s, sf):
-    return inputs.table(s, sf, "documents").select(
+    return spread(inputs.table(s, sf, "documents").select("doc_id", "text")).select(
         "doc_id", F.array_join(idf.categories_in(F.col("text")), ",").alias("categories"))
 
 

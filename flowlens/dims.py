@@ -213,7 +213,17 @@ def dim_kind(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, o) for k, o, _ in KINDS], "kind string, col_order int")
 
 
+def quoted(text: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_map(pairs) -> Column:
-    """``map<string,string>`` literal from (key, value) pairs."""
-    flat = [F.lit(x) for kv in pairs for x in kv]
-    return F.create_map(*flat)
+    """``map<string,string>`` literal from (key, value) pairs. Built as SQL text: one call to the JVM
+    instead of one per entry."""
+    return F.expr("map(" + ", ".join(quoted(x) for kv in pairs for x in kv) + ")")
+
+
+def one_of(value: Column, words) -> Column:
+    """Is a value one of a few words? Null for a null value."""
+    return F.array_contains(F.expr("array(" + ", ".join(quoted(w) for w in words) + ")"), value)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..dims import BUILTIN, Dictionaries, literal_map
+from ..dims import BUILTIN, Dictionaries, literal_map, one_of
 
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
 
@@ -22,29 +22,25 @@ def identifier_tokens(identifier: Column) -> Column:
     return F.filter(F.split(flat, r"(?U)\s+"), lambda t: t != "")
 
 
-def classify_tokens(tokens: Column, d: Dictionaries = BUILTIN) -> Column:
-    """Category id named by a token array, or null.
+def classify_tokens(tokens: Column, d: Dictionaries = BUILTIN, in_parts: bool = False) -> Column:
+    """Category id named by a token array, or null. ``in_parts`` leaves out the joined look-up.
 
     The joined tokens are looked up first; then, left to right, the first token that is in the
     dictionary, or is ``name`` / ``address`` next to one of its qualifiers.
     """
     lookup = literal_map((t, cid) for t, cid, _, _ in d.pii_tokens)
-    name_q = [F.lit(q) for q in d.name_qualifiers]
-    address_q = [F.lit(q) for q in d.address_qualifiers]
 
-    def beside(i: Column, qualifiers: list[Column]) -> Column:
-        before, after = F.get(tokens, i - 1), F.get(tokens, i + 1)
-        return (F.coalesce(before.isin(*qualifiers), F.lit(False))
-                | F.coalesce(after.isin(*qualifiers), F.lit(False)))
+    def beside(i: Column, qualifiers: list[str]) -> Column:
+        return (F.coalesce(one_of(F.get(tokens, i - 1), qualifiers), F.lit(False))
+                | F.coalesce(one_of(F.get(tokens, i + 1), qualifiers), F.lit(False)))
 
     def by_token(t: Column, i: Column) -> Column:
-        qualified = F.when((t == "name") & beside(i, name_q), F.lit("name")).when(
-            (t == "address") & beside(i, address_q), F.lit("address"))
+        qualified = F.when((t == "name") & beside(i, d.name_qualifiers), F.lit("name")).when(
+            (t == "address") & beside(i, d.address_qualifiers), F.lit("address"))
         return F.coalesce(F.element_at(lookup, t), qualified)
 
-    single = F.element_at(lookup, F.array_join(tokens, ""))
     per_token = F.get(F.filter(F.transform(tokens, by_token), lambda c: c.isNotNull()), F.lit(0))
-    return F.coalesce(single, per_token)
+    return per_token if in_parts else F.coalesce(F.element_at(lookup, F.array_join(tokens, "")), per_token)
 
 
 def classify_identifier(identifier: Column, d: Dictionaries = BUILTIN) -> Column:
@@ -64,27 +60,15 @@ def categories_in(snippet: Column, d: Dictionaries = BUILTIN) -> Column:
     marked = F.translate(F.regexp_replace(snippet, "([a-z0-9])([A-Z])", "$1_$2"), _UPPER, _UPPER.lower())
     names = F.regexp_extract_all(marked, F.lit("([a-z_][a-z0-9_]*)"), F.lit(1))
 
-    known = [t for t, *_ in d.pii_tokens]
     lookup = literal_map((t, cid) for t, cid, _, _ in d.pii_tokens)
 
-    def in_dictionary(t: Column) -> Column:
-        return F.when(t.isin(known), F.element_at(lookup, t))  # hash test before the map scan
-
     def by_position(tokens: Column) -> Column:
-        def beside(i: Column, qualifiers: list[str]) -> Column:
-            return (F.coalesce(F.get(tokens, i - 1).isin(qualifiers), F.lit(False))
-                    | F.coalesce(F.get(tokens, i + 1).isin(qualifiers), F.lit(False)))
-
-        def one(t: Column, i: Column) -> Column:
-            return (F.when(t.isin(known), F.element_at(lookup, t))
-                    .when((t == "name") & beside(i, d.name_qualifiers), "name")
-                    .when((t == "address") & beside(i, d.address_qualifiers), "address"))
-
-        return F.get(F.filter(F.transform(tokens, one), lambda c: c.isNotNull()), F.lit(0))
+        return classify_tokens(tokens, d, in_parts=True)
 
     def one_name(name: Column) -> Column:
         split = F.array(F.filter(F.split(name, "_"), lambda t: t != ""))
-        return F.coalesce(in_dictionary(F.replace(name, F.lit("_"), F.lit(""))),
+        # a name of one token was looked up whole; only longer ones go token by token
+        return F.coalesce(F.element_at(lookup, F.replace(name, F.lit("_"), F.lit(""))),
                           F.when(name.contains("_"), F.get(F.transform(split, by_position), F.lit(0))))
 
     found = F.transform(F.array_distinct(names), one_name)

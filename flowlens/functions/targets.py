@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..dims import BUILTIN, Dictionaries, literal_map
+from ..dims import BUILTIN, Dictionaries, literal_map, one_of, quoted
 
 _NOT_AFTER_WORD = "(?<![A-Za-z0-9_])"
 _NOT_BEFORE_WORD = "(?![A-Za-z0-9_])"
@@ -58,15 +58,18 @@ def url_host(text: Column) -> Column:
     return F.regexp_extract(text, URL_HOST_PATTERN, 1)
 
 
-def match_vendor(lowered: Column, d: Dictionaries = BUILTIN) -> Column:
-    """Alphabetically first vendor token contained in a lower-cased text, or null."""
+def match_vendor(lowered: Column | str, d: Dictionaries = BUILTIN) -> Column:
+    """Alphabetically first vendor token contained in a lower-cased text (a column or its name), or
+    null."""
     tokens = sorted(t for t, _ in d.vendors)
-    if len(tokens) <= 64:
-        chain = F.when(F.lit(False), F.lit(None).cast("string"))
-        for t in tokens:
-            chain = chain.when(lowered.contains(t), t)
-        return chain
-    return F.get(F.filter(F.array(*[F.lit(t) for t in tokens]), lambda t: lowered.contains(t)), F.lit(0))
+    if not tokens:
+        return F.lit(None).cast("string")
+    if isinstance(lowered, str) and len(tokens) <= 64:
+        cases = " ".join(f"WHEN contains({lowered}, {quoted(t)}) THEN {quoted(t)}" for t in tokens)
+        return F.expr(f"CASE {cases} END")
+    text = F.col(lowered) if isinstance(lowered, str) else lowered
+    listed = F.expr("array(" + ", ".join(map(quoted, tokens)) + ")")
+    return F.get(F.filter(listed, lambda t: text.contains(t)), F.lit(0))
 
 
 def is_comms(lowered_callee: Column) -> Column:
@@ -74,17 +77,17 @@ def is_comms(lowered_callee: Column) -> Column:
 
 
 def is_http(receiver: Column, method: Column) -> Column:
-    return ((method.isin(dims.HTTP_METHODS) & receiver.rlike(_whole_word(dims.HTTP_RECEIVERS)))
+    return ((one_of(method, dims.HTTP_METHODS) & receiver.rlike(_whole_word(dims.HTTP_RECEIVERS)))
             | (method == "fetch"))
 
 
 def is_log(receiver: Column, method: Column) -> Column:
-    return method.isin(dims.LOG_METHODS) | receiver.rlike(_whole_word(dims.LOG_RECEIVERS))
+    return one_of(method, dims.LOG_METHODS) | receiver.rlike(_whole_word(dims.LOG_RECEIVERS))
 
 
 def is_store(receiver: Column, method: Column) -> Column:
-    return method.isin(dims.STORE_METHODS) & (
-        method.isin(dims.SELF_EVIDENT_STORE_METHODS) | receiver.rlike(_whole_word(dims.STORE_RECEIVERS)))
+    return one_of(method, dims.STORE_METHODS) & (
+        one_of(method, dims.SELF_EVIDENT_STORE_METHODS) | receiver.rlike(_whole_word(dims.STORE_RECEIVERS)))
 
 
 def store_word(receiver: Column) -> Column:
@@ -96,7 +99,7 @@ def family_of_word(word: Column) -> Column:
     """Family of a store word: cache, object, mongo, dynamo, db; empty for no word."""
     family = F.when(word == "", "")
     for name, (words, _) in dims.STORE_FAMILIES.items():
-        family = family.when(word.isin(words), name)
+        family = family.when(one_of(word, words), name)
     return family.when(word.isNotNull(), "db")
 
 
@@ -127,12 +130,12 @@ def with_target(calls: DataFrame, d: Dictionaries = BUILTIN) -> DataFrame:
     Each stage is its own projection, and the result comes out of a one-row ``inline``, so a later
     filter on the target reads it instead of pulling a copy of the whole rule chain down the plan.
     """
-    name_of = literal_map(d.vendors)
+    name_of = literal_map(d.vendors) if d.vendors else F.lit(None).cast("map<string,string>")
     staged = (
         calls.withColumn("_low", F.lower(trim_space(F.col("callee"))))
         # receiver up to and with its delimiter: no word, so no word test sees the difference
         .withColumns({"_recv": F.regexp_extract("_low", "(?s)^(.*[.:>])", 1),
-                      "_vendor": match_vendor(F.col("_low"), d)})
+                      "_vendor": match_vendor("_low", d)})
         .withColumn("_method", F.substring(F.col("_low"), F.length("_recv") + 1, F.length("_low")))
         .withColumn("_rule",
                     F.when(F.col("_vendor").isNotNull(), "vendor")
@@ -144,7 +147,7 @@ def with_target(calls: DataFrame, d: Dictionaries = BUILTIN) -> DataFrame:
                       "_word": F.when(F.col("_rule") == "store", store_word(F.col("_recv")))})
         .withColumn("_host", F.when((F.col("_host") != "") & ~is_placeholder(F.col("_host")), F.col("_host")))
         .withColumn("_lhost", F.lower("_host"))
-        .withColumns({"_vendor": F.coalesce("_vendor", match_vendor(F.col("_lhost"), d)),
+        .withColumns({"_vendor": F.coalesce("_vendor", match_vendor("_lhost", d)),
                       "_family": family_of_word(F.col("_word"))})
     )
     rule, vendor, host, family = (F.col(c) for c in ("_rule", "_vendor", "_host", "_family"))

@@ -44,3 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Write a DataFrame to the checkpoint directory and go on from the stored copy."""
     use_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on a table that arrives in fewer splits than there are cores.
+
+    For plain scans only: it asks for the split count, which would run the shuffles of a larger plan.
+    A table with enough splits, that is any large one, is returned as it is, without a shuffle.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
