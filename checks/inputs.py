@@ -108,7 +108,9 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files of 50 calls each, one call per line, and the infrastructure files."""
-    c = calls(spark, sf_dir).withColumn("block", F.expr("start_byte div 50"))
+    # the partitioning that groups the lines also spreads the files over the cores
+    slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    c = calls(spark, sf_dir).withColumn("block", F.expr("start_byte div 50")).repartition(slots, "block")
     lines = F.array_sort(F.collect_list(F.struct("start_byte", "full_text")))  # at most 50 per block
     code = c.groupBy("block").agg(F.array_join(F.transform(lines, lambda x: x["full_text"]), "\n").alias("text"))
     code = code.select(

@@ -2,8 +2,9 @@
 
 A hub node (a log sink, the user) can be one end of a third of all flows. A plain shuffle join would
 put that third into one task; adaptive skew handling only helps when the lookup side is a bare
-exchange, which it is not once it was aggregated. So the few hot keys are joined by broadcast and
-everything else by an ordinary join.
+exchange, which it is not once it was aggregated. So a lookup side that was counted and found small is
+broadcast; beyond that, the few hot keys are joined by broadcast and everything else by an ordinary
+join.
 """
 
 from __future__ import annotations
@@ -11,12 +12,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Most rows of a side that is broadcast whole. Rows here are ids and short texts.
+MAX_BROADCAST_ROWS = 200_000
 #: A key with at least this many rows on the large side is joined apart.
 HOT_ROWS = 1_000_000
 #: Most keys treated as hot. The bound on what is broadcast; colder keys take the plain join.
 MAX_HOT_KEYS = 1_000
 
 
+def is_small(df: DataFrame) -> bool:
+    """Few enough rows to broadcast? Runs a counting job."""
+    return df.count() <= MAX_BROADCAST_ROWS
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if is_small(df) else df
+
+
 def hot_keys(df: DataFrame, key: str, rows: int | None = None) -> list:
     """The (at most ``MAX_HOT_KEYS``) heaviest keys having at least ``rows`` rows. Runs a counting job."""
     heavy = (df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
@@ -28,8 +40,13 @@ def hot_keys(df: DataFrame, key: str, rows: int | None = None) -> list:
 def lookup_join(df: DataFrame, lookup: DataFrame, key: str, how: str = "left",
                 hot_rows: int | None = None) -> DataFrame:
     """Join ``df`` to ``lookup`` (one row per ``key``) whatever the skew of ``df``; ``how`` is
-    ``left``, ``inner``, ``left_semi`` or ``left_anti``. Columns of ``df`` come first."""
-    hot = hot_keys(df, key, hot_rows)
+    ``left``, ``inner``, ``left_semi`` or ``left_anti``. Columns of ``df`` come first. A given
+    ``hot_rows`` takes the way of a large lookup side."""
+    hot: list = []
+    if hot_rows is None and is_small(lookup):
+        lookup = F.broadcast(lookup)
+    else:
+        hot = hot_keys(df, key, hot_rows)
     if not hot:
         joined = df.join(lookup, key, how)
     else:

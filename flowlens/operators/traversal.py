@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..model import Graph
 from ..session import cut
 from .merge import endpoints
+from .skew import broadcast_if_small, lookup_join
 
 
 class CyclicGraphError(ValueError):
@@ -40,7 +41,10 @@ def node_depth(nodes: DataFrame, flows: DataFrame) -> DataFrame:
         if level.isEmpty():
             break
         levels.append(level.withColumn("depth", F.lit(depth)))
-        gone = (edges.join(level.withColumnRenamed("id", "from"), "from", "left_semi")
+        # a small level is broadcast, so the flows stay where they are; a large one is joined by shuffle,
+        # where adaptive execution splits the flows of a hub
+        peeled = broadcast_if_small(level.withColumnRenamed("id", "from"))
+        gone = (edges.join(peeled, "from", "left_semi")
                 .groupBy(F.col("to").alias("id")).agg(F.count("*").alias("gone")))
         waiting = cut(waiting.filter("open > 0").join(gone, "id", "left")
                       .select("id", (F.col("open") - F.coalesce("gone", F.lit(0))).alias("open")))
@@ -70,7 +74,7 @@ def _walk(edges: DataFrame, start: DataFrame, visited: list[DataFrame], near: st
     found: list[DataFrame] = []
     frontier = start
     while True:
-        step = (frontier.withColumnRenamed("id", near).join(edges, near)
+        step = (edges.join(broadcast_if_small(frontier.withColumnRenamed("id", near)), near)
                 .select("start_id", F.col(far).alias("id")).distinct())
         seen = reduce(DataFrame.unionByName, visited + found)
         frontier = cut(step.join(seen, ["start_id", "id"], "left_anti"))
@@ -95,9 +99,8 @@ def lineage(flows: DataFrame, starts: DataFrame) -> DataFrame:
 def focus(graph: Graph, node_id: str) -> Graph:
     """The part of a graph in the lineage of one node: its nodes, and the flows with both ends in it."""
     start = graph.spark.createDataFrame([(node_id,)], "id string")
-    # the set has no duplicates, so both joins keep one row per flow
     members = cut(lineage(graph.flows, start).select("id"))
     inside = graph.flows
     for end in ("from", "to"):
-        inside = inside.join(members.withColumnRenamed("id", end), end, "left_semi")
-    return Graph(graph.categories, graph.nodes.join(members, "id", "left_semi"), inside.select(graph.flows.columns))
+        inside = lookup_join(inside, members.withColumnRenamed("id", end), end, "left_semi")
+    return Graph(graph.categories, graph.nodes.join(members, "id", "left_semi"), inside)

@@ -124,6 +124,8 @@ def _chain_start(code: str, paren: int, opens: dict[int, int]) -> int:
         else:
             break
         before = _skip_back(code, start, _BLANK)
+        if not before or code[before - 1] not in ".:>":
+            break
         for mark in ("?.", "!.", "&.", "::", "->", "."):
             if code.endswith(mark, 0, before):
                 i = _skip_back(code, before - len(mark), _BLANK)
