@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.dims import quoted
 from flowlens.model import Graph
 from flowlens.session import spread
 
@@ -34,21 +35,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _pick(words: list[str], index: str):
     """words[index] without a join."""
-    return F.get(F.lit(list(words)), F.expr(index).cast("int"))
+    listed = ", ".join(quoted(w) for w in words)
+    return F.expr(f"get(array({listed}), cast({index} AS int))")
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One call per event."""
     e = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"))
-    e = e.withColumns({
-        "callee": _pick([c for c, _ in VOCABULARY], "event_id % 24"),
-        "url": _pick([u for _, u in VOCABULARY], "event_id % 24"),
-        "arg1": _pick(IDENTIFIERS, "(event_id div 24) % 20"),
-        "arg2": _pick(IDENTIFIERS, "(user_id * 7 + event_id) % 20"),
-    })
-    e = e.withColumn("args_text", F.concat(
-        F.lit("("), F.when(F.col("url") != "", F.concat(F.lit('"'), "url", F.lit('", '))).otherwise(""),
-        "arg1", F.lit(", "), "arg2", F.lit(")")))
+    e = e.select(
+        "*", _pick([c for c, _ in VOCABULARY], "event_id % 24").alias("callee"),
+        _pick([u for _, u in VOCABULARY], "event_id % 24").alias("url"),
+        _pick(IDENTIFIERS, "(event_id div 24) % 20").alias("arg1"),
+        _pick(IDENTIFIERS, "(user_id * 7 + event_id) % 20").alias("arg2"),
+        F.concat(F.lit("("), F.when(F.col("url") != "", F.concat(F.lit('"'), "url", F.lit('", '))).otherwise(""),
+                 "arg1", F.lit(", "), "arg2", F.lit(")")).alias("args_text"))
     return e.selectExpr(
         "0 AS root_idx", "event_type AS base", "concat('svc', user_id % 40, '/h', event_id % 5, '.py') AS rel",
         "event_id AS start_byte", "event_id + 1 AS end_byte", "cast(event_id + 1 AS int) AS line",
@@ -111,7 +111,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the partitioning that groups the lines also spreads the files over the cores
     slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     c = calls(spark, sf_dir).withColumn("block", F.expr("start_byte div 50")).repartition(slots, "block")
-    lines = F.array_sort(F.collect_list(F.struct("start_byte", "full_text")))  # at most 50 per block
+    lines = F.sort_array(F.collect_list(F.struct("start_byte", "full_text")))  # at most 50 per block
     code = c.groupBy("block").agg(F.array_join(F.transform(lines, lambda x: x["full_text"]), "\n").alias("text"))
     code = code.select(
         F.lit(0).alias("root_idx"), F.lit("events").alias("base"), F.concat(F.lit("b"), "block", F.lit(".py")).alias("rel"),

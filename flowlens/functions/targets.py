@@ -127,30 +127,31 @@ def with_target(calls: DataFrame, d: Dictionaries = BUILTIN) -> DataFrame:
     """Add ``target_id``, ``target_label``, ``target_kind``; null where a call goes nowhere known.
 
     Rules in priority order: vendor, messaging, HTTP (vendor host, plain host, generic), log, store.
-    Each stage is its own projection, and the result comes out of a one-row ``inline``, so a later
-    filter on the target reads it instead of pulling a copy of the whole rule chain down the plan.
+    Each term refers to earlier ones by name, so shared terms are computed once. The result comes out
+    of a one-row ``inline``, so a later filter on the target reads it instead of pulling a copy of the
+    whole rule chain down the plan.
     """
     name_of = literal_map(d.vendors) if d.vendors else F.lit(None).cast("map<string,string>")
-    staged = (
-        calls.withColumn("_low", F.lower(trim_space(F.col("callee"))))
-        # receiver up to and with its delimiter: no word, so no word test sees the difference
-        .withColumns({"_recv": F.regexp_extract("_low", "(?s)^(.*[.:>])", 1),
-                      "_vendor": match_vendor("_low", d)})
-        .withColumn("_method", F.substring(F.col("_low"), F.length("_recv") + 1, F.length("_low")))
-        .withColumn("_rule",
-                    F.when(F.col("_vendor").isNotNull(), "vendor")
-                    .when(is_comms(F.col("_low")), "comms")
-                    .when(is_http(F.col("_recv"), F.col("_method")), "http")
-                    .when(is_log(F.col("_recv"), F.col("_method")), "log")
-                    .when(is_store(F.col("_recv"), F.col("_method")), "store"))
-        .withColumns({"_host": F.when(F.col("_rule") == "http", url_host(F.col("full_text"))),
-                      "_word": F.when(F.col("_rule") == "store", store_word(F.col("_recv")))})
-        .withColumn("_host", F.when((F.col("_host") != "") & ~is_placeholder(F.col("_host")), F.col("_host")))
-        .withColumn("_lhost", F.lower("_host"))
-        .withColumns({"_vendor": F.coalesce("_vendor", match_vendor("_lhost", d)),
-                      "_family": family_of_word(F.col("_word"))})
-    )
+    low, recv, method = F.col("_low"), F.col("_recv"), F.col("_method")
     rule, vendor, host, family = (F.col(c) for c in ("_rule", "_vendor", "_host", "_family"))
+    staged = calls.select(
+        "*",
+        F.lower(trim_space(F.col("callee"))).alias("_low"),
+        # receiver up to and with its delimiter: no word, so no word test sees the difference
+        F.regexp_extract("_low", "(?s)^(.*[.:>])", 1).alias("_recv"),
+        F.substring(low, F.length(recv) + 1, F.length(low)).alias("_method"),
+        match_vendor("_low", d).alias("_called"),
+        F.when(F.col("_called").isNotNull(), "vendor")
+        .when(is_comms(low), "comms")
+        .when(is_http(recv, method), "http")
+        .when(is_log(recv, method), "log")
+        .when(is_store(recv, method), "store").alias("_rule"),
+        F.when(rule == "http", url_host(F.col("full_text"))).alias("_url"),
+        F.when((F.col("_url") != "") & ~is_placeholder(F.col("_url")), F.col("_url")).alias("_host"),
+        F.lower("_host").alias("_lhost"),
+        F.coalesce("_called", match_vendor("_lhost", d)).alias("_vendor"),
+        F.when(rule == "store", store_word(recv)).alias("_word"),
+        family_of_word(F.col("_word")).alias("_family"))
     target = F.struct(
         F.when(vendor.isNotNull(), F.concat(F.lit("ext:"), vendor))
         .when(rule == "comms", "ext:comms")

@@ -35,7 +35,7 @@ def kind_order(kind: Column) -> Column:
 def union_categories(a: Column, b: Column) -> Column:
     """Sorted, distinct union of two category arrays; null when nothing is left."""
     empty = F.array().cast("array<string>")
-    merged = F.array_sort(F.array_union(F.coalesce(a, empty), F.coalesce(b, empty)))
+    merged = F.sort_array(F.array_union(F.coalesce(a, empty), F.coalesce(b, empty)))
     return F.when(F.size(merged) > 0, merged)
 
 

@@ -59,7 +59,7 @@ def _labels(flows: DataFrame, categories: DataFrame, fallback_to_id: bool) -> Da
     if fallback_to_id:
         shown = F.coalesce(shown, F.col("cat_id"))
     # a flow has at most as many entries as there are categories
-    parts = F.array_sort(F.collect_list(F.when(shown.isNotNull(), F.struct("pos", shown.alias("shown")))))
+    parts = F.sort_array(F.collect_list(F.when(shown.isNotNull(), F.struct("pos", shown.alias("shown")))))
     return (flow_categories(flows, categories).groupBy("from", "to")
             .agg(F.array_join(F.transform(parts, lambda p: p["shown"]), ", ").alias("labels")))
 

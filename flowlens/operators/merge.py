@@ -58,7 +58,7 @@ def merge_flows(rows: DataFrame, seq: str = "seq") -> DataFrame:
     # one row per category, so that the map-side set never outgrows the category list
     single = drop_invalid_flows(rows).withColumn("_cat", F.explode_outer("categories"))
     return single.groupBy("from", "to").agg(
-        F.array_sort(F.collect_set("_cat")).alias("categories"),
+        F.sort_array(F.collect_set("_cat")).alias("categories"),
         _first_non_blank("via", seq).alias("via"),
         _first_non_blank("evidence", seq).alias("evidence"))
 
@@ -125,7 +125,7 @@ def call_edges(calls: DataFrame, d: Dictionaries = BUILTIN) -> DataFrame:
             .select(service_id(F.col("base"), F.col("rel")).alias("service_id"), "target_id",
                     first.alias("first"), F.explode("categories").alias("cat"))
             .groupBy("service_id", "target_id")
-            .agg(F.array_sort(F.collect_set("cat")).alias("categories"), F.min("first").alias("first"))
+            .agg(F.sort_array(F.collect_set("cat")).alias("categories"), F.min("first").alias("first"))
             .select("service_id", "target_id", "categories", "first.*"))
 
 
@@ -136,7 +136,7 @@ def edges_to_graph(edges: DataFrame, d: Dictionaries = BUILTIN) -> Graph:
     outward = edges.select(F.col("service_id").alias("from"), F.col("target_id").alias("to"),
                            "categories", "via", "evidence")
     inward = (edges.select("service_id", F.explode("categories").alias("cat")).groupBy("service_id")
-              .agg(F.array_sort(F.collect_set("cat")).alias("categories"))
+              .agg(F.sort_array(F.collect_set("cat")).alias("categories"))
               .select(F.lit("source:user").alias("from"), F.col("service_id").alias("to"), "categories",
                       blank.alias("via"), blank.alias("evidence")))
 
@@ -173,7 +173,7 @@ def collapse(graph: Graph, kind: str = "service", new_id: str = "svc:app", label
     boxed = graph.nodes.filter(F.col("kind") == kind).select("id")
     flows = remap_ends(graph.flows.select("from", "to", "categories"), boxed, new_id)
     merged = (drop_invalid_flows(flows).withColumn("_cat", F.explode_outer("categories")).groupBy("from", "to")
-              .agg(F.array_sort(F.collect_set("_cat")).alias("categories"))
+              .agg(F.sort_array(F.collect_set("_cat")).alias("categories"))
               .withColumns({"via": F.lit(""), "evidence": F.lit("")}))
 
     box = graph.spark.createDataFrame([(0, new_id, kind, label, "", "")],

@@ -90,5 +90,5 @@ def scan_stats(files: DataFrame) -> DataFrame:
         F.coalesce(F.sum("files"), F.lit(0)).alias("files"),
         F.coalesce(F.sum(F.when(known, F.col("files"))), F.lit(0)).alias("parsed"),
         F.coalesce(F.sum("infra"), F.lit(0)).alias("infra"),
-        F.map_from_entries(F.array_sort(F.collect_list(
+        F.map_from_entries(F.sort_array(F.collect_list(
             F.when(known, F.struct("language", "files"))))).alias("languages"))
