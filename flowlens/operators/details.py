@@ -47,34 +47,35 @@ def with_subtitle(nodes: DataFrame) -> DataFrame:
     return with_label_count(nodes).withColumn("subtitle", subtitle)
 
 
-def _labels(flows: DataFrame, categories: DataFrame, fallback_to_id: bool) -> DataFrame:
-    """``(from, to, labels)``: category labels in category order, joined by ", "."""
+def with_labels(flows: DataFrame, categories: DataFrame, fallback_to_id: bool = False) -> DataFrame:
+    """Flows with ``labels``: the labels of their categories in category order, joined by ", ". A
+    category that is unknown or has a blank label is left out, or shows its id."""
     rows = category_rows(categories)
     if rows is not None:
         label = lookup([r for r in rows if r["label"]], "label")
         shown = F.transform(F.coalesce("categories", F.array().cast("array<string>")),
                             lambda c: F.coalesce(F.element_at(label, c), c if fallback_to_id else F.lit(None)))
-        return flows.select("from", "to", F.array_join(shown, ", ").alias("labels"))
+        return flows.withColumn("labels", F.array_join(shown, ", "))
     shown = non_blank(F.col("label"))
     if fallback_to_id:
         shown = F.coalesce(shown, F.col("cat_id"))
     # a flow has at most as many entries as there are categories
     parts = F.sort_array(F.collect_list(F.when(shown.isNotNull(), F.struct("pos", shown.alias("shown")))))
-    return (flow_categories(flows, categories).groupBy("from", "to")
-            .agg(F.array_join(F.transform(parts, lambda p: p["shown"]), ", ").alias("labels")))
+    labels = (flow_categories(flows, categories).groupBy("from", "to")
+              .agg(F.array_join(F.transform(parts, lambda p: p["shown"]), ", ").alias("labels")))
+    return flows.join(labels, ["from", "to"], "left").select(*flows.columns, "labels")
 
 
 def edge_labels(flows: DataFrame, categories: DataFrame) -> DataFrame:
     """``(from, to, labels)``; unknown and blank labels are left out."""
-    return _labels(flows, categories, fallback_to_id=False)
+    return with_labels(flows, categories).select("from", "to", "labels")
 
 
 def flow_details(graph: Graph) -> DataFrame:
     """Flows with the labels of both ends (id if blank or unknown) and their category labels (id if
     unknown), via and evidence."""
     names = graph.nodes.select("id", non_blank(F.col("label")).alias("name"))
-    rows = (graph.flows.select("from", "to", "via", "evidence")
-            .join(_labels(graph.flows, graph.categories, True), ["from", "to"], "left"))
+    rows = with_labels(graph.flows, graph.categories, True).select("from", "to", "labels", "via", "evidence")
     for end in ("from", "to"):
         rows = lookup_join(rows, names.select(F.col("id").alias(end), F.col("name").alias(f"_{end}")), end)
     return rows.select(

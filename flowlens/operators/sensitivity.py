@@ -44,32 +44,33 @@ def flow_categories(flows: DataFrame, categories: DataFrame) -> DataFrame:
     return lookup_join(exploded, known, "cat_id", "left")
 
 
-def _loudest(flows: DataFrame, categories: DataFrame, none: str) -> DataFrame:
-    """Highest-ranked sensitivity per flow; the first category id wins among equals."""
+def with_sensitivity(flows: DataFrame, categories: DataFrame, none: str = "") -> DataFrame:
+    """Flows with their highest-ranked ``sensitivity``; the first category id wins among equals, and
+    ``none`` stands where no category has a rank."""
     rows = category_rows(categories)
     if rows is None:
         rank = sensitivity_rank(F.col("sensitivity"))
         order = F.when(rank > 0, F.struct((-rank).alias("r"), F.col("cat_id")))
-        found = (flow_categories(flows, categories).groupBy("from", "to")
-                 .agg(F.min_by("sensitivity", order).alias("sensitivity")))
+        loudest = (flow_categories(flows, categories).groupBy("from", "to")
+                   .agg(F.min_by("sensitivity", order).alias("sensitivity")))
+        found = flows.join(loudest, ["from", "to"], "left").select(*flows.columns, "sensitivity")
     else:
         ranks = {s: r for s, r, _ in SENSITIVITIES}
-        ranked = [r for r in rows if ranks.get(r["sensitivity"], 0) > 0]
-        sens = lookup(ranked, "sensitivity")
+        sens = lookup([r for r in rows if ranks.get(r["sensitivity"], 0) > 0], "sensitivity")
         scored = F.transform(F.filter(_listed(), lambda c: F.element_at(sens, c).isNotNull()), lambda c: F.struct(
             (-sensitivity_rank(F.element_at(sens, c))).alias("r"), c.alias("c"), F.element_at(sens, c).alias("s")))
-        found = flows.select("from", "to", F.array_min(scored)["s"].alias("sensitivity"))
+        found = flows.withColumn("sensitivity", F.array_min(scored)["s"])
     return found.withColumn("sensitivity", F.coalesce("sensitivity", F.lit(none)))
 
 
 def dominant_sensitivity(flows: DataFrame, categories: DataFrame) -> DataFrame:
     """``(from, to, sensitivity)``; empty for a flow with no known category."""
-    return _loudest(flows, categories, "")
+    return with_sensitivity(flows, categories).select("from", "to", "sensitivity")
 
 
 def flow_sensitivity_public(flows: DataFrame, categories: DataFrame) -> DataFrame:
     """``(from, to, sensitivity)`` with ``public`` as the floor."""
-    return _loudest(flows, categories, "public")
+    return with_sensitivity(flows, categories, "public").select("from", "to", "sensitivity")
 
 
 def filter_by_sensitivity(flows: DataFrame, categories: DataFrame, active: Iterable[str]) -> DataFrame:

@@ -29,12 +29,13 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
-def hot_keys(df: DataFrame, key: str, rows: int | None = None) -> list:
-    """The (at most ``MAX_HOT_KEYS``) heaviest keys having at least ``rows`` rows. Runs a counting job."""
+def hot_keys(df: DataFrame, key: str, rows: int | None = None) -> dict:
+    """The (at most ``MAX_HOT_KEYS``) heaviest keys having at least ``rows`` rows, with their row counts.
+    Runs a counting job."""
     heavy = (df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
              .filter(F.col("_n") >= (HOT_ROWS if rows is None else rows))
              .orderBy(F.desc("_n"), key).limit(MAX_HOT_KEYS))
-    return [r[0] for r in heavy.collect()]
+    return {r[0]: r[1] for r in heavy.collect()}
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, key: str, how: str = "left",
@@ -42,7 +43,7 @@ def lookup_join(df: DataFrame, lookup: DataFrame, key: str, how: str = "left",
     """Join ``df`` to ``lookup`` (one row per ``key``) whatever the skew of ``df``; ``how`` is
     ``left``, ``inner``, ``left_semi`` or ``left_anti``. Columns of ``df`` come first. A given
     ``hot_rows`` takes the way of a large lookup side."""
-    hot: list = []
+    hot: dict = {}
     if hot_rows is None and is_small(lookup):
         lookup = F.broadcast(lookup)
     else:
@@ -50,7 +51,7 @@ def lookup_join(df: DataFrame, lookup: DataFrame, key: str, how: str = "left",
     if not hot:
         joined = df.join(lookup, key, how)
     else:
-        is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+        is_hot = F.coalesce(F.col(key).isin(list(hot)), F.lit(False))
         # one row per key, so this side has at most MAX_HOT_KEYS rows
         hot_lookup = F.broadcast(lookup.filter(is_hot))
         joined = (df.filter(~is_hot).join(lookup.filter(~is_hot), key, how)

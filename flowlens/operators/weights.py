@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import kind_order
 from ..session import cut
 from .merge import valid_edges
-from .skew import hot_keys
+from .skew import HOT_ROWS, hot_keys
 
 
 def flow_weight(categories: Column) -> Column:
@@ -59,9 +59,9 @@ def kind_maxima(totals: DataFrame) -> DataFrame:
         F.coalesce(F.max("nodes"), F.lit(0)).cast("bigint").alias("max_nodes"))
 
 
-def running_before(df: DataFrame, key: str, order: str, value: str, name: str,
-                   hot_rows: int | None = None) -> DataFrame:
+def running_before(df: DataFrame, key: str, order: str, value: str, name: str, hot: dict) -> DataFrame:
     """Sum of ``value`` over the earlier rows of the same ``key`` (by ``order``, unique in a key).
+    ``hot`` holds the keys with too many rows for one task, and how many rows they have.
 
     Ordinary keys use one window. A hub key does not fit one task, so the rows of hot keys are range
     partitioned and stored, summed per partition, and each partition starts from the sum of the ones
@@ -69,14 +69,13 @@ def running_before(df: DataFrame, key: str, order: str, value: str, name: str,
     """
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
-    hot = hot_keys(df, key, hot_rows)
     if not hot:
         return df.withColumn(name, F.coalesce(F.sum(value).over(w), zero))
 
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    is_hot = F.coalesce(F.col(key).isin(list(hot)), F.lit(False))
     plain = df.filter(~is_hot).withColumn(name, F.coalesce(F.sum(value).over(w), zero))
 
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(2, -(-sum(hot.values()) // HOT_ROWS), df.sparkSession.sparkContext.defaultParallelism)
     # the partition number is stored with the rows: sampled range bounds may differ if computed again
     pieces = cut(df.filter(is_hot).repartitionByRange(parts, key, order)
                  .withColumn("_piece", F.spark_partition_id()))
@@ -96,6 +95,7 @@ def running_before(df: DataFrame, key: str, order: str, value: str, name: str,
 def stacked_offsets(nodes: DataFrame, flows: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Flows between existing nodes with their weight and where their ribbon starts, in weight units:
     ``source_offset`` below the earlier flows of the source, ``target_offset`` below those of the target."""
-    edges = with_weight(valid_edges(flows, nodes)).select("from", "to", "categories", "weight")
-    out = running_before(edges, "from", "to", "weight", "source_offset", hot_rows)
-    return running_before(out, "to", "from", "weight", "target_offset", hot_rows)
+    edges = cut(with_weight(valid_edges(flows, nodes)).select("from", "to", "categories", "weight"))
+    hot = {end: hot_keys(edges, end, hot_rows) for end in ("from", "to")}
+    out = running_before(edges, "from", "to", "weight", "source_offset", hot["from"])
+    return running_before(out, "to", "from", "weight", "target_offset", hot["to"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..model import Graph
 from ..operators.merge import collapse, prune_orphans, valid_edges
-from ..operators.sensitivity import dominant_sensitivity, filter_by_sensitivity, flow_sensitivity_public
+from ..operators.sensitivity import filter_by_sensitivity, with_sensitivity
 from ..operators.weights import kind_totals, node_throughput, stacked_offsets
 
 
@@ -29,8 +29,7 @@ class FlowVolume:
 def flow_volume(graph: Graph) -> FlowVolume:
     """Throughput per node, weight, offsets and dominant sensitivity per flow, totals per kind."""
     nodes = node_throughput(graph.nodes, graph.flows)
-    ribbons = stacked_offsets(graph.nodes, graph.flows).join(
-        dominant_sensitivity(graph.flows, graph.categories), ["from", "to"])
+    ribbons = with_sensitivity(stacked_offsets(graph.nodes, graph.flows), graph.categories)
     return FlowVolume(nodes, ribbons, kind_totals(nodes))
 
 
@@ -40,8 +39,7 @@ def view(graph: Graph, sensitivities: Iterable[str]) -> Graph:
     visible = filter_by_sensitivity(graph.flows, graph.categories, sensitivities)
     nodes = prune_orphans(graph.nodes, visible)
     # a visible flow's end is touched, so it is in the pruned nodes whenever it is a node at all
-    drawn = valid_edges(visible, graph.nodes).join(
-        flow_sensitivity_public(graph.flows, graph.categories), ["from", "to"])
+    drawn = with_sensitivity(valid_edges(visible, graph.nodes), graph.categories, "public")
     return Graph(graph.categories, nodes, drawn)
 
 

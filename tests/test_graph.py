@@ -133,7 +133,7 @@ def test_lookup_join_with_and_without_hot_keys(spark):
         hot = skew.lookup_join(df, lookup, "key", how, hot_rows=50)
         assert cold.columns == hot.columns
         assert sorted(map(str, cold.collect())) == sorted(map(str, hot.collect())), how
-    assert skew.hot_keys(df, "key", 50) == ["hub"]
+    assert skew.hot_keys(df, "key", 50) == {"hub": 100}
 
 
 def test_save_and_load(spark, tmp_path):
