@@ -25,10 +25,24 @@ DASH_COMMENTS = {"lua", "haskell"}
 # languages where "type name(...)" or "name(...) {" declares
 C_LIKE = {"javascript", "typescript", "tsx", "vue", "svelte", "java", "c", "cpp", "c_sharp", "dart", "objc", "groovy"}
 DECLARES = set("def defp func function fn fun sub proc class interface struct enum trait impl macro".split())
-NOT_CALLED = DECLARES | set("if elif elsif for foreach while until switch match catch return when unless with "
+# words that are followed by "(" without calling anything
+NOT_CALLED = DECLARES | set("if elif elsif else for foreach while until switch match catch return when unless with "
                             "and or not in is async typeof sizeof throw yield case select where except".split())
+NOT_CALLED_IN = {
+    "python": set("def class if elif else for while in not and or is return with except lambda assert del raise "
+                  "yield await import from async global".split()),
+    "go": NOT_CALLED | set("import const var type map chan range go defer".split()),
+    "java": NOT_CALLED | {"super", "this", "synchronized", "try", "assert"},
+}
 BEFORE_CALL = set("return await new throw yield case in of else do typeof void delete not and or instanceof is "
                   "as go defer out ref".split())
+# languages whose strings hold code: opening quote -> what a hole looks like
+HOLES = {
+    **dict.fromkeys(("javascript", "typescript", "tsx", "vue", "svelte"), {"`": r"\$\{[^{}]*\}"}),
+    **dict.fromkeys(("kotlin", "groovy", "dart", "scala"), {'"': r"\$\{[^{}]*\}"}),
+    **dict.fromkeys(("ruby", "elixir"), {'"': r"\#\{[^{}]*\}"}),
+    "python": {"f": r"(?<!\{)\{[^{}]*\}(?!\})"},
+}
 # ---- end of fixed values --------------------------------------------------------
 
 _NAME = "A-Za-z0-9_$"
@@ -56,15 +70,28 @@ _PATTERNS: dict[str, re.Pattern] = {}
 
 
 def _blanked(text: str, language: str) -> str:
-    """The text with comments turned to blanks and strings to marks, same length."""
+    """The text with comments turned to blanks and strings to marks, same length. Code in the holes of
+    a string stays."""
     if language not in _PATTERNS:
         _PATTERNS[language] = _hidden_text(language)
+    holes = HOLES.get(language, {})
+
+    def hole_of(m: re.Match) -> str | None:
+        if language == "python":
+            return holes["f"] if re.search(r"(?<!\w)[rR]?[fF][rR]?\Z", text[max(0, m.start() - 3):m.start()]) else None
+        return holes.get(text[m.start()])
 
     def blank(m: re.Match) -> str:
         n = m.end() - m.start()
         if m.group(1) is not None:
             return " " * n
-        return _OPEN_STRING + _IN_STRING * (n - 2) + _CLOSE_STRING
+        marks = _OPEN_STRING + _IN_STRING * (n - 2) + _CLOSE_STRING
+        hole = hole_of(m) if holes else None
+        if hole:
+            for h in re.finditer(hole, m.group()):
+                code = _PATTERNS[language].sub(lambda x: " " * (x.end() - x.start()), h.group()[1:])
+                marks = marks[:h.start() + 1] + code + marks[h.end():]
+        return marks
 
     return _PATTERNS[language].sub(blank, text)
 
@@ -117,10 +144,12 @@ def _chain_start(code: str, paren: int, opens: dict[int, int]) -> int:
                 return -1
         elif ch in ")]" and i - 1 in opens:
             start = i = opens[i - 1]
-            if i and (code[i - 1] in _NAME_CHARS or code[i - 1] in ")]"):
+            if i and (code[i - 1] in _NAME_CHARS or code[i - 1] in ")]" + _CLOSE_STRING):
                 continue
         elif ch == _CLOSE_STRING:
             start = code.rindex(_OPEN_STRING, 0, i)
+            prefix = re.search(r"(?<![\w$])[rRbBuUfF]{1,2}\Z", code[max(0, start - 3):start])
+            start -= len(prefix.group()) if prefix else 0
         else:
             break
         before = _skip_back(code, start, _BLANK)
@@ -145,7 +174,7 @@ def _word_before(code: str, i: int) -> str:
 
 def _declares(code: str, start: int, paren: int, close: int, opens: dict[int, int], language: str) -> bool:
     before = _word_before(code, start)
-    if before in DECLARES:
+    if before in (("def", "class") if language == "python" else DECLARES):
         return True
     at = _skip_back(code, start, " \t")
     if language == "go" and at and code[at - 1] == ")" and at - 1 in opens:  # func (recv T) Name(...)
@@ -169,6 +198,7 @@ def find_calls(src: bytes, language: str) -> Iterator[tuple[int, int, int, str,
         return
     code = _blanked(src.decode("latin-1"), language)  # one character per byte
     closes, opens = _brackets(code)
+    keywords = NOT_CALLED_IN.get(language, NOT_CALLED)
     lines = [m.start() for m in re.finditer(b"\n", src)]
     found = []
     for paren, close in closes.items():
@@ -181,7 +211,7 @@ def find_calls(src: bytes, language: str) -> Iterator[tuple[int, int, int, str,
             start += 1  # decorator
         callee = code[start:paren].strip()
         head = re.match(rf"[{_NAME}@]*", callee).group()
-        if head in NOT_CALLED and (head == callee or callee[len(head)] in "( \t"):
+        if head in keywords and (head == callee or callee[len(head)] in "( \t"):
             continue
         if language == "php" and re.search(r"->\s*[\w$]+\Z", callee):
             continue  # a member call is not one of the call node types

@@ -48,14 +48,13 @@ def detect_language(files: DataFrame, languages: list[tuple[str, str]] | None =
     rows = builtin_languages() if languages is None else languages
     if len(rows) > dims.MAX_DICTIONARY_ROWS:
         raise ValueError(f"at most {dims.MAX_DICTIONARY_ROWS} language rows fit in a plan")
-    table = files.sparkSession.createDataFrame(rows, "pattern string, language string")
-    by_name, by_ext = table.filter("pattern NOT LIKE '.%'"), table.filter("pattern LIKE '.%'")
-    return (files.withColumn("_ext", F.lower(extension(F.col("name"))))
-            .join(F.broadcast(by_name.select(F.col("pattern").alias("name"), F.col("language").alias("_n"))),
-                  "name", "left")
-            .join(F.broadcast(by_ext.select(F.col("pattern").alias("_ext"), F.col("language").alias("_e"))),
-                  "_ext", "left")
-            .select(*files.columns, F.coalesce("_n", "_e").alias("language")))
+
+    def found(key: Column, pairs: list[tuple[str, str]]) -> Column:
+        return F.element_at(dims.literal_map(pairs), key) if pairs else F.lit(None).cast("string")
+
+    by_name = found(F.col("name"), [r for r in rows if not r[0].startswith(".")])
+    by_extension = found(F.lower(extension(F.col("name"))), [r for r in rows if r[0].startswith(".")])
+    return files.withColumn("language", F.coalesce(by_name, by_extension))
 
 
 def route_infra(files: DataFrame) -> DataFrame:

@@ -91,15 +91,15 @@ def list_tree(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Every file below the roots, pruned directories left out: ``root_idx, base, rel, segments, path,
     name, length, readable``. ``segments`` sorts files in walk order."""
     frontier = spark.createDataFrame([_root_row(i, r) for i, r in enumerate(roots)], ENTRY)
-    slots = spark.sparkContext.defaultParallelism
-    levels = []
-    while True:
-        level = cut(frontier.repartition(4 * slots if levels else slots, "path")
-                    .mapInPandas(_list_level, ENTRY))
+    most = 4 * spark.sparkContext.defaultParallelism
+    waiting, levels = len(roots), []
+    while waiting:
+        level = cut(frontier.repartition(min(waiting, most), "path").mapInPandas(_list_level, ENTRY))
         levels.append(level.filter("NOT is_dir"))
         frontier = level.filter("is_dir").filter(~is_pruned_dir(F.col("name")))
-        if frontier.isEmpty():
-            break
+        waiting = frontier.count()
+    if not levels:
+        raise ValueError("no roots given")
     files = reduce(DataFrame.unionByName, levels)
     return files.select("root_idx", "base", F.array_join("segments", "/").alias("rel"), "segments", "path",
                         "name", "length", "readable")
