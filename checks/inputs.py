@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens.dims import quoted
 from flowlens.model import Graph
-from flowlens.session import spread
+from flowlens.session import cut, spread
 
 # callee, url
 VOCABULARY = [
@@ -119,7 +119,8 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     infra = infra_files(spark, sf_dir).select(
         "root_idx", F.lit("events").alias("base"), F.concat(F.lit("infra/"), "walk_key", F.lit(".tf")).alias("rel"),
         F.col("src").cast("binary").alias("content"))
-    files = code.unionByName(infra)
+    # a stored table, as a corpus would be: filters on its names must not run once per event
+    files = cut(code.unionByName(infra))
     return files.select(
         "*", F.split("rel", "/").alias("segments"), F.element_at(F.split("rel", "/"), -1).alias("name"),
         F.concat(F.lit("events/"), "rel").alias("path"), F.length("content").cast("bigint").alias("length"))
