@@ -23,9 +23,8 @@ from flowlens.sources import infra as infra_source
 from flowlens.sources.tree import list_tree, routed_files
 
 from . import inputs
-from .sql_parts import (CALL_CATS, CALLS, CATEGORY, COMMS, GRAPH, IDS, INFRA, KEPT, KEY_GRAPH, KIND, PATHS,
-                        PLACEHOLDER, RANK, RULES, SPLIT, STORE_WORD, TARGETS, VENDOR, ask, classified, lit, tokens_of,
-                        values, words)
+from .sql_parts import (CALL_CATS, CALLS, CATEGORY, COMMS, DICTIONARY, GRAPH, IDS, INFRA, KEPT, KEY_GRAPH, KIND, PATHS,
+                        PLACEHOLDER, RANK, RULES, SPLIT, TARGETS, VENDOR, ask, classified, tokens_of, values)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -604,8 +603,7 @@ def _pairs(s, sf):
         F.expr("if(event_id % 3 = 0, concat('_', event_type), '')")).alias("id")).distinct()
 
 
-@query("win3_neighbour_tokens", ask(_PAIRS, "dict AS (SELECT * FROM (VALUES " + ", ".join(
-    "(" + ", ".join(lit(v) for v in r) + ")" for r in dims.builtin_pii_tokens()) + ") d(token, cat, label, sens))",
+@query("win3_neighbour_tokens", ask(_PAIRS, DICTIONARY,
     classified("ids"), "SELECT id, cat AS category FROM cls"))
 def _(s, sf):
     return _pairs(s, sf).select("id", idf.classify_identifier(F.col("id")).alias("category"))
@@ -636,10 +634,8 @@ def _(s, sf):
     return merge.finalize(graph(s, sf)).nodes
 
 
-@query("srt2_sorted_union", _MERGED_SQL.replace(", via, evidence FROM merged LEFT", " FROM merged LEFT")
-       if ", via, evidence FROM merged LEFT" in _MERGED_SQL else
-       ask(_RAW_FLOWS, _MERGED_FLOWS, """SELECT f AS "from", t AS "to", coalesce(categories, '') AS categories
-  FROM merged LEFT JOIN merged_cats USING (f, t)"""))
+@query("srt2_sorted_union", ask(_RAW_FLOWS, _MERGED_FLOWS, """SELECT f AS "from", t AS "to",
+  coalesce(categories, '') AS categories FROM merged LEFT JOIN merged_cats USING (f, t)"""))
 def _(s, sf):
     return flat(merge.merge_flows(_raw_flows(s, sf))).select("from", "to", "categories")
 
@@ -733,8 +729,7 @@ def _(s, sf):
     return _doc_ids(s, sf).select("id", F.array_join(idf.identifier_tokens(F.col("id")), " ").alias("tokens"))
 
 
-@query("scl7_classify_identifier", ask(CALLS, _DOC_IDS, "dict AS (SELECT * FROM (VALUES " + ", ".join(
-    "(" + ", ".join(lit(v) for v in r) + ")" for r in dims.builtin_pii_tokens()) + ") d(token, cat, label, sens))",
+@query("scl7_classify_identifier", ask(CALLS, _DOC_IDS, DICTIONARY,
     classified("ids"), "SELECT id, cat AS category FROM cls"))
 def _(s, sf):
     return _doc_ids(s, sf).select("id", idf.classify_identifier(F.col("id")).alias("category"))
@@ -750,8 +745,7 @@ def _(s, sf):
 @query("scl8_categories_in_documents", ask("""texts AS (SELECT doc_id, text FROM documents),
 ids AS (SELECT doc_id, unnest(l) AS id, generate_subscripts(l, 1) AS pos FROM (
   SELECT doc_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*') AS l FROM texts))""",
-    "dict AS (SELECT * FROM (VALUES " + ", ".join(
-        "(" + ", ".join(lit(v) for v in r) + ")" for r in dims.builtin_pii_tokens()) + ") d(token, cat, label, sens))",
+    DICTIONARY,
     classified("ids"), """doc_cats AS (SELECT doc_id, cat, min(pos) AS pos FROM ids JOIN cls USING (id)
   WHERE cat IS NOT NULL GROUP BY doc_id, cat)""",
     """SELECT d.doc_id, coalesce(string_agg(cat, ',' ORDER BY pos), '') AS categories
@@ -779,10 +773,6 @@ def _(s, sf):
   FROM kflows"""))
 def _(s, sf):
     g = inputs.key_graph(s, sf)
-    return sensitivity_labels_without_geo(g)
-
-
-def sensitivity_labels_without_geo(g: Graph) -> DataFrame:
     return details.edge_labels(g.flows, g.categories.filter("id <> 'geo'"))
 
 

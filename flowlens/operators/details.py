@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import node_subtitle, non_blank
 from ..model import Graph
 from .sensitivity import category_rows, dominant_sensitivity, flow_categories, lookup
-from .skew import lookup_join
+from .skew import is_small, lookup_join
 
 
 def adjacency(nodes: DataFrame, flows: DataFrame) -> DataFrame:
@@ -76,8 +76,9 @@ def flow_details(graph: Graph) -> DataFrame:
     unknown), via and evidence."""
     names = graph.nodes.select("id", non_blank(F.col("label")).alias("name"))
     rows = with_labels(graph.flows, graph.categories, True).select("from", "to", "labels", "via", "evidence")
+    small = is_small(graph.nodes)
     for end in ("from", "to"):
-        rows = lookup_join(rows, names.select(F.col("id").alias(end), F.col("name").alias(f"_{end}")), end)
+        rows = lookup_join(rows, names.select(F.col("id").alias(end), F.col("name").alias(f"_{end}")), end, small=small)
     return rows.select(
         "from", "to", F.coalesce("_from", "from").alias("from_label"), F.coalesce("_to", "to").alias("to_label"),
         "labels", "via", "evidence")

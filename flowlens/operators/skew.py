@@ -39,12 +39,12 @@ def hot_keys(df: DataFrame, key: str, rows: int | None = None) -> dict:
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, key: str, how: str = "left",
-                hot_rows: int | None = None) -> DataFrame:
+                hot_rows: int | None = None, small: bool | None = None) -> DataFrame:
     """Join ``df`` to ``lookup`` (one row per ``key``) whatever the skew of ``df``; ``how`` is
     ``left``, ``inner``, ``left_semi`` or ``left_anti``. Columns of ``df`` come first. A given
-    ``hot_rows`` takes the way of a large lookup side."""
+    ``hot_rows`` takes the way of a large lookup side; ``small`` tells what was counted before."""
     hot: dict = {}
-    if hot_rows is None and is_small(lookup):
+    if hot_rows is None and (is_small(lookup) if small is None else small):
         lookup = F.broadcast(lookup)
     else:
         hot = hot_keys(df, key, hot_rows)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..model import Graph
 from ..session import cut
 from .merge import endpoints
-from .skew import broadcast_if_small, lookup_join
+from .skew import broadcast_if_small, is_small, lookup_join
 
 
 class CyclicGraphError(ValueError):
@@ -100,7 +100,7 @@ def focus(graph: Graph, node_id: str) -> Graph:
     """The part of a graph in the lineage of one node: its nodes, and the flows with both ends in it."""
     start = graph.spark.createDataFrame([(node_id,)], "id string")
     members = cut(lineage(graph.flows, start).select("id"))
-    inside = graph.flows
+    inside, small = graph.flows, is_small(members)
     for end in ("from", "to"):
-        inside = lookup_join(inside, members.withColumnRenamed("id", end), end, "left_semi")
+        inside = lookup_join(inside, members.withColumnRenamed("id", end), end, "left_semi", small=small)
     return Graph(graph.categories, graph.nodes.join(members, "id", "left_semi"), inside)
