@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +56,24 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     slots = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once per application, so that functions run there
+    find their module whether or not it is installed on the executors."""
+    sc = spark.sparkContext
+    here = os.path.dirname(os.path.abspath(__file__))
+    if sc.applicationId in _shipped or not os.path.isdir(here):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="flowlens-package-"), "flowlens.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join(os.path.basename(here), os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)

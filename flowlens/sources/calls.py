@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import CALL_SCHEMA
+from ..session import ship_package
 
 # ---- fixed values -------------------------------------------------------------
 WITHOUT_CALLS = {"html", "css", "scss", "yaml", "toml", "xml", "hcl", "markdown", "proto", "graphql", "bash",
@@ -248,5 +249,6 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def extract_calls(files: DataFrame) -> DataFrame:
     """The ``calls`` table of code files ``(root_idx, base, rel, content, language)``."""
+    ship_package(files.sparkSession)
     return (files.filter(F.col("language").isNotNull()).select("root_idx", "base", "rel", "content", "language")
             .mapInPandas(_extract, CALL_SCHEMA))

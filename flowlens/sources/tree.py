@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, ship_package
 from .files import detect_language, filter_names, filter_size, is_pruned_dir, route_infra
 
 ENTRY = ("root_idx int, base string, path string, segments array<string>, name string, length bigint, "
@@ -90,6 +90,7 @@ def _root_row(index: int, root: str) -> tuple:
 def list_tree(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Every file below the roots, pruned directories left out: ``root_idx, base, rel, segments, path,
     name, length, readable``. ``segments`` sorts files in walk order."""
+    ship_package(spark)
     frontier = spark.createDataFrame([_root_row(i, r) for i, r in enumerate(roots)], ENTRY)
     most = 4 * spark.sparkContext.defaultParallelism
     waiting, levels = len(roots), []
@@ -139,6 +140,7 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_content(files: DataFrame) -> DataFrame:
     """Add ``content``; files that cannot be read are dropped. Tasks get about 64 MiB each, more once
     that would take over 100,000 tasks; contents pass through a task 16 MiB at a time."""
+    ship_package(files.sparkSession)
     total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     tasks = max(files.sparkSession.sparkContext.defaultParallelism,
                 min(-(-int(total) // _BYTES_PER_TASK), _MOST_TASKS))
