@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,28 +25,25 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
     )
 
 
-def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Make sure ``checkpoint()`` has a directory.
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share: ``spark.checkpoint.dir`` as the cluster names it, else a
+    folder below the warehouse, which they share as well. Everything of one application lies below one
+    folder, so that it can be removed when the application is over."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    base = named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
-    The cluster names a shared one in ``spark.checkpoint.dir``. Only a local-mode session, where
-    driver and executors are one process, falls back to a temporary directory.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="flowlens-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+
+def new_folder(spark: SparkSession) -> str:
+    """The path of a shared folder that nothing else uses. It is not made yet."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write a DataFrame to the checkpoint directory and go on from the stored copy."""
-    use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a DataFrame as Parquet to the shared folder and go on from the stored table. Runs a job."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(scan: DataFrame) -> DataFrame:
