@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing
+from . import language_id, licenses, packing, secret_scan
 from .common import bucket, table
 
 
@@ -17,10 +17,23 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    base = F.filter("spans", lambda s: s["kind_order"] < len(secret_scan.BASE))
+    counts = [F.size(F.filter("spans", lambda s, k=i: s["kind_order"] == k)).cast("long").alias(f"n_{rule[0]}")
+              for i, rule in enumerate(secret_scan.BASE)]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.as_text(base), 256).alias("base_sha256"),
+                        secret_scan.as_text(F.col("spans")).alias("spans"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.detect(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"),
                         public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op6_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_secret_scan, op5_license_scan, op6_packing)}
 SQL: dict[str, str] = {}
