@@ -54,6 +54,10 @@ def _place(run: Column) -> Column:
     return run.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")
 
 
+def _with_size(n: int):
+    return lambda run: F.struct(F.lit(n).alias("n"), run.alias("run"))
+
+
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(item_id, n, window, run, at)``: each window's size and words, the hash it keeps and that run's place in it."""
     w = items.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
@@ -73,12 +77,10 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     marks = kept.select("n", "run", "at").distinct()
     if not sizes:
         return docs.select("doc_id", "version", F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("window")).limit(0)
-    runs = docs.select("doc_id", "version", words(F.col("text")).alias("w")).select("doc_id", "version", F.explode(F.flatten(F.array(
-        *[F.transform(_kept_runs("w", n), lambda r, n=n: F.struct(F.lit(n).alias("n"), r.alias("r"))) for n in sizes]))).alias("x")) \
-        if len(sizes) > 1 else docs.select("doc_id", "version", words(F.col("text")).alias("w")).select(
-            "doc_id", "version", F.explode(_kept_runs("w", sizes[0])).alias("r")).select(
-            "doc_id", "version", F.struct(F.lit(sizes[0]).alias("n"), "r").alias("x"))
-    runs = runs.select("doc_id", "version", "x.n", _hash(F.col("x.r")).alias("run"), _place(F.col("x.r")).alias("place"))
+    w = docs.select("doc_id", "version", words(F.col("text")).alias("w"))
+    tagged = [F.transform(_kept_runs("w", n), _with_size(n)) for n in sizes]
+    runs = w.select("doc_id", "version", F.explode(F.flatten(F.array(*tagged)) if len(sizes) > 1 else tagged[0]).alias("x"))
+    runs = runs.select("doc_id", "version", "x.n", _hash(F.col("x.run")).alias("run"), _place(F.col("x.run")).alias("place"))
     starts = (runs.join(marks, ["n", "run"]).select("doc_id", "version", "n", (F.col("place") - F.col("at")).alias("start"))
               .filter("start >= 0").groupBy("doc_id", "version").agg(F.collect_set(F.struct("n", "start")).alias("starts")))
     starts = cut(starts)

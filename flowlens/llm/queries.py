@@ -20,7 +20,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     base = F.filter("spans", lambda s: s["kind_order"] < len(secret_scan.BASE))
-    counts = [F.size(F.filter("spans", lambda s, k=i: s["kind_order"] == k)).cast("long").alias(f"n_{rule[0]}")
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind_order = {i})) AS bigint)").alias(f"n_{rule[0]}")
               for i, rule in enumerate(secret_scan.BASE)]
     return found.select("doc_id", *counts, F.sha2(secret_scan.as_text(base), 256).alias("base_sha256"),
                         secret_scan.as_text(F.col("spans")).alias("spans"))
