@@ -7,8 +7,8 @@ what is left, both as shares of the limits, among those that fit whole; the wind
 length, so equal demands are looked at once. When nothing fits whole, the longest one is cut to fill the
 rest. What is left at a task's end is written as sequences whose lengths are powers of two, which need no padding.
 
-Tokenising is per run of non-blank characters, remembered per worker: the tokenizer drops white
-space and no token crosses it. Ids, lengths and pieces come from whole texts. A task holds a window of
+Tokenising is per word, remembered per worker: the tokenizer drops white space and no token crosses the
+end of a word. Ids, lengths and pieces come from whole texts. A task holds a window of
 ``WINDOW`` ids and one document's ids at a time.
 
 Defined results: null text is empty; every document ends with the end id, so has a piece; equal rows
@@ -21,6 +21,7 @@ import bisect
 import os
 import re
 import zlib
+from array import array
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
@@ -39,12 +40,9 @@ MAX_SEGMENTS = 1024
 MAX_LOSS = 4095
 #: Ids that wait in a task's window before sequences are filled from it.
 WINDOW = 64 * MAX_TOKENS
-#: Runs of characters whose ids a worker remembers; longer ones than RUN are not remembered.
-MEMO, RUN = 400_000, 48
+#: Words whose ids a worker remembers; when they are more it starts anew.
+MEMO = 500_000
 BLANKS = re.compile("[ \n\t\r]+")
-#: A text's runs that are handled at a time.
-RUNS = 200_000
-
 _tokenizers: dict = {}
 
 
@@ -56,28 +54,51 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
-def _ids(tokenizer, runs: list[str]) -> list[bytes]:
-    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+#: Text of ASCII and common Latin letters, without added tokens: lower case and classes of characters make its words.
+PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
+# Fixed value: the vocabulary's word pattern, over those characters.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+
+
+def _byte_characters() -> list[str]:
+    """The characters that byte-level vocabularies use for bytes: printable ones are themselves, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
+_BYTES = _byte_characters()
+
+
+def _is_plain(text: str) -> bool:
+    return "<|" not in text and PLAIN.fullmatch(text) is not None
+
+
+def _words(text: str, tokenizer, memo: dict[str, bytes]) -> list[bytes]:
+    """The ids of a plain text's words, in order."""
+    words = WORDS.findall(text.lower())
+    new = set(words).difference(memo)
+    for w in new:
+        mapped = w if w.isascii() else "".join(_BYTES[b] for b in w.encode())
+        memo[w] = array("I", [t.id for t in tokenizer.model.tokenize(mapped)]).tobytes()
+    return list(map(memo.__getitem__, words))
 
 
 def encode(texts: list[str], path: str) -> Iterator[np.ndarray]:
-    """The ids of each text and the end id."""
+    """The ids of each text and the end id. Words of plain texts go to the vocabulary's model once per worker; of other
+    texts the runs between blanks are taken apart, and those that are not plain go to the whole tokenizer."""
     tokenizer, memo = _tokenizer(path)
     end = np.array([END], "<u4").tobytes()
     for text in texts:
-        parts = []
-        runs = BLANKS.split(text)
-        for a in range(0, len(runs), RUNS):
-            some = runs[a:a + RUNS]
-            found = list(map(memo.get, some))
-            if None in found:
-                new = list({r for r, x in zip(some, found) if x is None})
-                if len(memo) + len(new) > MEMO:
-                    memo.clear()
-                own = dict(zip(new, _ids(tokenizer, new)))
-                memo.update((r, x) for r, x in own.items() if len(r) <= RUN)
-                found = [own[r] if x is None else x for r, x in zip(some, found)]
-            parts.append(b"".join(found))
+        if len(memo) > MEMO:
+            memo.clear()
+        if _is_plain(text):
+            parts = _words(text, tokenizer, memo)
+        else:
+            parts = []
+            for run in BLANKS.split(text):
+                parts += _words(run, tokenizer, memo) if _is_plain(run) else [
+                    np.array(tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()]
         yield np.frombuffer(b"".join(parts) + end, "<u4")
 
 
