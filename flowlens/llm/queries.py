@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, packing, quality, secret_scan
+from . import decontaminate, language_id, licenses, packing, quality, secret_scan, simhash
 from .common import bucket, table
 
 
@@ -35,6 +35,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
@@ -47,6 +52,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_secret_scan, op5_license_scan, op6_packing, op9_quality,
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_secret_scan, op5_license_scan, op6_packing, op8_simhash, op9_quality,
                                   op10_decontamination)}
 SQL: dict[str, str] = {}

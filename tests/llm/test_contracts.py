@@ -158,3 +158,66 @@ def test_windows_keep_the_run_that_documents_keep(spark):
     items = spark.createDataFrame([(1, "c a b c a b c a b c"), (2, "b c d e")], "item_id long, text string")
     places = {(r.n, r.start) for r in decontaminate.hits(docs, items).collect()}
     assert places == {(10, 2), (4, 10)}
+
+
+def plain_fingerprint(text):
+    import xxhash
+    words = [w for w in re.split("[\x20\x09-\x0D]+", (text or "").translate(LOWER)) if w]
+    shingles = [" ".join(words[i:i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(prints):
+    """Smallest reachable id of each id, by spreading labels until nothing changes."""
+    label = dict.fromkeys(prints, None) | {k: k for k in prints}
+    changed = True
+    while changed:
+        changed = False
+        for a in prints:
+            low = min(label[b] for b in prints if (prints[a] ^ prints[b]).bit_count() <= 4)
+            if low < label[a]:
+                label[a], changed = low, True
+    return label
+
+
+def test_op8(spark, tables):
+    docs = documents(spark, tables)
+    prints = {k: plain_fingerprint(t) for k, t in docs if k is not None}
+    label = plain_components(prints)
+    rows = QUERIES["op8_simhash"](spark, tables).collect()
+    same([(r.doc_id, r.fingerprint, r.component_id) for r in rows if r.doc_id is not None],
+         [(k, f"{prints[k]:016x}", label[k]) for k in prints])
+    assert len(rows) == len(docs)
+
+
+def test_anchors_cover_every_close_pair():
+    from flowlens.llm import simhash
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    y = x.copy()
+    for k in range(len(y)):
+        for bit in rng.choice(64, size=int(rng.integers(0, 5)), replace=False):
+            y[k] ^= np.uint64(1) << np.uint64(bit)
+    ax, ox = simhash.anchors(x)
+    ay, oy = simhash.anchors(y)
+    for k in range(len(x)):
+        assert set(ax[ox == k].tolist()) & set(ay[oy == k].tolist())
+    assert len(ax) == len(set(zip(ax.tolist(), ox.tolist())))
+
+
+def test_crowded_anchor_equals_all_pairs():
+    from flowlens.llm import simhash
+    rng = np.random.default_rng(6)
+    fps = np.unique(rng.integers(0, 1 << 12, 900).astype(np.uint64) << np.uint64(20))
+    got = {tuple(sorted(p)) for i, j in simhash.close_pairs(fps, 4) for p in zip(i.tolist(), j.tolist())}
+    i, j = np.triu_indices(len(fps), 1)
+    near = np.bitwise_count(fps[i] ^ fps[j]) <= 4
+    assert len(fps) > simhash.CROWD and got == set(zip(i[near].tolist(), j[near].tolist()))
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    from flowlens.llm.links import components
+    edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(200, 200), (7, 3), (300, -5)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {k: 100 for k in range(100, 130)} | {300: -5, -5: -5}
