@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, packing, quality, secret_scan, simhash
+from . import decontaminate, language_id, licenses, line_dedup, packing, quality, secret_scan, simhash
 from .common import bucket, table
 
 
@@ -17,6 +17,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.matches(table(spark, sf_dir, "documents"))
+    return found.select(*[F.when(F.col(c) != line_dedup.LAST, F.col(c)).alias(n) for c, n in (("doc", "doc_id"), ("match_doc", "match_doc"))],
+                        "version", "line", "n", "removed", "match_line")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     base = F.filter("spans", lambda s: s["kind_order"] < len(secret_scan.BASE))
@@ -52,6 +58,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_secret_scan, op5_license_scan, op6_packing, op8_simhash, op9_quality,
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op4_secret_scan, op5_license_scan, op6_packing, op8_simhash, op9_quality,
                                   op10_decontamination)}
 SQL: dict[str, str] = {}

@@ -221,3 +221,39 @@ def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(200, 200), (7, 3), (300, -5)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {k: 100 for k in range(100, 130)} | {300: -5, -5: -5}
+
+
+def test_op2(spark, tables):
+    docs = {(i, t) for i, t in documents(spark, tables)}
+    rows = []
+    for doc_id, text in docs:
+        for k, line in enumerate((text or "").split("\n")):
+            words = frozenset(w for w in re.split("[\x20\x09-\x0D]+", line.translate(LOWER)) if w)
+            if words:
+                rows.append((float("inf") if doc_id is None else doc_id, k, doc_id, words))
+    rows.sort(key=lambda r: r[:2])
+    expected = []
+    for j, (_, line, doc_id, words) in enumerate(rows):
+        match = next((r for r in rows[:j] if 10 * len(words & r[3]) >= 8 * len(words | r[3])), None)
+        expected.append((doc_id, line, len(words), match is not None, match[2] if match else None, match[1] if match else None))
+    got = QUERIES["op2_line_dedup"](spark, tables).collect()
+    same([(r.doc_id, r.line, r.n, r.removed, r.match_doc, r.match_line) for r in got], expected)
+    assert any(e[3] for e in expected)
+
+
+def test_line_variants(spark):
+    """Many variants of one line, among them pairs just at the threshold and chains whose first proposal fails."""
+    from flowlens.llm import line_dedup
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = []
+    for k in range(400):
+        words = list(rng.choice(vocabulary[:14] if k % 3 else vocabulary, size=int(rng.integers(1, 14)), replace=False))
+        texts.append((k, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sets = [frozenset(t.split()) for _, t in texts]
+    expected = {k for k in range(400) if any(10 * len(sets[k] & sets[j]) >= 8 * len(sets[k] | sets[j]) for j in range(k))}
+    got = {r.doc for r in line_dedup.matches(docs).collect() if r.removed}
+    assert got == expected and 20 < len(expected) < 380
+    left = {r.doc_id for r in line_dedup.remove_lines(docs.withColumn("_extra", F.lit(1))).collect()}
+    assert left == set(range(400)) - expected
