@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, line_dedup, packing, quality, secret_scan, simhash
+from . import decontaminate, language_id, licenses, line_dedup, packing, quality, secret_scan, simhash, toxicity, warc
 from .common import bucket, table
 
 
@@ -23,6 +23,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "version", "line", "n", "removed", "match_line")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     base = F.filter("spans", lambda s: s["kind_order"] < len(secret_scan.BASE))
@@ -41,6 +45,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(bucket(F.col("doc_id"), 5) == 0, F.lit(False))
+    grammar = toxicity.train(toxicity.labelled(docs.filter(~held_out), labels.select("doc_id", "toxic")))
+    return toxicity.judge(docs.select("doc_id", "text", held_out.alias("held_out")), grammar).drop("text")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -58,6 +69,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op4_secret_scan, op5_license_scan, op6_packing, op8_simhash, op9_quality,
-                                  op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_warc, op4_secret_scan, op5_license_scan, op6_packing,
+                                  op7_toxicity, op8_simhash, op9_quality, op10_decontamination)}
 SQL: dict[str, str] = {}

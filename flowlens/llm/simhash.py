@@ -267,17 +267,40 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return spread.sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without its text: ``(doc_id, fp, component_id)``, the component's smallest doc_id."""
-    prints = cut(with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")), "_t", shingle).drop("_t"))
-    smallest = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))  # one row per fingerprint, so copies collapse
-    smallest = cut(smallest)
-    joined = components(links(smallest.select("fp"), max_bits))
-    member = smallest.join(joined.withColumnRenamed("id", "fp"), "fp", "left").select(
-        "fp", "low", F.coalesce("component", "fp").alias("component"))
-    of_component = member.groupBy("component").agg(F.min("low").alias("component_id"))
+def prints_of(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``(doc_id, version, fp)`` of ``docs(doc_id, text)``, stored. ``version`` tells apart texts under one id."""
+    named = with_fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("version")), "text", shingle)
+    return cut(named.select("doc_id", "version", "fp"))
+
+
+def print_components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``(fp, component)`` for every distinct fingerprint: a fingerprint that names its component."""
+    distinct = cut(prints.select("fp").distinct())  # copies collapse here
+    joined = components(links(distinct, max_bits))
+    return distinct.join(joined.withColumnRenamed("id", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
+    """``(doc_id, version, fp, component_id)`` for every row of ``docs(doc_id, text)``: its component's smallest doc_id."""
+    prints = prints_of(docs, shingle)
+    member = cut(print_components(prints, max_bits))
+    low = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))  # one row per fingerprint
+    of_component = member.join(low, "fp").groupBy("component").agg(F.min("low").alias("component_id"))
     named = cut(member.join(of_component, "component").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
+    return prints.join(named, "fp").select("doc_id", "version", "fp", own)
+
+
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one document of each component, that with the smallest id (a null one is largest). Repeated rows count once."""
+    prints = prints_of(docs.select("doc_id", "text"), shingle)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")
+    per_print = prints.groupBy("fp").agg(F.min(order).alias("k"))  # combines before the shuffle
+    kept = per_print.join(print_components(prints, max_bits), "fp").groupBy("component").agg(F.min("k").alias("k"))
+    kept = cut(kept.select(F.col("k.doc_id").alias("_id"), F.col("k.version").alias("_version")))
+    chosen = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_version")), "left_semi")
+    repeated = prints.groupBy("doc_id", "version").count().filter("count > 1")
+    return chosen if repeated.isEmpty() else chosen.dropDuplicates(["doc_id", "text"])
 
 
 def as_hex(fp: Column) -> Column:

@@ -257,3 +257,69 @@ def test_line_variants(spark):
     assert got == expected and 20 < len(expected) < 380
     left = {r.doc_id for r in line_dedup.remove_lines(docs.withColumn("_extra", F.lit(1))).collect()}
     assert left == set(range(400)) - expected
+
+
+def test_op3(spark, tables):
+    import base64
+    pages = [(r.page_id, (r.html or "").encode()) for r in spark.read.parquet(f"{tables}/pages.parquet").collect()]
+    low = {}
+    for k, payload in sorted(pages):
+        low.setdefault(payload, k)
+    expected = [(k, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "response" if low[p] == k else "revisit",
+                 None if low[p] == k else low[p]) for k, p in pages]
+    rows = QUERIES["op3_warc"](spark, tables).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    same(rows, expected)
+
+
+def test_warc_selected_records_and_payloads(spark, tables, tmp_path):
+    from flowlens.llm import warc
+    pages = spark.read.parquet(f"{tables}/pages.parquet")
+    index = warc.write(pages, str(tmp_path / "w"))
+    chosen = index.filter("page_id % 2 = 0 AND record_type = 'response'")
+    payloads = {r.page_id: r.html or "" for r in pages.collect()}
+    got = {r.page_id: bytes(r.payload).decode() for r in warc.read(chosen, str(tmp_path / "w")).collect()}
+    assert got == {r.page_id: payloads[r.page_id] for r in chosen.collect()}
+    import gzip
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w/archives").iterdir())
+    assert data.startswith(b"WARC/1.1\r\n")
+
+
+def test_ranges_are_read_together_only_when_close():
+    from flowlens.llm import warc
+    ranges = [(0, 10), (10, 5), (warc.NEAR, 5), (10 * warc.NEAR, 7), (10 * warc.NEAR + 7, warc.MOST_BYTES), (10 * warc.NEAR + 7 + warc.MOST_BYTES, 1)]
+    groups = list(warc.coalesced(ranges))
+    assert [x for g in groups for x in g] == ranges
+    assert [len(g) for g in groups] == [3, 1, 1, 1]
+
+
+def test_op7(spark, tables):
+    docs = documents(spark, tables)
+    rows = QUERIES["op7_toxicity"](spark, tables).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_grammar_reads_clauses():
+    from flowlens.llm.toxicity import Grammar
+    g = Grammar()
+    aimed, plain = g.evidence("you are an idiot"), g.evidence("an idiot")
+    assert aimed > plain > g.evidence("she is not an idiot, really") > 0
+    assert plain > g.evidence('she said "idiot" once') > 0
+    assert g.evidence("I will kill you") > 0 == g.evidence("to kill time we read")
+    assert g.evidence(None) == g.evidence("") == g.evidence("a fine day") == 0
+    assert g.score("you idiot. you moron, you scum") > 0.5 > g.score("")
+
+
+def test_held_out_accuracy(spark):
+    """On supplied tables: languages and toxic documents that were not trained on."""
+    from pyspark.sql import functions as F
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
+    r = QUERIES["op1_language_id"](spark, folder).join(docs, "doc_id").filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
+    assert r[0] > 0.97
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    c = {(x.toxic, x.predicted): x["count"] for x in QUERIES["op7_toxicity"](spark, folder).join(labels, "doc_id").filter("held_out")
+         .groupBy("toxic", "predicted").count().collect()}
+    assert c.get((1, 1), 0) >= 0.6 * (c.get((1, 0), 0) + c.get((1, 1), 0)) and c.get((0, 1), 0) <= 0.05 * (c[(0, 0)] + c.get((0, 1), 0))
