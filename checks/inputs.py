@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens.dims import quoted
 from flowlens.model import Graph
-from flowlens.session import cut, spread
+from flowlens.session import cut
 
 # callee, url
 VOCABULARY = [
@@ -33,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """All cores on a supplied table: each is one file with one row group, so one task would read it."""
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism)
+
+
 def _pick(words: list[str], index: str):
     """words[index] without a join."""
     listed = ", ".join(quoted(w) for w in words)
@@ -56,11 +61,11 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def infra_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One small infrastructure file per tenth part."""
-    p = table(spark, sf_dir, "part").filter("p_partkey % 10 = 0")
+    """One small infrastructure file per part."""
+    p = table(spark, sf_dir, "part")
     return p.select(
         F.lit(0).alias("root_idx"), F.expr("lpad(cast(p_partkey AS string), 9, '0')").alias("walk_key"),
-        F.concat(F.lit('resource "'), _pick(INFRA_WORDS, "(p_partkey div 10) % 20"),
+        F.concat(F.lit('resource "'), _pick(INFRA_WORDS, "p_partkey % 20"),
                  F.lit('" "main" {}')).alias("src"))
 
 
@@ -127,8 +132,9 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The script of each page as a source file."""
-    body = F.regexp_extract("html", "(?s)<script>(.*?)</script>", 1)
-    return table(spark, sf_dir, "pages").select(
-        F.lit(0).alias("root_idx"), F.lit("pages").alias("base"), F.concat(F.lit("p"), "page_id", F.lit(".js")).alias("rel"),
-        body.cast("binary").alias("content"), F.lit("javascript").alias("language"))
+    """Every script of each page as a source file."""
+    bodies = F.regexp_extract_all("html", F.lit("(?s)<script>(.*?)</script>"), F.lit(1))
+    each = table(spark, sf_dir, "pages").select("page_id", F.posexplode(bodies).alias("i", "body"))
+    return each.select(
+        F.lit(0).alias("root_idx"), F.lit("pages").alias("base"), F.concat(F.lit("p"), "page_id", F.lit("."), "i", F.lit(".js")).alias("rel"),
+        F.col("body").cast("binary").alias("content"), F.lit("javascript").alias("language"))

@@ -15,12 +15,11 @@ from flowlens.model import Graph
 from flowlens.operators import details, merge, sensitivity, traversal, weights
 from flowlens.plans import scan as scans
 from flowlens.plans import views
-from flowlens.session import spread
 from flowlens.sinks import graph_json
 from flowlens.sources import calls as call_source
 from flowlens.sources import files as file_ops
 from flowlens.sources import infra as infra_source
-from flowlens.sources.tree import list_tree, routed_files
+from flowlens.sources.tree import routed_files
 
 from . import inputs
 from .sql_parts import (CALL_CATS, CALLS, CATEGORY, COMMS, DICTIONARY, GRAPH, IDS, INFRA, KEPT, KEY_GRAPH, KIND, PATHS,
@@ -51,11 +50,6 @@ def flat(df: DataFrame, *arrays: str) -> DataFrame:
 
 # ---- sources ------------------------------------------------------------------
 
-@query("src1_read_corpus")
-def _(s, sf):
-    return list_tree(s, [sf]).select("base", "rel", "length")
-
-
 @query("src2_multi_root", ask(PATHS, """SELECT base, count(*) AS files, sum(length)::BIGINT AS bytes FROM (
   SELECT 'docs' AS base, length FROM named
   UNION ALL SELECT 'pages', octet_length(encode(html)) FROM pages
@@ -113,8 +107,9 @@ def _(s, sf):
 
 # ---- calls --------------------------------------------------------------------
 
-_SCRIPTS = """scripts AS (SELECT 'p' || page_id || '.js' AS rel, regexp_extract(html, '(?s)<script>(.*?)</script>', 1) AS js
-  FROM pages),
+_SCRIPTS = """scripts AS (SELECT 'p' || page_id || '.' || (i - 1) || '.js' AS rel, js FROM (
+  SELECT page_id, unnest(l) AS js, generate_subscripts(l, 1) AS i FROM (
+    SELECT page_id, regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1) AS l FROM pages))),
 cut AS (SELECT *, regexp_extract(js, 'track\\([^)]*\\)', 0) AS call FROM scripts)"""
 
 
@@ -231,7 +226,7 @@ def _(s, sf):
   WHERE regexp_matches(text, '{PLACEHOLDER}')
   UNION ALL SELECT 'page', page_id FROM pages WHERE regexp_matches(url, '{PLACEHOLDER}')""")
 def _(s, sf):
-    docs = spread(inputs.table(s, sf, "documents").select("doc_id", "text")).filter(tgt.is_placeholder(F.col("text")))
+    docs = inputs.spread(inputs.table(s, sf, "documents").select("doc_id", "text")).filter(tgt.is_placeholder(F.col("text")))
     pages = inputs.table(s, sf, "pages").filter(tgt.is_placeholder(F.col("url")))
     return (docs.select(F.lit("document").alias("source"), F.col("doc_id").alias("id"))
             .unionByName(pages.select(F.lit("page").alias("source"), F.col("page_id").alias("id"))))
@@ -622,10 +617,11 @@ def _(s, sf):
     return weights.stacked_offsets(g.nodes, g.flows).drop("categories")
 
 
-@query("win4_stacked_offsets_hub", ask(GRAPH, _OFFSETS))
+@query("win4_stacked_offsets_hub", ask(GRAPH, _OFFSETS + """ WHERE t = (SELECT t FROM flows GROUP BY t ORDER BY count(*) DESC, t LIMIT 1)"""))
 def _(s, sf):
     g = graph(s, sf)
-    return weights.stacked_offsets(g.nodes, g.flows, hot_rows=100).drop("categories")
+    hub = g.flows.groupBy("to").count().orderBy(F.desc("count"), "to").limit(1).select("to")
+    return weights.stacked_offsets(g.nodes, g.flows.join(hub, "to", "left_semi")).drop("categories")
 
 
 @query("srt1_finalize_order", ask(GRAPH, """SELECT id, kind, label, system, location FROM nodes
@@ -708,7 +704,7 @@ def _(s, sf):
 @query("scl5_identifiers", """SELECT id, count(*) AS occurrences FROM (
   SELECT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS id FROM documents) GROUP BY id""")
 def _(s, sf):
-    return (spread(inputs.table(s, sf, "documents").select("text"))
+    return (inputs.spread(inputs.table(s, sf, "documents").select("text"))
             .select(F.explode(idf.identifiers(F.col("text"))).alias("id")).groupBy("id").agg(F.count("*").alias("occurrences")))
 
 
@@ -718,7 +714,7 @@ _DOC_IDS = """ids AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-
 
 
 def _doc_ids(s, sf):
-    docs = spread(inputs.table(s, sf, "documents").select("text")).select(F.explode(idf.identifiers(F.col("text"))).alias("id"))
+    docs = inputs.spread(inputs.table(s, sf, "documents").select("text")).select(F.explode(idf.identifiers(F.col("text"))).alias("id"))
     args = inputs.calls(s, sf).select(F.explode(idf.identifiers(F.col("args_text"))).alias("id"))
     return docs.unionByName(args).unionByName(inputs.table(s, sf, "pages").select(F.col("url").alias("id"))).distinct()
 
@@ -751,7 +747,7 @@ ids AS (SELECT doc_id, unnest(l) AS id, generate_subscripts(l, 1) AS pos FROM (
     """SELECT d.doc_id, coalesce(string_agg(cat, ',' ORDER BY pos), '') AS categories
   FROM documents d LEFT JOIN doc_cats USING (doc_id) GROUP BY d.doc_id"""))
 def _(s, sf):
-    return spread(inputs.table(s, sf, "documents").select("doc_id", "text")).select(
+    return inputs.spread(inputs.table(s, sf, "documents").select("doc_id", "text")).select(
         "doc_id", F.array_join(idf.categories_in(F.col("text")), ",").alias("categories"))
 
 
@@ -868,9 +864,24 @@ def _(s, sf):
     return details.sensitive_leaks(graph(s, sf))
 
 
-@query("snk1_graph_json")
+_JSON_ROWS = """json_rows AS (
+  SELECT 0 AS section, id AS key, '{"id":"' || id || '","label":"' || label || '","sensitivity":"' || sensitivity || '"}' AS body
+  FROM categories
+  UNION ALL SELECT 1, id, '{"id":"' || id || '","kind":"' || kind || '","label":"' || label || '"'
+    || CASE WHEN system <> '' THEN ',"system":"' || system || '"' ELSE '' END
+    || CASE WHEN location <> '' THEN ',"location":"' || location || '"' ELSE '' END || '}' FROM nodes
+  UNION ALL SELECT 2, f || '|' || t, '{"from":"' || f || '","to":"' || t || '","categories":["' || replace(categories, ',', '","') || '"]'
+    || CASE WHEN via <> '' THEN ',"via":"' || via || '"' ELSE '' END
+    || CASE WHEN evidence <> '' THEN ',"evidence":"' || evidence || '"' ELSE '' END || '}' FROM flows),
+json_ends(section, step, line) AS (VALUES (0, 0, '{' || chr(10) || '  "categories": ['), (0, 2, '  ],'), (1, 0, '  "nodes": ['),
+  (1, 2, '  ],'), (2, 0, '  "flows": ['), (2, 2, '  ]' || chr(10) || '}'))"""
+
+
+@query("snk1_graph_json", ask(GRAPH, _JSON_ROWS, """SELECT section, 1 AS step, key,
+    CASE WHEN row_number() OVER (PARTITION BY section ORDER BY string_split(key, '|')) = 1 THEN '    ' ELSE '  , ' END || body AS line
+  FROM json_rows UNION ALL SELECT section, step, '', line FROM json_ends"""))
 def _(s, sf):
-    return graph_json.json_lines(graph(s, sf))
+    return graph_json.json_lines(graph(s, sf)).withColumn("key", F.array_join("key", "|"))
 
 
 @query("snk2_graph_summary", ask(GRAPH, """SELECT nodes, flows, nodes || ' nodes, ' || flows || ' flows' AS summary

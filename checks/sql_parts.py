@@ -138,8 +138,7 @@ INFRA = ",\n".join([
     values("infra_word", "k, w", list(enumerate(INFRA_WORDS))),
     values("infra_dim", "token, id, label", dims.INFRA_TOKENS),
     """infra_files AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS walk_key,
-    'resource "' || w || '" "main" {}' AS src FROM part JOIN infra_word ON k = (p_partkey // 10) % 20
-  WHERE p_partkey % 10 = 0)""",
+    'resource "' || w || '" "main" {}' AS src FROM part JOIN infra_word ON k = p_partkey % 20)""",
     """infra_words AS (SELECT walk_key, unnest(l) AS token, generate_subscripts(l, 1) AS pos FROM (
     SELECT walk_key, regexp_extract_all(lower(src), '[a-zA-Z0-9_]+') AS l FROM infra_files))""",
     """relabels AS (SELECT d.id, arg_max(d.label, {'w': walk_key, 'p': pos}) AS label

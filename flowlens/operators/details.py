@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import node_subtitle, non_blank
 from ..model import Graph
-from .sensitivity import category_rows, dominant_sensitivity, flow_categories, lookup
-from .skew import is_small, lookup_join
+from ..session import cut
+from .sensitivity import dominant_sensitivity, judged_lists
+from .skew import lookup_join, null_safe_join
 
 
 def adjacency(nodes: DataFrame, flows: DataFrame) -> DataFrame:
@@ -36,10 +37,10 @@ def label_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("label").agg(F.count("*").alias("label_count"))
 
 
-def with_label_count(nodes: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """Nodes with the number of nodes that share their label. A grouped count joined back, not a
+def with_label_count(nodes: DataFrame) -> DataFrame:
+    """Nodes with the number of nodes that share their label, a null label included. A grouped count joined back, not a
     window: one label ("index.js") may cover a third of all nodes."""
-    return lookup_join(nodes, label_counts(nodes), "label", "left", hot_rows)
+    return null_safe_join(nodes, label_counts(nodes), "label")
 
 
 def with_subtitle(nodes: DataFrame) -> DataFrame:
@@ -50,20 +51,9 @@ def with_subtitle(nodes: DataFrame) -> DataFrame:
 def with_labels(flows: DataFrame, categories: DataFrame, fallback_to_id: bool = False) -> DataFrame:
     """Flows with ``labels``: the labels of their categories in category order, joined by ", ". A
     category that is unknown or has a blank label is left out, or shows its id."""
-    rows = category_rows(categories)
-    if rows is not None:
-        label = lookup([r for r in rows if r["label"]], "label")
-        shown = F.transform(F.coalesce("categories", F.array().cast("array<string>")),
-                            lambda c: F.coalesce(F.element_at(label, c), c if fallback_to_id else F.lit(None)))
-        return flows.withColumn("labels", F.array_join(shown, ", "))
-    shown = non_blank(F.col("label"))
-    if fallback_to_id:
-        shown = F.coalesce(shown, F.col("cat_id"))
-    # a flow has at most as many entries as there are categories
-    parts = F.sort_array(F.collect_list(F.when(shown.isNotNull(), F.struct("pos", shown.alias("shown")))))
-    labels = (flow_categories(flows, categories).groupBy("from", "to")
-              .agg(F.array_join(F.transform(parts, lambda p: p["shown"]), ", ").alias("labels")))
-    return flows.join(labels, ["from", "to"], "left").select(*flows.columns, "labels")
+    chosen = "labels_or_ids" if fallback_to_id else "labels"
+    judged = judged_lists(flows, categories).select("categories", F.col(chosen).alias("labels"))
+    return null_safe_join(flows.drop("labels"), judged, "categories")
 
 
 def edge_labels(flows: DataFrame, categories: DataFrame) -> DataFrame:
@@ -76,9 +66,10 @@ def flow_details(graph: Graph) -> DataFrame:
     unknown), via and evidence."""
     names = graph.nodes.select("id", non_blank(F.col("label")).alias("name"))
     rows = with_labels(graph.flows, graph.categories, True).select("from", "to", "labels", "via", "evidence")
-    small = is_small(graph.nodes)
+    names = cut(names)
     for end in ("from", "to"):
-        rows = lookup_join(rows, names.select(F.col("id").alias(end), F.col("name").alias(f"_{end}")), end, small=small)
+        own = names.select(F.col("id").alias(end), F.col("name").alias(f"_{end}"))
+        rows = lookup_join(rows, own, end, stored=True)
     return rows.select(
         "from", "to", F.coalesce("_from", "from").alias("from_label"), F.coalesce("_to", "to").alias("to_label"),
         "labels", "via", "evidence")

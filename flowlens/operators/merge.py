@@ -15,7 +15,8 @@ from ..functions.identifiers import categories_in
 from ..functions.targets import target_system, with_target
 from ..functions.text import base_name, evidence, non_blank, sensitivity_rank, service_id
 from ..model import Graph
-from .skew import is_small, lookup_join
+from ..session import cut
+from .skew import lookup_join
 
 CALL_SEQ = "struct(root_idx, rel, start_byte, -end_byte AS neg_end)"
 
@@ -81,9 +82,9 @@ def endpoints(flows: DataFrame) -> DataFrame:
 
 def valid_edges(flows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Flows whose two ends both exist as nodes."""
-    small = is_small(nodes)
+    ids = cut(nodes.select("id"))
     for end in ("from", "to"):
-        flows = lookup_join(flows, nodes.select(F.col("id").alias(end)), end, "left_semi", small=small)
+        flows = lookup_join(flows, ids.select(F.col("id").alias(end)), end, "left_semi", stored=True)
     return flows
 
 
@@ -161,10 +162,10 @@ def edges_to_graph(edges: DataFrame, d: Dictionaries = BUILTIN) -> Graph:
 
 def remap_ends(flows: DataFrame, ids: DataFrame, new_id: str) -> DataFrame:
     """Replace both ends by ``new_id`` where they are in ``ids(id)``."""
-    small = is_small(ids)
+    ids = cut(ids)
     for end in ("from", "to"):
         hit = ids.select(F.col("id").alias(end), F.lit(True).alias("_hit"))
-        flows = (lookup_join(flows, hit, end, "left", small=small)
+        flows = (lookup_join(flows, hit, end, "left", stored=True)
                  .withColumn(end, F.when(F.col("_hit"), F.lit(new_id)).otherwise(F.col(end))).drop("_hit"))
     return flows
 

@@ -1,7 +1,8 @@
 """How sensitive is a flow, and which flows are visible under a sensitivity filter?
 
-Two ways to the same rows. A category list of ordinary size becomes a literal map, and each flow is
-judged in place: no join, no shuffle. A longer list is joined to one row per flow and category.
+The answer depends on a flow's category list alone. So the distinct lists are judged, once each, by a join of their
+entries with the categories, and the verdicts are joined back to the flows by list. A list that many flows share
+is a hot key of that last join only, where adaptive execution splits it.
 """
 
 from __future__ import annotations
@@ -11,29 +12,18 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..dims import SENSITIVITIES, SENSITIVITY_CHIPS, dim_sensitivity, literal_map
+from ..dims import SENSITIVITY_CHIPS, dim_sensitivity
 from ..functions.text import non_blank, sensitivity_rank
-from .skew import lookup_join
+from .skew import lookup_join, null_safe_join
 
-#: Longest category list that becomes a literal; a longer one is joined.
-MAX_LITERAL_CATEGORIES = 500
 
-
-def category_rows(categories: DataFrame, most: int | None = None) -> list | None:
-    """The category rows, or None if there are too many for a literal."""
-    most = MAX_LITERAL_CATEGORIES if most is None else most
-    rows = categories.select("id", "label", "sensitivity").limit(most + 1).collect()
-    return rows if len(rows) <= most else None
-
-
-def lookup(rows: list, field: str) -> Column:
-    """Literal map from category id to a non-null field; a null map if there is nothing to map."""
-    pairs = [(r["id"], r[field]) for r in rows if r[field] is not None]
-    return literal_map(pairs) if pairs else F.lit(None).cast("map<string,string>")
-
-
-def _listed() -> Column:
-    return F.coalesce(F.col("categories"), F.array().cast("array<string>"))
+def known_categories(categories: DataFrame) -> DataFrame:
+    """One row per id. Of rows that repeat an id the highest sensitivity counts (the alphabetically first of equals), and the
+    alphabetically first label that is not blank."""
+    rank = sensitivity_rank(F.col("sensitivity"))
+    return categories.filter("id IS NOT NULL").groupBy("id").agg(
+        F.min(non_blank(F.col("label"))).alias("label"),
+        F.min(F.struct((-rank).alias("r"), "sensitivity")).alias("s")).select("id", "label", F.col("s.sensitivity").alias("sensitivity"))
 
 
 def flow_categories(flows: DataFrame, categories: DataFrame) -> DataFrame:
@@ -44,23 +34,38 @@ def flow_categories(flows: DataFrame, categories: DataFrame) -> DataFrame:
     return lookup_join(exploded, known, "cat_id", "left")
 
 
+def judged_lists(flows: DataFrame, categories: DataFrame) -> DataFrame:
+    """One row per distinct ``categories`` list of the flows:
+
+    - ``sensitivity``: the highest-ranked one, of the first category id among equals; null if none has a rank,
+    - ``shown``: every sensitivity to which a filter reacts; nothing, unknown and blank count as ``public``,
+    - ``labels``: labels in list order, unknown and blank ones left out; ``labels_or_ids``: with ids in their place.
+    """
+    lists = flows.select("categories").distinct()
+    entries = lists.select("categories", F.posexplode_outer("categories").alias("pos", "cat_id"))
+    known = known_categories(categories).withColumnRenamed("id", "cat_id")
+    rank = sensitivity_rank(F.col("sensitivity"))
+    loud = F.when(rank > 0, F.struct((-rank).alias("r"), "cat_id", "sensitivity"))
+    name = F.coalesce("label", "cat_id")
+    joined = lookup_join(entries, known, "cat_id", "left")
+    # a list's entries are collected: no more than the list itself holds
+
+    def listed(value: Column) -> Column:
+        parts = F.sort_array(F.collect_list(F.when(value.isNotNull(), F.struct("pos", value.alias("v")))))
+        return F.array_join(F.transform(parts, lambda p: p["v"]), ", ")
+
+    return joined.groupBy("categories").agg(
+        F.min(loud)["sensitivity"].alias("sensitivity"),
+        F.collect_set(F.coalesce(non_blank(F.col("sensitivity")), F.lit("public"))).alias("shown"),
+        listed(F.col("label")).alias("labels"), listed(name).alias("labels_or_ids"))
+
+
 def with_sensitivity(flows: DataFrame, categories: DataFrame, none: str = "") -> DataFrame:
     """Flows with their highest-ranked ``sensitivity``; the first category id wins among equals, and
     ``none`` stands where no category has a rank."""
-    rows = category_rows(categories)
-    if rows is None:
-        rank = sensitivity_rank(F.col("sensitivity"))
-        order = F.when(rank > 0, F.struct((-rank).alias("r"), F.col("cat_id")))
-        loudest = (flow_categories(flows, categories).groupBy("from", "to")
-                   .agg(F.min_by("sensitivity", order).alias("sensitivity")))
-        found = flows.join(loudest, ["from", "to"], "left").select(*flows.columns, "sensitivity")
-    else:
-        ranks = {s: r for s, r, _ in SENSITIVITIES}
-        sens = lookup([r for r in rows if ranks.get(r["sensitivity"], 0) > 0], "sensitivity")
-        scored = F.transform(F.filter(_listed(), lambda c: F.element_at(sens, c).isNotNull()), lambda c: F.struct(
-            (-sensitivity_rank(F.element_at(sens, c))).alias("r"), c.alias("c"), F.element_at(sens, c).alias("s")))
-        found = flows.withColumn("sensitivity", F.array_min(scored)["s"])
-    return found.withColumn("sensitivity", F.coalesce("sensitivity", F.lit(none)))
+    judged = judged_lists(flows, categories).select("categories", "sensitivity")
+    kept = flows.drop("sensitivity")
+    return null_safe_join(kept, judged, "categories").withColumn("sensitivity", F.coalesce("sensitivity", F.lit(none)))
 
 
 def dominant_sensitivity(flows: DataFrame, categories: DataFrame) -> DataFrame:
@@ -76,15 +81,9 @@ def flow_sensitivity_public(flows: DataFrame, categories: DataFrame) -> DataFram
 def filter_by_sensitivity(flows: DataFrame, categories: DataFrame, active: Iterable[str]) -> DataFrame:
     """Flows with at least one category of an active sensitivity. No category, an unknown category and
     a blank sensitivity all count as ``public``."""
-    wanted, public = list(active), F.lit("public")
-    rows = category_rows(categories)
-    if rows is not None:
-        sens = lookup([r for r in rows if r["sensitivity"]], "sensitivity")
-        shown = F.when(F.size(_listed()) > 0, _listed()).otherwise(F.array(F.lit("")))
-        return flows.filter(F.exists(shown, lambda c: F.coalesce(F.element_at(sens, c), public).isin(wanted)))
-    as_shown = F.coalesce(non_blank(F.col("sensitivity")), public)
-    seen = flow_categories(flows, categories).filter(as_shown.isin(wanted)).select("from", "to").distinct()
-    return flows.join(seen, ["from", "to"], "left_semi").select(*flows.columns)
+    wanted = F.array(*map(F.lit, active)).cast("array<string>")
+    judged = judged_lists(flows, categories).select("categories", F.arrays_overlap("shown", wanted).alias("_seen"))
+    return null_safe_join(flows, judged, "categories").filter("_seen").select(*flows.columns)
 
 
 def legend_sensitivities(categories: DataFrame) -> DataFrame:

@@ -1,10 +1,9 @@
 """Joining a large, possibly skewed side to a lookup side that has one row per key.
 
-A hub node (a log sink, the user) can be one end of a third of all flows. A plain shuffle join would
-put that third into one task; adaptive skew handling only helps when the lookup side is a bare
-exchange, which it is not once it was aggregated. So a lookup side that was counted and found small is
-broadcast; beyond that, the few hot keys are joined by broadcast and everything else by an ordinary
-join.
+A hub node (a log sink, the user) can be one end of a third of all flows. Adaptive execution splits the
+partitions of such keys when both sides of a join are bare exchanges, which an aggregated lookup side is not. So the
+lookup side is stored first; then it is built once, whatever reads it, and Spark broadcasts it where its bytes allow
+that and splits hot keys, any number of them, where they do not.
 """
 
 from __future__ import annotations
@@ -12,48 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most rows of a side that is broadcast whole. Rows here are ids and short texts.
-MAX_BROADCAST_ROWS = 200_000
-#: A key with at least this many rows on the large side is joined apart.
-HOT_ROWS = 1_000_000
-#: Most keys treated as hot. The bound on what is broadcast; colder keys take the plain join.
-MAX_HOT_KEYS = 1_000
-
-
-def is_small(df: DataFrame) -> bool:
-    """Few enough rows to broadcast? Runs a counting job."""
-    return df.count() <= MAX_BROADCAST_ROWS
-
-
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if is_small(df) else df
-
-
-def hot_keys(df: DataFrame, key: str, rows: int | None = None) -> dict:
-    """The (at most ``MAX_HOT_KEYS``) heaviest keys having at least ``rows`` rows, with their row counts.
-    Runs a counting job."""
-    heavy = (df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-             .filter(F.col("_n") >= (HOT_ROWS if rows is None else rows))
-             .orderBy(F.desc("_n"), key).limit(MAX_HOT_KEYS))
-    return {r[0]: r[1] for r in heavy.collect()}
-
-
-def lookup_join(df: DataFrame, lookup: DataFrame, key: str, how: str = "left",
-                hot_rows: int | None = None, small: bool | None = None) -> DataFrame:
-    """Join ``df`` to ``lookup`` (one row per ``key``) whatever the skew of ``df``; ``how`` is
-    ``left``, ``inner``, ``left_semi`` or ``left_anti``. Columns of ``df`` come first. A given
-    ``hot_rows`` takes the way of a large lookup side; ``small`` tells what was counted before."""
-    hot: dict = {}
-    if hot_rows is None and (is_small(lookup) if small is None else small):
-        lookup = F.broadcast(lookup)
-    else:
-        hot = hot_keys(df, key, hot_rows)
-    if not hot:
-        joined = df.join(lookup, key, how)
-    else:
-        is_hot = F.coalesce(F.col(key).isin(list(hot)), F.lit(False))
-        # one row per key, so this side has at most MAX_HOT_KEYS rows
-        hot_lookup = F.broadcast(lookup.filter(is_hot))
-        joined = (df.filter(~is_hot).join(lookup.filter(~is_hot), key, how)
-                  .unionByName(df.filter(is_hot).join(hot_lookup, key, how)))
+from ..session import cut
+
+
+def lookup_join(df: DataFrame, lookup: DataFrame, key: str, how: str = "left", stored: bool = False) -> DataFrame:
+    """Join ``df`` to ``lookup`` (one row per ``key``) whatever the skew of ``df``; ``how`` is ``left``, ``inner``,
+    ``left_semi`` or ``left_anti``. Columns of ``df`` come first. Runs a job that stores the lookup side, unless it
+    is ``stored`` already. A null key meets nothing."""
+    lookup = lookup if stored else cut(lookup)
+    joined = df.join(lookup, key, how)
     return joined.select(*df.columns, *[c for c in joined.columns if c not in df.columns])
+
+
+def null_safe_join(df: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """Left join where a null key meets a null key."""
+    right = cut(lookup).withColumnRenamed(key, "_key")
+    return df.join(right, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")

@@ -7,15 +7,13 @@ rounds is the length of the longest path, not the number of nodes.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Graph
-from ..session import cut
+from ..session import cut, store
 from .merge import endpoints
-from .skew import broadcast_if_small, is_small, lookup_join
+from .skew import lookup_join
 
 
 class CyclicGraphError(ValueError):
@@ -27,35 +25,34 @@ def node_depth(nodes: DataFrame, flows: DataFrame) -> DataFrame:
 
     Nodes are peeled off: level 0 has no incoming flow, level k+1 loses its last incoming flow when
     level k goes. That level is the longest path length, and a cycle shows itself as an empty level
-    while nodes remain. Waiting nodes are one row each; a hub's flows are only ever counted, so
-    they combine before the shuffle.
+    while nodes remain. A round stores the next level and the nodes it reached that still wait, not the others.
+    A hub's flows are only ever counted, so they combine before the shuffle. Runs jobs.
     """
+    spark = flows.sparkSession
     edges = cut(flows.select("from", "to"))
-    ids = nodes.select("id").union(endpoints(edges)).distinct()
-    indegree = edges.groupBy(F.col("to").alias("id")).agg(F.count("*").alias("open"))
-    waiting = cut(ids.join(indegree, "id", "left").withColumn("open", F.coalesce("open", F.lit(0))))
-
-    levels, depth = [], 0
-    while True:
-        level = cut(waiting.filter("open = 0").select("id"))
-        if level.isEmpty():
-            break
-        levels.append(level.withColumn("depth", F.lit(depth)))
-        # a small level is broadcast, so the flows stay where they are; a large one is joined by shuffle,
-        # where adaptive execution splits the flows of a hub
-        peeled = broadcast_if_small(level.withColumnRenamed("id", "from"))
-        gone = (edges.join(peeled, "from", "left_semi")
-                .groupBy(F.col("to").alias("id")).agg(F.count("*").alias("gone")))
-        waiting = cut(waiting.filter("open > 0").join(gone, "id", "left")
-                      .select("id", (F.col("open") - F.coalesce("gone", F.lit(0))).alias("open")))
+    ids = cut(nodes.select("id").union(endpoints(edges)).distinct())
+    indegree = cut(edges.groupBy(F.col("to").alias("id")).agg(F.count("*").alias("open")))
+
+    level = cut(ids.join(indegree, "id", "left_anti").select("id", F.lit(0).alias("depth")))
+    paths, depth, found = [], 0, 0
+    waiting = indegree.limit(0)
+    while size := level.count():
+        paths.append(store(level))
+        found += size
         depth += 1
-    stuck = [r.id for r in waiting.orderBy("id").limit(20).collect()]
-    if stuck:
-        raise CyclicGraphError(f"nodes on or behind a cycle: {', '.join(stuck)}")
-    if not levels:
-        return nodes.select("id", F.lit(0).alias("depth")).limit(0)
-    found = reduce(DataFrame.unionByName, levels)
-    return found.join(nodes.select("id"), "id", "left_semi")
+        gone = (edges.join(level.select(F.col("id").alias("from")), "from", "left_semi")
+                .groupBy(F.col("to").alias("id")).agg(F.count("*").alias("gone")))
+        left = F.coalesce("w.open", "i.open") - F.col("gone")
+        reached = cut(gone.alias("g").join(indegree.alias("i"), "id").join(waiting.alias("w"), "id", "left")
+                      .select("id", left.alias("open")))
+        waiting = cut(waiting.join(reached, "id", "left_anti").unionByName(reached.filter("open > 0")))
+        level = reached.filter("open = 0").select("id", F.lit(depth).alias("depth"))
+    schema = "id string, depth int"
+    done = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    if (stuck := ids.count() - found):
+        some = ids.join(done, "id", "left_anti").orderBy("id").limit(20).collect()
+        raise CyclicGraphError(f"{stuck} nodes on or behind a cycle, first {', '.join(r.id for r in some)}")
+    return done.join(nodes.select("id"), "id", "left_semi")
 
 
 def layer_sizes(depths: DataFrame) -> DataFrame:
@@ -69,38 +66,45 @@ def layer_maxima(depths: DataFrame) -> DataFrame:
                                    F.coalesce(F.max("nodes"), F.lit(0)).cast("bigint").alias("max_rows"))
 
 
-def _walk(edges: DataFrame, start: DataFrame, visited: list[DataFrame], near: str, far: str) -> list[DataFrame]:
-    """Spread ``start(start_id, id)`` along the edges, never into ``visited``; the newly found parts."""
-    found: list[DataFrame] = []
+def _walk(edges: DataFrame, start: DataFrame, visited: list[str], near: str, far: str) -> None:
+    """Spread ``start(start_id, id)`` along the edges, never into what the stored tables ``visited`` hold; adds the newly
+    found parts to them. Visited rows are one scan of many files, so the plan does not grow."""
     frontier = start
     while True:
-        step = (edges.join(broadcast_if_small(frontier.withColumnRenamed("id", near)), near)
+        step = (edges.join(frontier.withColumnRenamed("id", near), near)
                 .select("start_id", F.col(far).alias("id")).distinct())
-        seen = reduce(DataFrame.unionByName, visited + found)
-        frontier = cut(step.join(seen, ["start_id", "id"], "left_anti"))
+        seen = edges.sparkSession.read.schema(_PAIR).parquet(*visited)
+        path = store(step.join(seen, ["start_id", "id"], "left_anti"))
+        frontier = edges.sparkSession.read.schema(_PAIR).parquet(path)
         if frontier.isEmpty():
-            return found
-        found.append(frontier)
+            return
+        visited.append(path)
+
+
+_PAIR = "start_id string, id string"
 
 
 def lineage(flows: DataFrame, starts: DataFrame) -> DataFrame:
     """``(start_id, id)`` for each id in ``starts(id)``: the node, all its ancestors, then the
     descendants that can be reached without passing through an ancestor.
 
-    The two walks share what they have visited, which only matters on a cycle.
+    The two walks share what they have visited, which only matters on a cycle. The result has a row for each start and node in its
+    lineage, so with all nodes as starts it is the closure of the graph. Runs jobs, some for each step of the longest walk.
     """
+    spark = flows.sparkSession
     edges = cut(flows.select("from", "to").distinct())
-    own = cut(starts.select(F.col("id").alias("start_id"), "id").distinct())
-    up = _walk(edges, own, [own], near="to", far="from")
-    down = _walk(edges, own, [own, *up], near="from", far="to")
-    return reduce(DataFrame.unionByName, [own, *up, *down])
+    visited = [store(starts.select(F.col("id").alias("start_id"), "id").distinct())]
+    own = spark.read.schema(_PAIR).parquet(visited[0])
+    _walk(edges, own, visited, near="to", far="from")
+    _walk(edges, own, visited, near="from", far="to")
+    return spark.read.schema(_PAIR).parquet(*visited)
 
 
 def focus(graph: Graph, node_id: str) -> Graph:
     """The part of a graph in the lineage of one node: its nodes, and the flows with both ends in it."""
     start = graph.spark.createDataFrame([(node_id,)], "id string")
     members = cut(lineage(graph.flows, start).select("id"))
-    inside, small = graph.flows, is_small(members)
+    inside = graph.flows
     for end in ("from", "to"):
-        inside = lookup_join(inside, members.withColumnRenamed("id", end), end, "left_semi", small=small)
+        inside = lookup_join(inside, members.withColumnRenamed("id", end), end, "left_semi", stored=True)
     return Graph(graph.categories, graph.nodes.join(members, "id", "left_semi"), inside)

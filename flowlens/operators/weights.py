@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import kind_order
 from ..session import cut
 from .merge import valid_edges
-from .skew import HOT_ROWS, hot_keys
 
 
 def flow_weight(categories: Column) -> Column:
@@ -59,43 +58,29 @@ def kind_maxima(totals: DataFrame) -> DataFrame:
         F.coalesce(F.max("nodes"), F.lit(0)).cast("bigint").alias("max_nodes"))
 
 
-def running_before(df: DataFrame, key: str, order: str, value: str, name: str, hot: dict) -> DataFrame:
-    """Sum of ``value`` over the earlier rows of the same ``key`` (by ``order``, unique in a key).
-    ``hot`` holds the keys with too many rows for one task, and how many rows they have.
+def running_before(df: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of the same ``key`` (by ``order``, unique in a key), for keys of any size.
 
-    Ordinary keys use one window. A hub key does not fit one task, so the rows of hot keys are range
-    partitioned and stored, summed per partition, and each partition starts from the sum of the ones
-    before it. What is broadcast has one row per partition and hot key that meets it.
+    The rows are range partitioned by key and order and stored; each piece is summed up by itself and
+    starts from the sum of the key's earlier pieces. Only a key that goes on from one piece to the next needs such a start, so there are
+    fewer starts than pieces, and they are broadcast.
     """
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
-    if not hot:
-        return df.withColumn(name, F.coalesce(F.sum(value).over(w), zero))
-
-    is_hot = F.coalesce(F.col(key).isin(list(hot)), F.lit(False))
-    plain = df.filter(~is_hot).withColumn(name, F.coalesce(F.sum(value).over(w), zero))
-
-    parts = max(2, -(-sum(hot.values()) // HOT_ROWS), df.sparkSession.sparkContext.defaultParallelism)
-    # the partition number is stored with the rows: sampled range bounds may differ if computed again
-    pieces = cut(df.filter(is_hot).repartitionByRange(parts, key, order)
-                 .withColumn("_piece", F.spark_partition_id()))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the piece is stored with the rows: sampled range bounds may differ if computed again
+    pieces = cut(df.repartitionByRange(parts, key, order).withColumn("_piece", F.spark_partition_id()))
+    earlier = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = (pieces.groupBy(key, "_piece").agg(F.sum(value).alias("_sum"))
-              .withColumn("_start", F.coalesce(F.sum("_sum").over(
-                  Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), zero))
-              .select(key, "_piece", "_start"))
-    # a range partition holds whole runs of sorted keys: (key, piece) pairs <= partitions + hot keys
+              .select(key, "_piece", F.sum("_sum").over(earlier).alias("_start")).filter("_start IS NOT NULL"))
     inside = Window.partitionBy(key, "_piece").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    heavy = (pieces.withColumn("_inner", F.coalesce(F.sum(value).over(inside), zero))
-             .join(F.broadcast(starts), [key, "_piece"])
-             .withColumn(name, F.col("_start") + F.col("_inner"))
-             .select(*plain.columns))
-    return plain.unionByName(heavy)
+    return (pieces.withColumn("_inner", F.coalesce(F.sum(value).over(inside), zero))
+            .join(F.broadcast(starts), [key, "_piece"], "left")
+            .withColumn(name, F.coalesce("_start", zero) + F.col("_inner")).select(*df.columns, name))
 
 
-def stacked_offsets(nodes: DataFrame, flows: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def stacked_offsets(nodes: DataFrame, flows: DataFrame) -> DataFrame:
     """Flows between existing nodes with their weight and where their ribbon starts, in weight units:
-    ``source_offset`` below the earlier flows of the source, ``target_offset`` below those of the target."""
+    ``source_offset`` below the earlier flows of the source, ``target_offset`` below those of the target. Runs jobs."""
     edges = cut(with_weight(valid_edges(flows, nodes)).select("from", "to", "categories", "weight"))
-    hot = {end: hot_keys(edges, end, hot_rows) for end in ("from", "to")}
-    out = running_before(edges, "from", "to", "weight", "source_offset", hot["from"])
-    return running_before(out, "to", "from", "weight", "target_offset", hot["to"])
+    out = cut(running_before(edges, "from", "to", "weight", "source_offset"))
+    return running_before(out, "to", "from", "weight", "target_offset")

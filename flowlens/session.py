@@ -19,6 +19,8 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
+        # few rows still stand under one key when collections are merged, so hash tables may grow before they sort
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "65536")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
@@ -39,21 +41,16 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a DataFrame as Parquet to the shared folder and go on from the stored table. Runs a job."""
+def store(df: DataFrame) -> str:
+    """Write a DataFrame as Parquet to the shared folder; its path. Runs a job."""
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+    return path
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores on a table that arrives in fewer splits than there are cores.
 
-    For plain scans only: it asks for the split count, which would run the shuffles of a larger plan.
-    A table with enough splits, that is any large one, is returned as it is, without a shuffle.
-    """
-    slots = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
+def cut(df: DataFrame) -> DataFrame:
+    """Write a DataFrame to the shared folder and go on from the stored table. Runs a job."""
+    return df.sparkSession.read.schema(df.schema).parquet(store(df))
 
 
 _shipped: set[str] = set()

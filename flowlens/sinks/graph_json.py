@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import non_blank
 from ..model import Graph
+from ..session import cut
 
 
 def _required(name: str) -> Column:
@@ -37,12 +38,12 @@ def _sections(graph: Graph) -> list[tuple[str, DataFrame, list[str], list[Column
 
 
 def json_lines(graph: Graph) -> DataFrame:
-    """``(section, step, key, line)``; ordered by the first three, the lines are the document."""
+    """``(section, step, key, line)``; ordered by the first three, the lines are the document. Runs jobs that store the rows."""
     parts = []
     last = len(_sections(graph)) - 1
     for number, (name, rows, key, fields) in enumerate(_sections(graph)):
         sort_key = F.array(*[F.col(k) for k in key])
-        body = rows.select(sort_key.alias("key"), F.to_json(F.struct(*fields)).alias("line"))
+        body = cut(rows.select(sort_key.alias("key"), F.to_json(F.struct(*fields)).alias("line")))  # read twice
         first = body.agg(F.min("key").alias("first"))  # one row
         # every row but the first follows a comma
         comma = F.when(F.col("key") == F.col("first"), "    ").otherwise("  , ")

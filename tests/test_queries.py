@@ -3,22 +3,18 @@ import os
 import pytest
 
 import __spark_entry__ as contract
-from checks import compare
+from checks import compare, queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the supplied tables")
 
-SOME = ["prj1_extract_calls", "flt7_is_placeholder", "agg1_merge_categories", "agg2_merge_nodes", "agg3_merge_flows",
-        "agg4_calls_to_graph", "win4_stacked_offsets_hub", "grf1_node_depth", "grf2_lineage", "scl7_classify_identifier",
-        "scl8_categories_in_documents", "scan_files_flows", "sensitive_leaks", "src7_route_infra", "view_flows"]
 
-
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_agrees_with_sql(spark, name):
     assert compare.compare(spark, compare.connect(SF), name, SF) == ""
 
 
 def test_contract(spark):
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"src1_read_corpus", "snk1_graph_json"}
+    assert set(queries.QUERIES) == set(queries.SQL)
     assert contract.entry(spark).count() > 0
