@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ def sample_share(key: Column) -> Column:
     return F.xxhash64(key).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
 
 
+def constant_array(values: list, kind: str) -> Column:
+    """Many numbers as one constant: the optimizer parses the text once, where a literal for each would be slow to build."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
 def ascii_words_table() -> bytes:
     """For ``bytes.translate``: A-Z become a-z, digits, a-z and bytes from 0x80 stay, all else a blank."""
     return bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))

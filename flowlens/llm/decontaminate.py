@@ -1,12 +1,12 @@
 """Benchmark decontamination by winnowing, with DataFrame operations only.
 
 A window is ``WINDOW`` consecutive words of an item (all words of a shorter item). Both sides hash every run of ``K`` words and
-keep, for each window, the leftmost smallest hash. Equal windows keep the same run, so joining the kept hashes misses no
-shared window. A hit at a run is extended to the windows around it that the item side keeps for that hash,
-and their words are compared in full.
+keep, for each window, the leftmost smallest hash. Equal windows keep the same run, so meeting at the kept hashes misses no
+shared window. A hit at a run is extended to all windows around it, which are joined with the items' windows in full.
 
-Only distinct ``(window, hash, place in the window)`` of items meet the documents, and windows are joined by their words before items come
-in, so a phrase that many items share does not multiply hits. Nothing is broadcast by hand: Spark does so by size.
+A bounded bit set of the items' hashes tells, within the one pass over the texts, which runs can hit at all, so only
+windows around those leave it; texts are never shuffled. It only saves work: where it is crowded, more windows go to the join.
+Windows are joined by their words before items come in, so a phrase that many items share does not multiply hits.
 
 Defined results: null text has no words and no hits; an item without words has no window. A repeated row gets its result
 each time; rows are told apart by id and text. Empty tables give empty results or no hits. Only the columns named are read.
@@ -18,14 +18,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .common import constant_array
 
 WINDOW = 10
 K = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # with A-Z, which are words once they are lower case
 #: A kept run is one number: its hash above, its place in the text below.
 PLACE = 31
+#: Most numbers of the bit set of item hashes that goes to every task (64 bits each, 2 MB).
+MOST_LONGS = 1 << 18
 
 
 def words(text: Column) -> Column:
@@ -54,10 +56,6 @@ def _place(run: Column) -> Column:
     return run.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")
 
 
-def _with_size(n: int):
-    return lambda run: F.struct(F.lit(n).alias("n"), run.alias("run"))
-
-
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(item_id, n, window, run, at)``: each window's size and words, the hash it keeps and that run's place in it."""
     w = items.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
@@ -68,47 +66,79 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return each.select("item_id", "n", F.array_join("v", " ").alias("window"), _hash(run).alias("run"), _place(run).alias("at")).distinct()
 
 
+def _marked(runs: DataFrame) -> list[int]:
+    """A bit set over the hashes in ``runs(run)``, as at most ``MOST_LONGS`` numbers. Runs two jobs."""
+    wanted = runs.count() * 16 // 64
+    size = min(MOST_LONGS, max(64, 1 << wanted.bit_length()))
+    bits = runs.select((F.expr(f"cast(shiftright(run, 6) & {size - 1} AS int)")).alias("at"),
+                       F.expr("shiftleft(1L, cast(run & 63 AS int))").alias("bit")).groupBy("at").agg(F.expr("bit_or(bit)").alias("bits"))
+    out = [0] * size
+    for r in bits.collect():  # at most MOST_LONGS rows
+        out[r["at"]] = r["bits"]
+    return out
+
+
+def _candidates(n: int, marked: Column) -> Column:
+    """Windows of ``n`` words of the array ``w`` around the runs that some item may keep: ``(n, start, window)``."""
+    def is_marked(r: Column) -> Column:
+        at = F.shiftright(r, PLACE + 6).bitwiseAND(F.size(marked) - 1).cast("int")
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), _hash(r).bitwiseAND(F.lit(63)).cast("int"))
+        return F.get(marked, at).bitwiseAND(bit) != 0
+
+    runs = F.filter(_kept_runs("w", n), is_marked)
+
+    def around(r: Column) -> Column:
+        starts = F.transform(F.array(*[F.lit(at) for at in range(n - min(K, n) + 1)]), lambda at: _place(r) - at)
+        inside = F.filter(starts, lambda s: (s >= 0) & (s + n <= F.size("w")))
+        return F.transform(inside, lambda s: F.struct(F.lit(n).alias("n"), s.alias("start"), F.array_join(
+            F.slice("w", s + 1, F.lit(n)), " ").alias("window")))
+
+    return F.flatten(F.transform(runs, around))
+
+
+def search(docs: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One pass over the texts of ``docs(doc_id, text)``, with ``kept`` as from ``item_windows``. Returns
+    ``(doc_id, version, n_words)`` of every row, and ``(doc_id, version, start, n, window)`` for every place of an
+    item's window, once for each text under an id; ``version`` tells such texts apart."""
+    sizes = [r.n for r in kept.select("n").distinct().orderBy("n").collect()]  # at most as many as a window has words
+    marked = constant_array(_marked(kept.select("run").distinct()) if sizes else [0], "bigint")
+    w = docs.select("doc_id", F.xxhash64("text").alias("version"), words(F.col("text")).alias("w"))
+    found = [_candidates(n, marked) for n in sizes] or [F.expr("cast(array() AS array<struct<n: int, start: int, window: string>>)")]
+    each = cut(w.select("doc_id", "version", F.size("w").cast("long").alias("n_words"), (F.flatten(F.array(*found)) if len(found) > 1 else found[0]).alias("found")))
+    places = each.select("doc_id", "version", F.explode("found").alias("x")).select("doc_id", "version", "x.*").distinct()
+    return each.drop("found"), places.join(kept.select("n", "window").distinct(), ["n", "window"], "left_semi")
+
+
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(doc_id, version, start, n, window)``: every place where a window of an item stands in a document. ``version``
-    tells apart texts under one id."""
-    docs = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
-    kept = cut(item_windows(items, window))
-    sizes = [r.n for r in kept.select("n").distinct().orderBy("n").collect()]  # at most ``window`` numbers
-    marks = kept.select("n", "run", "at").distinct()
-    if not sizes:
-        return docs.select("doc_id", "version", F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("window")).limit(0)
-    w = docs.select("doc_id", "version", words(F.col("text")).alias("w"))
-    tagged = [F.transform(_kept_runs("w", n), _with_size(n)) for n in sizes]
-    runs = w.select("doc_id", "version", F.explode(F.flatten(F.array(*tagged)) if len(sizes) > 1 else tagged[0]).alias("x"))
-    runs = runs.select("doc_id", "version", "x.n", _hash(F.col("x.run")).alias("run"), _place(F.col("x.run")).alias("place"))
-    starts = (runs.join(marks, ["n", "run"]).select("doc_id", "version", "n", (F.col("place") - F.col("at")).alias("start"))
-              .filter("start >= 0").groupBy("doc_id", "version").agg(F.collect_set(F.struct("n", "start")).alias("starts")))
-    starts = cut(starts)
-    found = docs.alias("d").join(starts.alias("s"), F.expr("d.doc_id <=> s.doc_id AND d.version = s.version")).select(
-        "d.doc_id", "d.version", "starts", words(F.col("text")).alias("w"))
-    windows = F.expr("transform(starts, s -> struct(s.n, s.start, array_join(slice(w, s.start + 1, s.n), ' ') AS window))")
-    each = found.select("doc_id", "version", F.explode(windows).alias("x")).select("doc_id", "version", "x.*")
-    return each.join(kept.select("n", "window").distinct(), ["n", "window"], "left_semi").distinct()
+    """``(doc_id, version, start, n, window)``: every place where a window of an item stands in a document."""
+    return search(docs, cut(item_windows(items, window)))[1]
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(doc_id, version, n_words, n_hit, item_ids, contaminated)`` for every row of ``docs(doc_id, text)`` against ``items(item_id, text)``:
     words, words inside any shared window, and the ids of the items whose windows occur, sorted as text."""
-    found = cut(hits(docs, items, window))
+    kept = cut(item_windows(items, window))
+    all_docs, found = search(docs, kept)
+    found = cut(found)
     key = ["doc_id", "version"]
     before = Window.partitionBy(*key).orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.coalesce(F.max(F.col("start") + F.col("n")).over(before), F.lit(0))
     words_hit = (found.select(*key, F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest("start", reach)).alias("new"))
                  .groupBy(*key).agg(F.sum("new").alias("n_hit")))
-    belongs = item_windows(items, window).select("n", "window", "item_id").distinct()
+    belongs = kept.select("n", "window", "item_id").distinct()
     of_items = (found.select(*key, "n", "window").distinct().join(belongs, ["n", "window"])
                 .select(*key, F.col("item_id").cast("string").alias("item")).distinct()
                 .groupBy(*key).agg(F.sort_array(F.collect_list("item")).alias("item_ids")))
     summary = words_hit.join(of_items, words_hit.doc_id.eqNullSafe(of_items.doc_id) & (words_hit.version == of_items.version), "left").select(
         words_hit.doc_id, words_hit.version, "n_hit", "item_ids")
-    all_docs = docs.select("doc_id", F.xxhash64("text").alias("version"),
-                           F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     joined = all_docs.join(summary, all_docs.doc_id.eqNullSafe(summary.doc_id) & (all_docs.version == summary.version), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return joined.select(all_docs.doc_id, all_docs.version, "n_words", n_hit.alias("n_hit"),
                          F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), (n_hit > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` without the documents that hold a window of an item."""
+    bad = contamination(docs.select("doc_id", "text"), items, window).filter("contaminated").select(
+        F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
+    return docs.join(cut(bad), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_version")), "left_anti")
