@@ -20,12 +20,13 @@ def rows_of(df, *sort):
     return [tuple(r) for r in df.orderBy(*sort).collect()]
 
 
-def test_flows_merge_and_orphans_go(spark):
-    nodes = spark.createDataFrame([("a", "source", "", "", ""), ("b", "service", "", "", ""), ("orphan", "store", "", "", "")],
-                                  NODE_SCHEMA)
-    f = merge.merge_flows(flows(spark, [("a", "b", ["email"], "", ""), ("a", "b", ["name"], "", "")]))
-    assert rows_of(f, "from") == [("a", "b", ["email", "name"], "", "")]
-    assert [r.id for r in merge.prune_orphans(nodes, f).orderBy("id").collect()] == ["a", "b"]
+def test_three_flows_become_two_and_two_nodes_stay_alone(spark):
+    ids = ["web", "till", "ledger", "attic", "cellar"]
+    nodes = spark.createDataFrame([(i, "service", i.upper(), "", "") for i in ids], NODE_SCHEMA)
+    f = merge.merge_flows(flows(spark, [("web", "till", ["phone"], "", "w:9"), ("till", "ledger", ["iban", "dob"], "put", ""),
+                                        ("web", "till", ["dob", "phone"], "call", "w:2")]))
+    assert rows_of(f, "from") == [("till", "ledger", ["dob", "iban"], "put", ""), ("web", "till", ["dob", "phone"], "call", "w:9")]
+    assert {r.id for r in merge.prune_orphans(nodes, f).collect()} == {"web", "till", "ledger"}
 
 
 def test_merge_flows_rules(spark):
@@ -50,9 +51,10 @@ def test_merge_categories_rules(spark):
 
 
 def test_relabel(spark):
-    nodes = spark.createDataFrame([("store:db", "store", "Database", "", "")], NODE_SCHEMA)
-    new = spark.createDataFrame([("store:db", "PostgreSQL"), ("store:missing", "ignored")], "id string, label string")
-    assert rows_of(merge.relabel_nodes(nodes, new), "id") == [("store:db", "store", "PostgreSQL", "", "")]
+    nodes = spark.createDataFrame([("store:object", "store", "Object store", "", ""), ("store:cache", "store", "Old", "x", "y")], NODE_SCHEMA)
+    new = spark.createDataFrame([("store:cache", "Memcached"), ("svc:none", "nobody")], "id string, label string")
+    assert rows_of(merge.relabel_nodes(nodes, new), "id") == [
+        ("store:cache", "store", "Memcached", "x", "y"), ("store:object", "store", "Object store", "", "")]
 
 
 def test_last_infra_token_wins(spark):
@@ -124,16 +126,15 @@ def test_collapse(spark):
                                       ("u", "source", "U", "", "")]
 
 
-def test_lookup_join_with_and_without_hot_keys(spark):
-    df = spark.createDataFrame([("hub" if i % 3 == 0 else f"k{i % 20}", i) for i in range(300)] + [(None, 999)],
-                               "key string, n int")
+def test_lookup_join_of_every_kind(spark):
+    df = spark.createDataFrame([("hub" if i % 3 == 0 else f"k{i % 20}", i) for i in range(300)] + [(None, 999)], "key string, n int")
     lookup = spark.createDataFrame([("hub", 1)] + [(f"k{i}", i) for i in range(0, 20, 2)], "key string, v int")
-    for how in ("left", "inner", "left_semi", "left_anti"):
-        cold = skew.lookup_join(df, lookup, "key", how)
-        hot = skew.lookup_join(df, lookup, "key", how, hot_rows=50)
-        assert cold.columns == hot.columns
-        assert sorted(map(str, cold.collect())) == sorted(map(str, hot.collect())), how
-    assert skew.hot_keys(df, "key", 50) == {"hub": 100}
+    known = {r.key: r.v for r in lookup.collect()}
+    rows = [(r.key, r.n) for r in df.collect()]
+    want = {"left": [(k, n, known.get(k)) for k, n in rows], "inner": [(k, n, known[k]) for k, n in rows if k in known],
+            "left_semi": [(k, n) for k, n in rows if k in known], "left_anti": [(k, n) for k, n in rows if k not in known]}
+    for how, expected in want.items():
+        assert sorted(map(str, map(tuple, skew.lookup_join(df, lookup, "key", how).collect()))) == sorted(map(str, expected)), how
 
 
 def test_save_and_load(spark, tmp_path):
