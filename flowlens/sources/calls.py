@@ -49,6 +49,7 @@ HOLES = {
 _NAME = "A-Za-z0-9_$"
 _NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$@")
 _BLANK = " \t\r\n"
+_BODY = re.compile(r"\s*(?::[^={};()]+|throws [\w., ]+)?\{")
 _OPEN_STRING, _IN_STRING, _CLOSE_STRING = "\x01", "\x02", "\x03"
 
 
@@ -89,9 +90,11 @@ def _blanked(text: str, language: str) -> str:
         marks = _OPEN_STRING + _IN_STRING * (n - 2) + _CLOSE_STRING
         hole = hole_of(m) if holes else None
         if hole:
+            parts, at = [], 0
             for h in re.finditer(hole, m.group()):
-                code = _PATTERNS[language].sub(lambda x: " " * (x.end() - x.start()), h.group()[1:])
-                marks = marks[:h.start() + 1] + code + marks[h.end():]
+                parts += [marks[at:h.start() + 1], _PATTERNS[language].sub(lambda x: " " * (x.end() - x.start()), h.group()[1:])]
+                at = h.end()
+            marks = "".join(parts) + marks[at:]
         return marks
 
     return _PATTERNS[language].sub(blank, text)
@@ -101,17 +104,17 @@ def _brackets(code: str) -> tuple[dict[int, int], dict[int, int]]:
     """Matching positions of ( and [, by opener and by closer."""
     closes, opens, stack = {}, {}, []
     partner = {")": "(", "]": "[", "}": "{"}
+    waiting = dict.fromkeys("([{", 0)
     for m in re.finditer(r"[()\[\]{}]", code):
         ch, at = m.group(), m.start()
         if ch in "([{":
             stack.append((ch, at))
-            continue
-        depth = len(stack)
-        while depth and stack[depth - 1][0] != partner[ch]:
-            depth -= 1
-        if depth:  # drops openers that were never closed
-            start = stack[depth - 1][1]
-            del stack[depth - 1:]
+            waiting[ch] += 1
+        elif waiting[partner[ch]]:
+            kind = ""
+            while kind != partner[ch]:  # drops openers that were never closed
+                kind, start = stack.pop()
+                waiting[kind] -= 1
             closes[start], opens[at] = at, start
     return closes, opens
 
@@ -122,14 +125,25 @@ def _skip_back(code: str, i: int, blanks: str) -> int:
     return i
 
 
-def _chain_start(code: str, paren: int, opens: dict[int, int]) -> int:
-    """Where the callee of the argument list at ``paren`` starts, or -1 if nothing is called."""
+def _open_angle(code: str, end: int, extra: str = "") -> int:
+    """Where the type arguments that end before ``end`` open, right behind a name; -1 if they are none."""
+    depth, i = 0, end
+    while i > 0 and (code[i - 1] in "<>,.|&[]" + extra + _BLANK or code[i - 1] in _NAME_CHARS):
+        i -= 1
+        depth += (code[i] == ">") - (code[i] == "<")
+        if not depth:
+            return i if i and code[i - 1] in _NAME_CHARS else -1
+    return -1
+
+
+def _chain_start(code: str, paren: int, opens: dict[int, int], known: dict[int, int]) -> int:
+    """Where the callee of the argument list at ``paren`` starts, or -1 if nothing is called. ``known`` has the starts of
+    the argument lists before it, so a chain is walked once."""
     i = paren
     if i and code[i - 1] == ">":  # type arguments
-        m = re.search(rf"[{_NAME}]<[\w\s,.|&\[\]<>]*>\Z", code[max(0, i - 200):i])
-        if m is None:
+        i = _open_angle(code, i)
+        if i < 0:
             return -1
-        i = max(0, i - 200) + m.start() + 1
     elif i and code[i - 1] in " \t":
         i = _skip_back(code, i, " \t")
         if not i or code[i - 1] not in _NAME_CHARS:
@@ -145,6 +159,8 @@ def _chain_start(code: str, paren: int, opens: dict[int, int]) -> int:
                 return -1
         elif ch in ")]" and i - 1 in opens:
             start = i = opens[i - 1]
+            if known.get(i, -1) >= 0:
+                return known[i]
             if i and (code[i - 1] in _NAME_CHARS or code[i - 1] in ")]" + _CLOSE_STRING):
                 continue
         elif ch == _CLOSE_STRING:
@@ -182,13 +198,13 @@ def _declares(code: str, start: int, paren: int, close: int, opens: dict[int, in
         return _word_before(code, opens[at - 1]) == "func"
     if language not in C_LIKE:
         return False
-    if re.search(r"\w<[\w\s,.?<>\[\]]*>[ \t]+\Z", code[max(0, start - 200):start]):
+    if at < start and at and code[at - 1] == ">" and _open_angle(code, at, "?") > 0:
         return True  # generic return type
     if before == "void" and language not in ("javascript", "typescript", "tsx", "vue", "svelte"):
         return True
     if before and not before[0].isdigit() and before not in BEFORE_CALL and start > at - len(before):
         return at < start or code[start - 1] in "*&"
-    if "." not in code[start:paren] and re.match(r"\s*(?::[^={};()]+|throws [\w., ]+)?\{", code[close + 1:close + 200]):
+    if code.find(".", start, paren) < 0 and _BODY.match(code, close + 1):
         return True
     return False
 
@@ -201,11 +217,11 @@ def find_calls(src: bytes, language: str) -> Iterator[tuple[int, int, int, str,
     closes, opens = _brackets(code)
     keywords = NOT_CALLED_IN.get(language, NOT_CALLED)
     lines = [m.start() for m in re.finditer(b"\n", src)]
-    found = []
+    found, known = [], {}
     for paren, close in closes.items():
         if code[paren] != "(":
             continue
-        start = _chain_start(code, paren, opens)
+        start = known[paren] = _chain_start(code, paren, opens, known)
         if start < 0:
             continue
         if code[start] == "@" and language != "ruby":

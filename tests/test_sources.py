@@ -123,6 +123,25 @@ def test_same_rules_on_a_uri(spark, tmp_path):
     assert {r.id for r in g.nodes.collect()} == {"source:user", "svc:code/a.py", "svc:code/d/b.py", "store:db", "sink:log"}
 
 
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_any_name_is_read(spark, tmp_path, scheme):
+    names = ["a%20b.py", "c#d.py", "q?x.py", "e f.py", "x y%/z#w?.py", "plain/é ü.py"]
+    write_tree(str(tmp_path / "odd"), {n: f"log.info(email)  # {n}" for n in names})
+    files = read_corpus(spark, [f"{scheme}{tmp_path}/odd"])
+    assert {r.rel: bytes(r.content).decode() for r in files.collect()} == {n: f"log.info(email)  # {n}" for n in names}
+
+
+def test_an_error_that_hides_files_fails(monkeypatch):
+    from flowlens.sources import tree
+
+    def busy(path):
+        raise OSError(5, "input/output error")
+
+    monkeypatch.setattr(os, "scandir", busy)
+    with pytest.raises(OSError):
+        list(tree._entries("/", "", {}))
+
+
 def test_routing(spark):
     cases = {"x/main.tf": True, "x/a.TFVARS": True, "x/docker-compose.prod.yml": True, "x/compose.yaml": True,
              "x/serverless.ts": True, "x/Chart.yaml": True, "x/values.yaml": True, "x/a.hcl": True, "x/k8s/a.yaml": True,
@@ -162,6 +181,20 @@ def test_calls_in_string_holes():
     assert callees('puts("#{f(x)}")', "ruby") == [("puts", '("#{f(x)}")'), ("f", "(x)")]
 
 
+def test_long_types_and_chains_take_linear_time():
+    import time
+    wide = ", ".join(f"T{i}" for i in range(300))
+    assert callees(f"db.save<{wide}>(email)", "typescript") == [(f"db.save<{wide}>", "(email)")]
+    assert callees(f"Map<{wide}> foo(int a) {{ }}", "java") == []
+    assert callees("class A { foo(a): " + "x | " * 200 + "y { } }", "typescript") == []
+    start = time.process_time()
+    assert len(callees("a" + ".b(x)" * 4000, "javascript")) == 4000
+    assert len(callees("f(" * 4000 + ")" * 4000, "python")) == 4000
+    assert callees("(" * 20_000 + "]" * 20_000, "python") == []
+    assert len(callees("log.info(f'" + "{g(x)}" * 3000 + "')", "python")) == 3001
+    assert time.process_time() - start < 5
+
+
 def test_what_is_no_call():
     assert callees("if (a) { return (b) } while (c) {}", "javascript") == []
     assert callees("class A { foo(a) { } get bar() { } async baz(q): Promise<X> { } }", "typescript") == []
