@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,6 +137,15 @@ def _(s, sf):
     return call_source.extract_calls(f).select("rel", "line", "full_text")
 
 
+@query("prj3_line_at_offset", """SELECT doc_id, octet_length(encode(head))::BIGINT AS byte_offset,
+    (1 + len(head) - len(replace(head, chr(10), '')))::INT AS line
+  FROM (SELECT doc_id, left(text, (len(text) * (doc_id % 11)) // 11) AS head FROM documents)""")
+def _(s, sf):
+    head = F.expr("left(text, cast((length(text) * (doc_id % 11)) div 11 AS int))")
+    at = inputs.table(s, sf, "documents").withColumn("byte_offset", F.octet_length(head).cast("bigint"))
+    return at.select("doc_id", "byte_offset", txt.line_at(F.col("text"), F.col("byte_offset")).alias("line"))
+
+
 @query("prj4_split_callee", ask(CALLS, SPLIT, "SELECT DISTINCT callee, recv AS receiver, method FROM split"))
 def _(s, sf):
     low = F.lower("callee")
@@ -224,12 +234,16 @@ def _(s, sf):
 
 @query("flt7_is_placeholder", f"""SELECT 'document' AS source, doc_id AS id FROM documents
   WHERE regexp_matches(text, '{PLACEHOLDER}')
-  UNION ALL SELECT 'page', page_id FROM pages WHERE regexp_matches(url, '{PLACEHOLDER}')""")
+  UNION ALL SELECT 'page', page_id FROM pages WHERE regexp_matches(url, '{PLACEHOLDER}')
+  UNION ALL SELECT 'turn', conv_id FROM conversations WHERE regexp_matches(text, '{PLACEHOLDER}')
+  UNION ALL SELECT 'item', item_id FROM benchmark WHERE regexp_matches(text, '{PLACEHOLDER}')""")
 def _(s, sf):
-    docs = inputs.spread(inputs.table(s, sf, "documents").select("doc_id", "text")).filter(tgt.is_placeholder(F.col("text")))
-    pages = inputs.table(s, sf, "pages").filter(tgt.is_placeholder(F.col("url")))
-    return (docs.select(F.lit("document").alias("source"), F.col("doc_id").alias("id"))
-            .unionByName(pages.select(F.lit("page").alias("source"), F.col("page_id").alias("id"))))
+    parts = []
+    for source, name, key, column in (("document", "documents", "doc_id", "text"), ("page", "pages", "page_id", "url"),
+                                      ("turn", "conversations", "conv_id", "text"), ("item", "benchmark", "item_id", "text")):
+        rows = inputs.spread(inputs.table(s, sf, name).select(key, column)).filter(tgt.is_placeholder(F.col(column)))
+        parts.append(rows.select(F.lit(source).alias("source"), F.col(key).alias("id")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("flt8_filter_by_sensitivity", ask(GRAPH, """SELECT f AS "from", t AS "to", categories FROM flows
@@ -284,8 +298,7 @@ def _(s, sf):
 def _(s, sf):
     ids = inputs.calls(s, sf).select(F.explode(idf.identifiers(F.col("args_text"))).alias("id")).distinct()
     toks = ids.select("id", F.explode(idf.identifier_tokens(F.col("id"))).alias("token"))
-    # the dictionary has at most MAX_DICTIONARY_ROWS rows
-    return (toks.join(F.broadcast(dims.dim_pii_token(s)), "token").groupBy("token", "cat_id")
+    return (toks.join(dims.dim_pii_token(s), "token").groupBy("token", "cat_id")
             .agg(F.count("*").alias("identifiers")))
 
 
@@ -710,13 +723,16 @@ def _(s, sf):
 
 _DOC_IDS = """ids AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS id FROM documents
   UNION ALL SELECT unnest(regexp_extract_all(args_text, '[A-Za-z_][A-Za-z0-9_]*')) FROM calls
+  UNION ALL SELECT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) FROM conversations
+  UNION ALL SELECT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) FROM benchmark
   UNION ALL SELECT url FROM pages)"""
 
 
 def _doc_ids(s, sf):
-    docs = inputs.spread(inputs.table(s, sf, "documents").select("text")).select(F.explode(idf.identifiers(F.col("text"))).alias("id"))
-    args = inputs.calls(s, sf).select(F.explode(idf.identifiers(F.col("args_text"))).alias("id"))
-    return docs.unionByName(args).unionByName(inputs.table(s, sf, "pages").select(F.col("url").alias("id"))).distinct()
+    texts = reduce(DataFrame.unionByName, [inputs.spread(inputs.table(s, sf, t).select("text")) for t in ("documents", "conversations", "benchmark")])
+    args = inputs.calls(s, sf).select(F.col("args_text").alias("text"))
+    ids = texts.unionByName(args).select(F.explode(idf.identifiers(F.col("text"))).alias("id"))
+    return ids.unionByName(inputs.table(s, sf, "pages").select(F.col("url").alias("id"))).distinct()
 
 
 @query("scl6_identifier_tokens", ask(CALLS, _DOC_IDS, tokens_of("ids"),

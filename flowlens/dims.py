@@ -5,6 +5,8 @@ Every dictionary can be replaced: pass a ``Dictionaries`` with your own rows.
 
 from __future__ import annotations
 
+import json
+import zlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -118,11 +120,18 @@ LOCKFILES = ("package-lock.json yarn.lock pnpm-lock.yaml composer.lock poetry.lo
              "cargo.lock").split()
 MAX_FILE_BYTES = 1 << 20
 
-# ---- end of fixed values ----------------------------------------------------
+# what makes a file an infrastructure file: extensions, starts of names, whole names, languages; YAML by words in its path
+INFRA_EXTENSIONS = ".tf .tfvars".split()
+INFRA_NAME_STARTS = "docker-compose compose. serverless.".split()
+INFRA_NAMES = "chart.yaml values.yaml".split()
+INFRA_LANGUAGES = "hcl terraform".split()
+YAML_EXTENSIONS = ".yaml .yml".split()
+DEPLOY_WORDS = "k8s kubernetes manifest /deploy chart helm".split()
 
-#: Largest dictionary that may become a literal in the plan or a broadcast side.
-MAX_DICTIONARY_ROWS = 5000
+# labels of call targets that no dictionary names
+COMMS_LABEL, HTTP_LABEL, LOG_LABEL, STORE_LABEL, DB_LABEL = "Email / messaging", "External HTTP", "Logs", "Data store", "Database"
 
+# ---- end of fixed values ----------------------------------------------------
 
 def builtin_pii_tokens() -> list[tuple[str, str, str, str]]:
     return [(t, cid, label, sens) for cid, label, sens, toks in PII_CATEGORIES for t in toks.split()]
@@ -130,7 +139,8 @@ def builtin_pii_tokens() -> list[tuple[str, str, str, str]]:
 
 @dataclass(frozen=True)
 class Dictionaries:
-    """Dictionary rows used by the classifiers. All are small by contract."""
+    """Dictionary rows used by the classifiers. They are lists on the driver and constants in a plan, of any size that a
+    driver holds; an entry is found by hash, so a look-up takes as long in a large dictionary as in a small one."""
 
     pii_tokens: list[tuple] = field(default_factory=builtin_pii_tokens)
     name_qualifiers: list[str] = field(default_factory=lambda: list(NAME_QUALIFIERS))
@@ -139,10 +149,6 @@ class Dictionaries:
     infra: list[tuple] = field(default_factory=lambda: list(INFRA_TOKENS))
 
     def __post_init__(self):
-        for rows in (self.pii_tokens, self.name_qualifiers, self.address_qualifiers,
-                     self.vendors, self.infra):
-            if len(rows) > MAX_DICTIONARY_ROWS:
-                raise ValueError(f"a dictionary holds {len(rows)} rows; at most {MAX_DICTIONARY_ROWS} fit in a plan")
         seen: dict[str, tuple] = {}
         for _, cid, label, sens in self.pii_tokens:
             if seen.setdefault(cid, (label, sens)) != (label, sens):
@@ -161,24 +167,21 @@ class Dictionaries:
         """Build from DataFrames shaped like ``dim_*``; frames left out keep the built-in rows."""
         kw: dict = {}
         if pii_tokens is not None:
-            kw["pii_tokens"] = _small(pii_tokens.select("token", "cat_id", "cat_label", "sensitivity"))
+            kw["pii_tokens"] = _rows(pii_tokens.select("token", "cat_id", "cat_label", "sensitivity"))
         if vendors is not None:
-            kw["vendors"] = sorted(_small(vendors.select("token", "name")))
+            kw["vendors"] = sorted(_rows(vendors.select("token", "name")))
         if infra is not None:
-            kw["infra"] = _small(infra.select("token", "enrich_id", "label"))
+            kw["infra"] = _rows(infra.select("token", "enrich_id", "label"))
         if qualifiers is not None:
-            rows = _small(qualifiers.select("kind", "token"))
+            rows = _rows(qualifiers.select("kind", "token"))
             kw["name_qualifiers"] = sorted(t for k, t in rows if k == "name")
             kw["address_qualifiers"] = sorted(t for k, t in rows if k == "address")
         return cls(**kw)
 
 
-def _small(df: DataFrame) -> list[tuple]:
-    """Dictionary rows on the driver; refuses anything that is not dictionary-sized."""
-    rows = [tuple(r) for r in df.limit(MAX_DICTIONARY_ROWS + 1).collect()]
-    if len(rows) > MAX_DICTIONARY_ROWS:
-        raise ValueError(f"dictionary frame holds more than {MAX_DICTIONARY_ROWS} rows")
-    return rows
+def _rows(df: DataFrame) -> list[tuple]:
+    """Dictionary rows on the driver."""
+    return [tuple(r) for r in df.collect()]
 
 
 BUILTIN = Dictionaries()
@@ -218,10 +221,19 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def literal_map(pairs) -> Column:
-    """``map<string,string>`` literal from (key, value) pairs. Built as SQL text: one call to the JVM
-    instead of one per entry."""
-    return F.expr("map(" + ", ".join(quoted(x) for kv in pairs for x in kv) + ")")
+def lookup(pairs, key: Column) -> Column:
+    """The value of a key among constant (key, value) pairs, null if it is not there.
+
+    A map is searched from end to end, so the pairs are dealt to many small maps by the key's checksum. All are one
+    constant that the optimizer parses from text once.
+    """
+    table = dict(pairs)
+    size = 1 << len(table).bit_length()
+    maps: list[dict[str, str]] = [{} for _ in range(size)]
+    for k, v in table.items():
+        maps[zlib.crc32(k.encode()) % size][k] = v
+    dealt = F.from_json(F.lit(json.dumps(maps)), "array<map<string,string>>")
+    return F.element_at(F.get(dealt, (F.crc32(key.cast("binary")) % size).cast("int")), key)
 
 
 def one_of(value: Column, words) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..dims import BUILTIN, Dictionaries, literal_map, one_of
+from ..dims import BUILTIN, Dictionaries, lookup, one_of
 
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
 
@@ -28,7 +28,7 @@ def classify_tokens(tokens: Column, d: Dictionaries = BUILTIN, in_parts: bool =
     The joined tokens are looked up first; then, left to right, the first token that is in the
     dictionary, or is ``name`` / ``address`` next to one of its qualifiers.
     """
-    lookup = literal_map((t, cid) for t, cid, _, _ in d.pii_tokens)
+    pairs = [(t, cid) for t, cid, _, _ in d.pii_tokens]
 
     def beside(i: Column, qualifiers: list[str]) -> Column:
         return (F.coalesce(one_of(F.get(tokens, i - 1), qualifiers), F.lit(False))
@@ -37,10 +37,10 @@ def classify_tokens(tokens: Column, d: Dictionaries = BUILTIN, in_parts: bool =
     def by_token(t: Column, i: Column) -> Column:
         qualified = F.when((t == "name") & beside(i, d.name_qualifiers), F.lit("name")).when(
             (t == "address") & beside(i, d.address_qualifiers), F.lit("address"))
-        return F.coalesce(F.element_at(lookup, t), qualified)
+        return F.coalesce(lookup(pairs, t), qualified)
 
     per_token = F.get(F.filter(F.transform(tokens, by_token), lambda c: c.isNotNull()), F.lit(0))
-    return per_token if in_parts else F.coalesce(F.element_at(lookup, F.array_join(tokens, "")), per_token)
+    return per_token if in_parts else F.coalesce(lookup(pairs, F.array_join(tokens, "")), per_token)
 
 
 def classify_identifier(identifier: Column, d: Dictionaries = BUILTIN) -> Column:
@@ -60,7 +60,7 @@ def categories_in(snippet: Column, d: Dictionaries = BUILTIN) -> Column:
     marked = F.translate(F.regexp_replace(snippet, "([a-z0-9])([A-Z])", "$1_$2"), _UPPER, _UPPER.lower())
     names = F.regexp_extract_all(marked, F.lit("([a-z_][a-z0-9_]*)"), F.lit(1))
 
-    lookup = literal_map((t, cid) for t, cid, _, _ in d.pii_tokens)
+    pairs = [(t, cid) for t, cid, _, _ in d.pii_tokens]
 
     def by_position(tokens: Column) -> Column:
         return classify_tokens(tokens, d, in_parts=True)
@@ -68,7 +68,7 @@ def categories_in(snippet: Column, d: Dictionaries = BUILTIN) -> Column:
     def one_name(name: Column) -> Column:
         split = F.array(F.filter(F.split(name, "_"), lambda t: t != ""))
         # a name of one token was looked up whole; only longer ones go token by token
-        return F.coalesce(F.element_at(lookup, F.replace(name, F.lit("_"), F.lit(""))),
+        return F.coalesce(lookup(pairs, F.replace(name, F.lit("_"), F.lit(""))),
                           F.when(name.contains("_"), F.get(F.transform(split, by_position), F.lit(0))))
 
     found = F.transform(F.array_distinct(names), one_name)

@@ -6,11 +6,13 @@ accented letters as word characters.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..dims import BUILTIN, Dictionaries, literal_map, one_of, quoted
+from ..dims import BUILTIN, Dictionaries, lookup, one_of, quoted
 
 _NOT_AFTER_WORD = "(?<![A-Za-z0-9_])"
 _NOT_BEFORE_WORD = "(?![A-Za-z0-9_])"
@@ -60,16 +62,14 @@ def url_host(text: Column) -> Column:
 
 def match_vendor(lowered: Column | str, d: Dictionaries = BUILTIN) -> Column:
     """Alphabetically first vendor token contained in a lower-cased text (a column or its name), or
-    null."""
+    null. One pattern tells whether there is any; only then the tokens are tried one by one."""
     tokens = sorted(t for t, _ in d.vendors)
     if not tokens:
         return F.lit(None).cast("string")
-    if isinstance(lowered, str) and len(tokens) <= 64:
-        cases = " ".join(f"WHEN contains({lowered}, {quoted(t)}) THEN {quoted(t)}" for t in tokens)
-        return F.expr(f"CASE {cases} END")
     text = F.col(lowered) if isinstance(lowered, str) else lowered
     listed = F.expr("array(" + ", ".join(map(quoted, tokens)) + ")")
-    return F.get(F.filter(listed, lambda t: text.contains(t)), F.lit(0))
+    any_of = "|".join(re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", t) for t in tokens)
+    return F.when(text.rlike(any_of), F.get(F.filter(listed, lambda t: text.contains(t)), F.lit(0)))
 
 
 def is_comms(lowered_callee: Column) -> Column:
@@ -111,7 +111,7 @@ def store_label(family: Column) -> Column:
     label = F.when(F.lit(False), "")
     for name, (_, text) in dims.STORE_FAMILIES.items():
         label = label.when(family == name, text)
-    return label.otherwise("Database")
+    return label.otherwise(dims.DB_LABEL)
 
 
 def target_system(kind: Column) -> Column:
@@ -131,7 +131,6 @@ def with_target(calls: DataFrame, d: Dictionaries = BUILTIN) -> DataFrame:
     of a one-row ``inline``, so a later filter on the target reads it instead of pulling a copy of the
     whole rule chain down the plan.
     """
-    name_of = literal_map(d.vendors) if d.vendors else F.lit(None).cast("map<string,string>")
     low, recv, method = F.col("_low"), F.col("_recv"), F.col("_method")
     rule, vendor, host, family = (F.col(c) for c in ("_rule", "_vendor", "_host", "_family"))
     staged = calls.select(
@@ -159,11 +158,11 @@ def with_target(calls: DataFrame, d: Dictionaries = BUILTIN) -> DataFrame:
         .when(rule == "log", "sink:log")
         .when(rule == "store", F.concat(F.lit("store:"), F.when(family == "", "db").otherwise(family)))
         .alias("target_id"),
-        F.when(vendor.isNotNull(), F.element_at(name_of, vendor))
-        .when(rule == "comms", "Email / messaging")
-        .when(rule == "http", F.coalesce(host, F.lit("External HTTP")))
-        .when(rule == "log", "Logs")
-        .when(rule == "store", F.when(family == "", "Data store").otherwise(store_label(family)))
+        F.when(vendor.isNotNull(), lookup(d.vendors, vendor))
+        .when(rule == "comms", dims.COMMS_LABEL)
+        .when(rule == "http", F.coalesce(host, F.lit(dims.HTTP_LABEL)))
+        .when(rule == "log", dims.LOG_LABEL)
+        .when(rule == "store", F.when(family == "", dims.STORE_LABEL).otherwise(store_label(family)))
         .alias("target_label"),
         F.when(rule.isin("vendor", "comms", "http"), "external")
         .when(rule == "log", "sink").when(rule == "store", "store").alias("target_kind"))

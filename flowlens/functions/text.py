@@ -51,6 +51,12 @@ def evidence(rel: Column, line: Column) -> Column:
     return F.concat_ws(":", rel, line.cast("string"))
 
 
+def line_at(text: Column, byte_offset: Column) -> Column:
+    """The line, from 1, of a byte offset into the UTF-8 form of a text."""
+    before = F.decode(F.substring(F.encode(text, "UTF-8"), F.lit(1), byte_offset.cast("int")), "ISO-8859-1")
+    return (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("int")
+
+
 def node_subtitle(label_count: Column, location: Column, system: Column, kind: Column) -> Column:
     """Kind of a node, or the tail of its directory when its label is not unique."""
     location, system = F.coalesce(location, F.lit("")), F.coalesce(system, F.lit(""))

@@ -46,14 +46,8 @@ def filter_names(files: DataFrame) -> DataFrame:
 def detect_language(files: DataFrame, languages: list[tuple[str, str]] | None = None) -> DataFrame:
     """Add ``language`` by exact file name, else by extension; null if unknown."""
     rows = builtin_languages() if languages is None else languages
-    if len(rows) > dims.MAX_DICTIONARY_ROWS:
-        raise ValueError(f"at most {dims.MAX_DICTIONARY_ROWS} language rows fit in a plan")
-
-    def found(key: Column, pairs: list[tuple[str, str]]) -> Column:
-        return F.element_at(dims.literal_map(pairs), key) if pairs else F.lit(None).cast("string")
-
-    by_name = found(F.col("name"), [r for r in rows if not r[0].startswith(".")])
-    by_extension = found(F.lower(extension(F.col("name"))), [r for r in rows if r[0].startswith(".")])
+    by_name = dims.lookup([r for r in rows if not r[0].startswith(".")], F.col("name"))
+    by_extension = dims.lookup([r for r in rows if r[0].startswith(".")], F.lower(extension(F.col("name"))))
     return files.withColumn("language", F.coalesce(by_name, by_extension))
 
 
@@ -62,16 +56,15 @@ def route_infra(files: DataFrame) -> DataFrame:
     walked, root included) speaks of deployment."""
     name, path = F.lower("name"), F.lower("path")
     ext = extension(name)
-    deploy_words = ["k8s", "kubernetes", "manifest", "/deploy", "chart", "helm"]
+    named = name.isin(dims.INFRA_NAMES)
+    for start in dims.INFRA_NAME_STARTS:
+        named = named | name.startswith(start)
     deployed = F.lit(False)
-    for word in deploy_words:
+    for word in dims.DEPLOY_WORDS:
         deployed = deployed | path.contains(word)
     return files.withColumn("is_infra", (
-        ext.isin(".tf", ".tfvars")
-        | name.startswith("docker-compose") | name.startswith("compose.") | name.startswith("serverless.")
-        | name.isin("chart.yaml", "values.yaml")
-        | F.coalesce(F.col("language").isin("hcl", "terraform"), F.lit(False))
-        | (ext.isin(".yaml", ".yml") & deployed)))
+        ext.isin(dims.INFRA_EXTENSIONS) | named | F.coalesce(F.col("language").isin(dims.INFRA_LANGUAGES), F.lit(False))
+        | (ext.isin(dims.YAML_EXTENSIONS) & deployed)))
 
 
 def scan_stats(files: DataFrame) -> DataFrame:

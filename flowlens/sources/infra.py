@@ -17,8 +17,7 @@ def infra_tokens(infra_files: DataFrame, d: Dictionaries = BUILTIN) -> DataFrame
     """Every dictionary token found in ``infra_files(root_idx, walk_key, src)`` with its position and
     the store node and label it stands for."""
     words = infra_files.select("root_idx", "walk_key", F.posexplode(infra_words(F.col("src"))).alias("pos", "token"))
-    # the dictionary is bounded by MAX_DICTIONARY_ROWS
-    return words.join(F.broadcast(dim_infra(infra_files.sparkSession, d)), "token")
+    return words.join(dim_infra(infra_files.sparkSession, d), "token")
 
 
 def store_relabels(infra_files: DataFrame, d: Dictionaries = BUILTIN) -> DataFrame:

@@ -90,3 +90,14 @@ def test_own_dictionary(spark):
 def test_dictionary_with_two_labels_is_refused():
     with pytest.raises(ValueError):
         dims.Dictionaries(pii_tokens=[("a", "x", "X", "pii"), ("b", "x", "Y", "pii")])
+
+
+def test_twenty_thousand_tokens(spark):
+    """A dictionary of any size is one constant, and finds what a small one finds."""
+    d = dims.Dictionaries(pii_tokens=[(f"tok{i}", f"c{i % 7}", f"C{i % 7}", "pii") for i in range(20_000)],
+                          vendors=[(f"vendor{i:05d}", f"V{i}") for i in range(6_000)])
+    names = {"tok19999": "c0", "aTok123": "c4", "tok20000": None, "my_tok_77": "c0", "tok_1_x": None, "x_tok5_y": "c5"}
+    assert one(spark, names, d) == {**names, "my_tok_77": None}
+    from flowlens.functions.targets import match_vendor
+    df = spark.createDataFrame([("call.vendor05999.vendor00042",), ("vendor99999",)], "c string")
+    assert [r[0] for r in df.select(match_vendor(F.col("c"), d)).collect()] == ["vendor00042", None]
