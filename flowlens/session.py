@@ -44,7 +44,7 @@ def new_folder(spark: SparkSession) -> str:
 def store(df: DataFrame) -> str:
     """Write a DataFrame as Parquet to the shared folder; its path. Runs a job."""
     path = new_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return path
 
 
