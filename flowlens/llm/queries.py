@@ -76,4 +76,48 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_warc, op4_secret_scan, op5_license_scan, op6_packing,
                                   op7_toxicity, op8_simhash, op9_quality, op10_decontamination, pipeline)}
-SQL: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_LOWERED = f"translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.LOWER}')"
+_WORDS = f"regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_OP10 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS win
+  FROM (SELECT *, unnest(generate_series(1, len(w) - n + 1)) AS k FROM i)),
+places AS (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+hits AS (SELECT * FROM places SEMI JOIN windows USING (n, win)),
+n_hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits JOIN windows USING (n, win)) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
+def _kind_sql(order: int, rule: tuple) -> str:
+    kind, pattern, group, least, _ = rule
+    p = _text(pattern)
+    counted = f"len(regexp_extract(m, {p}, {group})) >= {least}" if group else "true"
+    return f"""SELECT doc_id, {order} AS o, {_text(kind)} AS kind, stop - len(m) AS start, stop FROM (
+  SELECT doc_id, m, (sum(len(g) + len(m)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS stop FROM (
+    SELECT doc_id, i, ms[i] AS m, gs[i] AS g FROM (
+      SELECT doc_id, ms, string_split_regex(t, {p}) AS gs, unnest(generate_series(1, len(ms))) AS i FROM (
+        SELECT doc_id, t, regexp_extract_all(t, {p}) AS ms FROM texts)))) WHERE {counted}"""
+
+
+_OP4 = "WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),\nspans AS (" + "\nUNION ALL ".join(
+    _kind_sql(i, r) for i, r in enumerate(secret_scan.RULES)) + """),
+per AS (SELECT doc_id, count_if(o = 0) AS n_assign, count_if(o = 1) AS n_access, count_if(o = 2) AS n_hex,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) FILTER (o < 3) AS base,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts LEFT JOIN per USING (doc_id)"""
+
+#: Learned models, tokenizer ids, XXH64 fingerprints and hashed n-grams have no SQL form; tests hold those queries against brute force.
+SQL: dict[str, str] = {"op4_secret_scan": _OP4, "op10_decontamination": _OP10}
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
