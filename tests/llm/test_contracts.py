@@ -323,3 +323,23 @@ def test_held_out_accuracy(spark):
     c = {(x.toxic, x.predicted): x["count"] for x in QUERIES["op7_toxicity"](spark, folder).join(labels, "doc_id").filter("held_out")
          .groupBy("toxic", "predicted").count().collect()}
     assert c.get((1, 1), 0) >= 0.6 * (c.get((1, 0), 0) + c.get((1, 1), 0)) and c.get((0, 1), 0) <= 0.05 * (c[(0, 0)] + c.get((0, 1), 0))
+
+
+def test_packing_keeps_all_three_limits(spark):
+    import public_tokenizers
+    from flowlens.llm import packing
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join(rng.choice(["red", "green", "blue"], size=int(rng.integers(0, 90)))), int(rng.integers(0, 40))) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, asked int").repartition(2)
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), max_tokens=128, max_segments=5, max_loss=90, prompt="asked").collect()
+    by = {}
+    for p in pieces:
+        by.setdefault(p.sequence_id, []).append(p)
+    for ps in by.values():
+        assert sum(p.length for p in ps) <= 128 and len(ps) <= 5 and sum(p.loss_tokens for p in ps) <= 90
+        assert sorted(p.offset for p in ps) == [sum(q.length for q in ps if q.offset < p.offset) for p in sorted(ps, key=lambda p: p.offset)]
+    asked = {k: max(1, a) for k, _, a in rows}
+    for p in pieces:
+        bare = sum(1 for i in range(p.start, p.start + p.length) if i == p.start or i < min(asked[p.doc_id], p.doc_tokens))
+        assert p.loss_tokens == p.length - bare
+    assert sum(p.length for p in pieces) == sum(len(t.split()) + 1 for _, t, _ in rows)
