@@ -8,9 +8,9 @@ Lines with the same set are one class, which stands where its first line stands.
    occurs nowhere else and is no key. Any order is correct, the sketch only makes it a good one.
 2. Each class lists its rarest words as keys (prefix filter): matching lines share one of them.
 3. Per key, classes are compared by length, by the key's place in either line (positional filter) and by a
-   64-bit digest of the words, whose differing bits bound the differing words from below.
-4. What is left is verified on the words themselves. A class first proposes its earliest candidate; only
-   classes whose proposal fails propose all others. So a group of variants costs one verified pair each, not all pairs.
+   128-bit digest, the parity of the words at each bit, whose differing bits bound the differing words from below.
+4. What is left is verified on the words themselves. Under a key a class first proposes its earliest candidate only;
+   classes for which such a proposal fails and that have others then propose all. So a large group of variants costs a verified pair each, not all pairs.
 
 Defined results: null text and lines without words have no class and stay. Documents with a null id come last in the order.
 Rows that repeat id and text are one document; each of them is returned and loses the same lines. A document that loses all its
@@ -19,39 +19,74 @@ lines with words leaves the corpus. Empty tables give empty results. Columns of
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, ship_package
+from ..session import cut
+from .common import bit_set, constant_array, free_finished, in_bit_set, python_tasks
 
 THRESHOLD = 0.8
 CELLS = 1 << 22
 #: The sketch travels in so many parts.
 PARTS = 64
-#: Words of a batch that are ordered at a time (a line is never split).
-BATCH_WORDS = 400_000
-MEMO = 400_000
+#: Bytes of text that are handled at a time; a line is never split, a document may be.
+BATCH = 1 << 20
 LAST = (1 << 63) - 1
 #: Classes under a key up to which all keys of a batch are compared at once; larger ones are compared one by one, in blocks.
 FEW, BLOCK = 48, 2_000
 
-_memo: dict[bytes, int] = {}
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word; a worker remembers them."""
-    if len(_memo) > MEMO:
-        _memo.clear()
-    for w in set(words).difference(_memo):
-        _memo[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_powers: dict[str, np.ndarray] = {}
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64, up to ``n``."""
+    if "up" not in _powers or len(_powers["up"]) < n:
+        size = max(n, BATCH + 4096)
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[name] = np.multiply.accumulate(steps)
+    return _powers["up"], _powers["down"]
+
+
+def _tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit hash of each word of lower-case bytes: a polynomial over its bytes, from running sums, then mixed."""
+    word = ~_BLANK[data]
+    edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=0, append=0))
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    up, down = _power_tables(len(data))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)])))
+    h = (sums[ends] - sums[starts]) * down[starts]
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    return starts, h ^ (h >> np.uint64(33))
+
+
+def _pieces(text: str | None) -> Iterator[tuple[int, bytes]]:
+    """Lower-case bytes of a text in pieces of whole lines, with the number of each piece's first line."""
+    data = (text or "").encode("utf-8", "replace").lower()
+    at = line = 0
+    while len(data) - at > BATCH:
+        end = data.rfind(b"\n", at, at + BATCH)
+        end = data.find(b"\n", at) if end < 0 else end
+        if end < 0:
+            break
+        yield line, data[at:end]
+        line += data.count(b"\n", at, end) + 1
+        at = end + 1
+    yield line, data[at:]
 
 
 def _cell(h: np.ndarray) -> np.ndarray:
@@ -60,34 +95,47 @@ def _cell(h: np.ndarray) -> np.ndarray:
 
 def word_levels(docs: DataFrame) -> np.ndarray:
     """Per cell 0 for a count of 0 or 1, else a level that grows with the logarithm of the count: CELLS bytes."""
-    ship_package(docs.sparkSession)
+    python_tasks(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
+        waiting, size = [], 0
+
+        def take():
+            _, h = _tokens(np.frombuffer(b"\n".join(waiting), np.uint8))
+            waiting.clear()
+            cells[:] += np.bincount(_cell(h), minlength=CELLS) if len(h) > CELLS // 8 else 0
+            if 0 < len(h) <= CELLS // 8:
+                which, n = np.unique(_cell(h), return_counts=True)
+                cells[which] += n
+
         for batch in batches:
-            words: list[bytes] = []
-            for text in [*batch.column(0).to_pylist(), None]:
-                if len(words) > BATCH_WORDS or text is None:
-                    np.add.at(cells, _cell(_hashes(words)), 1)
-                    words = []
-                words += (text or "").encode("utf-8", "replace").lower().split()
-            np.add.at(cells, _cell(_hashes(words)), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(
-            [zlib.compress(p.tobytes(), 1) for p in np.split(cells, PARTS)], pa.binary())], names=["part", "cells"])
+            for text in batch.column(0).to_pylist():
+                for _, piece in _pieces(text):
+                    waiting.append(piece)
+                    size += len(piece)
+                    if size >= BATCH:
+                        take()
+                        size = 0
+        take()
+        used = np.flatnonzero(cells)
+        part = used // (CELLS // PARTS)
+        bounds = np.searchsorted(part, np.arange(PARTS + 1))
+        rows = [(k, used[x:y].astype("<u4").tobytes(), cells[used[x:y]].astype("<u4").tobytes()) for k, (x, y) in enumerate(zip(bounds, bounds[1:]))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["part", "cells", "n"])
 
     def add(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(CELLS // PARTS, np.int64)
+        total, low = np.zeros(CELLS // PARTS, np.int64), key[0] * (CELLS // PARTS)
         for part in parts:
-            for x in part["cells"]:
-                total += np.frombuffer(zlib.decompress(x), np.int64)
+            for x, n in zip(part["cells"], part["n"]):
+                total[np.frombuffer(x, "<u4").astype(np.int64) - low] += np.frombuffer(n, "<u4")
         levels = np.where(total > 1, np.minimum(255, 8 * np.log2(np.maximum(total, 2))), 0).astype(np.uint8)
-        yield pd.DataFrame({"part": [key[0]], "cells": [zlib.compress(levels.tobytes(), 1)]})
+        yield pd.DataFrame({"part": [key[0]], "levels": [levels.tobytes()]})
 
-    parts = docs.select("text").mapInArrow(count, "part int, cells binary")
-    summed = parts.groupBy("part").applyInPandas(add, "part int, cells binary").collect()  # PARTS rows
+    parts = docs.select("text").mapInArrow(count, "part int, cells binary, n binary")
     out = np.zeros((PARTS, CELLS // PARTS), np.uint8)
-    for r in summed:
-        out[r.part] = np.frombuffer(zlib.decompress(r.cells), np.uint8)
+    for r in parts.groupBy("part").applyInPandas(add, "part int, levels binary").collect():  # PARTS rows, CELLS bytes
+        out[r.part] = np.frombuffer(r.levels, np.uint8)
     return out.reshape(-1)
 
 
@@ -96,153 +144,205 @@ def overlap_needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.ceil((n + m) * (THRESHOLD / (1 + THRESHOLD)) - 1e-9).astype(np.int64)
 
 
-def _line_rows(words: list[bytes], counts: list[int], levels: np.ndarray):
-    """Of lines given by all their words and each line's number of them (at least 1): ``(n, class hash 1, class hash 2, digest, keys,
-    place of each key)`` per line."""
-    h = _hashes(words)
-    line = np.repeat(np.arange(len(counts)), counts)
+def _by_line(line: np.ndarray, level: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The order by line, level and hash."""
+    if len(line) and line[-1] < 1 << 16:
+        key = (line.astype(np.uint64) << np.uint64(48)) | (level.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24))
+        order = np.argsort(key)
+        key = key[order]
+        if not ((key[1:] == key[:-1]) & (h[order[1:]] != h[order[:-1]])).any():  # else 40 bits of the hash do not tell all words apart
+            return order
+    return np.lexsort((h, level, line))
+
+
+def _parities(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each line, each the parity of the words that fall on it."""
+    bit, high = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6) & np.uint64(1)).astype(bool)
+    zero = np.uint64(0)
+    return tuple(np.bitwise_xor.reduceat(np.where(side, bit, zero), starts) for side in (~high, high))
+
+
+def _line_rows(data: bytes, levels: np.ndarray):
+    """Of the lines with words in lower-case bytes: ``(number, n, class hash 1, class hash 2, two halves of the digest)`` of each, and
+    ``(index of the line, key, place)`` of each key."""
+    array = np.frombuffer(data, np.uint8)
+    at, h = _tokens(array)
+    number = np.searchsorted(np.flatnonzero(array == 10), at)
     level = levels[_cell(h)]
-    order = np.lexsort((h, level, line))
-    h, line, level = h[order], line[order], level[order]
+    order = _by_line(number, level, h)
+    h, number, level = h[order], number[order], level[order]
     first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    h, line, level = h[first], line[first], level[first]
-    starts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+    first[1:] = (h[1:] != h[:-1]) | (number[1:] != number[:-1])
+    h, number, level = h[first], number[first], level[first]
+    starts = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1]))) if len(h) else np.zeros(0, int)
     n = np.diff(np.append(starts, len(h)))
-    place = np.arange(len(h)) - np.repeat(starts, n)
+    if not len(n):
+        return (*[np.zeros(0, np.int64)] * 6, *[np.zeros(0, np.int64)] * 3)
     one = np.add.reduceat(h * (h | np.uint64(1)) ^ (h >> np.uint64(29)), starts)
     two = np.add.reduceat((h ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) ^ (h >> np.uint64(31)), starts)
-    digest = np.bitwise_or.reduceat(np.uint64(1) << (h & np.uint64(63)), starts)
+    d1, d2 = _parities(h, starts)
     prefix = n - np.ceil(n * THRESHOLD - 1e-9).astype(np.int64) + 1
+    place = np.arange(len(h)) - np.repeat(starts, n)
     # sets of up to three words match equal sets only, and a word that occurs once is in no other line
-    key = (place < np.repeat(prefix, n)) & (level > 0) & np.repeat(n > 3, n)
-    keys = np.bincount(line[key], minlength=len(counts))
-    return n, one.view(np.int64), two.view(np.int64), digest.view(np.int64), keys, h[key].view(np.int64), place[key]
+    key = np.flatnonzero((place < np.repeat(prefix, n)) & (level > 0) & np.repeat(n > 3, n))
+    owner = np.searchsorted(starts, key, side="right") - 1
+    return number[starts], n, one.view(np.int64), two.view(np.int64), d1.view(np.int64), d2.view(np.int64), owner, h[key].view(np.int64), place[key]
 
 
 def lines(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """``(doc, version, line, n, c1, c2, digest, keys, places)`` for each line with words of ``docs(doc_id, text)``. ``doc`` is the id, the
-    largest number for a null one; ``(c1, c2)`` is the class."""
+    """``(doc, version, line, n, c1, c2, d1, d2, keys, places)`` for each line with words of ``docs(doc_id, text)``. ``doc`` is the id, the
+    largest number for a null one; ``(c1, c2)`` is the class. Of lines of one class within a batch the first one carries the keys, so
+    a line that stands in a third of all rows has few."""
     spark = docs.sparkSession
-    ship_package(spark)
-    shared = spark.sparkContext.broadcast(zlib.compress(levels.tobytes(), 1))
-    names = ["doc", "version", "line", "n", "c1", "c2", "digest", "keys", "places"]
+    python_tasks(spark)
+    shared = spark.sparkContext.broadcast(levels)
+    names = ["doc", "version", "line", "n", "c1", "c2", "d1", "d2", "keys", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(zlib.decompress(shared.value), np.uint8)
-        words, counts, owner = [], [], []
+        waiting: list[tuple] = []
 
         def out():
-            n, one, two, digest, keys, h, place = _line_rows(words, counts, table)
-            doc, version, line = map(np.array, zip(*owner))
-            offsets = pa.array(np.concatenate(([0], np.cumsum(keys))), pa.int32())
-            arrays = [pa.array(x) for x in (doc, version)] + [pa.array(line, pa.int32()), pa.array(n, pa.int32())]
-            arrays += [pa.array(x) for x in (one, two, digest)]
+            number, n, one, two, d1, d2, owner, h, place = _line_rows(b"\n".join(w[3] for w in waiting), shared.value)
+            sizes = np.array([w[3].count(b"\n") + 1 for w in waiting])
+            begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            piece = np.searchsorted(begins, number, side="right") - 1
+            doc, version, low = (np.array([w[k] for w in waiting], np.int64)[piece] for k in range(3))
+            line = number - begins[piece] + low
+            waiting.clear()
+            order = np.lexsort((line, doc, two, one))
+            again = np.zeros(len(n), bool)
+            again[order[1:]] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+            kept = ~again[owner]
+            owner, h, place = owner[kept], h[kept], place[kept]
+            offsets = pa.array(np.searchsorted(owner, np.arange(len(n) + 1)), pa.int32())
+            arrays = [pa.array(x, t) for x, t in ((doc, None), (version, None), (line, pa.int32()), (n, pa.int32()), (one, None), (two, None), (d1, None), (d2, None))]
             arrays += [pa.ListArray.from_arrays(offsets, pa.array(h)), pa.ListArray.from_arrays(offsets, pa.array(place, pa.int32()))]
-            for x in (words, counts, owner):
-                x.clear()
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
+        size = 0
         for batch in batches:
             for doc, version, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for k, line in enumerate((text or "").encode("utf-8", "replace").lower().split(b"\n")):
-                    if w := line.split():
-                        words += w
-                        counts.append(len(w))
-                        owner.append((LAST if doc is None else doc, version, k))
-                        if len(words) >= BATCH_WORDS:
-                            yield out()
-        if owner:
+                for low, piece in _pieces(text):
+                    waiting.append((LAST if doc is None else doc, version, low, piece))
+                    size += len(piece)
+                    if size >= BATCH:
+                        yield out()
+                        size = 0
+        if waiting:
             yield out()
 
     return docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(
-        run, "doc long, version long, line int, n int, c1 long, c2 long, digest long, keys array<bigint>, places array<int>")
+        run, "doc long, version long, line int, n int, c1 long, c2 long, d1 long, d2 long, keys array<bigint>, places array<int>")
 
 
-def _pairs(n, i, digest, x, y):
+def _pairs(n, i, d1, d2, x, y):
     """Which index pairs pass the length, positional and digest filters."""
     nx, ny = n[x], n[y]
     need = overlap_needed(nx, ny)
     ok = (np.minimum(nx, ny) >= need) & (np.minimum(nx - i[x], ny - i[y]) >= need)
-    return ok & (np.bitwise_count(digest[x] ^ digest[y]) <= nx + ny - 2 * need)
-
-
-def candidates(classes: DataFrame, every: bool = False) -> DataFrame:
-    """``(later, earlier)``: class pairs that share a key and pass the filters, for the classes with ``open``. Of the earlier ones of a class
-    and key the earliest, or with ``every`` all. ``classes(c1, doc, line, n, digest, keys, places, open)``."""
-    spark = classes.sparkSession
-    names = ["later", "earlier", "doc", "line"]
-    keyed = classes.select("c1", "doc", "line", "n", "digest", "open", F.explode(F.arrays_zip("keys", "places")).alias("k")).select(
-        F.col("k.keys").alias("key"), "c1", "doc", "line", "n", F.col("k.places").alias("i"), "digest", "open")
+    differ = np.bitwise_count(d1[x] ^ d1[y]).astype(np.int64) + np.bitwise_count(d2[x] ^ d2[y])
+    return ok & (differ <= nx + ny - 2 * need)
+
+
+def candidates(all_lines: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """``(later, earlier, more)``: classes (by their first hash) that share a key and pass the filters, each pair once. Under a
+    key a class gives its earliest partner only; ``more`` says that it may have others. With ``wanted(c1)``: all
+    earlier partners of those classes. ``all_lines`` is as from ``lines``."""
+    spark = all_lines.sparkSession
+    every = wanted is not None
+    names = ["later", "earlier", "more"]
+    source = all_lines.filter(F.size("keys") > 0).select("c1", "doc", "line", "n", "d1", "d2", "keys", "places")
+    exploded = F.explode(F.arrays_zip("keys", "places")).alias("k")
+    if every:
+        # bit sets may let some other classes and keys pass, which costs a little work and changes nothing
+        source = source.withColumn("open", in_bit_set(F.col("c1"), constant_array(bit_set(wanted.select(F.col("c1").alias("h"))), "bigint")).cast("int"))
+        asked = source.filter("open = 1").select(F.explode("keys").alias("h")).distinct()
+        marked = constant_array(bit_set(asked, 16), "bigint")
+        rows = source.select("c1", "doc", "line", "n", "d1", "d2", "open", exploded).filter(in_bit_set(F.col("k.keys"), marked))
+    else:
+        rows = source.select("c1", "doc", "line", "n", "d1", "d2", F.lit(1).alias("open"), exploded)
+    # n, the key's place and whether partners are asked for share one number: rows are many, so they are narrow
+    packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("k.places") * 2 + F.col("open")
+    keyed = rows.select(F.col("k.keys").alias("key"), "c1", "doc", "line", packed.alias("p"), "d1", "d2")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = None
 
-        def found(c, doc, line, x, y):
-            """Rows for pairs whose first is the earlier one, of each later class the earliest unless all are asked for."""
-            if not every and len(x):
+        def found(c, x, y, crowd):
+            """Rows for pairs of earlier and later classes: of each later one the earliest partner, or all if they are asked for.
+            ``more`` tells that there are, or in a crowd may be, other partners."""
+            more = np.full(len(x), crowd and not every)
+            if not every:
                 order = np.lexsort((x, y))  # classes of a key stand in order, so the smallest index is the earliest
-                x, y = x[order], y[order]
+                x, y, more = x[order], y[order], more[order]
                 first = np.ones(len(y), bool)
                 first[1:] = y[1:] != y[:-1]
-                x, y = x[first], y[first]
-            return pa.RecordBatch.from_arrays([pa.array(c[y]), pa.array(c[x]), pa.array(doc[x]), pa.array(line[x])], names=names)
+                more[:-1] |= ~first[1:]
+                x, y, more = x[first], y[first], more[first]
+            return pa.RecordBatch.from_arrays([pa.array(c[y]), pa.array(c[x]), pa.array(more)], names=names)
 
-        def one_key(c, doc, line, n, i, digest, wanted):
+        def one_key(c, n, i, d1, d2, asked):
             for a in range(0, len(c), BLOCK):
                 later = np.arange(a, min(a + BLOCK, len(c)))
-                later = later[wanted[later]]
-                for b in range(0, a + BLOCK, BLOCK):
-                    if not len(later):
-                        break
-                    earlier = np.arange(b, min(b + BLOCK, len(c)))
+                later = later[asked[later]]
+                # most of a crowd of variants match one of the first, so blocks of earlier ones begin small
+                b, size = 0, BLOCK if every else 16
+                while b < a + BLOCK and len(later):
+                    earlier = np.arange(b, min(b + size, len(c)))
+                    b, size = b + size, min(4 * size, BLOCK)
                     x, y = (v.ravel() for v in np.meshgrid(earlier, later))
                     before = x < y
                     x, y = x[before], y[before]
-                    ok = _pairs(n, i, digest, x, y)
-                    if ok.any():
-                        yield found(c, doc, line, x[ok], y[ok])
+                    ok = _pairs(n, i, d1, d2, x, y)
+                    x, y = x[ok], y[ok]
+                    if len(x):
+                        yield found(c, x, y, True)
                         if not every:
-                            later = np.setdiff1d(later, y[ok])
-
-        for batch in batches:
-            columns = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
-            if carried is not None:
-                columns = [np.concatenate(p) for p in zip(carried, columns)]
-            key, c, doc, line, n, i, digest, wanted = columns
-            n, i, digest, wanted = n.astype(np.int64), i.astype(np.int64), digest.view(np.uint64), wanted.astype(bool)
-            if not len(key):
-                continue
+                            later = np.setdiff1d(later, y)
+
+        def work(columns) -> Iterator[pa.RecordBatch]:
+            """Whole keys, in the order of key, document and line; a class counts once for a key, where it stands first."""
+            key, c, doc, line, p, d1, d2 = columns
+            order = np.lexsort((np.arange(len(key)), c, key))
+            repeated = np.zeros(len(key), bool)
+            repeated[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
+            key, c, p, d1, d2 = (v[~repeated] for v in (key, c, p, d1, d2))
+            n, i, asked = p >> 32, (p & 0xFFFFFFFF) >> 1, (p & 1).astype(bool)
+            d1, d2 = d1.view(np.uint64), d2.view(np.uint64)
             starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             sizes = np.diff(np.append(starts, len(key)))
-            carried = [v[starts[-1]:] for v in columns]
             few = np.repeat(sizes <= FEW, sizes)
-            few[starts[-1]:] = False
             xs, ys = [], []
             for step in range(1, FEW):
-                same = few[step:] & (key[step:] == key[:-step])
-                if not same.any():
+                y = np.flatnonzero(few[step:] & (key[step:] == key[:-step])) + step
+                if not len(y):
                     break
-                y = np.flatnonzero(same & wanted[step:]) + step
+                y = y[asked[y]]
                 x = y - step
-                ok = _pairs(n, i, digest, x, y)
+                ok = _pairs(n, i, d1, d2, x, y)
                 xs.append(x[ok])
                 ys.append(y[ok])
             if xs:
-                yield found(c, doc, line, np.concatenate(xs), np.concatenate(ys))
-            for k in np.flatnonzero(sizes[:-1] > FEW):
+                yield found(c, np.concatenate(xs), np.concatenate(ys), False)
+            for k in np.flatnonzero(sizes > FEW):
                 at = slice(starts[k], starts[k] + sizes[k])
-                yield from one_key(*(v[at] for v in (c, doc, line, n, i, digest, wanted)))
-        if carried is not None:
-            key, c, doc, line, n, i, digest, wanted = carried
-            yield from one_key(c, doc, line, n.astype(np.int64), i.astype(np.int64), digest.view(np.uint64), wanted.astype(bool))
+                yield from one_key(*(v[at] for v in (c, n, i, d1, d2, asked)))
+
+        for batch in batches:
+            columns = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+            if carried is not None:
+                columns = [np.concatenate(v) for v in zip(carried, columns)]
+            last = np.searchsorted(columns[0], columns[0][-1]) if len(columns[0]) else 0
+            carried = [v[last:] for v in columns]
+            if last:
+                yield from work([v[:last] for v in columns])
+        if carried is not None and len(carried[0]):
+            yield from work(carried)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.repartition(parts, "key").sortWithinPartitions("key", "doc", "line", "c1")
-    pairs = ordered.mapInArrow(compare, "later long, earlier long, doc long, line int")
-    if every:
-        return pairs.select("later", "earlier").distinct()
-    return pairs.groupBy("later").agg(F.min(F.struct("doc", "line", "earlier")).alias("m")).select("later", "m.earlier")
+    pairs = ordered.mapInArrow(compare, "later long, earlier long, more boolean")
+    return pairs.groupBy("later", "earlier").agg(F.max("more").alias("more"))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -250,16 +350,28 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     wanted = pairs.select(F.col("later").alias("c1")).union(pairs.select("earlier")).distinct()
     where = classes.select("c1", "doc", "version", "line").join(wanted, "c1", "left_semi")
     spots = where.groupBy("doc", "version").agg(F.collect_list(F.struct("line", "c1")).alias("spots"))
-    own = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("version"), "text").hint("shuffle_merge")
+    spots = cut(spots)
+    own = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("version"), "text")
+    # few documents hold a wanted line; a bounded bit set keeps most others from being shuffled
+    marked = constant_array(bit_set(spots.select(F.col("version").alias("h"))), "bigint")
+    own = own.filter(in_bit_set(F.col("version"), marked)).hint("shuffle_merge")
     texts = own.join(spots, ["doc", "version"]).select(F.split("text", "\n", -1).alias("lines"), "spots").select(
         F.explode(F.transform("spots", lambda s: F.struct(s["c1"].alias("c1"), F.get("lines", s["line"]).alias("text")))).alias("x"))
-    lower = F.translate("x.text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    sets = cut(texts.select("x.c1", F.array_distinct(F.array_remove(F.split(lower, r"[\x20\x09-\x0D]+"), "")).alias("words"))
-               .dropDuplicates(["c1"]))
-    both = (pairs.join(sets.withColumnsRenamed({"c1": "later", "words": "a"}), "later")
-            .join(sets.withColumnsRenamed({"c1": "earlier", "words": "b"}), "earlier"))
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.filter(shared >= THRESHOLD * (F.size("a") + F.size("b") - shared) - 1e-9).select("later", "earlier")
+    texts = cut(texts.select("x.*"))
+    free_finished(docs.sparkSession)
+    both = (pairs.select("later", "earlier").join(texts.withColumnsRenamed({"c1": "later", "text": "a"}), "later")
+            .join(texts.withColumnsRenamed({"c1": "earlier", "text": "b"}), "earlier"))
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                x, y = (set(t.encode("utf-8", "replace").lower().split()) for t in (a, b))
+                shared = len(x & y)
+                keep.append(shared >= THRESHOLD * (len(x) + len(y) - shared) - 1e-9)
+            yield batch.select(["later", "earlier"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("later", "earlier", "a", "b").mapInArrow(match, "later long, earlier long").distinct()
 
 
 def matches(docs: DataFrame) -> DataFrame:
@@ -269,17 +381,14 @@ def matches(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     all_lines = cut(lines(docs, word_levels(docs)))
     place = F.struct("doc", "line", "version")
-    classes = cut(all_lines.groupBy("c1", "c2").agg(F.min(place).alias("p"), F.first("n").alias("n"), F.first("digest").alias("digest"),
-                                                    F.first("keys").alias("keys"), F.first("places").alias("places"))
-                  .select("c1", "c2", "p.doc", "p.line", "p.version", "n", "digest", "keys", "places"))
-    with_keys = classes.filter(F.size("keys") > 0)
-    first = cut(candidates(with_keys.withColumn("open", F.lit(True))))
+    classes = cut(all_lines.groupBy("c1", "c2").agg(F.min(place).alias("p")).select("c1", "c2", "p.doc", "p.line", "p.version"))
+    first = cut(candidates(all_lines))
+    free_finished(docs.sparkSession)
     good = cut(_verified(first, classes, docs))
-    failed = cut(first.join(good, "later", "left_anti"))
-    if not failed.isEmpty():
-        still = with_keys.join(failed.select(F.col("later").alias("c1"), F.lit(True).alias("_f")), "c1", "left")
-        others = cut(candidates(still.withColumn("open", F.coalesce("_f", F.lit(False))).drop("_f"), every=True).join(
-            failed, ["later", "earlier"], "left_anti"))
+    free_finished(docs.sparkSession)
+    wanted = cut(first.filter("more").join(good, ["later", "earlier"], "left_anti").select(F.col("later").alias("c1")).distinct())
+    if not wanted.isEmpty():
+        others = cut(candidates(all_lines, wanted).join(first, ["later", "earlier"], "left_anti"))
         good = good.unionByName(_verified(others, classes, docs))
     spot = classes.select(F.col("c1").alias("earlier"), F.struct("doc", "line").alias("spot"))
     best = good.join(spot, "earlier").groupBy(F.col("later").alias("c1")).agg(F.min("spot").alias("spot"))
@@ -295,10 +404,10 @@ def matches(docs: DataFrame) -> DataFrame:
 def remove_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that match earlier ones, and without documents that lost all lines with words."""
     found = matches(docs)
-    gone = found.groupBy("doc", "version").agg(
+    gone = found.groupBy(F.col("doc").alias("_at_doc"), F.col("version").alias("_at_version")).agg(
         F.collect_list(F.when(F.col("removed"), F.col("line"))).alias("_gone"), F.count("*").alias("_n")).filter(F.size("_gone") > 0)
     keyed = docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(LAST)), "_version": F.xxhash64("text")})
-    joined = keyed.join(gone, (F.col("_doc") == gone.doc) & (F.col("_version") == gone.version), "left")
+    joined = keyed.join(gone, (F.col("_doc") == F.col("_at_doc")) & (F.col("_version") == F.col("_at_version")), "left")
     parts = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
