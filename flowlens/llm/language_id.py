@@ -16,14 +16,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .common import sample_share
+from .common import python_tasks, sample_share
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
@@ -41,10 +41,10 @@ class LanguageModel:
     ngrams: dict[str, int]
     ngram_scores: np.ndarray
     _memo: dict[str, int] = field(default_factory=dict)
-    _extra: list[np.ndarray] = field(default_factory=list)
+    _extra: np.ndarray | None = None
 
     def __getstate__(self):
-        return {**self.__dict__, "_memo": {}, "_extra": []}
+        return {**self.__dict__, "_memo": {}, "_extra": None}
 
     def unseen(self, word: str) -> np.ndarray:
         """Mean score of the longest known n-grams; a short word is padded, so its ends count."""
@@ -56,25 +56,28 @@ class LanguageModel:
             weight *= BACKOFF
         return np.zeros(len(self.languages), np.float32)
 
+    def _of_unseen(self, words: list[str]) -> np.ndarray:
+        """Summed scores of at most MEMO words; those met before are remembered."""
+        memo = self._memo
+        if self._extra is None:
+            self._extra = np.zeros((2 * MEMO, len(self.languages)), np.float32)
+        if len(memo) > MEMO:
+            memo.clear()
+        for w in words:
+            if w not in memo:
+                self._extra[len(memo)] = self.unseen(w)
+                memo[w] = len(memo)
+        return self._extra[list(map(memo.__getitem__, words))].sum(axis=0, dtype=np.float64)
+
     def predict(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall(text.lower()) if text else []
         if not words or not self.languages:
             return "und", 0.0
-        known, memo = self.words, self._memo
-        if len(memo) > MEMO:
-            memo.clear()
-            self._extra.clear()
-        rows = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+        rows = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
         total = self.word_scores[rows[rows >= 0]].sum(axis=0, dtype=np.float64)
-        if (rows < 0).any():
-            extra = np.zeros(len(self.languages))
-            for i in np.flatnonzero(rows < 0):
-                k = memo.get(words[i])
-                if k is None:
-                    memo[words[i]] = k = len(self._extra)
-                    self._extra.append(self.unseen(words[i]))
-                extra += self._extra[k]
-            total = total + extra
+        unseen = np.flatnonzero(rows < 0).tolist()
+        for a in range(0, len(unseen), MEMO):
+            total = total + self._of_unseen([words[i] for i in unseen[a:a + MEMO]])
         best = int(total.argmax())
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -120,7 +123,7 @@ def train(labelled: DataFrame, key: str = "doc_id", rows_per_language: int = 4_0
 
 def language(model: LanguageModel, spark, text: str = "text") -> Column:
     """A struct ``(lang_pred, score)`` for a text column."""
-    ship_package(spark)
+    python_tasks(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -128,7 +131,7 @@ def language(model: LanguageModel, spark, text: str = "text") -> Column:
         m = shared.value
         return pd.DataFrame([m.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return predict(F.col(text))
+    return predict.asNondeterministic()(F.col(text))  # so that a filter on the result does not evaluate it a second time
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
