@@ -1,10 +1,10 @@
 """Packing tokenised documents into training sequences: vector bin packing.
 
 A sequence has three limits at once: tokens, segments (pieces of documents) and loss-bearing tokens (all but
-the first of a piece, which nothing predicts). A task fills one sequence after another from a window of
+the first of a piece, which nothing predicts, and those of a prompt). A task fills one sequence after another from a window of
 waiting documents. Each step takes the document with the largest dot product of its demand and
-what is left, both as shares of the limits, among those that fit whole; the window holds them by
-length, so equal demands are looked at once. When nothing fits whole, the longest one is cut to fill the
+what is left, both as shares of the limits, among those that fit whole; equal demands are looked at
+once. When nothing fits whole, the longest one is cut to fill the
 rest. What is left at a task's end is written as sequences whose lengths are powers of two, which need no padding.
 
 Tokenising is per word, remembered per worker: the tokenizer drops white space and no token crosses the
@@ -31,9 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from .common import python_tasks
 
-COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
 END = 2
 MAX_TOKENS = 4096
 MAX_SEGMENTS = 1024
@@ -41,7 +41,7 @@ MAX_LOSS = 4095
 #: Ids that wait in a task's window before sequences are filled from it.
 WINDOW = 64 * MAX_TOKENS
 #: Words whose ids a worker remembers; when they are more it starts anew.
-MEMO = 500_000
+MEMO = 150_000
 BLANKS = re.compile("[ \n\t\r]+")
 _tokenizers: dict = {}
 
@@ -102,55 +102,74 @@ def encode(texts: list[str], path: str) -> Iterator[np.ndarray]:
         yield np.frombuffer(b"".join(parts) + end, "<u4")
 
 
+def loss_of(length: int, start: int, prompt: int) -> int:
+    """Loss-bearing ids of a piece: not its first one, and not the document's first ``prompt`` ones."""
+    return length - min(length, max(1, prompt - start))
+
+
 class Packer:
-    """Fills the sequences of one task."""
+    """Fills the sequences of one task. What waits is kept by its demand: rests of documents with equal (tokens, loss) are alike."""
 
     def __init__(self, first_id: int, tokens: int, segments: int, loss: int):
         self.next_id, self.limits = first_id, (tokens, segments, loss)
-        self.by_length: dict[int, deque] = defaultdict(deque)  # rests of documents: (doc_id, ids, start)
-        self.lengths: list[int] = []  # sorted, those that wait
+        self.slot: dict[tuple[int, int], int] = {}
+        self.queues: list[deque] = []  # by slot: (doc_id, ids, prompt, start)
+        self.tokens, self.loss, self.many = (np.zeros(1024, np.int64) for _ in range(3))  # by slot
         self.waiting = 0
         self.out: list[tuple] = []
 
-    def add(self, doc_id, ids: np.ndarray, start: int = 0) -> None:
+    def add(self, doc_id, ids: np.ndarray, prompt: int = 1, start: int = 0) -> None:
         n = len(ids) - start
-        if n not in self.by_length or not self.by_length[n]:
-            bisect.insort(self.lengths, n)
-        self.by_length[n].append((doc_id, ids, start))
+        demand = (n, loss_of(n, start, prompt))
+        k = self.slot.get(demand)
+        if k is None:
+            if len(self.queues) == len(self.tokens):
+                self._make_room()
+            k = self.slot[demand] = len(self.queues)
+            self.queues.append(deque())
+            self.tokens[k], self.loss[k] = demand
+        self.queues[k].append((doc_id, ids, prompt, start))
+        self.many[k] += 1
         self.waiting += n
 
-    def _take(self, n: int):
-        doc = self.by_length[n].popleft()
-        if not self.by_length[n]:
-            del self.by_length[n]
-            self.lengths.pop(bisect.bisect_left(self.lengths, n))
-        self.waiting -= n
+    def _make_room(self) -> None:
+        """Drop slots in which nothing waits; if most are in use, double the tables."""
+        used = np.flatnonzero(self.many[:len(self.queues)])
+        size = 2 * len(self.tokens) if 2 * len(used) > len(self.tokens) else len(self.tokens)
+        self.queues = [self.queues[k] for k in used]
+        for name in ("tokens", "loss", "many"):
+            grown = np.zeros(size, np.int64)
+            grown[:len(used)] = getattr(self, name)[used]
+            setattr(self, name, grown)
+        self.slot = {(int(n), int(x)): k for k, (n, x) in enumerate(zip(self.tokens[:len(used)], self.loss[:len(used)]))}
+
+    def _take(self, k: int):
+        doc = self.queues[k].popleft()
+        self.many[k] -= 1
+        self.waiting -= int(self.tokens[k])
         return doc
 
-    def _best(self, tokens: int, segments: int, loss: int) -> int | None:
-        """The waiting length with the largest dot product among those that fit whole. A demand is (n, 1, n - 1):
-        for what is left it grows with n, so the longest that fits is the best; the first two limits decide what fits."""
-        if segments < 1:
-            return None
-        k = bisect.bisect_right(self.lengths, min(tokens, loss + 1))
-        return self.lengths[k - 1] if k else None
-
     def fill(self, size: int) -> None:
         """One sequence of ``size`` ids."""
-        _, max_segments, max_loss = self.limits
-        max_loss = min(max_loss, size)
-        left, segments, loss, offset = size, max_segments, max_loss, 0
-        while left and self.lengths and segments:
-            n = self._best(left, segments, loss)
-            if segments == 1 or n is None:  # cut the longest to fill the rest
-                n = self.lengths[-1]
-            doc_id, ids, start = self._take(n)
-            length = min(n, left, loss + 1)
-            if length < n:
-                self.add(doc_id, ids, start + length)
-            self.out.append((doc_id, start, length, zlib.crc32(ids[start:start + length].tobytes()), len(ids),
-                             self.next_id, offset))
-            left, segments, loss, offset = left - length, segments - 1, loss - (length - 1), offset + length
+        max_tokens, max_segments, max_loss = self.limits
+        left, segments, loss, offset = size, max_segments, min(max_loss, size), 0
+        while left and self.waiting and segments:
+            m = len(self.queues)
+            tokens, losses = self.tokens[:m], self.loss[:m]
+            fits = (self.many[:m] > 0) & (tokens <= left) & (losses <= loss)
+            if segments > 1 and fits.any():
+                # demand times what is left, each as a share of its limit; one segment is every demand's
+                dot = tokens * (left / max_tokens ** 2) + losses * (loss / max_loss ** 2) + segments / max_segments ** 2
+                k = int(np.where(fits, dot, -1).argmax())
+            else:  # the longest one is cut to fill the rest
+                k = int(np.where(self.many[:m] > 0, tokens, -1).argmax())
+            doc_id, ids, prompt, start = self._take(k)
+            length = min(len(ids) - start, left, loss + max(1, prompt - start))
+            if start + length < len(ids):
+                self.add(doc_id, ids, prompt, start + length)
+            used = loss_of(length, start, prompt)
+            self.out.append((doc_id, start, length, zlib.crc32(ids[start:start + length].tobytes()), len(ids), self.next_id, offset, used))
+            left, segments, loss, offset = left - length, segments - 1, loss - used, offset + length
         self.next_id += 1
 
     def drain(self) -> list[tuple]:
@@ -159,10 +178,11 @@ class Packer:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS,
-         max_loss: int = MAX_LOSS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+         max_loss: int = MAX_LOSS, doc_id: str = "doc_id", text: str = "text", prompt: str | None = None) -> DataFrame:
     """One row per piece: which ids of which document stand where in which sequence. ``max_tokens`` is a power of two.
-    Sequence ids are unique: the task's number and a number within it."""
-    ship_package(docs.sparkSession)
+    ``prompt`` names a column with how many of a document's first ids bear no loss (instruction data). Sequence ids are unique: the
+    task's number and a number within it."""
+    python_tasks(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId() << 40, max_tokens, max_segments, max_loss)
@@ -173,8 +193,9 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max
 
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-            for key, ids in zip(batch.column("doc_id").to_pylist(), encode(texts, tokenizer_path)):
-                packer.add(key, ids)
+            keys, prompts = batch.column("doc_id").to_pylist(), batch.column("prompt").to_pylist()
+            for key, first, ids in zip(keys, prompts, encode(texts, tokenizer_path)):
+                packer.add(key, ids, min(max(first or 1, 1), len(ids)))
                 while packer.waiting >= WINDOW:
                     packer.fill(max_tokens)
             if packer.out:
@@ -185,6 +206,6 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max
             packer.fill(1 << (packer.waiting.bit_length() - 1))
         yield rows()
 
-    pieces = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+    first = F.col(prompt).cast("long") if prompt else F.lit(1).cast("long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), first.alias("prompt")).mapInArrow(
         run, ", ".join(f"{c} long" for c in COLUMNS))
-    return pieces.withColumn("loss_tokens", F.col("length") - 1)
