@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import constant_array
+from .common import bit_set, constant_array, in_bit_set
 
 WINDOW = 10
 K = 5
@@ -26,8 +26,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A kept run is one number: its hash above, its place in the text below.
 PLACE = 31
-#: Most numbers of the bit set of item hashes that goes to every task (64 bits each, 2 MB).
-MOST_LONGS = 1 << 18
 
 
 def words(text: Column) -> Column:
@@ -66,26 +64,9 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return each.select("item_id", "n", F.array_join("v", " ").alias("window"), _hash(run).alias("run"), _place(run).alias("at")).distinct()
 
 
-def _marked(runs: DataFrame) -> list[int]:
-    """A bit set over the hashes in ``runs(run)``, as at most ``MOST_LONGS`` numbers. Runs two jobs."""
-    wanted = runs.count() * 16 // 64
-    size = min(MOST_LONGS, max(64, 1 << wanted.bit_length()))
-    bits = runs.select((F.expr(f"cast(shiftright(run, 6) & {size - 1} AS int)")).alias("at"),
-                       F.expr("shiftleft(1L, cast(run & 63 AS int))").alias("bit")).groupBy("at").agg(F.expr("bit_or(bit)").alias("bits"))
-    out = [0] * size
-    for r in bits.collect():  # at most MOST_LONGS rows
-        out[r["at"]] = r["bits"]
-    return out
-
-
 def _candidates(n: int, marked: Column) -> Column:
     """Windows of ``n`` words of the array ``w`` around the runs that some item may keep: ``(n, start, window)``."""
-    def is_marked(r: Column) -> Column:
-        at = F.shiftright(r, PLACE + 6).bitwiseAND(F.size(marked) - 1).cast("int")
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), _hash(r).bitwiseAND(F.lit(63)).cast("int"))
-        return F.get(marked, at).bitwiseAND(bit) != 0
-
-    runs = F.filter(_kept_runs("w", n), is_marked)
+    runs = F.filter(_kept_runs("w", n), lambda r: in_bit_set(_hash(r), marked))
 
     def around(r: Column) -> Column:
         starts = F.transform(F.array(*[F.lit(at) for at in range(n - min(K, n) + 1)]), lambda at: _place(r) - at)
@@ -101,7 +82,7 @@ def search(docs: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``(doc_id, version, n_words)`` of every row, and ``(doc_id, version, start, n, window)`` for every place of an
     item's window, once for each text under an id; ``version`` tells such texts apart."""
     sizes = [r.n for r in kept.select("n").distinct().orderBy("n").collect()]  # at most as many as a window has words
-    marked = constant_array(_marked(kept.select("run").distinct()) if sizes else [0], "bigint")
+    marked = constant_array(bit_set(kept.select(F.col("run").alias("h")).distinct()) if sizes else [0], "bigint")
     w = docs.select("doc_id", F.xxhash64("text").alias("version"), words(F.col("text")).alias("w"))
     found = [_candidates(n, marked) for n in sizes] or [F.expr("cast(array() AS array<struct<n: int, start: int, window: string>>)")]
     each = cut(w.select("doc_id", "version", F.size("w").cast("long").alias("n_words"), (F.flatten(F.array(*found)) if len(found) > 1 else found[0]).alias("found")))
