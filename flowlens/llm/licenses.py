@@ -21,8 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .common import ascii_words_table
+from .common import ascii_words_table, python_tasks
 
 # Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -204,7 +203,7 @@ FIELDS = "n_words long, n_base long, first_word long, last_word long, base_label
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the columns of ``FIELDS``."""
-    ship_package(docs.sparkSession)
+    python_tasks(docs.sparkSession)
     names = [f.split()[0] for f in FIELDS.split(", ")]
 
     @F.pandas_udf(FIELDS)

@@ -21,14 +21,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_share
+from .common import constant_array, sample_share
 
 BUCKETS = 1 << 15
 MAX_TRUSTED = 20_000
-THRESHOLD = -0.15
+THRESHOLD = -0.06
 MIN_WORDS = 50
 BLANKS = r"[\x20\x09-\x0D]+"
-BLANK_CHARACTERS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
 
@@ -36,11 +35,16 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
 
 
-def _grams(w: str) -> Column:
-    """The buckets of an array's words and of its pairs of words."""
-    one = F.transform(w, lambda x: F.hash(x).bitwiseAND(F.lit(BUCKETS - 1)))
-    two = F.expr(f"CASE WHEN size({w}) > 1 THEN transform(sequence(0, size({w}) - 2), "
-                 f"i -> hash({w}[i], {w}[i + 1]) & {BUCKETS - 1}) ELSE array() END")
+def word_hashes(w: str) -> Column:
+    """A 64-bit hash of each word; everything else is made of these numbers, so a word is hashed once."""
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def _grams(h: str) -> Column:
+    """The buckets of the words and of the pairs of words, from an array of word hashes."""
+    one = F.transform(h, lambda x: x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+    two = F.expr(f"CASE WHEN size({h}) > 1 THEN transform(sequence(0, size({h}) - 2), "
+                 f"i -> hash({h}[i], {h}[i + 1]) & {BUCKETS - 1}) ELSE array() END")
     return F.concat(one, two)
 
 
@@ -50,9 +54,10 @@ def weights(docs: DataFrame, trusted: DataFrame, max_trusted: int = MAX_TRUSTED)
     ids = trusted.filter("doc_id IS NOT NULL").distinct()
     n = ids.count()
     ids = ids.filter(sample_share(F.col("doc_id")) < min(1.0, max_trusted / n) if n else F.lit(False))
-    flagged = docs.select("doc_id", words(F.col("text")).alias("w")).join(
+    split = docs.select("doc_id", words(F.col("text")).alias("w"))
+    flagged = split.select("doc_id", word_hashes("w").alias("h")).join(
         F.broadcast(ids.withColumn("_trusted", F.lit(1))), "doc_id", "left")
-    counts = (flagged.select(F.explode(_grams("w")).alias("bucket"), "_trusted").groupBy("bucket")
+    counts = (flagged.select(F.explode(_grams("h")).alias("bucket"), "_trusted").groupBy("bucket")
               .agg(F.count("*").alias("raw"), F.count("_trusted").alias("target")).collect())  # at most BUCKETS rows
     raw, target = [1] * BUCKETS, [1] * BUCKETS
     for r in counts:
@@ -65,7 +70,7 @@ def weights(docs: DataFrame, trusted: DataFrame, max_trusted: int = MAX_TRUSTED)
 
 
 def _repeated_words(w: str) -> Column:
-    """Words inside three-word windows that occur twice or more. Equal windows stand next to each other once the windows'
+    """From an array of word hashes: words inside three-word windows that occur twice or more. Equal windows stand next to each other once the windows'
     hashes are sorted with their places; the places then give the words covered."""
     hashes = f"transform(sequence(0, size({w}) - 3), i -> xxhash64({w}[i], {w}[i + 1], {w}[i + 2]))"
     hashes = F.expr(f"CASE WHEN size({w}) > 3 THEN {hashes} ELSE cast(array() AS array<bigint>) END")
@@ -97,14 +102,17 @@ def judge(docs: DataFrame, weight: list[float], threshold: float = THRESHOLD, te
     """``docs`` with the columns of ``FIELDS``."""
     others = [c for c in docs.columns if c not in FIELDS]
     full = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(full, "\n", -1), lambda x: F.length(F.translate(x, BLANK_CHARACTERS, "")) > 0)
-    table = F.lit(weight)
-    stage = docs.select(*others, words(F.col(text)).alias("_w"), F.length(F.translate(full, BLANK_CHARACTERS, "")).cast("long").alias("word_chars"),
-                        (F.length(full) - F.length(F.translate(full, SYMBOLS, ""))).cast("long").alias("n_symbols"), lines.alias("_lines"))
-    sums = F.aggregate(_grams("_w"), F.lit(0.0), lambda acc, b: acc + F.get(table, b))
-    stage = stage.select(*others, F.size("_w").cast("long").alias("n_words"), "word_chars", "n_symbols",
+    lines = F.filter(F.split(full, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    bare = full
+    for symbol in SYMBOLS:
+        bare = F.replace(bare, F.lit(symbol), F.lit(""))
+    table = constant_array(weight, "double")
+    stage = docs.select(*others, words(F.col(text)).alias("_w"), (F.length(full) - F.length(bare)).cast("long").alias("n_symbols"), lines.alias("_lines"))
+    stage = stage.select(*others, "n_symbols", "_lines", F.length(F.array_join("_w", "")).cast("long").alias("word_chars"), word_hashes("_w").alias("_h"))
+    sums = F.aggregate(_grams("_h"), F.lit(0.0), lambda acc, b: acc + F.get(table, b))
+    stage = stage.select(*others, F.size("_h").cast("long").alias("n_words"), "word_chars", "n_symbols",
                          (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-                         _repeated_words("_w").alias("n_repeat_words"), sums.alias("_sum"))
+                         _repeated_words("_h").alias("n_repeat_words"), sums.alias("_sum"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     score = F.when(F.col("n_words") > 0, F.col("_sum") / (2 * F.col("n_words") - 1)).otherwise(0.0)
     return (stage.withColumn("base_failed", failed).withColumn("score", score)

@@ -32,7 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, ship_package
+from ..session import cut
+from .common import python_tasks
 from .links import components
 
 SHINGLE = 4
@@ -66,7 +67,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with ``fp``, the fingerprint as a signed long."""
-    ship_package(docs.sparkSession)
+    python_tasks(docs.sparkSession)
 
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
@@ -208,7 +209,7 @@ class _Forest:
 def links(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``(a, b)``: links between distinct ``fingerprints(fp)`` that connect what lies within ``max_bits`` bits."""
     spark = fingerprints.sparkSession
-    ship_package(spark)
+    python_tasks(spark)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

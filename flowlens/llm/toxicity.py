@@ -28,8 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .common import sample_share
+from .common import python_tasks, sample_share
 
 # Word lists of the grammar.
 INSULTS = ("idiot idiots moron morons stupid scum trash loser losers worthless pathetic disgusting dumb fool imbecile jerk "
@@ -187,7 +186,7 @@ def train(rows: DataFrame, max_entries: int = 5_000, least: int = 5) -> Grammar:
     stems = _entries(words.select("toxic", F.explode(F.array_distinct(F.flatten(F.transform(long_words, lambda x: F.filter(F.array(
         *[F.when(F.length(x) >= n, F.substring(x, 1, n)) for n in STEMS]), lambda s: s.isNotNull()))))).alias("e")), *limits)
     grammar = Grammar(lexicon, stems)
-    ship_package(rows.sparkSession)
+    python_tasks(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(grammar)
 
     @F.pandas_udf("double")
@@ -203,7 +202,7 @@ def train(rows: DataFrame, max_entries: int = 5_000, least: int = 5) -> Grammar:
 
 def judge(docs: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` and ``predicted``."""
-    ship_package(docs.sparkSession)
+    python_tasks(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
 
     @F.pandas_udf("double")

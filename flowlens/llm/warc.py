@@ -30,7 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, new_folder, ship_package
+from ..session import cut, new_folder
+from .common import python_tasks
 
 #: Bytes of an archive after which a task begins another.
 ARCHIVE_BYTES = 256 << 20
@@ -90,7 +91,7 @@ def with_references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Write the archives and, as Parquet in ``folder/index``, their index, which is returned."""
     spark = pages.sparkSession
-    ship_package(spark)
+    python_tasks(spark)
     names = [c.split()[0] for c in INDEX.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +145,7 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records that ``index`` selects, from the archives' bytes. Payloads of responses are hashed anew and compared with
     the record's digest; ``payload`` is null for revisits, and for all without ``payloads``."""
     spark = index.sparkSession
-    ship_package(spark)
+    python_tasks(spark)
     names = [c.split()[0] for c in READ.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 

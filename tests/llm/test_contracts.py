@@ -104,7 +104,8 @@ def test_op9_score(spark):
     """The score is the mean log ratio, computed by hand from hashed counts."""
     docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, None)], "doc_id long, text string")
     weight = quality.weights(docs, docs.filter("doc_id = 1").select("doc_id"))
-    grams = docs.select("doc_id", quality.words(F.col("text")).alias("w")).select("doc_id", F.explode(quality._grams("w")).alias("g"))
+    hashed = docs.select("doc_id", quality.words(F.col("text")).alias("w")).select("doc_id", quality.word_hashes("w").alias("h"))
+    grams = hashed.select("doc_id", F.explode(quality._grams("h")).alias("g"))
     by = {}
     for r in grams.collect():
         by.setdefault(r.doc_id, []).append(r.g)
