@@ -9,8 +9,7 @@ Lines with the same set are one class, which stands where its first line stands.
 2. Each class lists its rarest words as keys (prefix filter): matching lines share one of them.
 3. Per key, classes are compared by length, by the key's place in either line (positional filter) and by a
    128-bit digest, the parity of the words at each bit, whose differing bits bound the differing words from below.
-4. What is left is verified on the words themselves. Under a key a class first proposes its earliest candidate only;
-   classes for which such a proposal fails and that have others then propose all. So a large group of variants costs a verified pair each, not all pairs.
+4. What is left is verified on the words themselves. Every pair of classes that match is a link; removal follows from the links.
 
 Defined results: null text and lines without words have no class and stay. Documents with a null id come last in the order.
 Rows that repeat id and text are one document; each of them is returned and loses the same lines. A document that loses all its
@@ -19,7 +18,7 @@ lines with words leaves the corpus. Empty tables give empty results. Columns of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,7 +37,7 @@ PARTS = 64
 BATCH = 1 << 20
 LAST = (1 << 63) - 1
 #: Classes under a key up to which all keys of a batch are compared at once; larger ones are compared one by one, in blocks.
-FEW, BLOCK = 48, 2_000
+FEW, BLOCK = 48, 1_000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -93,8 +92,9 @@ def _cell(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(40)).astype(np.int64) & (CELLS - 1)
 
 
-def word_levels(docs: DataFrame) -> np.ndarray:
-    """Per cell 0 for a count of 0 or 1, else a level that grows with the logarithm of the count: CELLS bytes."""
+def word_levels(docs: DataFrame, hashes: Callable[[bytes], np.ndarray] | None = None) -> np.ndarray:
+    """Per cell 0 for a count of 0 or 1, else a level that grows with the logarithm of the count: CELLS bytes. Words are counted, or the
+    ``hashes`` of each whole text in lower case."""
     python_tasks(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +102,10 @@ def word_levels(docs: DataFrame) -> np.ndarray:
         waiting, size = [], 0
 
         def take():
-            _, h = _tokens(np.frombuffer(b"\n".join(waiting), np.uint8))
+            if hashes is None:
+                _, h = _tokens(np.frombuffer(b"\n".join(waiting), np.uint8))
+            else:
+                h = np.concatenate([np.zeros(0, np.uint64), *map(hashes, waiting)])
             waiting.clear()
             cells[:] += np.bincount(_cell(h), minlength=CELLS) if len(h) > CELLS // 8 else 0
             if 0 < len(h) <= CELLS // 8:
@@ -111,7 +114,7 @@ def word_levels(docs: DataFrame) -> np.ndarray:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for _, piece in _pieces(text):
+                for _, piece in _pieces(text) if hashes is None else [(0, (text or "").encode("utf-8", "replace").lower())]:
                     waiting.append(piece)
                     size += len(piece)
                     if size >= BATCH:
@@ -190,8 +193,8 @@ def _line_rows(data: bytes, levels: np.ndarray):
 
 
 def lines(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """``(doc, version, line, n, c1, c2, d1, d2, keys, places)`` for each line with words of ``docs(doc_id, text)``. ``doc`` is the id, the
-    largest number for a null one; ``(c1, c2)`` is the class. Of lines of one class within a batch the first one carries the keys, so
+    """``(doc, version, line, n, c1, c2, d1, d2, keys, places)`` for each line with words of ``docs(doc_id, text)``. ``doc`` is the id,
+    the largest number for a null one; ``(c1, c2)`` is the class. Of lines of one class within a batch the first one carries the keys, so
     a line that stands in a third of all rows has few."""
     spark = docs.sparkSession
     python_tasks(spark)
@@ -244,71 +247,65 @@ def _pairs(n, i, d1, d2, x, y):
     return ok & (differ <= nx + ny - 2 * need)
 
 
-def candidates(all_lines: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """``(later, earlier, more)``: classes (by their first hash) that share a key and pass the filters, each pair once. Under a
-    key a class gives its earliest partner only; ``more`` says that it may have others. With ``wanted(c1)``: all
-    earlier partners of those classes. ``all_lines`` is as from ``lines``."""
-    spark = all_lines.sparkSession
-    every = wanted is not None
-    names = ["later", "earlier", "more"]
-    source = all_lines.filter(F.size("keys") > 0).select("c1", "doc", "line", "n", "d1", "d2", "keys", "places")
-    exploded = F.explode(F.arrays_zip("keys", "places")).alias("k")
-    if every:
-        # bit sets may let some other classes and keys pass, which costs a little work and changes nothing
-        source = source.withColumn("open", in_bit_set(F.col("c1"), constant_array(bit_set(wanted.select(F.col("c1").alias("h"))), "bigint")).cast("int"))
-        asked = source.filter("open = 1").select(F.explode("keys").alias("h")).distinct()
-        marked = constant_array(bit_set(asked, 16), "bigint")
-        rows = source.select("c1", "doc", "line", "n", "d1", "d2", "open", exploded).filter(in_bit_set(F.col("k.keys"), marked))
-    else:
-        rows = source.select("c1", "doc", "line", "n", "d1", "d2", F.lit(1).alias("open"), exploded)
-    # n, the key's place and whether partners are asked for share one number: rows are many, so they are narrow
-    packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("k.places") * 2 + F.col("open")
-    keyed = rows.select(F.col("k.keys").alias("key"), "c1", "doc", "line", packed.alias("p"), "d1", "d2")
+def candidates(all_rows: DataFrame, first_only: bool = False) -> DataFrame:
+    """``(later, earlier)``: classes (by their first hash) that share a key and pass the filters, each pair once. ``all_rows`` is as from
+    ``lines``. With ``first_only`` a class gives its earliest partner under a key only. Where rows have a column
+    ``g``, pairs of equal ``g`` are left out."""
+    spark = all_rows.sparkSession
+    names = ["later", "earlier"]
+    grouped = ["g"] if "g" in all_rows.columns else []
+    rows = all_rows.filter(F.size("keys") > 0).select("c1", "doc", "line", "n", "d1", "d2", *grouped, F.explode(F.arrays_zip("keys", "places")).alias("k"))
+    # n and the key's place share one number: rows are many, so they are narrow
+    packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("k.places") * 8
+    keyed = rows.select(F.col("k.keys").alias("key"), "c1", "doc", "line", packed.alias("p"), "d1", "d2", *grouped)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = None
 
-        def found(c, x, y, crowd):
-            """Rows for pairs of earlier and later classes: of each later one the earliest partner, or all if they are asked for.
-            ``more`` tells that there are, or in a crowd may be, other partners."""
-            more = np.full(len(x), crowd and not every)
-            if not every:
+        def fits(v, x, y):
+            c, p, d1, d2, g = v
+            ok = _pairs(p >> 32, (p & 0xFFFFFFFF) >> 3, d1, d2, x, y)
+            return ok & (g[x] != g[y]) if grouped else ok
+
+        def found(c, x, y):
+            if first_only:
                 order = np.lexsort((x, y))  # classes of a key stand in order, so the smallest index is the earliest
-                x, y, more = x[order], y[order], more[order]
+                x, y = x[order], y[order]
                 first = np.ones(len(y), bool)
                 first[1:] = y[1:] != y[:-1]
-                more[:-1] |= ~first[1:]
-                x, y, more = x[first], y[first], more[first]
-            return pa.RecordBatch.from_arrays([pa.array(c[y]), pa.array(c[x]), pa.array(more)], names=names)
+                x, y = x[first], y[first]
+            return pa.RecordBatch.from_arrays([pa.array(c[y]), pa.array(c[x])], names=names)
 
-        def one_key(c, n, i, d1, d2, asked):
+        def one_key(v):
+            c, g = v[0], v[4]
+            if grouped and (g == g[0]).all():
+                return
             for a in range(0, len(c), BLOCK):
                 later = np.arange(a, min(a + BLOCK, len(c)))
-                later = later[asked[later]]
                 # most of a crowd of variants match one of the first, so blocks of earlier ones begin small
-                b, size = 0, BLOCK if every else 16
+                b, size = 0, 16 if first_only else BLOCK
                 while b < a + BLOCK and len(later):
                     earlier = np.arange(b, min(b + size, len(c)))
                     b, size = b + size, min(4 * size, BLOCK)
-                    x, y = (v.ravel() for v in np.meshgrid(earlier, later))
+                    x, y = (z.ravel() for z in np.meshgrid(earlier, later))
                     before = x < y
                     x, y = x[before], y[before]
-                    ok = _pairs(n, i, d1, d2, x, y)
+                    ok = fits(v, x, y)
                     x, y = x[ok], y[ok]
                     if len(x):
-                        yield found(c, x, y, True)
-                        if not every:
+                        yield found(c, x, y)
+                        if first_only:
                             later = np.setdiff1d(later, y)
 
         def work(columns) -> Iterator[pa.RecordBatch]:
             """Whole keys, in the order of key, document and line; a class counts once for a key, where it stands first."""
-            key, c, doc, line, p, d1, d2 = columns
+            key, c, doc, line, p, d1, d2 = columns[:7]
+            g = columns[7] if grouped else c
             order = np.lexsort((np.arange(len(key)), c, key))
             repeated = np.zeros(len(key), bool)
             repeated[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
-            key, c, p, d1, d2 = (v[~repeated] for v in (key, c, p, d1, d2))
-            n, i, asked = p >> 32, (p & 0xFFFFFFFF) >> 1, (p & 1).astype(bool)
-            d1, d2 = d1.view(np.uint64), d2.view(np.uint64)
+            key, c, p, d1, d2, g = (v[~repeated] for v in (key, c, p, d1, d2, g))
+            v = (c, p, d1.view(np.uint64), d2.view(np.uint64), g)
             starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             sizes = np.diff(np.append(starts, len(key)))
             few = np.repeat(sizes <= FEW, sizes)
@@ -317,16 +314,14 @@ def candidates(all_lines: DataFrame, wanted: DataFrame | None = None) -> DataFra
                 y = np.flatnonzero(few[step:] & (key[step:] == key[:-step])) + step
                 if not len(y):
                     break
-                y = y[asked[y]]
                 x = y - step
-                ok = _pairs(n, i, d1, d2, x, y)
+                ok = fits(v, x, y)
                 xs.append(x[ok])
                 ys.append(y[ok])
             if xs:
-                yield found(c, np.concatenate(xs), np.concatenate(ys), False)
+                yield found(c, np.concatenate(xs), np.concatenate(ys))
             for k in np.flatnonzero(sizes > FEW):
-                at = slice(starts[k], starts[k] + sizes[k])
-                yield from one_key(*(v[at] for v in (c, n, i, d1, d2, asked)))
+                yield from one_key(tuple(z[starts[k]:starts[k] + sizes[k]] for z in v))
 
         for batch in batches:
             columns = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
@@ -341,8 +336,7 @@ def candidates(all_lines: DataFrame, wanted: DataFrame | None = None) -> DataFra
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.repartition(parts, "key").sortWithinPartitions("key", "doc", "line", "c1")
-    pairs = ordered.mapInArrow(compare, "later long, earlier long, more boolean")
-    return pairs.groupBy("later", "earlier").agg(F.max("more").alias("more"))
+    return ordered.mapInArrow(compare, "later long, earlier long").distinct()
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -374,31 +368,41 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return both.select("later", "earlier", "a", "b").mapInArrow(match, "later long, earlier long").distinct()
 
 
-def matches(docs: DataFrame) -> DataFrame:
-    """``(doc, version, line, n, removed, match_doc, match_line)`` for every line with words of ``docs(doc_id, text)``, each text under an id
-    once. The match is the place of the earliest similar class; of a class's own later lines it is the class's first line
-    unless an earlier class is similar."""
-    docs = docs.select("doc_id", "text")
-    all_lines = cut(lines(docs, word_levels(docs)))
+def _links(docs: DataFrame, all_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes ``(c1, c2, doc, version, line)``, each where it stands first, and ``(later, earlier)`` for all that match."""
     place = F.struct("doc", "line", "version")
     classes = cut(all_lines.groupBy("c1", "c2").agg(F.min(place).alias("p")).select("c1", "c2", "p.doc", "p.line", "p.version"))
-    first = cut(candidates(all_lines))
+    pairs = cut(candidates(all_lines))
     free_finished(docs.sparkSession)
-    good = cut(_verified(first, classes, docs))
+    good = cut(_verified(pairs, classes, docs))
     free_finished(docs.sparkSession)
-    wanted = cut(first.filter("more").join(good, ["later", "earlier"], "left_anti").select(F.col("later").alias("c1")).distinct())
-    if not wanted.isEmpty():
-        others = cut(candidates(all_lines, wanted).join(first, ["later", "earlier"], "left_anti"))
-        good = good.unionByName(_verified(others, classes, docs))
+    return classes, good
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """``(later, earlier)``: every pair of different classes of ``docs(doc_id, text)`` that match, once, by the ``c1`` of ``matches``."""
+    docs = docs.select("doc_id", "text")
+    return _links(docs, cut(lines(docs, word_levels(docs))))[1]
+
+
+def matches(docs: DataFrame) -> DataFrame:
+    """``(doc, version, line, n, removed, match_doc, match_line, c1, c2, n_links)`` for every line with words of ``docs(doc_id, text)``, each
+    text under an id once. The match is the place of the earliest similar class; of a class's own later lines it is the class's first
+    line unless an earlier class is similar. ``(c1, c2)`` is the line's class and ``n_links`` the number of other classes that match it."""
+    docs = docs.select("doc_id", "text")
+    all_lines = cut(lines(docs, word_levels(docs)))
+    classes, good = _links(docs, all_lines)
     spot = classes.select(F.col("c1").alias("earlier"), F.struct("doc", "line").alias("spot"))
-    best = good.join(spot, "earlier").groupBy(F.col("later").alias("c1")).agg(F.min("spot").alias("spot"))
+    ends = good.join(spot, "earlier").select(F.col("later").alias("c1"), "spot")
+    ends = ends.unionByName(good.select(F.col("earlier").alias("c1")), allowMissingColumns=True)
+    best = ends.groupBy("c1").agg(F.min("spot").alias("spot"), F.count("*").alias("n_links"))
     judged = cut(classes.select("c1", "c2", F.struct("doc", "line").alias("own"), "version").join(best, "c1", "left"))
     out = all_lines.select("doc", "version", "line", "n", "c1", "c2").join(
         judged.withColumnRenamed("version", "first_version"), ["c1", "c2"])
     is_first = (F.col("own.doc") == F.col("doc")) & (F.col("own.line") == F.col("line")) & (F.col("first_version") == F.col("version"))
     match = F.coalesce("spot", F.when(~is_first, F.col("own")))
     return out.select("doc", "version", "line", "n", match.isNotNull().alias("removed"), match["doc"].alias("match_doc"),
-                      match["line"].alias("match_line")).distinct()
+                      match["line"].alias("match_line"), "c1", "c2", F.coalesce("n_links", F.lit(0)).alias("n_links")).distinct()
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.matches(table(spark, sf_dir, "documents"))
     return found.select(*[F.when(F.col(c) != line_dedup.LAST, F.col(c)).alias(n) for c, n in (("doc", "doc_id"), ("match_doc", "match_doc"))],
-                        "version", "line", "n", "removed", "match_line")
+                        "version", "line", "n", "removed", "match_line", "c1", "c2", "n_links")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

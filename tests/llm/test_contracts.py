@@ -344,3 +344,22 @@ def test_packing_keeps_all_three_limits(spark):
         bare = sum(1 for i in range(p.start, p.start + p.length) if i == p.start or i < min(asked[p.doc_id], p.doc_tokens))
         assert p.loss_tokens == p.length - bare
     assert sum(p.length for p in pieces) == sum(len(t.split()) + 1 for _, t, _ in rows)
+
+
+def test_op2_all_links_and_hot_keys(spark):
+    """Every link between different lines comes out once, also where the lines of one key are dealt over blocks."""
+    from flowlens.llm import line_dedup
+    rng = np.random.default_rng(5)
+    texts = {0: "a b c d e f g h i", 1: "a b c d e f g h j k", 2: "a b c d e f g h i j"}
+    for k in range(3, 240):
+        texts[k] = " ".join(["form", "line", *rng.choice([f"w{i}" for i in range(13)], size=int(rng.integers(5, 12)), replace=False)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = {k: frozenset(t.split()) for k, t in texts.items()}
+    classes = {s: min(k for k in sets if sets[k] == s) for s in sets.values()}
+    like = {(y, x) for s, x in classes.items() for z, y in classes.items() if x < y and 10 * len(s & z) >= 8 * len(s | z)}
+    assert {(2, 0), (2, 1)} <= like and (1, 0) not in like
+    found = line_dedup.matches(docs).collect()
+    by_class = {r.c1: min(x.doc for x in found if x.c1 == r.c1) for r in found}
+    assert [r.n_links for r in sorted(found, key=lambda r: r.doc)] == [sum(classes[sets[k]] in p for p in like) for k in texts]
+    pairs = [(by_class[r.later], by_class[r.earlier]) for r in line_dedup.links(docs).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == like
