@@ -9,6 +9,7 @@ Lines with the same set are one class, which stands where its first line stands.
 2. Each class lists its rarest words as keys (prefix filter): matching lines share one of them.
 3. Per key, classes are compared by length, by the key's place in either line (positional filter) and by a
    128-bit digest, the parity of the words at each bit, whose differing bits bound the differing words from below.
+   A key that very many classes share is dealt to tasks as pairs of blocks.
 4. What is left is verified on the words themselves. Every pair of classes that match is a link; removal follows from the links.
 
 Defined results: null text and lines without words have no class and stay. Documents with a null id come last in the order.
@@ -18,12 +19,13 @@ lines with words leaves the corpus. Empty tables give empty results. Columns of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -38,6 +40,8 @@ BATCH = 1 << 20
 LAST = (1 << 63) - 1
 #: Classes under a key up to which all keys of a batch are compared at once; larger ones are compared one by one, in blocks.
 FEW, BLOCK = 48, 1_000
+#: Occurrences of a word from which its rows are dealt to several tasks, and rows of a block of them.
+HOT = 1 << 15
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -192,14 +196,20 @@ def _line_rows(data: bytes, levels: np.ndarray):
     return number[starts], n, one.view(np.int64), two.view(np.int64), d1.view(np.int64), d2.view(np.int64), owner, h[key].view(np.int64), place[key]
 
 
-def lines(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """``(doc, version, line, n, c1, c2, d1, d2, keys, places)`` for each line with words of ``docs(doc_id, text)``. ``doc`` is the id,
-    the largest number for a null one; ``(c1, c2)`` is the class. Of lines of one class within a batch the first one carries the keys, so
+def busy_level(hot: int) -> int:
+    """The level that a word of ``hot`` occurrences has at least."""
+    return int(8 * math.log2(max(2, hot)))
+
+
+def lines(docs: DataFrame, levels: np.ndarray, hot: int = HOT) -> DataFrame:
+    """``(doc, version, line, n, c1, c2, d1, d2, keys, places, busy)`` for each line with words of ``docs(doc_id, text)``. ``doc`` is the id,
+    the largest number for a null one; ``(c1, c2)`` is the class; ``busy`` marks keys whose word occurs ``hot`` times or more. Of lines of one class within a batch the first one carries the keys, so
     a line that stands in a third of all rows has few."""
     spark = docs.sparkSession
     python_tasks(spark)
     shared = spark.sparkContext.broadcast(levels)
-    names = ["doc", "version", "line", "n", "c1", "c2", "d1", "d2", "keys", "places"]
+    names = ["doc", "version", "line", "n", "c1", "c2", "d1", "d2", "keys", "places", "busy"]
+    from_level = busy_level(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
@@ -220,6 +230,7 @@ def lines(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             offsets = pa.array(np.searchsorted(owner, np.arange(len(n) + 1)), pa.int32())
             arrays = [pa.array(x, t) for x, t in ((doc, None), (version, None), (line, pa.int32()), (n, pa.int32()), (one, None), (two, None), (d1, None), (d2, None))]
             arrays += [pa.ListArray.from_arrays(offsets, pa.array(h)), pa.ListArray.from_arrays(offsets, pa.array(place, pa.int32()))]
+            arrays.append(pa.ListArray.from_arrays(offsets, pa.array(shared.value[_cell(h.view(np.uint64))] >= from_level)))
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         size = 0
@@ -235,7 +246,7 @@ def lines(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             yield out()
 
     return docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(
-        run, "doc long, version long, line int, n int, c1 long, c2 long, d1 long, d2 long, keys array<bigint>, places array<int>")
+        run, "doc long, version long, line int, n int, c1 long, c2 long, d1 long, d2 long, keys array<bigint>, places array<int>, busy array<boolean>")
 
 
 def _pairs(n, i, d1, d2, x, y):
@@ -247,17 +258,42 @@ def _pairs(n, i, d1, d2, x, y):
     return ok & (differ <= nx + ny - 2 * need)
 
 
-def candidates(all_rows: DataFrame, first_only: bool = False) -> DataFrame:
+def _dealt(rows: DataFrame, hot: int) -> DataFrame:
+    """Rows of busy keys, dealt to pairs of blocks of about ``hot`` rows: the classes of a key are numbered in the order of their length, so a
+    block covers a range of lengths and meets only blocks whose lengths can match. Each class counts once for a key."""
+    others = [c for c in rows.columns if c not in ("key", "c1")]
+    once = cut(rows.groupBy("key", "c1").agg(F.min(F.struct(*others)).alias("r")).select("key", "c1", "r.*"))
+    n = F.shiftright("p", 32)
+    per_length = once.groupBy("key", n.alias("_n")).agg(F.count("*").alias("_size"))
+    before = Window.partitionBy("key").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    reach = math.ceil(-math.log(THRESHOLD) * 1e12) + 1_000
+    alike = Window.partitionBy("key").orderBy((F.log(F.col("_n")) * 1e12).cast("long")).rangeBetween(-reach, reach)
+    starts = per_length.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    low, high = F.min("_start").over(alike), F.max(F.col("_start") + F.col("_size") - 1).over(alike)
+    starts = cut(starts.select("key", "_n", "_size", "_start", F.floor(low / hot).alias("_low"), F.floor(high / hot).alias("_high")))
+    placed = once.withColumn("_n", n).join(starts, ["key", "_n"])
+    block = F.floor((F.col("_start") + F.pmod(F.xxhash64("c1"), F.col("_size"))) / hot)
+    dealt = placed.withColumn("_block", block).withColumn("_other", F.explode(F.sequence("_low", "_high")))
+    cross, side = (x.cast("long") for x in (F.col("_block") != F.col("_other"), F.col("_block") > F.col("_other")))
+    key = F.xxhash64("key", F.least("_block", "_other"), F.greatest("_block", "_other"))
+    return dealt.select(key.alias("key"), "c1", *[(F.col(c) + 4 * cross + 2 * side if c == "p" else F.col(c)).alias(c) for c in others])
+
+
+def candidates(all_rows: DataFrame, first_only: bool = False, hot: int = HOT) -> DataFrame:
     """``(later, earlier)``: classes (by their first hash) that share a key and pass the filters, each pair once. ``all_rows`` is as from
-    ``lines``. With ``first_only`` a class gives its earliest partner under a key only. Where rows have a column
-    ``g``, pairs of equal ``g`` are left out."""
+    ``lines``. With ``first_only`` a class gives its earliest partner under a key (and pair of blocks) only. Where rows have a column
+    ``g``, pairs of equal ``g`` are left out. No task holds more of a key than two blocks of about ``hot`` classes."""
     spark = all_rows.sparkSession
     names = ["later", "earlier"]
     grouped = ["g"] if "g" in all_rows.columns else []
-    rows = all_rows.filter(F.size("keys") > 0).select("c1", "doc", "line", "n", "d1", "d2", *grouped, F.explode(F.arrays_zip("keys", "places")).alias("k"))
-    # n and the key's place share one number: rows are many, so they are narrow
+    rows = all_rows.filter(F.size("keys") > 0).select("c1", "doc", "line", "n", "d1", "d2", *grouped, F.explode(F.arrays_zip("keys", "places", "busy")).alias("k"))
+    # n and the key's place share one number, with two bits for the blocks: rows are many, so they are narrow
     packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("k.places") * 8
-    keyed = rows.select(F.col("k.keys").alias("key"), "c1", "doc", "line", packed.alias("p"), "d1", "d2", *grouped)
+    keyed = rows.select(F.col("k.keys").alias("key"), "c1", "doc", "line", packed.alias("p"), "d1", "d2", *grouped, F.col("k.busy").alias("busy"))
+    busy = keyed.filter("busy").drop("busy")
+    keyed = keyed.filter("NOT busy").drop("busy")
+    if not busy.isEmpty():
+        keyed = keyed.unionByName(_dealt(busy, hot))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = None
@@ -265,6 +301,8 @@ def candidates(all_rows: DataFrame, first_only: bool = False) -> DataFrame:
         def fits(v, x, y):
             c, p, d1, d2, g = v
             ok = _pairs(p >> 32, (p & 0xFFFFFFFF) >> 3, d1, d2, x, y)
+            # of two blocks, pairs within either are another task's
+            ok &= (p[x] & 4 == 0) | ((p[x] ^ p[y]) & 2 != 0)
             return ok & (g[x] != g[y]) if grouped else ok
 
         def found(c, x, y):

@@ -363,3 +363,12 @@ def test_op2_all_links_and_hot_keys(spark):
     assert [r.n_links for r in sorted(found, key=lambda r: r.doc)] == [sum(classes[sets[k]] in p for p in like) for k in texts]
     pairs = [(by_class[r.later], by_class[r.earlier]) for r in line_dedup.links(docs).collect()]
     assert len(pairs) == len(set(pairs)) and set(pairs) == like
+    levels = line_dedup.word_levels(docs)
+    rows = line_dedup.lines(docs, levels, hot=8)
+    assert rows.filter("exists(busy, x -> x)").count() > 100
+    dealt = {(by_class[r.later], by_class[r.earlier]) for r in line_dedup.candidates(rows, hot=8).collect()}
+    plain = {(by_class[r.later], by_class[r.earlier]) for r in line_dedup.candidates(line_dedup.lines(docs, levels)).collect()}
+    assert dealt == plain and dealt >= like
+    keyed = rows.selectExpr("c1", "doc", "line", "n", "d1", "d2", "explode(keys) AS key").selectExpr("key", "c1", "doc", "line", "shiftleft(cast(n AS bigint), 32) AS p", "d1", "d2")
+    assert keyed.groupBy("key").count().agg(F.max("count")).first()[0] > 60
+    assert line_dedup._dealt(keyed, 8).groupBy("key").count().agg(F.max("count")).first()[0] < 60
