@@ -292,18 +292,23 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     return prints.join(named, "fp").select("doc_id", "version", "fp", own)
 
 
-def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest id (a null one is largest). Repeated rows count once."""
-    prints = prints_of(docs.select("doc_id", "text"), shingle)
+def keep_of_components(docs: DataFrame, prints: DataFrame, member: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component, by ``prints(doc_id, version, fp)`` and ``member(fp, component)``."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")
     per_print = prints.groupBy("fp").agg(F.min(order).alias("k"))  # combines before the shuffle
-    kept = per_print.join(print_components(prints, max_bits), "fp").groupBy("component").agg(F.min("k").alias("k"))
+    kept = per_print.join(member, "fp").groupBy("component").agg(F.min("k").alias("k"))
     kept = cut(kept.select(F.col("k.doc_id").alias("_id"), F.col("k.version").alias("_version")))
     chosen = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_version")), "left_semi")
     repeated = prints.groupBy("doc_id", "version").count().filter("count > 1")
     return chosen if repeated.isEmpty() else chosen.dropDuplicates(["doc_id", "text"])
 
 
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one document of each component, that with the smallest id (a null one is largest). Repeated rows count once."""
+    prints = prints_of(docs.select("doc_id", "text"), shingle)
+    return keep_of_components(docs, prints, print_components(prints, max_bits))
+
+
 def as_hex(fp: Column) -> Column:
     """16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
