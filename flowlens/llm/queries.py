@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, line_dedup, packing, quality, secret_scan, simhash, toxicity, warc
+from . import (decontaminate, hard_negatives, language_id, licenses, line_dedup, packing, quality, secret_scan, simhash, toxicity, warc,
+               word_runs)
 from .common import bucket, table
 
 
@@ -70,12 +71,42 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` where texts of a tenth of the ids repeat their words with a period from a certain word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    split = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")
+    docs = docs.withColumns({"_g": g, "_words": F.when(h % 10 == 0, split)})
+    n = F.size("_words").cast("long")
+    docs = docs.withColumn("_a", F.expr("_g % size(_words)")).withColumn("_p", 1 + F.floor((n - F.col("_a")) / (3 + F.col("_g") % 8)))
+    changed = F.expr("array_join(transform(_words, (w, i) -> CASE WHEN i < _a THEN w ELSE get(_words, cast(_a + (i - _a) % _p AS int)) END), ' ')")
+    return docs.withColumn("text", F.when(F.size("_words") > 0, changed).otherwise(F.col("text"))).drop("_g", "_words", "_a", "_p")
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_runs.runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.expr("""reduce(runs, cast(null AS struct<start: bigint, length: bigint, period: bigint>), (b, r) -> CASE
+        WHEN b IS NULL OR r.length * b.period > b.length * r.period THEN r ELSE b END)""")  # the first of equals, as runs are in order
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    found = found.withColumn("best", best)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+                        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.whole_vectors(table(spark, sf_dir, "embeddings").withColumn("label", label))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_warc, op4_secret_scan, op5_license_scan, op6_packing,
-                                  op7_toxicity, op8_simhash, op9_quality, op10_decontamination, pipeline)}
+                                  op7_toxicity, op8_simhash, op9_quality, op10_decontamination, op12_word_runs, op13_hard_negatives,
+                                  pipeline)}
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
@@ -117,7 +148,18 @@ per AS (SELECT doc_id, count_if(o = 0) AS n_assign, count_if(o = 1) AS n_access,
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts LEFT JOIN per USING (doc_id)"""
 
+_OP13 = """WITH v AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, coalesce(list_dot_product(a.v, b.v), 0)::BIGINT AS score
+  FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id) WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10"""
+
 #: Learned models, tokenizer ids, XXH64 fingerprints and hashed n-grams have no SQL form; tests hold those queries against brute force.
-SQL: dict[str, str] = {"op4_secret_scan": _OP4, "op10_decontamination": _OP10}
+SQL: dict[str, str] = {"op4_secret_scan": _OP4, "op10_decontamination": _OP10, "op13_hard_negatives": _OP13}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
