@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, hard_negatives, language_id, licenses, line_dedup, packing, quality, secret_scan, simhash, toxicity, warc,
-               word_runs)
+from . import (decontaminate, hard_negatives, language_id, licenses, line_dedup, packing, quality, repeats, secret_scan, simhash,
+               toxicity, warc, word_runs)
 from .common import bucket, table
 
 
@@ -71,6 +71,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` where texts of a tenth of the ids repeat their words with a period from a certain word on."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -105,8 +110,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_warc, op4_secret_scan, op5_license_scan, op6_packing,
-                                  op7_toxicity, op8_simhash, op9_quality, op10_decontamination, op12_word_runs, op13_hard_negatives,
-                                  pipeline)}
+                                  op7_toxicity, op8_simhash, op9_quality, op10_decontamination, op11_repeats, op12_word_runs,
+                                  op13_hard_negatives, pipeline)}
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
