@@ -79,7 +79,6 @@ class Extensions:
         c = len(COVER)
         m = -(-self.n // SPAN) * c
         at = np.arange(m) // c * SPAN + np.array(COVER)[np.arange(m) % c]
-        at = np.minimum(at, self.n + SPAN - 1)
         levels = [self._blocks(at)]
         while True:
             names, step = levels[-1], c << (len(levels) - 1)
@@ -237,5 +236,6 @@ def runs(docs: DataFrame, text: str = "text", min_length: int = MIN_LENGTH, min_
                     low, size = k + 1, 0
 
     schema = T.StructType([docs.schema[c] for c in others] + [T.StructField("n_words", T.LongType()), T.StructField("runs", RUN), T.StructField("collapsed", T.BinaryType())])
-    found = docs.select(*others, F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
+    numbered = docs.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(others)], F.col(text).cast("binary").alias("text"))  # names may clash with ours
+    found = numbered.mapInArrow(run, schema)
     return found.withColumn("collapsed", F.col("collapsed").cast("string"))

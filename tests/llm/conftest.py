@@ -20,12 +20,18 @@ ITEMS = [(1, PASSAGE), (2, " ".join(PASSAGE.split()[2:])), (3, "one two three on
 LABELS = [(5, 1, 0), (8, 1, 0), (9, 0, 1), (9, 0, 1), (None, 1, 1), (13, 1, 0)]
 PAGES = [(3, "u3", "<p>same</p>"), (1, "u1", "<p>same</p>"), (2, None, None), (4, "u4", ""), (5, "u 5\r\nX: y", "café \r\n\r\nWARC/1.0\r\n"), (6, "u6", "z" * 100_000)]
 
+_V = [((37 * k) % 11 - 5) / 7.0 for k in range(64)]
+EMBEDDINGS = ([(k, [x + ((k * (j + 3)) % 13) / 40.0 for j, x in enumerate(_V)], k % 3) for k in range(0, 420, 5)]
+              + [(1, None, 1), (2, _V, None), (3, [float("nan")] * 64, 1), (4, [float("inf")] + _V[1:], 1), (6, [None] + _V[1:], 1), (None, _V, 1),
+                 (8, [], 1), (9, _V[:10], 1), (11, _V, 1), (12, _V, 1), (13, [0.0] * 64, 2), (500, [0.0] * 64, 2), (600, [-x for x in _V], 0), (700, _V, 9)])
 
-def write_tables(spark, folder, docs, items, labels, pages):
+
+def write_tables(spark, folder, docs, items, labels, pages, embeddings=()):
     n = T.LongType()
     spark.createDataFrame([(i, t, ["en", "fr", None][k % 3], "s", 0, "x") for k, (i, t) in enumerate(docs)],
                           "doc_id long, text string, lang string, source string, n_chars long, score string").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(list(embeddings), "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame(pages, T.StructType([T.StructField("page_id", n), T.StructField("url", T.StringType()),
                                                T.StructField("html", T.StringType())])).write.parquet(f"{folder}/pages.parquet")
@@ -34,7 +40,7 @@ def write_tables(spark, folder, docs, items, labels, pages):
 
 @pytest.fixture(scope="session")
 def awkward(spark, tmp_path_factory):
-    return write_tables(spark, str(tmp_path_factory.mktemp("awkward") / "t"), AWKWARD, ITEMS, LABELS, PAGES)
+    return write_tables(spark, str(tmp_path_factory.mktemp("awkward") / "t"), AWKWARD, ITEMS, LABELS, PAGES, EMBEDDINGS)
 
 
 @pytest.fixture(scope="session")
