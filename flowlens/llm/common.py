@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,19 @@ def in_bit_set(h: Column, marked: Column) -> Column:
     return F.get(marked, at).bitwiseAND(bit) != 0
 
 
+def may_be_in(h: Column, marked: list[int]) -> Column:
+    """``in_bit_set`` for operators that run Python in tasks: the bit set is broadcast, so it is no part of the plan's text."""
+    bits = SparkSession.active().sparkContext.broadcast(np.array(marked, np.int64).view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def test(hashes: pd.Series) -> pd.Series:
+        x = hashes.to_numpy().view(np.uint64)
+        at = (x >> np.uint64(6)) & np.uint64(len(bits.value) - 1)
+        return pd.Series((bits.value[at.astype(np.int64)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool))
+
+    return test(h)
+
+
 def ascii_words_table() -> bytes:
     """For ``bytes.translate``: A-Z become a-z, digits, a-z and bytes from 0x80 stay, all else a blank."""
     return bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))

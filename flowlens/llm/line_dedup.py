@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import bit_set, constant_array, free_finished, in_bit_set, python_tasks
+from .common import bit_set, free_finished, may_be_in, python_tasks
 
 THRESHOLD = 0.8
 CELLS = 1 << 22
@@ -42,6 +42,8 @@ LAST = (1 << 63) - 1
 FEW, BLOCK = 48, 1_000
 #: Occurrences of a word from which its rows are dealt to several tasks, and rows of a block of them.
 HOT = 1 << 15
+#: Rounds of proposals before all candidates of what is still undecided are compared.
+ROUNDS = 6
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -279,17 +281,21 @@ def _dealt(rows: DataFrame, hot: int) -> DataFrame:
     return dealt.select(key.alias("key"), "c1", *[(F.col(c) + 4 * cross + 2 * side if c == "p" else F.col(c)).alias(c) for c in others])
 
 
-def candidates(all_rows: DataFrame, first_only: bool = False, hot: int = HOT) -> DataFrame:
+def candidates(all_rows: DataFrame, first_only: bool = False, hot: int = HOT, still_open: DataFrame | None = None) -> DataFrame:
     """``(later, earlier)``: classes (by their first hash) that share a key and pass the filters, each pair once. ``all_rows`` is as from
-    ``lines``. With ``first_only`` a class gives its earliest partner under a key (and pair of blocks) only. Where rows have a column
-    ``g``, pairs of equal ``g`` are left out. No task holds more of a key than two blocks of about ``hot`` classes."""
+    ``lines``. With ``first_only`` a class gives its earliest partner under a key (and pair of blocks) only. With ``still_open(c1, tried)``, stored, only its classes
+    are later ones, and the partners they have ``tried`` are left out. No task holds more of a key than two blocks of about ``hot`` classes."""
     spark = all_rows.sparkSession
     names = ["later", "earlier"]
-    grouped = ["g"] if "g" in all_rows.columns else []
-    rows = all_rows.filter(F.size("keys") > 0).select("c1", "doc", "line", "n", "d1", "d2", *grouped, F.explode(F.arrays_zip("keys", "places", "busy")).alias("k"))
+    grouped = ["tried"] if still_open is not None else []
+    rows = all_rows.filter(F.size("keys") > 0).select("c1", "doc", "line", "n", "d1", "d2", F.explode(F.arrays_zip("keys", "places", "busy")).alias("k"))
     # n and the key's place share one number, with two bits for the blocks: rows are many, so they are narrow
     packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("k.places") * 8
-    keyed = rows.select(F.col("k.keys").alias("key"), "c1", "doc", "line", packed.alias("p"), "d1", "d2", *grouped, F.col("k.busy").alias("busy"))
+    keyed = rows.select(F.col("k.keys").alias("key"), "c1", "doc", "line", packed.alias("p"), "d1", "d2", F.col("k.busy").alias("busy"))
+    if still_open is not None:
+        of_open = all_rows.join(still_open, "c1", "left_semi").select(F.explode("keys").alias("key")).distinct()
+        keyed = keyed.join(cut(of_open), "key", "left_semi").join(still_open, "c1", "left")
+        keyed = keyed.select("key", "c1", "doc", "line", "p", "d1", "d2", "tried", "busy")
     busy = keyed.filter("busy").drop("busy")
     keyed = keyed.filter("NOT busy").drop("busy")
     if not busy.isEmpty():
@@ -298,12 +304,15 @@ def candidates(all_rows: DataFrame, first_only: bool = False, hot: int = HOT) ->
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = None
 
+        def pair(a, b):
+            return (a.view(np.uint64) * np.uint64(_BASE)) ^ b.view(np.uint64)
+
         def fits(v, x, y):
-            c, p, d1, d2, g = v
+            c, p, d1, d2, tried, past = v
             ok = _pairs(p >> 32, (p & 0xFFFFFFFF) >> 3, d1, d2, x, y)
             # of two blocks, pairs within either are another task's
             ok &= (p[x] & 4 == 0) | ((p[x] ^ p[y]) & 2 != 0)
-            return ok & (g[x] != g[y]) if grouped else ok
+            return ok & tried[y] & ~np.isin(pair(c[y], c[x]), past) if grouped else ok
 
         def found(c, x, y):
             if first_only:
@@ -315,11 +324,10 @@ def candidates(all_rows: DataFrame, first_only: bool = False, hot: int = HOT) ->
             return pa.RecordBatch.from_arrays([pa.array(c[y]), pa.array(c[x])], names=names)
 
         def one_key(v):
-            c, g = v[0], v[4]
-            if grouped and (g == g[0]).all():
-                return
+            c = v[0]
             for a in range(0, len(c), BLOCK):
                 later = np.arange(a, min(a + BLOCK, len(c)))
+                later = later[v[4][later]] if grouped else later
                 # most of a crowd of variants match one of the first, so blocks of earlier ones begin small
                 b, size = 0, 16 if first_only else BLOCK
                 while b < a + BLOCK and len(later):
@@ -338,12 +346,14 @@ def candidates(all_rows: DataFrame, first_only: bool = False, hot: int = HOT) ->
         def work(columns) -> Iterator[pa.RecordBatch]:
             """Whole keys, in the order of key, document and line; a class counts once for a key, where it stands first."""
             key, c, doc, line, p, d1, d2 = columns[:7]
-            g = columns[7] if grouped else c
+            tried = columns[7] if grouped else c
+            past = np.concatenate([np.zeros(0, np.uint64), *[pair(c[k], np.asarray(tried[k], np.int64)) for k in range(len(c)) if tried[k] is not None]]) if grouped else None
+            tried = np.array([t is not None for t in tried], bool) if grouped else c
             order = np.lexsort((np.arange(len(key)), c, key))
             repeated = np.zeros(len(key), bool)
             repeated[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
-            key, c, p, d1, d2, g = (v[~repeated] for v in (key, c, p, d1, d2, g))
-            v = (c, p, d1.view(np.uint64), d2.view(np.uint64), g)
+            key, c, p, d1, d2, tried = (v[~repeated] for v in (key, c, p, d1, d2, tried))
+            v = (c, p, d1.view(np.uint64), d2.view(np.uint64), tried, past)
             starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             sizes = np.diff(np.append(starts, len(key)))
             few = np.repeat(sizes <= FEW, sizes)
@@ -359,7 +369,7 @@ def candidates(all_rows: DataFrame, first_only: bool = False, hot: int = HOT) ->
             if xs:
                 yield found(c, np.concatenate(xs), np.concatenate(ys))
             for k in np.flatnonzero(sizes > FEW):
-                yield from one_key(tuple(z[starts[k]:starts[k] + sizes[k]] for z in v))
+                yield from one_key((*[z[starts[k]:starts[k] + sizes[k]] for z in v[:5]], past))
 
         for batch in batches:
             columns = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
@@ -385,8 +395,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     spots = cut(spots)
     own = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("version"), "text")
     # few documents hold a wanted line; a bounded bit set keeps most others from being shuffled
-    marked = constant_array(bit_set(spots.select(F.col("version").alias("h"))), "bigint")
-    own = own.filter(in_bit_set(F.col("version"), marked)).hint("shuffle_merge")
+    marked = bit_set(spots.select(F.col("version").alias("h")))
+    own = own.filter(may_be_in(F.col("version"), marked)).hint("shuffle_merge")
     texts = own.join(spots, ["doc", "version"]).select(F.split("text", "\n", -1).alias("lines"), "spots").select(
         F.explode(F.transform("spots", lambda s: F.struct(s["c1"].alias("c1"), F.get("lines", s["line"]).alias("text")))).alias("x"))
     texts = cut(texts.select("x.*"))
@@ -406,10 +416,15 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return both.select("later", "earlier", "a", "b").mapInArrow(match, "later long, earlier long").distinct()
 
 
-def _links(docs: DataFrame, all_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The classes ``(c1, c2, doc, version, line)``, each where it stands first, and ``(later, earlier)`` for all that match."""
+def _first_lines(all_lines: DataFrame) -> DataFrame:
+    """The classes ``(c1, c2, doc, line, version)``, each where it stands first, stored."""
     place = F.struct("doc", "line", "version")
-    classes = cut(all_lines.groupBy("c1", "c2").agg(F.min(place).alias("p")).select("c1", "c2", "p.doc", "p.line", "p.version"))
+    return cut(all_lines.groupBy("c1", "c2").agg(F.min(place).alias("p")).select("c1", "c2", "p.doc", "p.line", "p.version"))
+
+
+def _links(docs: DataFrame, all_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes, and ``(later, earlier)`` for all that match."""
+    classes = _first_lines(all_lines)
     pairs = cut(candidates(all_lines))
     free_finished(docs.sparkSession)
     good = cut(_verified(pairs, classes, docs))
@@ -443,9 +458,40 @@ def matches(docs: DataFrame) -> DataFrame:
                       match["line"].alias("match_line"), "c1", "c2", F.coalesce("n_links", F.lit(0)).alias("n_links")).distinct()
 
 
+def repeated_classes(docs: DataFrame, all_lines: DataFrame, classes: DataFrame, rounds: int = ROUNDS, hot: int = HOT) -> DataFrame:
+    """``(c1)`` of the classes that match an earlier one, stored. A class proposes its earliest candidate under each of its keys, and those that match none of theirs
+    propose the next ones, so a group of n variants costs about n verifications and not n squared. What is undecided after ``rounds`` compares all that are left."""
+    found, tried, still_open = [], None, None
+    for turn in range(rounds + 1):
+        pairs = cut(candidates(all_lines, first_only=turn < rounds, hot=hot, still_open=still_open))
+        if pairs.isEmpty():
+            break
+        good = cut(_verified(pairs, classes, docs).select("later").distinct())
+        found.append(good.select(F.col("later").alias("c1")))
+        failed = pairs.join(good, "later", "left_anti")
+        tried = failed if tried is None else tried.join(good, "later", "left_anti").unionByName(failed)
+        tried = cut(tried)
+        still_open = cut(failed.select("later").distinct().join(tried, "later").groupBy(F.col("later").alias("c1")).agg(F.collect_list("earlier").alias("tried")))
+    out = all_lines.select("c1").limit(0)
+    for part in found:
+        out = out.union(part)
+    return cut(out.distinct())
+
+
+def removals(docs: DataFrame, rounds: int = ROUNDS, hot: int = HOT) -> DataFrame:
+    """``(doc, version, line, removed)`` for every line with words of ``docs(doc_id, text)``, each text under an id once; as ``matches``, without the links."""
+    docs = docs.select("doc_id", "text")
+    all_lines = cut(lines(docs, word_levels(docs), hot))
+    classes = _first_lines(all_lines)
+    again = repeated_classes(docs, all_lines, classes, rounds, hot).withColumn("again", F.lit(True))
+    judged = cut(classes.join(again, "c1", "left").select("c1", "c2", F.struct("doc", "line", "version").alias("first"), F.coalesce("again", F.lit(False)).alias("again")))
+    out = all_lines.select("doc", "version", "line", "c1", "c2").join(judged, ["c1", "c2"])
+    return out.select("doc", "version", "line", (F.col("again") | (F.col("first") != F.struct("doc", "line", "version"))).alias("removed")).distinct()
+
+
 def remove_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that match earlier ones, and without documents that lost all lines with words."""
-    found = matches(docs)
+    found = removals(docs)
     gone = found.groupBy(F.col("doc").alias("_at_doc"), F.col("version").alias("_at_version")).agg(
         F.collect_list(F.when(F.col("removed"), F.col("line"))).alias("_gone"), F.count("*").alias("_n")).filter(F.size("_gone") > 0)
     keyed = docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(LAST)), "_version": F.xxhash64("text")})

@@ -36,12 +36,14 @@ def _tidy(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every strictly larger neighbour of an id to the smallest of the id and its neighbours."""
     both = edges.union(edges.select("b", "a"))
-    low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a"), F.least("a", "low").alias("low"))
+    # minima are stored, so that the join has two bare exchanges and a hub's rows are split
+    low = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a"), F.least("a", "low").alias("low")))
     return _tidy(both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link an id and its smaller neighbours to the smallest of them."""
-    low = edges.groupBy("a").agg(F.min("b").alias("low"))
+    edges = cut(edges)
+    low = cut(edges.groupBy("a").agg(F.min("b").alias("low")))
     near = edges.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return _tidy(near.union(low.select("a", F.col("low").alias("b"))))

@@ -15,8 +15,8 @@ A crowded anchor is searched by bit blocks (t + 1 blocks, of which close fingerp
 with the square of its size.
 
 Defined results: null text or text without words: fingerprint zero, linked like any other. Fewer words than a shingle:
-the whole sequence is one. Documents without doc_id have no component (null) and link nothing. Repeated rows share one. An
-empty table gives an empty result. Columns of the input named like an output are replaced.
+the whole sequence is one. For ``near_duplicates`` rows without doc_id have no component (null) and their fingerprints link nothing; ``keep_one`` treats
+them as documents with the largest id. Repeated rows share one. An empty table gives an empty result. Columns of the input named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -284,12 +284,12 @@ def print_components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, version, fp, component_id)`` for every row of ``docs(doc_id, text)``: its component's smallest doc_id."""
     prints = prints_of(docs, shingle)
-    member = cut(print_components(prints, max_bits))
+    member = cut(print_components(prints.filter("doc_id IS NOT NULL"), max_bits))
     low = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))  # one row per fingerprint
-    of_component = member.join(low, "fp").groupBy("component").agg(F.min("low").alias("component_id"))
+    of_component = cut(member.join(low, "fp").groupBy("component").agg(F.min("low").alias("component_id")))
     named = cut(member.join(of_component, "component").select("fp", "component_id"))
     own = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
-    return prints.join(named, "fp").select("doc_id", "version", "fp", own)
+    return prints.join(named, "fp", "left").select("doc_id", "version", "fp", own)
 
 
 def keep_of_components(docs: DataFrame, prints: DataFrame, member: DataFrame) -> DataFrame:

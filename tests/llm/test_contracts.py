@@ -192,6 +192,18 @@ def test_op8(spark, tables):
     assert len(rows) == len(docs)
 
 
+def test_rows_without_id_link_nothing(spark):
+    """Fingerprints 0 and 0xFF are eight bits apart; a row without id at 0x0F stands between them."""
+    from flowlens.llm import simhash
+    prints = spark.createDataFrame([(1, 0, 0), (2, 0, 0xFF), (None, 0, 0x0F)], "doc_id long, version long, fp long")
+    real, simhash.prints_of = simhash.prints_of, lambda *_: prints
+    try:
+        found = {r.doc_id: r.component_id for r in simhash.near_duplicates(None).collect()}
+    finally:
+        simhash.prints_of = real
+    assert found == {1: 1, 2: 2, None: None}
+
+
 def test_anchors_cover_every_close_pair():
     from flowlens.llm import simhash
     rng = np.random.default_rng(5)

@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from flowlens.llm import line_dedup
 from flowlens.session import cut
 from tests.llm.test_contracts import LOWER, WORD, plain_components
 
@@ -13,7 +14,7 @@ def rows(df):
     return {(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()}
 
 
-def plain_prints(text, k=5):
+def plain_prints(text, k=4):
     import xxhash
     words = [w for w in re.split("[\x20\x09-\x0D]+", (text or "").translate(LOWER)) if w]
     hashes = [xxhash.xxh64_intdigest(" ".join(words[i:i + k]).encode(), 42) for i in range(max(1, len(words) - k + 1))] if words else []
@@ -95,29 +96,63 @@ def test_columns_with_clashing_names(spark, awkward):
         assert {tuple(r) for r in full.select(*extra).distinct().collect()} <= {tuple(f"own {c}" for c in extra)}
 
 
-def test_near_duplicates_by_similarity(spark):
-    """Copies at 0.8 to 0.95 go, those below 0.8 stay, and chains whose first proposal fails are joined."""
+def test_near_duplicates_by_fingerprint(spark):
+    """Groups are components of fingerprints of four-word shingles within four bits; of each the smallest id stays."""
     import random
     rng = random.Random(4)
     texts = []
-    for k in range(40):
-        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
-        texts.append(" ".join(words))
-        for edits in (1, 3, 4, 5, 9):
+    for k in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        texts += [" ".join(words)] * (1 + k % 3)
+        for edits in (1, 2, 40):
             changed = list(words)
-            for at in rng.sample(range(5, 195), edits):
+            for at in rng.sample(range(600), edits):
                 changed[at] = f"x{rng.randrange(10**6)}"
             texts.append(" ".join(changed))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = [frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)) for w in (t.split() for t in texts)]
-    label = list(range(len(sets)))
-    for j in range(len(sets)):
-        for i in range(j):
-            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
-                a, b = sorted((label[i], label[j]))
-                label = [a if x == b else x for x in label]
-    expected = {i for i, x in enumerate(label) if i == x}
-    assert {r.doc_id for r in corpus_pipeline.remove_near_duplicates(spark, docs, "").collect()} == expected
-    assert 40 < len(expected) < 160
-    from flowlens.llm import shingle_join
-    assert {r.doc_id for r in shingle_join.keep_one(docs, hot=2).collect()} == expected
+    docs = list(enumerate(texts))
+    label = plain_components({d: plain_prints(d[1]) for d in docs})
+    expected = {d[0] for d in docs if label[d] == d}
+    found = corpus_pipeline.remove_near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert {r.doc_id for r in found.collect()} == expected
+    assert 30 < len(expected) < len(docs) - 30
+
+
+def variants(n, rng):
+    """Lines of one form, so alike that many pairs are just above or just below the threshold."""
+    base = [f"w{k}" for k in range(46)]
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for at in rng.sample(range(46), rng.choice([0, 1, 2, 3, 4])):
+            words[at] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_removal_by_rounds_equals_all_pairs(spark):
+    """Every round decides what it can; with one round the rest is compared in full. Hot keys are split."""
+    import random
+    rng = random.Random(7)
+    docs = [(k, "\n".join(variants(5, rng) + ["", "unlike any " + str(k)])) for k in range(40)] + [(None, "w1 w2 w3\nw1 w2 w3"), (3, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    expected = plain_lines(docs)
+    assert rows(line_dedup.remove_lines(df)) == expected
+    for rounds, hot in ((1, 1 << 15), (0, 1 << 15), (2, 16)):
+        found = line_dedup.removals(df, rounds, hot).filter("removed").select("doc", "line").collect()
+        plain = line_dedup.matches(df).filter("removed").select("doc", "line").collect()
+        assert sorted(map(tuple, found)) == sorted(map(tuple, plain))
+
+
+def test_removal_verifies_in_proportion_to_the_group(spark, monkeypatch):
+    """Twice the variants of one line make about twice the pairs that are verified, not four times."""
+    import random
+    counts = []
+    verified = line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *rest: counts.append(pairs.count()) or verified(pairs, *rest))
+    totals = []
+    for n in (250, 500, 1_000):
+        df = spark.createDataFrame(list(enumerate(variants(n, random.Random(n)))), "doc_id long, text string")
+        counts.clear()
+        line_dedup.removals(df).count()
+        totals.append(sum(counts))
+    assert totals[2] < 3 * totals[1] < 9 * totals[0] and totals[2] < 12 * 1_000
