@@ -12,14 +12,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import decontaminate, language_id, line_dedup, packing, shingle_join
+from flowlens.llm import decontaminate, language_id, line_dedup, packing, simhash
 from flowlens.llm.common import table
 from flowlens.session import cut
 
 #: A text whose best language is less likely than this is not taken for text of a known language.
 MIN_LANGUAGE_SCORE = 0.5
-# Near-duplicates are found on word shingles of five words.
-SHINGLE = 5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +33,8 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (Jaccard similarity of shingles of 0.8 or more) stays."""
-    return shingle_join.keep_one(docs, SHINGLE)
+    """One document of each group stays whose fingerprints of four-word shingles are linked by four or fewer differing bits."""
+    return simhash.keep_one(docs, simhash.MAX_BITS, simhash.SHINGLE)
 
 
 def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
