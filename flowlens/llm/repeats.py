@@ -12,7 +12,7 @@ judged on the input. Equal windows of ``LENGTH`` bytes are found by merging Burr
 4. **Merge.** An interleave tells for each rank from which shard its suffix comes. A round deals it out by the preceding symbols, stably; after h rounds
    suffixes stand in order of their first h symbols. Where a block of equal suffixes falls apart in round h, neighbours share h - 1 symbols. Five rounds of 20 bytes
    tell all windows apart, and no suffix is sorted again. Intervals of ranks that share ``LENGTH`` bytes are the repeats: the first place stays, all others are marked.
-   Neighbours are compared byte by byte at the end, so a hash of a symbol decides nothing. (Classes are told apart by key and 128 bits.)
+   Neighbours are compared byte by byte at the end, so a hash of a symbol decides nothing. (Classes of a key are told apart by 64 bits and the length.)
 5. **Hot keys.** A key with more than ``HOT`` classes (a common passage between texts that differ) is split to single windows, each of which is its own key.
 
 Nothing grows with a group: equal strings combine before they are shuffled, a bin holds about ``BIN`` bytes and a key at most ``HOT`` classes.
@@ -36,10 +36,10 @@ from ..session import cut
 from .common import bit_set, python_tasks
 
 LENGTH, GRAM, SYMBOL = 100, 32, 20
-#: Bytes of text that are handled at a time (places have 20 bits), bytes of the strings of a bin, suffixes of a shard.
-CHUNK, BIN, SHARD = 1 << 20, 1 << 20, 1 << 17
-#: Classes under a key from which it is split to single windows.
-HOT = 4_096
+#: Bytes of text that are handled at a time, bytes of the strings of a bin, suffixes of a shard.
+CHUNK, BIN, SHARD = 1 << 18, 1 << 18, 1 << 15
+#: Classes under a key from which it is split to single windows, and strings under a key from which they are salted.
+HOT, FREQUENT = 1_024, 1 << 16
 LAST = (1 << 63) - 1
 
 _U = np.uint64
@@ -69,7 +69,7 @@ class Hashes:
     """A hash of any stretch of bytes, from running sums modulo 2**64."""
 
     def __init__(self, data: np.ndarray, base: int):
-        size = 1 << max(20, len(data).bit_length())
+        size = 1 << max(18, len(data).bit_length())
         up, self.down, values = _tables(base, size)
         self.sums = np.zeros(len(data) + 1, _U)
         np.cumsum(values[data] * up[:len(data)], out=self.sums[1:])
@@ -92,10 +92,10 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def keyed(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, length: int, gram: int, contents: bool = True):
-    """``(start, windows, key, content, content)`` of each string of the texts ``data[start:stop]``, in order."""
+    """``(start, windows, key, content)`` of each string of the texts ``data[start:stop]``, in order."""
     n = len(data) - length + 1
     if n <= 0 or not (stops - starts >= length).any():
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, _U),) * 3
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, _U),) * 2
     one = Hashes(data, _BASES[0])
     h = one.grams(gram)
     place = np.arange(len(h)).astype(_U)
@@ -113,10 +113,7 @@ def keyed(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, length: int,
     used = inside[low] > 0
     low, size = low[used], size[used]
     key = h[at[low].astype(np.int64)]
-    if not contents:
-        return low, size, key, key, key
-    stop = low + size + length - 1
-    return low, size, key, one.of(low, stop), Hashes(data, _BASES[1]).of(low, stop) + size.astype(_U)
+    return low, size, key, Hashes(data, _BASES[1]).of(low, low + size + length - 1) if contents else key
 
 
 def _buffers(batches: Iterator[pa.RecordBatch], length: int):
@@ -155,40 +152,91 @@ def _arrays(columns, names) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.view(np.int64)) for c in columns], names=names)
 
 
-_STRING = ["doc", "version", "low", "n", "key", "c1", "c2"]
+_STRING = ["key", "content", "doc", "version", "low", "n", "salt"]
 
 
-def _repeated_strings(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """``_STRING`` rows of all strings whose key occurs more than once, stored. Runs jobs."""
+def _strings(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """``_STRING`` rows of the strings whose key occurs more than once (and of a few others). Strings of very frequent keys are salted. Runs jobs."""
     spark = texts.sparkSession
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, (_, _, start, stop, _) in _buffers(batches, length):
             yield _arrays([keyed(data, start, stop, length, gram, contents=False)[2]], ["key"])
 
-    again = cut(texts.mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+    again = cut(texts.mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    total = again.agg(F.sum("n")).first()[0] or 0
+    frequent = again.filter(F.col("n") > max(FREQUENT, total // 10_000)).select("key")  # so there are at most 10,000
+    frequent = np.array(sorted(r.key for r in frequent.collect()), np.int64).view(_U)
     # a bounded bit set keeps most other strings from being shuffled
-    marked = spark.sparkContext.broadcast(np.array(bit_set(again.select(F.col("key").alias("h"))), np.int64).view(_U))
+    shared = spark.sparkContext.broadcast((np.array(bit_set(again.select(F.col("key").alias("h"))), np.int64).view(_U), frequent))
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = marked.value
+        bits, frequent = shared.value
         for data, (doc, version, start, stop, place) in _buffers(batches, length):
-            low, n, key, c1, c2 = keyed(data, start, stop, length, gram)
+            low, n, key, content = keyed(data, start, stop, length, gram)
             may = np.flatnonzero(bits[((key >> _U(6)) & _U(len(bits) - 1)).astype(np.int64)] >> (key & _U(63)) & _U(1))
-            low = low[may]
+            low, key = low[may], key[may]
             piece = np.searchsorted(start, low, side="right") - 1
-            yield _arrays([doc[piece], version[piece], low - start[piece] + place[piece], n[may], key[may], c1[may], c2[may]], _STRING)
+            salt = np.where(np.isin(key, frequent), 1 + (version[piece] & 63), 0)
+            yield _arrays([key, content[may], doc[piece], version[piece], low - start[piece] + place[piece], n[may], salt], _STRING)
 
-    return cut(texts.mapInArrow(strings, ", ".join(f"{c} long" for c in _STRING)).join(again, "key", "left_semi").select(*_STRING))
+    return texts.mapInArrow(strings, ", ".join(f"{c} long" for c in _STRING))
 
 
-def _classes(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The classes ``(key, c1, c2, n, size, first)``, stored, and ``(doc, version, start, stop)``, one past the last window's start, of the windows of all but the first string of each."""
-    place = F.struct("doc", "version", "low")
-    classes = cut(strings.groupBy("key", "c1", "c2").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.count("*").alias("size")))
-    several = cut(classes.filter("size > 1").select("key", "c1", "c2", "first"))
-    later = strings.join(several, ["key", "c1", "c2"]).filter(F.col("first") != place)
-    return classes, later.select("doc", "version", F.col("low").alias("start"), (F.col("low") + F.col("n")).alias("stop"))
+_SPLIT = ["kind", "key", "doc", "version", "low", "n"]
+LATER, CLASS, HOT_CLASS = 0, 1, 2
+
+
+def _split(strings: DataFrame, hot: int) -> DataFrame:
+    """Strings in order of key, content and place, split into ``_SPLIT`` rows, stored: the windows of all but the first string of each class (kind ``LATER``), and the
+    first strings of classes that share their key with another class (``CLASS``, or ``HOT_CLASS`` if more than ``hot`` do or the key is salted). A task streams
+    through its rows and keeps no more than the first strings of one key, up to ``hot``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the first row of the class that the last row belongs to
+        waiting = None  # first rows of the classes of the last key, which may go on
+        flooded = None  # the last key with more than ``hot`` classes
+
+        def rows(kind: np.ndarray, of: dict[str, np.ndarray]) -> pa.RecordBatch:
+            return _arrays([kind, *[of[c] for c in _SPLIT[1:]]], _SPLIT)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _STRING}
+            before = {c: np.concatenate((last[c] if last else v[c][:1] + 1, v[c][:-1])) for c in ("key", "content", "n")}
+            new = (v["key"] != before["key"]) | (v["content"] != before["content"]) | (v["n"] != before["n"])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+            later = np.zeros(len(new), bool)
+            for c in ("doc", "version", "low"):  # a row that is repeated in the input does not follow itself
+                own = v[c][np.maximum(first, 0)]
+                later |= v[c] != (np.where(first < 0, last[c], own) if last else own)
+            yield rows(np.full(int(later.sum()), LATER), {c: v[c][later] for c in _SPLIT[1:]})
+            if first[-1] >= 0:
+                last = {c: v[c][first[-1]:first[-1] + 1] for c in _STRING}
+            opens = {c: v[c][new] if waiting is None else np.concatenate((waiting[c], v[c][new])) for c in _STRING}
+            waiting = None
+            if not len(opens["key"]):
+                continue
+            edge = np.flatnonzero(np.concatenate(([True], opens["key"][1:] != opens["key"][:-1])))
+            size = np.diff(np.append(edge, len(opens["key"])))
+            crowded = (size > hot) | (opens["salt"][edge] > 0)
+            if flooded is not None:
+                crowded |= opens["key"][edge] == flooded
+            kind = np.where(crowded, HOT_CLASS, np.where(size > 1, CLASS, LATER))
+            if opens["key"][-1] == v["key"][-1]:
+                if crowded[-1]:
+                    flooded = opens["key"][-1]
+                else:
+                    waiting = {c: opens[c][edge[-1]:] for c in _STRING}
+                    kind[-1] = LATER
+            kind = np.repeat(kind, size)
+            yield rows(kind[kind != LATER], {c: opens[c][kind != LATER] for c in _SPLIT[1:]})
+        if waiting is not None and len(waiting["key"]) > 1:
+            yield rows(np.full(len(waiting["key"]), CLASS), waiting)
+
+    tasks = int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = strings.repartition(tasks, "key", "salt").sortWithinPartitions("key", "content", "n", "doc", "version", "low")
+    return cut(dealt.mapInArrow(run, ", ".join(f"{c} long" for c in _SPLIT)))
 
 
 def _with_bytes(spots: DataFrame, texts: DataFrame, length: int) -> DataFrame:
@@ -352,9 +400,14 @@ def _by_window(strings: DataFrame, length: int) -> DataFrame:
             nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
             at = (np.cumsum(n + length - 1) - n - length + 1)[owner] + nth
             doc, version, low = (c[owner] for c in columns[:3])
-            yield _arrays([doc, version, low + nth, np.ones(len(owner), np.int64), *[Hashes(data, b).of(at, at + length) for b in _BASES]], _STRING)
+            one, two = (Hashes(data, b).of(at, at + length) for b in _BASES[:2])
+            yield _arrays([one, doc, version, low + nth, np.ones(len(owner), np.int64), two], [*_SPLIT[1:], "content"])
 
-    return _classes(cut(strings.mapInArrow(windows, ", ".join(f"{c} long" for c in _STRING))))[1]
+    spread = cut(strings.mapInArrow(windows, ", ".join(f"{c} long" for c in _SPLIT[1:] + ["content"])))
+    place = F.struct("doc", "version", "low")
+    first = cut(spread.groupBy("key", "content").agg(F.min(place).alias("first"), F.count("*").alias("size")).filter("size > 1").drop("size"))
+    later = spread.join(first, ["key", "content"]).filter(F.col("first") != place)  # two stored sides, so hot windows are split
+    return later.select("doc", "version", F.col("low").alias("start"), (F.col("low") + F.col("n")).alias("stop"))
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, symbol: int = SYMBOL, hot: int = HOT) -> DataFrame:
@@ -364,14 +417,13 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sy
         raise ValueError("symbol must divide length at least three times, gram must be shorter than length")
     python_tasks(docs.sparkSession)
     texts = _texts(docs)
-    classes, found = _classes(_repeated_strings(texts, length, gram))
-    per_key = cut(classes.groupBy("key").agg(F.count("*").alias("classes")).filter("classes > 1"))
-    spots = classes.join(per_key, "key").select("first.*", "n", "key", (F.col("classes") > hot).alias("hot"))
-    spots = cut(spots)
-    n_bytes, n_hot = spots.agg(F.sum(F.when(~F.col("hot"), F.col("n") + length - 1)), F.count_if("hot")).first()
-    found = [found, _merged(_with_bytes(spots.filter("NOT hot"), texts, length), length, symbol, max(1, (n_bytes or 0) // BIN))]
+    split = _split(_strings(texts, length, gram), hot)
+    kind = F.col("kind")
+    n_bytes, n_hot = split.agg(F.sum(F.when(kind == CLASS, F.col("n") + length - 1)), F.count_if(kind == HOT_CLASS)).first()
+    found = [split.filter(kind == LATER).select("doc", "version", F.col("low").alias("start"), (F.col("low") + F.col("n")).alias("stop")),
+             _merged(_with_bytes(split.filter(kind == CLASS), texts, length), length, symbol, max(1, (n_bytes or 0) // BIN))]
     if n_hot:
-        found.append(_by_window(_with_bytes(spots.filter("hot"), texts, length), length))
+        found.append(_by_window(_with_bytes(split.filter(kind == HOT_CLASS), texts, length), length))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

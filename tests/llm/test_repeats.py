@@ -102,11 +102,19 @@ def passages():
 
 
 @pytest.mark.parametrize("hot", [2, repeats.HOT])
-def test_passages_runs_and_copies(spark, hot):
-    """Passages between other texts, copies, text that repeats itself; with ``hot`` 2 nearly all keys are split to windows."""
+@pytest.mark.parametrize("frequent", [3, repeats.FREQUENT])
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_passages_runs_and_copies(spark, monkeypatch, hot, frequent, batch):
+    """Passages between other texts, copies, text that repeats itself; keys that are split to windows, keys that are salted, groups that go over many batches."""
+    monkeypatch.setattr(repeats, "FREQUENT", frequent)
     rows = passages()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert got(repeats.remove_repeats(docs, hot=hot)) == expected(rows)
+    name, old = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(name, batch)
+    try:
+        assert got(repeats.remove_repeats(docs, hot=hot)) == expected(rows)
+    finally:
+        spark.conf.set(name, old)
 
 
 def test_other_lengths_and_texts_over_a_chunk(spark, monkeypatch):
