@@ -65,18 +65,14 @@ def tokens_of(source: str, name: str = "toks") -> str:
 def classified(source: str) -> str:
     """``cls(id, cat)``: the category of each distinct ``id`` of a table."""
     return tokens_of(source) + f""",
-tok AS (SELECT id, unnest(tk) AS t, generate_subscripts(tk, 1) AS i FROM toks),
-beside AS (SELECT *, lag(t) OVER (PARTITION BY id ORDER BY i) AS prv,
-                  lead(t) OVER (PARTITION BY id ORDER BY i) AS nxt FROM tok),
-hit AS (SELECT b.id, b.i, coalesce(d.cat,
-          CASE WHEN t = 'name' AND (prv IN ({words(dims.NAME_QUALIFIERS)})
-                                    OR nxt IN ({words(dims.NAME_QUALIFIERS)})) THEN 'name'
-               WHEN t = 'address' AND (prv IN ({words(dims.ADDRESS_QUALIFIERS)})
-                                       OR nxt IN ({words(dims.ADDRESS_QUALIFIERS)})) THEN 'address' END) AS cat
-        FROM beside b LEFT JOIN dict d ON d.token = b.t),
-by_pos AS (SELECT id, arg_min(cat, i) AS cat FROM hit WHERE cat IS NOT NULL GROUP BY id),
-cls AS (SELECT k.id, coalesce(d.cat, p.cat) AS cat
-        FROM toks k LEFT JOIN dict d ON d.token = k.joined LEFT JOIN by_pos p ON p.id = k.id)"""
+entries AS (SELECT map_from_entries(list({{'k': token, 'v': cat}})) AS known FROM dict),
+cls AS (SELECT id, coalesce(known[joined], list_filter(list_transform(tk, lambda t, i: coalesce(known[t],
+          CASE WHEN t = 'name' AND (tk[i - 1] IN ({words(dims.NAME_QUALIFIERS)})
+                                    OR tk[i + 1] IN ({words(dims.NAME_QUALIFIERS)})) THEN 'name'
+               WHEN t = 'address' AND (tk[i - 1] IN ({words(dims.ADDRESS_QUALIFIERS)})
+                                       OR tk[i + 1] IN ({words(dims.ADDRESS_QUALIFIERS)})) THEN 'address' END)),
+          lambda c: c IS NOT NULL)[1]) AS cat
+        FROM toks, entries)"""
 
 
 IDS = DICTIONARY + """,
