@@ -16,6 +16,7 @@ from ..functions.targets import target_system, with_target
 from ..functions.text import base_name, evidence, non_blank, sensitivity_rank, service_id
 from ..model import Graph
 from ..session import cut
+from . import bitsets
 from .skew import lookup_join
 
 CALL_SEQ = "struct(root_idx, rel, start_byte, -end_byte AS neg_end)"
@@ -54,14 +55,18 @@ def drop_invalid_flows(flows: DataFrame) -> DataFrame:
     return flows.filter("coalesce(`from`, '') <> '' AND coalesce(`to`, '') <> '' AND `from` <> `to`")
 
 
-def merge_flows(rows: DataFrame, seq: str = "seq") -> DataFrame:
-    """One row per (from, to): sorted union of categories, first non-blank via and evidence."""
-    # one row per category, so that the map-side set never outgrows the category list
-    single = drop_invalid_flows(rows).withColumn("_cat", F.explode_outer("categories"))
-    return single.groupBy("from", "to").agg(
-        F.sort_array(F.collect_set("_cat")).alias("categories"),
-        _first_non_blank("via", seq).alias("via"),
-        _first_non_blank("evidence", seq).alias("evidence"))
+def merge_flows(rows: DataFrame, seq: str = "seq", categories: list[str] | None = None) -> DataFrame:
+    """One row per (from, to): sorted union of categories, first non-blank via and evidence.
+
+    Rows that agree in all but categories and ``seq`` combine first, in a hash table if ``seq`` is a number; strings are only chosen among what is left. ``categories``
+    are the ids that may occur; without them a job collects those that do."""
+    valid = drop_invalid_flows(rows)
+    ids = sorted(categories) if categories is not None else bitsets.ids_of(valid)
+    alike = (valid.withColumns(bitsets.encode("categories", ids)).groupBy("from", "to", "via", "evidence")
+             .agg(F.min(seq).alias("_seq"), *bitsets.united(ids)))
+    merged = alike.groupBy("from", "to").agg(
+        *bitsets.united(ids), _first_non_blank("via", "_seq").alias("via"), _first_non_blank("evidence", "_seq").alias("evidence"))
+    return merged.select("from", "to", bitsets.decode(ids).alias("categories"), "via", "evidence")
 
 
 def prune_orphans(nodes: DataFrame, flows: DataFrame) -> DataFrame:
@@ -116,19 +121,22 @@ def keep_classified(calls: DataFrame, d: Dictionaries = BUILTIN) -> DataFrame:
 def call_edges(calls: DataFrame, d: Dictionaries = BUILTIN) -> DataFrame:
     """One row per (service, target): categories, and the columns of the first call between them.
 
-    The only shuffle over calls. The result is as small as the graph, and everything else in the
-    graph follows from it.
+    The only shuffles over calls. All calls of one callee in one file to one target combine in hash tables before the first; what the second sees is as small as the
+    graph, and everything else in the graph follows from it. The order of calls in a file is packed into one number: files are shorter
+    than 2^47 bytes, calls than 2^40.
     """
-    first = F.struct(
-        F.expr(CALL_SEQ).alias("seq"), F.col("callee").alias("via"),
-        evidence(F.col("rel"), F.col("line")).alias("evidence"), F.col("base"), F.col("rel"),
-        F.col("target_label"), F.col("target_kind"))
-    return (keep_classified(calls, d)
-            .select(service_id(F.col("base"), F.col("rel")).alias("service_id"), "target_id",
-                    first.alias("first"), F.explode("categories").alias("cat"))
-            .groupBy("service_id", "target_id")
-            .agg(F.sort_array(F.collect_set("cat")).alias("categories"), F.min("first").alias("first"))
-            .select("service_id", "target_id", "categories", "first.*"))
+    ids = [c for c, _, _ in d.categories()]
+    order = F.expr(f"cast(start_byte AS decimal(19,0)) * {1 << 71}BD + cast({(1 << 40) - 1} - (end_byte - start_byte) AS decimal(19,0)) * {1 << 31}BD + line").cast("decimal(38,0)")
+    kept = keep_classified(calls, d).withColumns(bitsets.encode("categories", ids))
+    callees = (kept.select(service_id(F.col("base"), F.col("rel")).alias("service_id"), "target_id", "root_idx", "base", "rel", "callee",
+                           "target_label", "target_kind", order.alias("_order"), *bitsets.encode("", ids))
+               .groupBy("service_id", "target_id", "root_idx", "base", "rel", "callee", "target_label", "target_kind")
+               .agg(F.min("_order").alias("_order"), *bitsets.united(ids)))
+    line = F.expr(f"cast(_order % {1 << 31}BD AS int)")
+    first = F.struct(F.struct("root_idx", "rel", F.col("_order").alias("at")).alias("seq"), F.col("callee").alias("via"),
+                     evidence(F.col("rel"), line).alias("evidence"), F.col("base"), F.col("rel"), F.col("target_label"), F.col("target_kind"))
+    return (callees.groupBy("service_id", "target_id").agg(F.min(first).alias("first"), *bitsets.united(ids))
+            .select("service_id", "target_id", bitsets.decode(ids).alias("categories"), "first.*"))
 
 
 def edges_to_graph(edges: DataFrame, d: Dictionaries = BUILTIN) -> Graph:
@@ -137,9 +145,9 @@ def edges_to_graph(edges: DataFrame, d: Dictionaries = BUILTIN) -> Graph:
     blank = F.lit("")
     outward = edges.select(F.col("service_id").alias("from"), F.col("target_id").alias("to"),
                            "categories", "via", "evidence")
-    inward = (edges.select("service_id", F.explode("categories").alias("cat")).groupBy("service_id")
-              .agg(F.sort_array(F.collect_set("cat")).alias("categories"))
-              .select(F.lit("source:user").alias("from"), F.col("service_id").alias("to"), "categories",
+    ids = [c for c, _, _ in d.categories()]
+    inward = (edges.withColumns(bitsets.encode("categories", ids)).groupBy("service_id").agg(*bitsets.united(ids))
+              .withColumn("categories", bitsets.decode(ids)).select(F.lit("source:user").alias("from"), F.col("service_id").alias("to"), "categories",
                       blank.alias("via"), blank.alias("evidence")))
 
     location = F.concat_ws("/", "base", "rel")
@@ -175,9 +183,9 @@ def collapse(graph: Graph, kind: str = "service", new_id: str = "svc:app", label
     evidence, flows inside the box vanish, untouched nodes go."""
     boxed = graph.nodes.filter(F.col("kind") == kind).select("id")
     flows = remap_ends(graph.flows.select("from", "to", "categories"), boxed, new_id)
-    merged = (drop_invalid_flows(flows).withColumn("_cat", F.explode_outer("categories")).groupBy("from", "to")
-              .agg(F.sort_array(F.collect_set("_cat")).alias("categories"))
-              .withColumns({"via": F.lit(""), "evidence": F.lit("")}))
+    ids = bitsets.ids_of(graph.flows)
+    merged = (drop_invalid_flows(flows).withColumns(bitsets.encode("categories", ids)).groupBy("from", "to").agg(*bitsets.united(ids))
+              .select("from", "to", bitsets.decode(ids).alias("categories"), F.lit("").alias("via"), F.lit("").alias("evidence")))
 
     box = graph.spark.createDataFrame([(0, new_id, kind, label, "", "")],
                                       "seq int, id string, kind string, label string, system string, location string")

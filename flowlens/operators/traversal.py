@@ -1,17 +1,22 @@
 """Walking the graph: depth of every node, lineage of chosen nodes.
 
-Both are level-by-level joins of a frontier with the flow table. Each level is stored in the
-checkpoint directory, so a lost executor costs one level and the plan does not grow. The number of
-rounds is the length of the longest path, not the number of nodes.
+Depth is the longest path, found by contraction (``levels``). Lineage walks in the order of depth: every pair of a start and a node is met at the node's own
+level, when all ways to it have been walked, so a pair is read and expanded once and never compared with what was visited before. Cycles are condensed
+first, so that levels exist. What a step finds is stored in the checkpoint directory; a lost executor costs one step and plans do not grow.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import defaultdict
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Graph
-from ..session import cut, store
+from ..session import cut, new_folder
+from .edges import EdgeTables
+from .levels import longest_paths
 from .merge import endpoints
 from .skew import lookup_join
 
@@ -21,38 +26,14 @@ class CyclicGraphError(ValueError):
 
 
 def node_depth(nodes: DataFrame, flows: DataFrame) -> DataFrame:
-    """``(id, depth)``: longest path from any node without predecessors.
-
-    Nodes are peeled off: level 0 has no incoming flow, level k+1 loses its last incoming flow when
-    level k goes. That level is the longest path length, and a cycle shows itself as an empty level
-    while nodes remain. A round stores the next level and the nodes it reached that still wait, not the others.
-    A hub's flows are only ever counted, so they combine before the shuffle. Runs jobs.
-    """
-    spark = flows.sparkSession
-    edges = cut(flows.select("from", "to"))
-    ids = cut(nodes.select("id").union(endpoints(edges)).distinct())
-    indegree = cut(edges.groupBy(F.col("to").alias("id")).agg(F.count("*").alias("open")))
-
-    level = cut(ids.join(indegree, "id", "left_anti").select("id", F.lit(0).alias("depth")))
-    paths, depth, found = [], 0, 0
-    waiting = indegree.limit(0)
-    while size := level.count():
-        paths.append(store(level))
-        found += size
-        depth += 1
-        gone = (edges.join(level.select(F.col("id").alias("from")), "from", "left_semi")
-                .groupBy(F.col("to").alias("id")).agg(F.count("*").alias("gone")))
-        left = F.coalesce("w.open", "i.open") - F.col("gone")
-        reached = cut(gone.alias("g").join(indegree.alias("i"), "id").join(waiting.alias("w"), "id", "left")
-                      .select("id", left.alias("open")))
-        waiting = cut(waiting.join(reached, "id", "left_anti").unionByName(reached.filter("open > 0")))
-        level = reached.filter("open = 0").select("id", F.lit(depth).alias("depth"))
-    schema = "id string, depth int"
-    done = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-    if (stuck := ids.count() - found):
-        some = ids.join(done, "id", "left_anti").orderBy("id").limit(20).collect()
-        raise CyclicGraphError(f"{stuck} nodes on or behind a cycle, first {', '.join(r.id for r in some)}")
-    return done.join(nodes.select("id"), "id", "left_semi")
+    """``(id, depth)`` of ``nodes(id)``: longest path from any node without predecessors; 0 for nodes without flows. Runs jobs."""
+    edges = cut(flows.select("from", "to").distinct())
+    ids = cut(nodes.select("id").distinct())
+    depth = longest_paths(edges)
+    stuck = endpoints(edges).filter("id IS NOT NULL").join(depth, "id", "left_anti")
+    if some := stuck.orderBy("id").limit(20).collect():
+        raise CyclicGraphError(f"{stuck.count()} nodes on or behind a cycle, first {', '.join(r.id for r in some)}")
+    return ids.join(depth, "id", "left").select("id", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def layer_sizes(depths: DataFrame) -> DataFrame:
@@ -66,38 +47,145 @@ def layer_maxima(depths: DataFrame) -> DataFrame:
                                    F.coalesce(F.max("nodes"), F.lit(0)).cast("bigint").alias("max_rows"))
 
 
-def _walk(edges: DataFrame, start: DataFrame, visited: list[str], near: str, far: str) -> None:
-    """Spread ``start(start_id, id)`` along the edges, never into what the stored tables ``visited`` hold; adds the newly
-    found parts to them. Visited rows are one scan of many files, so the plan does not grow."""
-    frontier = start
-    while True:
-        step = (edges.join(frontier.withColumnRenamed("id", near), near)
-                .select("start_id", F.col(far).alias("id")).distinct())
-        seen = edges.sparkSession.read.schema(_PAIR).parquet(*visited)
-        path = store(step.join(seen, ["start_id", "id"], "left_anti"))
-        frontier = edges.sparkSession.read.schema(_PAIR).parquet(path)
-        if frontier.isEmpty():
-            return
-        visited.append(path)
-
-
 _PAIR = "start_id string, id string"
 
 
-def lineage(flows: DataFrame, starts: DataFrame) -> DataFrame:
+def cycle_members(edges: DataFrame, among: DataFrame) -> DataFrame:
+    """``(id, comp)``, stored, for the nodes of ``among(id)`` that lie on a cycle: the smallest node of their strongly connected component.
+
+    Nodes that neither follow nor precede a cycle are trimmed by ``longest_paths`` in both directions. Then, until nothing is left, the smallest id among a node's
+    ancestors colours it, and the nodes from which a colour's own node can be reached within the colour are its component. Rounds grow with the length
+    of the cycles and of the ways between them. Runs jobs."""
+    inner = cut(edges.join(among, edges["from"] == among["id"], "left_semi").join(among, edges["to"] == among["id"], "left_semi"))
+    done = []
+    while True:
+        for swap in (False, True):  # off: behind no cycle, then: before none
+            turned = inner.select(F.col("to").alias("from"), F.col("from").alias("to")) if swap else inner
+            free = longest_paths(turned).select("id")
+            for end in ("from", "to"):
+                inner = inner.join(free.withColumnRenamed("id", end), end, "left_anti")
+            inner = cut(inner.select("from", "to"))
+        if inner.isEmpty():
+            break
+        colour = cut(endpoints(inner).withColumn("comp", F.col("id")))
+        while True:
+            pushed = inner.join(colour.withColumnRenamed("id", "from"), "from").select(F.col("to").alias("id"), "comp")
+            least = pushed.unionByName(colour).groupBy("id").agg(F.min("comp").alias("comp"))
+            new = cut(least.join(colour.withColumnRenamed("comp", "_old"), "id").withColumn("changed", F.col("comp") != F.col("_old")).drop("_old"))
+            colour = new.drop("changed")
+            if new.filter("changed").isEmpty():
+                break
+        same = cut(inner.join(colour.withColumnRenamed("id", "from").withColumnRenamed("comp", "a"), "from")
+                   .join(colour.withColumnRenamed("id", "to").withColumnRenamed("comp", "b"), "to").filter("a = b").select("from", "to", "a"))
+        found = cut(colour.filter("id = comp"))
+        fresh = found
+        while True:
+            back = same.join(fresh.withColumnRenamed("id", "to"), "to").select(F.col("from").alias("id"), F.col("a").alias("comp")).distinct()
+            fresh = cut(back.join(found, ["id", "comp"], "left_anti"))
+            if fresh.isEmpty():
+                break
+            found = cut(found.unionByName(fresh))
+        done.append(found)
+        for end in ("from", "to"):
+            inner = inner.join(found.select(F.col("id").alias(end)), end, "left_anti")
+        inner = cut(inner.select("from", "to"))
+    out = among.select("id", F.col("id").alias("comp")).limit(0)
+    for part in done:
+        out = out.unionByName(part)
+    return cut(out)
+
+
+@dataclass(frozen=True)
+class ReachIndex:
+    """What lineage needs to know of a graph, built once: cycles condensed to single nodes, the arcs between those in buckets by either end, each with the level of
+    its other end and whether the walk can go on there."""
+    arcs: EdgeTables
+    edges: EdgeTables | None
+    members: DataFrame
+    levels: DataFrame
+    cyclic: bool
+
+    @classmethod
+    def of(cls, flows: DataFrame) -> "ReachIndex":
+        """From ``flows(from, to)``. Runs jobs."""
+        edges = cut(flows.select("from", "to").filter("`from` IS NOT NULL AND `to` IS NOT NULL AND `from` <> `to`").distinct())
+        ids, levels = endpoints(edges), longest_paths(edges)
+        stuck = cut(ids.join(levels, "id", "left_anti"))
+        cyclic, arcs = not stuck.isEmpty(), edges
+        members = stuck.withColumn("comp", F.col("id"))
+        if cyclic:
+            members = cycle_members(edges, stuck)
+            for end in ("from", "to"):
+                arcs = arcs.join(members.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("comp", end)).drop("comp")
+            arcs = cut(arcs.filter("`from` <> `to`").select("from", "to").distinct())
+            alone = members.select(F.col("comp").alias("id")).distinct().withColumn("depth", F.lit(0))
+            levels = cut(longest_paths(arcs).unionByName(alone).groupBy("id").agg(F.max("depth").alias("depth")))
+        for end in ("from", "to"):  # the level of either end
+            arcs = arcs.join(levels.select(F.col("id").alias(end), F.col("depth").alias(f"{end}_level")), end)
+        out = arcs.select(F.col("from").alias("id")).distinct().withColumn("goes_on", F.lit(True))
+        arcs = arcs.join(cut(out).withColumnRenamed("id", "to"), "to", "left").select(
+            "from", "to", "from_level", "to_level", (F.col("from_level") > 0).alias("from_goes_on"), F.coalesce("goes_on", F.lit(False)).alias("to_goes_on"))
+        return cls(EdgeTables.of(cut(arcs)), EdgeTables.of(edges) if cyclic else None, members, levels, cyclic)
+
+
+def _read(spark: SparkSession, folders: list[str], schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*folders)
+
+
+def _walk(index: ReachIndex, first: DataFrame, near: str, far: str) -> list[str]:
+    """Spread ``first(start_id, id, level, goes_on)`` along the arcs, level by level; the folders of all pairs found. A pair is stored by its level and read when the walk gets there."""
+    spark = first.sparkSession
+    folders: list[str] = []
+    waiting: dict[int, list[str]] = defaultdict(list)
+
+    def keep(pairs: DataFrame) -> None:
+        path, seen = new_folder(spark), Observation()
+        pairs.observe(seen, F.collect_set("level").alias("levels")).write.partitionBy("level").option("compression", "zstd").parquet(path)
+        levels = seen.get.get("levels") or []
+        for level in levels:  # as many as the graph is deep
+            waiting[level].append(f"{path}/level={level}")
+        if levels:
+            folders.append(path)
+
+    keep(first)
+    while waiting:
+        level = (min if near == "from" else max)(waiting)
+        here = _read(spark, waiting.pop(level), _PAIR + ", goes_on boolean")
+        step = index.arcs.step(here.filter("goes_on").select("start_id", "id").distinct(), near)
+        keep(step.select("start_id", F.col(far).alias("id"), F.col(f"{far}_level").alias("level"), F.col(f"{far}_goes_on").alias("goes_on")).distinct())
+    return folders
+
+
+def lineage(flows: DataFrame | ReachIndex, starts: DataFrame) -> DataFrame:
     """``(start_id, id)`` for each id in ``starts(id)``: the node, all its ancestors, then the
     descendants that can be reached without passing through an ancestor.
 
-    The two walks share what they have visited, which only matters on a cycle. The result has a row for each start and node in its
-    lineage, so with all nodes as starts it is the closure of the graph. Runs jobs, some for each step of the longest walk.
+    Ancestors and descendants differ but on a cycle: there all members are ancestors, so only what the start itself leads to outside goes on. The result has a
+    row for each start and node in its lineage, so with all nodes as starts it is the closure of the graph. Pass a ``ReachIndex`` to ask one graph more than once. Runs jobs, one for each level
+    that a walk meets.
     """
-    spark = flows.sparkSession
-    edges = cut(flows.select("from", "to").distinct())
-    visited = [store(starts.select(F.col("id").alias("start_id"), "id").distinct())]
-    own = spark.read.schema(_PAIR).parquet(visited[0])
-    _walk(edges, own, visited, near="to", far="from")
-    _walk(edges, own, visited, near="from", far="to")
-    return spark.read.schema(_PAIR).parquet(*visited)
+    index = flows if isinstance(flows, ReachIndex) else ReachIndex.of(flows)
+    spark = starts.sparkSession
+    own = cut(starts.select(F.col("id").alias("start_id"), "id").distinct())
+    # each start as a node of the condensed graph, and what the start itself leads to outside its cycle
+    placed = own.join(index.members, "id", "left").withColumn("id", F.coalesce("comp", "id")) if index.cyclic else own.withColumn("comp", F.lit(None).cast("string"))
+    placed = cut(placed.join(index.levels, "id").select("start_id", "id", F.col("depth").alias("level"), F.col("comp").isNotNull().alias("on_cycle")))
+    up = _walk(index, placed.select("start_id", "id", "level", F.lit(True).alias("goes_on")), "to", "from")
+    down_from = placed.filter("NOT on_cycle").select("start_id", "id", "level", F.lit(True).alias("goes_on"))
+    if index.cyclic:
+        outside = index.edges.step(placed.filter("on_cycle").select("start_id", F.col("id").alias("comp"), F.col("start_id").alias("id")), "from")
+        outside = (outside.select("start_id", F.col("comp").alias("own_comp"), F.col("to").alias("id")).join(index.members, "id", "left")
+                   .withColumn("id", F.coalesce("comp", "id")).filter("id <> own_comp").join(index.levels, "id")
+                   .select("start_id", "id", F.col("depth").alias("level"), F.lit(True).alias("goes_on")).distinct())
+        down_from = down_from.unionByName(outside)
+    down = _walk(index, down_from, "from", "to")
+    found = own
+    if up + down:
+        found = _read(spark, up + down, _PAIR)
+        if index.cyclic:
+            found = found.join(index.members.withColumnRenamed("id", "member"), F.col("id") == F.col("comp"), "left").select("start_id", F.coalesce("member", "id").alias("id"))
+        found = found.unionByName(own)
+    return found.distinct()
 
 
 def focus(graph: Graph, node_id: str) -> Graph:
