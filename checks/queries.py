@@ -13,7 +13,8 @@ from flowlens.functions import identifiers as idf
 from flowlens.functions import targets as tgt
 from flowlens.functions import text as txt
 from flowlens.model import Graph
-from flowlens.operators import details, merge, sensitivity, traversal, weights
+from flowlens.operators import details, dictionary, merge, sensitivity, traversal, upsert, weights
+from flowlens.operators import lines as line_index
 from flowlens.plans import scan as scans
 from flowlens.plans import views
 from flowlens.sinks import graph_json
@@ -146,6 +147,17 @@ def _(s, sf):
     return at.select("doc_id", "byte_offset", txt.line_at(F.col("text"), F.col("byte_offset")).alias("line"))
 
 
+@query("prj3_lines_of_offsets", """WITH lines AS (SELECT doc_id, i AS line, (sum(octet_length(encode(l)) + 1) OVER w - octet_length(encode(l)) - 1)::BIGINT AS start FROM (
+    SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+asked AS (SELECT doc_id, unnest(generate_series(0, octet_length(encode(text)), 61))::BIGINT AS byte_offset FROM documents)
+SELECT a.doc_id, byte_offset, line::INT AS line FROM asked a ASOF JOIN lines l ON a.doc_id = l.doc_id AND a.byte_offset >= l.start""")
+def _(s, sf):
+    docs = inputs.table(s, sf, "documents").select("doc_id", "text")
+    every = F.sequence(F.lit(0).cast("long"), F.octet_length("text").cast("long"), F.lit(61).cast("long"))
+    return line_index.lines_of(docs, docs.select("doc_id", F.explode(every).alias("byte_offset")), "doc_id")
+
+
 @query("prj4_split_callee", ask(CALLS, SPLIT, "SELECT DISTINCT callee, recv AS receiver, method FROM split"))
 def _(s, sf):
     low = F.lower("callee")
@@ -359,6 +371,18 @@ def _(s, sf):
             .groupBy("callee", "host", "callee_vendor", "host_vendor").agg(F.count("*").alias("calls")))
 
 
+@query("jon9_match_vendor_index", ask(CALLS, TARGETS, """SELECT callee, host, cv AS callee_vendor, hv AS host_vendor, count(*) AS calls
+  FROM targets GROUP BY ALL"""))
+def _(s, sf):
+    calls = (inputs.calls(s, sf).select("callee", tgt.url_host(F.col("full_text")).alias("host"), F.lower("callee").alias("low"))
+             .groupBy("callee", "host", "low").agg(F.count("*").alias("calls")))
+    low_host = F.lower("host")
+    found = dictionary.match_vendors(calls.select(F.col("low").alias("id")).unionByName(calls.select(low_host.alias("id"))), dims.dim_vendor(s))
+    for column, value in (("callee_vendor", F.col("low")), ("host_vendor", low_host)):
+        calls = calls.withColumn("id", value).join(found.withColumnRenamed("vendor", column), "id", "left")
+    return calls.select("callee", "host", "callee_vendor", "host_vendor", "calls")
+
+
 _LINEAGE = """starts AS (SELECT id FROM knodes WHERE kind IN ('service', 'source')),
 up AS (SELECT id AS start_id, id FROM starts UNION SELECT u.start_id, k.f FROM up u JOIN kflows k ON k.t = u.id),
 down AS (SELECT id AS start_id, id FROM starts UNION SELECT d.start_id, k.t FROM down d JOIN kflows k ON k.f = d.id),
@@ -408,15 +432,21 @@ raw AS (SELECT event_id AS seq, 'c' || (user_id % 37) AS id, 'L' || (event_id %
   FROM events JOIN sens ON k = (event_id // 7) % (1 + user_id % 8))"""
 
 
-@query("agg1_merge_categories", ask(RANK, _RAW_CATS, """SELECT id, arg_min(label, seq) AS label,
+_CATEGORIES_SQL = ask(RANK, _RAW_CATS, """SELECT id, arg_min(label, seq) AS label,
   arg_min(raw.sensitivity, {'r': -coalesce(rnk, 0), 's': seq}) AS sensitivity
-  FROM raw LEFT JOIN ranks ON ranks.sensitivity = raw.sensitivity GROUP BY id"""))
-def _(s, sf):
+  FROM raw LEFT JOIN ranks ON ranks.sensitivity = raw.sensitivity GROUP BY id""")
+
+
+def _raw_categories(s, sf):
     e = inputs.table(s, sf, "events")
-    rows = e.select(F.col("event_id").alias("seq"), F.expr("concat('c', user_id % 37)").alias("id"),
+    return e.select(F.col("event_id").alias("seq"), F.expr("concat('c', user_id % 37)").alias("id"),
                     F.expr("concat('L', event_id % 3)").alias("label"),
                     inputs._pick(_SENS, "(event_id div 7) % (1 + user_id % 8)").alias("sensitivity"))
-    return merge.merge_categories(rows)
+
+
+@query("agg1_merge_categories", _CATEGORIES_SQL)
+def _(s, sf):
+    return merge.merge_categories(_raw_categories(s, sf))
 
 
 _RAW_NODES = """raw AS (SELECT event_id AS seq, 'n' || (user_id % 97) AS id, event_type AS kind,
@@ -425,17 +455,23 @@ _RAW_NODES = """raw AS (SELECT event_id AS seq, 'n' || (user_id % 97) AS id, eve
   CASE WHEN event_id % 11 = 0 THEN 'P' || event_id ELSE '' END AS location FROM events)"""
 
 
-@query("agg2_merge_nodes", ask(_RAW_NODES, """SELECT id, arg_min(kind, seq) AS kind,
+_NODES_SQL = ask(_RAW_NODES, """SELECT id, arg_min(kind, seq) AS kind,
   arg_min(coalesce(nullif(label, ''), id), seq) AS label,
   coalesce(arg_min(system, seq) FILTER (WHERE system <> ''), '') AS system,
-  coalesce(arg_min(location, seq) FILTER (WHERE location <> ''), '') AS location FROM raw GROUP BY id"""))
-def _(s, sf):
-    rows = inputs.table(s, sf, "events").selectExpr(
+  coalesce(arg_min(location, seq) FILTER (WHERE location <> ''), '') AS location FROM raw GROUP BY id""")
+
+
+def _raw_node_rows(s, sf):
+    return inputs.table(s, sf, "events").selectExpr(
         "event_id AS seq", "concat('n', user_id % 97) AS id", "event_type AS kind",
         "if(event_id % 3 = 0, concat('L', event_id), '') AS label",
         "if(event_id % 7 = 0, concat('S', event_id), '') AS system",
         "if(event_id % 11 = 0, concat('P', event_id), '') AS location")
-    return merge.merge_nodes(rows)
+
+
+@query("agg2_merge_nodes", _NODES_SQL)
+def _(s, sf):
+    return merge.merge_nodes(_raw_node_rows(s, sf))
 
 
 _MERGED_FLOWS = """ok AS (SELECT * FROM raw_flows WHERE f <> '' AND t <> '' AND f <> t),
@@ -452,6 +488,26 @@ def _(s, sf):
     return flat(merge.merge_flows(_raw_flows(s, sf)))
 
 
+def _in_halves(state, rows):
+    """The state of two halves of the rows, the later half first."""
+    return upsert.merge_states(state(rows.filter("seq % 2 = 1")), state(rows.filter("seq % 2 = 0")))
+
+
+@query("agg1_upsert_categories", _CATEGORIES_SQL)
+def _(s, sf):
+    return upsert.category_rows(_in_halves(upsert.category_state, _raw_categories(s, sf)))
+
+
+@query("agg2_upsert_nodes", _NODES_SQL)
+def _(s, sf):
+    return upsert.node_rows(_in_halves(upsert.node_state, _raw_node_rows(s, sf)))
+
+
+@query("agg3_upsert_flows", _MERGED_SQL)
+def _(s, sf):
+    return flat(upsert.flow_rows(_in_halves(upsert.flow_state, _raw_flows(s, sf))))
+
+
 @query("agg4_calls_to_graph", ask(GRAPH, """SELECT 'flow' AS part, f AS a, t AS b, categories AS c, via AS d, evidence AS e
   FROM flows UNION ALL SELECT 'node', id, kind, label, system, location FROM plain_nodes
   UNION ALL SELECT 'category', id, label, sensitivity, '', '' FROM categories"""))
@@ -747,6 +803,12 @@ def _(s, sf):
     return _doc_ids(s, sf).select("id", idf.classify_identifier(F.col("id")).alias("category"))
 
 
+@query("jon1_dictionary_join", ask(CALLS, _DOC_IDS, DICTIONARY,
+    classified("ids"), "SELECT id, cat AS category FROM cls"))
+def _(s, sf):
+    return dictionary.classify_names(_doc_ids(s, sf), dims.dim_pii_token(s), dims.dim_qualifier(s))
+
+
 @query("scl8_categories_in", ask(CALLS, CALL_CATS, _CATS_PER_CALL, """SELECT start_byte, coalesce(categories, '') AS categories
   FROM calls LEFT JOIN per_call USING (start_byte)"""))
 def _(s, sf):
@@ -754,19 +816,29 @@ def _(s, sf):
         "start_byte", F.array_join(idf.categories_in(F.col("args_text")), ",").alias("categories"))
 
 
-@query("scl8_categories_in_documents", ask("""texts AS (SELECT doc_id, text FROM documents),
+_DOCUMENT_CATS = ask("""texts AS (SELECT doc_id, text FROM documents),
 ids AS (SELECT doc_id, unnest(l) AS id, generate_subscripts(l, 1) AS pos FROM (
   SELECT doc_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*') AS l FROM texts))""",
     DICTIONARY,
     classified("ids"), """doc_cats AS (SELECT doc_id, cat, min(pos) AS pos FROM ids JOIN cls USING (id)
   WHERE cat IS NOT NULL GROUP BY doc_id, cat)""",
     """SELECT d.doc_id, coalesce(string_agg(cat, ',' ORDER BY pos), '') AS categories
-  FROM documents d LEFT JOIN doc_cats USING (doc_id) GROUP BY d.doc_id"""))
+  FROM documents d LEFT JOIN doc_cats USING (doc_id) GROUP BY d.doc_id""")
+
+
+@query("scl8_categories_in_documents", _DOCUMENT_CATS)
 def _(s, sf):
     return inputs.spread(inputs.table(s, sf, "documents").select("doc_id", "text")).select(
         "doc_id", F.array_join(idf.categories_in(F.col("text")), ",").alias("categories"))
 
 
+@query("scl8_categories_by_dictionary_join", _DOCUMENT_CATS)
+def _(s, sf):
+    docs = inputs.spread(inputs.table(s, sf, "documents").select("doc_id", "text"))
+    found = dictionary.categories_of(docs, "doc_id", "text", dims.dim_pii_token(s), dims.dim_qualifier(s))
+    return found.select("doc_id", F.array_join("categories", ",").alias("categories"))
+
+
 @query("scl9_sensitivity_rank", ask(RANK, _RAW_CATS, """SELECT seq, coalesce(rnk, 0)::INT AS rank FROM raw
   LEFT JOIN ranks ON ranks.sensitivity = raw.sensitivity"""))
 def _(s, sf):

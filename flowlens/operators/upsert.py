@@ -55,6 +55,24 @@ def _smallest(states: DataFrame, key: tuple[str, ...] = ("id",), categories: lis
     return merged.select(*key, bitsets.decode(ids).alias("categories"), *pairs)
 
 
+def merge_states(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Two states of one table as one."""
+    return _smallest(one.unionByName(other), tuple(c for c in ("id", "from", "to") if c in one.columns))
+
+
+def category_rows(state: DataFrame) -> DataFrame:
+    return state.select("id", F.col("label.value").alias("label"), F.col("sensitivity.value").alias("sensitivity"))
+
+
+def node_rows(state: DataFrame) -> DataFrame:
+    filled = [F.coalesce(f"{c}.value", F.lit("")).alias(c) for c in ("system", "location")]
+    return state.select("id", F.col("kind.value").alias("kind"), F.col("label.value").alias("label"), *filled)
+
+
+def flow_rows(state: DataFrame) -> DataFrame:
+    return state.select("from", "to", "categories", *[F.coalesce(f"{c}.value", F.lit("")).alias(c) for c in ("via", "evidence")])
+
+
 @dataclass(frozen=True)
 class GraphState:
     """The states of a graph's tables. Positions (``seq``) have one type in all parts and tell the rows of all parts apart."""
@@ -68,16 +86,11 @@ class GraphState:
         return cls(category_state(categories, seq), node_state(nodes, seq), flow_state(flows, seq))
 
     def merge(self, other: "GraphState") -> "GraphState":
-        return GraphState(_smallest(self.categories.unionByName(other.categories)), _smallest(self.nodes.unionByName(other.nodes)),
-                          _smallest(self.flows.unionByName(other.flows), ("from", "to")))
+        return GraphState(*[merge_states(getattr(self, t), getattr(other, t)) for t in TABLES])
 
     def graph(self) -> Graph:
         """The graph, as one build over all rows would have given it."""
-        blank = F.lit("")
-        return Graph(self.categories.select("id", F.col("label.value").alias("label"), F.col("sensitivity.value").alias("sensitivity")),
-                     self.nodes.select("id", F.col("kind.value").alias("kind"), F.col("label.value").alias("label"),
-                                       *[F.coalesce(f"{c}.value", blank).alias(c) for c in ("system", "location")]),
-                     self.flows.select("from", "to", "categories", *[F.coalesce(f"{c}.value", blank).alias(c) for c in ("via", "evidence")]))
+        return Graph(category_rows(self.categories), node_rows(self.nodes), flow_rows(self.flows))
 
     def save(self, path: str) -> None:
         """Make this the state that ``path`` holds. A new version is written beside the old one and named as the current one at the end, so a write that fails
