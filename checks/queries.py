@@ -17,6 +17,7 @@ from flowlens.operators import details, dictionary, merge, sensitivity, traversa
 from flowlens.operators import lines as line_index
 from flowlens.plans import scan as scans
 from flowlens.plans import views
+from flowlens.session import cut
 from flowlens.sinks import graph_json
 from flowlens.sources import calls as call_source
 from flowlens.sources import files as file_ops
@@ -97,14 +98,28 @@ def _(s, sf):
     return _routed(s, sf).select("rel", "is_infra")
 
 
-@query("src8_scan_stats", ask(PATHS, """SELECT count(*) AS files,
+_STATS_SQL = ask(PATHS, """SELECT count(*) AS files,
   count(*) FILTER (WHERE NOT is_infra AND language IS NOT NULL) AS parsed, count(*) FILTER (WHERE is_infra) AS infra,
   (SELECT string_agg(language || '=' || n, ',' ORDER BY language) FROM (
      SELECT language, count(*) AS n FROM infra_routed WHERE NOT is_infra AND language IS NOT NULL GROUP BY language)
-  ) AS languages FROM infra_routed"""))
+  ) AS languages FROM infra_routed""")
+
+
+def _listed(stats):
+    pairs = F.transform(F.array_sort(F.map_entries("languages")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return stats.withColumn("languages", F.array_join(pairs, ","))
+
+
+@query("src8_scan_stats", _STATS_SQL)
+def _(s, sf):
+    return _listed(file_ops.scan_stats(_routed(s, sf)))
+
+
+@query("src8_observed_stats", _STATS_SQL)
 def _(s, sf):
-    pairs = F.transform(F.map_entries("languages"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
-    return file_ops.scan_stats(_routed(s, sf)).withColumn("languages", F.array_join(pairs, ","))
+    stats = file_ops.ObservedStats(_routed(s, sf))
+    cut(stats.watched)  # the pass that a scan makes anyway
+    return _listed(stats.frame())
 
 
 # ---- calls --------------------------------------------------------------------

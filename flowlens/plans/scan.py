@@ -10,7 +10,7 @@ from ..model import Graph
 from ..operators.merge import call_edges, edges_to_graph, relabel_nodes
 from ..session import cut
 from ..sources.calls import extract_calls
-from ..sources.files import scan_stats
+from ..sources.files import ObservedStats
 from ..sources.infra import store_relabels
 from ..sources.tree import list_tree, read_content, routed_files
 from .views import graph_summary
@@ -43,15 +43,16 @@ def graph_from_files(files: DataFrame, d: Dictionaries = BUILTIN) -> Graph:
 def scan(spark: SparkSession, roots: list[str], d: Dictionaries = BUILTIN) -> tuple[Graph, DataFrame]:
     """Scan directory trees: their graph, and one row of statistics.
 
-    Only paths are stored between the steps. Code and infrastructure files are read apart, each once
+    Only paths are stored between the steps; the statistics are metrics of the job that stores them. Code and infrastructure files are read apart, each once
     per use of the graph's tables; the calls themselves are merged before anything is stored.
     """
-    routed = cut(routed_files(list_tree(spark, roots)))
+    stats = ObservedStats(routed_files(list_tree(spark, roots)))
+    routed = cut(stats.watched)
     code = read_content(routed.filter("readable AND NOT is_infra AND language IS NOT NULL"))
     infra = read_content(routed.filter("readable AND is_infra"))
     infra_files = infra.select("root_idx", F.col("segments").alias("walk_key"),
                                F.col("content").cast("string").alias("src"))
-    return graph_from_calls(extract_calls(code), infra_files, d), scan_stats(routed)
+    return graph_from_calls(extract_calls(code), infra_files, d), stats.frame()
 
 
 def scan_summary(stats: DataFrame, graph: Graph) -> str:

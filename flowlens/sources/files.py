@@ -5,7 +5,7 @@ Works on any DataFrame with ``rel`` (path below its root), ``name``, ``path`` an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -84,3 +84,23 @@ def scan_stats(files: DataFrame) -> DataFrame:
         F.coalesce(F.sum("infra"), F.lit(0)).alias("infra"),
         F.map_from_entries(F.sort_array(F.collect_list(
             F.when(known, F.struct("language", "files"))))).alias("languages"))
+
+
+class ObservedStats:
+    """The numbers of ``scan_stats`` as metrics of a pass that runs anyway: pass ``watched`` on in place of the files; when it has been read once, ``frame`` has the row.
+    Languages are counted by name, ``languages`` being all that files can have."""
+
+    def __init__(self, files: DataFrame, languages: list[str] | None = None):
+        self._names = sorted(set(languages if languages is not None else (lang for _, lang in builtin_languages())))
+        self._seen, self._spark = Observation(), files.sparkSession
+        readable = F.col("readable") if "readable" in files.columns else F.lit(True)
+        code = readable & ~F.col("is_infra")
+        per_language = [F.count_if(code & (F.col("language") == name)).alias(f"l{k}") for k, name in enumerate(self._names)]
+        self.watched = files.observe(self._seen, F.count("*").alias("files"), F.count_if(readable & F.col("is_infra")).alias("infra"), *per_language)
+
+    def frame(self) -> DataFrame:
+        """One row as ``scan_stats`` gives it; waits until the pass has ended."""
+        seen = self._seen.get
+        counts = {name: seen[f"l{k}"] for k, name in enumerate(self._names) if seen.get(f"l{k}")}
+        row = (seen.get("files", 0), sum(counts.values()), seen.get("infra", 0), counts)
+        return self._spark.createDataFrame([row], "files bigint, parsed bigint, infra bigint, languages map<string,bigint>")

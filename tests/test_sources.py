@@ -10,7 +10,8 @@ from flowlens.operators.sensitivity import dominant_sensitivity
 from flowlens.operators.weights import node_throughput
 from flowlens.plans.scan import graph_from_files, scan, scan_summary
 from flowlens.plans.views import blackbox, graph_summary
-from flowlens.sinks.graph_json import write_graph_json
+from flowlens.sinks import graph_source
+from flowlens.sinks.graph_json import json_lines, write_graph_json
 from flowlens.sources import files as file_ops
 from flowlens.sources.calls import extract_calls, find_calls
 from flowlens.sources.tree import list_tree, read_corpus, routed_files
@@ -273,3 +274,27 @@ def test_json_of_an_empty_graph(spark, tmp_path):
                   spark.createDataFrame([], NODE_SCHEMA), spark.createDataFrame([], FLOW_SCHEMA))
     write_graph_json(empty, str(tmp_path / "g"))
     assert read_document(tmp_path / "g") == {"categories": [], "nodes": [], "flows": []}
+
+
+def test_document_through_the_data_source(golden, tmp_path):
+    """The same document, replaced as a whole, refused where one stands, and untouched when a task fails."""
+    g, _ = golden
+    path = str(tmp_path / "doc")
+    write_graph_json(g, str(tmp_path / "g"))
+    graph_source.save_graph_document(g, path)
+    assert json.loads("".join(graph_source.read_document(path))) == read_document(tmp_path / "g")
+    with pytest.raises(Exception, match="holds a document"):
+        graph_source.save_graph_document(g, path)
+    first = graph_source.manifest(path)
+    lines = json_lines(g).select(F.when(F.col("line").contains("paypal.charge"), F.raise_error(F.lit("task lost")).cast("string")).otherwise(F.col("line")).alias("line"))
+    for target in (path, str(tmp_path / "new")):
+        with pytest.raises(Exception, match="task lost"):
+            lines.write.format("graph_json").mode("overwrite").save(target)
+    assert graph_source.manifest(path) == first and json.loads("".join(graph_source.read_document(path)))["flows"]
+    assert graph_source.manifest(str(tmp_path / "new")) is None
+    with pytest.raises(FileNotFoundError):
+        list(graph_source.read_document(str(tmp_path / "new")))
+    small = Graph(g.categories, g.nodes, g.flows.limit(0))
+    graph_source.save_graph_document(small, path, overwrite=True)
+    assert json.loads("".join(graph_source.read_document(path)))["flows"] == []
+    assert len([f for f in os.listdir(path) if f.startswith("write-")]) == 1
