@@ -20,12 +20,15 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import python_tasks, sample_share
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Signs that count as word characters but are neither letters nor decimal digits, such as fractions and Roman numerals.
+_SIGNS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+#: A word is a run of letters, here and in training.
+WORD = re.compile(rf"[^\W\d_{_SIGNS}]+")
 ORDERS = (4, 3, 2, 1)
 #: Each step of the fall-back counts less than the one before.
 BACKOFF = 0.7
@@ -83,10 +86,13 @@ class LanguageModel:
 
 
 def _scores(counts: DataFrame, key: str, languages: list[str], most: int) -> tuple[dict[str, int], np.ndarray]:
-    """Log frequencies per language of the ``most`` frequent keys of ``counts(key, lang, n)``, less their
-    mean over the languages, which changes no comparison and makes an unknown key worth nothing."""
+    """Log frequencies per language of the frequent keys of ``counts(key, lang, n)``, less their mean over the languages, which changes no comparison and makes an unknown
+    key worth nothing. Each language chooses an equal share of the ``most`` keys, so none loses its words to a larger one."""
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), key)
+    chosen = counts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most // len(languages)).select(key).distinct()
+    counts = counts.join(chosen, key, "left_semi")
     per = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"l{i}") for i, x in enumerate(languages)]
-    rows = counts.groupBy(key).agg(F.sum("n").alias("n"), *per).orderBy(F.desc("n"), key).limit(most).collect()
+    rows = counts.groupBy(key).agg(F.sum("n").alias("n"), *per).orderBy(F.desc("n"), key).collect()  # ``most`` at most
     if not rows:
         return {}, np.zeros((0, len(languages)), np.float32)
     c = np.array([r[2:] for r in rows], np.float64)

@@ -4,7 +4,7 @@ operations only.
 Words and word pairs are hashed into ``BUCKETS`` buckets. Counting all documents gives the raw multinomial, counting the
 trusted ones the target multinomial, both with one added to every bucket. A document's score is the mean over its n-grams
 of ``log p_target - log p_raw``, so length does not matter, and it is kept if that reaches ``THRESHOLD`` and no
-base rule fails. The trusted side may be a bounded sample (``max_trusted`` rows); raw counts cover all documents.
+base rule fails. Both count all their documents.
 
 The weights are one array of ``BUCKETS`` numbers in the plan. Counts combine before the shuffle to at most one
 row per bucket and task, so no word can be hot.
@@ -21,10 +21,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import constant_array, sample_share
+from ..session import cut
+from .common import constant_array
 
 BUCKETS = 1 << 15
-MAX_TRUSTED = 20_000
 THRESHOLD = -0.06
 MIN_WORDS = 50
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -48,15 +48,11 @@ def _grams(h: str) -> Column:
     return F.concat(one, two)
 
 
-def weights(docs: DataFrame, trusted: DataFrame, max_trusted: int = MAX_TRUSTED) -> list[float]:
-    """The log ratio of each bucket, from all of ``docs(doc_id, text)`` and the ids ``trusted(doc_id)``. Of more than ``max_trusted``
-    trusted ids about that many are used, chosen by a hash, so what is broadcast is bounded. Runs two jobs."""
-    ids = trusted.filter("doc_id IS NOT NULL").distinct()
-    n = ids.count()
-    ids = ids.filter(sample_share(F.col("doc_id")) < min(1.0, max_trusted / n) if n else F.lit(False))
-    split = docs.select("doc_id", words(F.col("text")).alias("w"))
-    flagged = split.select("doc_id", word_hashes("w").alias("h")).join(
-        F.broadcast(ids.withColumn("_trusted", F.lit(1))), "doc_id", "left")
+def weights(docs: DataFrame, trusted: DataFrame) -> list[float]:
+    """The log ratio of each bucket, from all of ``docs(doc_id, text)`` and all ids ``trusted(doc_id)``, which are stored, so that Spark broadcasts them
+    if their bytes allow it and shuffles the texts to them if not. Runs two jobs."""
+    ids = cut(trusted.filter("doc_id IS NOT NULL").select("doc_id").distinct().withColumn("_trusted", F.lit(1)))
+    flagged = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("_trusted", words(F.col("text")).alias("w")).select("_trusted", word_hashes("w").alias("h"))
     counts = (flagged.select(F.explode(_grams("h")).alias("bucket"), "_trusted").groupBy("bucket")
               .agg(F.count("*").alias("raw"), F.count("_trusted").alias("target")).collect())  # at most BUCKETS rows
     raw, target = [1] * BUCKETS, [1] * BUCKETS

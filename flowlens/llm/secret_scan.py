@@ -84,7 +84,8 @@ def update_ledger(versions: DataFrame, ledger: str, rules: list[tuple] = RULES,
         seen = spark.read.parquet(ledger).filter(F.col("rules_version") == rules_version).select("blob")
         new = blobs.join(seen, "blob", "left_anti").dropDuplicates(["blob"])
     scan_blobs(new, rules).withColumn("rules_version", F.lit(rules_version)).write.mode("append").parquet(ledger)
-    return spark.read.parquet(ledger).filter(F.col("rules_version") == rules_version).select("blob", "spans")
+    # two writers may have scanned a blob at a time; their findings are equal
+    return spark.read.parquet(ledger).filter(F.col("rules_version") == rules_version).select("blob", "spans").dropDuplicates(["blob"])
 
 
 def findings(versions: DataFrame, ledger: str, keys: list[str], rules: list[tuple] = RULES,

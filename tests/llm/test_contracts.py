@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.llm import decontaminate, quality
+from flowlens.llm import decontaminate, quality, secret_scan
 from flowlens.llm.queries import QUERIES
 
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -153,6 +153,15 @@ def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     assert spark.read.parquet(ledger).groupBy("rules_version").count().count() == 2
 
 
+def test_a_blob_that_was_scanned_twice_counts_once(spark, tmp_path):
+    """Two writers at a time append the same blobs; paths are joined to one of them."""
+    ledger = str(tmp_path / "ledger")
+    versions = spark.createDataFrame([("a", "token=abcdefghij"), ("b", "token=abcdefghij"), ("c", None)], "path string, text string")
+    secret_scan.update_ledger(versions.select("text"), ledger)
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger)
+    assert sorted(r.path for r in secret_scan.findings(versions, ledger, ["path"]).collect()) == ["a", "b", "c"]
+
+
 def test_windows_keep_the_run_that_documents_keep(spark):
     text = "a b c a b c a b c a b c d e"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
