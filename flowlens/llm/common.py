@@ -65,15 +65,8 @@ def bit_set(hashes: DataFrame, bits_each: int = 256) -> list[int]:
     return out
 
 
-def in_bit_set(h: Column, marked: Column) -> Column:
-    """May a hash be among those of ``bit_set``, given as an array?"""
-    at = F.shiftright(h, 6).bitwiseAND(F.size(marked) - 1).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    return F.get(marked, at).bitwiseAND(bit) != 0
-
-
 def may_be_in(h: Column, marked: list[int]) -> Column:
-    """``in_bit_set`` for operators that run Python in tasks: the bit set is broadcast, so it is no part of the plan's text."""
+    """May a hash be among those of ``bit_set``? For operators that run Python in tasks: the bit set is broadcast, so it is no part of the plan's text."""
     bits = SparkSession.active().sparkContext.broadcast(np.array(marked, np.int64).view(np.uint64))
 
     @F.pandas_udf("boolean")

@@ -1,12 +1,13 @@
 """Benchmark decontamination by winnowing, with DataFrame operations only.
 
 A window is ``WINDOW`` consecutive words of an item (all words of a shorter item). Both sides hash every run of ``K`` words and
-keep, for each window, the leftmost smallest hash. Equal windows keep the same run, so meeting at the kept hashes misses no
-shared window. A hit at a run is extended to all windows around it, which are joined with the items' windows in full.
+keep, for each window, the leftmost smallest hash. Equal windows keep the same run at the same place, so meeting at the kept hashes misses no
+shared window.
 
-A bounded bit set of the items' hashes tells, within the one pass over the texts, which runs can hit at all, so only
-windows around those leave it; texts are never shuffled. It only saves work: where it is crowded, more windows go to the join.
-Windows are joined by their words before items come in, so a phrase that many items share does not multiply hits.
+The fingerprints are joined: a document's ``(run, place)`` with the items' ``(run, place in the window)``, a few numbers each. A pair that meets names one window of the
+document by its start; the words of these windows are then compared with the items' in full. Spark broadcasts the items' side where its bytes allow
+that, and shuffles numbers, not texts, where they do not. Windows are joined by their words before items come in, so a phrase that many items share does not
+multiply hits.
 
 Defined results: null text has no words and no hits; an item without words has no window. A repeated row gets its result
 each time; rows are told apart by id and text. Empty tables give empty results or no hits. Only the columns named are read.
@@ -18,7 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import bit_set, constant_array, in_bit_set
 
 WINDOW = 10
 K = 5
@@ -64,30 +64,27 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return each.select("item_id", "n", F.array_join("v", " ").alias("window"), _hash(run).alias("run"), _place(run).alias("at")).distinct()
 
 
-def _candidates(n: int, marked: Column) -> Column:
-    """Windows of ``n`` words of the array ``w`` around the runs that some item may keep: ``(n, start, window)``."""
-    runs = F.filter(_kept_runs("w", n), lambda r: in_bit_set(_hash(r), marked))
-
-    def around(r: Column) -> Column:
-        starts = F.transform(F.array(*[F.lit(at) for at in range(n - min(K, n) + 1)]), lambda at: _place(r) - at)
-        inside = F.filter(starts, lambda s: (s >= 0) & (s + n <= F.size("w")))
-        return F.transform(inside, lambda s: F.struct(F.lit(n).alias("n"), s.alias("start"), F.array_join(
-            F.slice("w", s + 1, F.lit(n)), " ").alias("window")))
-
-    return F.flatten(F.transform(runs, around))
-
-
 def search(docs: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One pass over the texts of ``docs(doc_id, text)``, with ``kept`` as from ``item_windows``. Returns
+    """``docs(doc_id, text)`` against ``kept`` as from ``item_windows``, which is stored. Returns
     ``(doc_id, version, n_words)`` of every row, and ``(doc_id, version, start, n, window)`` for every place of an
-    item's window, once for each text under an id; ``version`` tells such texts apart."""
+    item's window, once for each text under an id; ``version`` tells such texts apart. Runs jobs."""
     sizes = [r.n for r in kept.select("n").distinct().orderBy("n").collect()]  # at most as many as a window has words
-    marked = constant_array(bit_set(kept.select(F.col("run").alias("h")).distinct()) if sizes else [0], "bigint")
-    w = docs.select("doc_id", F.xxhash64("text").alias("version"), words(F.col("text")).alias("w"))
-    found = [_candidates(n, marked) for n in sizes] or [F.expr("cast(array() AS array<struct<n: int, start: int, window: string>>)")]
-    each = cut(w.select("doc_id", "version", F.size("w").cast("long").alias("n_words"), (F.flatten(F.array(*found)) if len(found) > 1 else found[0]).alias("found")))
-    places = each.select("doc_id", "version", F.explode("found").alias("x")).select("doc_id", "version", "x.*").distinct()
-    return each.drop("found"), places.join(kept.select("n", "window").distinct(), ["n", "window"], "left_semi")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    w = texts.select("doc_id", "version", words(F.col("text")).alias("w"))
+    runs = F.array(*[F.struct(F.lit(n).alias("n"), _kept_runs("w", n).alias("runs")) for n in sizes]).cast("array<struct<n: int, runs: array<bigint>>>")
+    each = cut(w.select("doc_id", "version", F.size("w").cast("long").alias("n_words"), runs.alias("of_size")))
+    spots = (each.select("doc_id", "version", "n_words", F.explode("of_size").alias("x")).select("doc_id", "version", "n_words", "x.n", F.explode("x.runs").alias("r"))
+             .select("doc_id", "version", "n_words", "n", _hash(F.col("r")).alias("run"), _place(F.col("r")).alias("place")))
+    # a run has few places in a window, so a phrase that very many items share does not multiply rows
+    narrow = cut(kept.select("n", "run", "at").distinct())
+    met = spots.join(narrow, ["n", "run"]).withColumn("start", F.col("place") - F.col("at")).filter("start >= 0 AND start + n <= n_words")
+    listed = cut(met.groupBy("doc_id", "version").agg(F.collect_set(F.struct("n", "start")).alias("spots")))  # of one text
+    listed = listed.withColumnsRenamed({"doc_id": "_id", "version": "_version"})
+    found = texts.join(listed, texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["version"] == F.col("_version")))
+    found = found.select("doc_id", "version", words(F.col("text")).alias("w"), "spots").select("doc_id", "version", F.explode(F.transform("spots", lambda s: F.struct(
+        s["n"].alias("n"), s["start"].alias("start"), F.array_join(F.slice("w", s["start"] + 1, s["n"]), " ").alias("window")))).alias("x"))
+    places = found.select("doc_id", "version", "x.*").distinct()
+    return each.drop("of_size"), places.join(kept.select("n", "window").distinct(), ["n", "window"], "left_semi")
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
