@@ -8,7 +8,7 @@ A text is cut into clauses. Each word of a clause is read by word-level transduc
 The composed automaton walks the symbols of a clause. Its states remember what the next words act upon: after a
 negation an insult counts little, after a verb of speech it is a quotation and counts less, next to a target it counts
 more, and a threat counts only with a target after it. A matched clause scores what its best path collects; a
-text's score is the logistic of the strongest clauses' sum, with two numbers fitted on the labels.
+text's score is the logistic of the clauses' damped sum, with two numbers fitted on the labels.
 
 Training counts words per document in Spark and may use a bounded sample of the labelled rows (``MAX_ROWS`` of a class); the lexicon holds at most
 ``max_entries`` entries. Scoring reads every whole text, one clause at a time.
@@ -117,17 +117,19 @@ class Grammar:
         return (NEGATED if negated else 1.0) * (QUOTED if quoted else 1.0)
 
     def evidence(self, text: str | None) -> float:
-        """Sum of the three strongest clauses, so that one long text of weak matches is not a strong one."""
+        """Sum of the three strongest clauses and the logarithm of what all others add, so that every matched clause counts but a long text of weak
+        matches is not a strong one."""
         if not text:
             return 0.0
-        best = [0.0, 0.0, 0.0]
+        best, rest = [0.0, 0.0, 0.0], 0.0
         for part in CLAUSE.split(text.lower()):
             words = TOKEN.findall(part)
             if words:
                 s = self.clause(words)
                 if s > best[0]:
-                    best = sorted([s, *best[1:]])
-        return sum(best)
+                    best, s = sorted([s, *best[1:]]), best[0]
+                rest += s
+        return sum(best) + math.log1p(rest)
 
     def score(self, text: str | None) -> float:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * self.evidence(text) + self.offset))))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.llm import decontaminate, quality, secret_scan
+from flowlens.llm import decontaminate, quality, secret_scan, toxicity
 from flowlens.llm.queries import QUERIES
 
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -323,6 +323,13 @@ def test_op7(spark, tables):
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
+def test_every_clause_counts():
+    g = toxicity.Grammar()
+    scores = [g.evidence("you idiot. " * n) for n in (1, 3, 4, 30, 300)]
+    assert scores == sorted(set(scores))
+    assert scores[-1] < 3 * scores[1]
+
+
 def test_grammar_reads_clauses():
     from flowlens.llm.toxicity import Grammar
     g = Grammar()
