@@ -65,14 +65,16 @@ def _followers(arcs: DataFrame, bound: DataFrame) -> DataFrame:
 def _contract(chains: DataFrame) -> DataFrame | None:
     """Followers with the first node up the chain that does not follow, or None if there are none. What runs in a circle has none and is left out."""
     chains = cut(chains)
-    turns = chains.count().bit_length() + 1
-    for _ in range(turns):
+    size = chains.count()
+    if not size:
+        return None
+    for _ in range(size.bit_length() + 1):
         up = chains.select(F.col("id").alias("anchor"), F.col("anchor").alias("_anchor"), F.col("away").alias("_away"))
         chains = cut(chains.select("id", "anchor", "away").join(up, "anchor", "left").select(
             "id", F.coalesce("_anchor", "anchor").alias("anchor"), (F.col("away") + F.coalesce("_away", F.lit(0))).alias("away"), F.col("_anchor").isNotNull().alias("moved")))
         if chains.filter("moved").isEmpty():
             break
-    chains = chains.filter("NOT moved").select("id", "anchor", "away") if turns > 1 else chains
+    chains = chains.filter("NOT moved").select("id", "anchor", "away")
     return None if chains.isEmpty() else chains
 
 

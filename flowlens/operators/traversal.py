@@ -1,8 +1,10 @@
 """Walking the graph: depth of every node, lineage of chosen nodes.
 
-Depth is the longest path, found by contraction (``levels``). Lineage walks in the order of depth: every pair of a start and a node is met at the node's own
-level, when all ways to it have been walked, so a pair is read and expanded once and never compared with what was visited before. Cycles are condensed
-first, so that levels exist. What a step finds is stored in the checkpoint directory; a lost executor costs one step and plans do not grow.
+Depth is the longest path, found by contraction (``levels``). Lineage joins a frontier of (start, node) pairs with edges that are stored in buckets, so that only
+the frontier is shuffled. A single question walks step by step; pairs are compared with former ones only at nodes where edges meet, as others are reached once. With a
+``ReachIndex`` walks go in the order of depth: every pair is met at the node's own level, when all ways to it have been walked, so it is read and expanded once
+and compared with nothing. Cycles are condensed for it, so that levels exist. What a step finds is stored in the checkpoint directory; a lost executor costs one
+step and plans do not grow.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Graph
-from ..session import cut, new_folder
-from .edges import EdgeTables
+from ..session import cut, new_folder, store
+from .edges import EdgeTables, bucketed
 from .levels import longest_paths
 from .merge import endpoints
 from .skew import lookup_join
@@ -156,17 +158,63 @@ def _walk(index: ReachIndex, first: DataFrame, near: str, far: str) -> list[str]
     return folders
 
 
+def _meeting(flows: DataFrame) -> EdgeTables:
+    """The distinct edges in buckets of either end, each with whether its far end (``meets``) can be reached from there by other edges too."""
+    edges = cut(flows.select("from", "to").filter("`from` IS NOT NULL AND `to` IS NOT NULL AND `from` <> `to`").distinct())
+    tables = []
+    for near, far in (("from", "to"), ("to", "from")):
+        several = edges.groupBy(far).agg(F.count("*").alias("n")).filter("n > 1").select(far, F.lit(True).alias("meets"))
+        tables.append(bucketed(lookup_join(edges, several, far).withColumn("meets", F.coalesce("meets", F.lit(False))), near))
+    return EdgeTables(*tables)
+
+
+def _spread(edges: EdgeTables, start: DataFrame, near: str, far: str, barred: DataFrame | None = None) -> list[str]:
+    """Spread ``start(start_id, id)`` along the edges; the folders of the pairs found. A node with one edge into it is reached once, so only pairs at nodes where edges meet
+    are compared with those found before. ``barred(start_id, id)`` is never entered."""
+    spark = start.sparkSession
+    schema = _PAIR + ", meets boolean"
+    found: list[str] = []
+    frontier = start
+    while True:
+        step = edges.step(frontier, near).select("start_id", F.col(far).alias("id"), "meets").filter("id <> start_id")
+        at_meetings = step.filter("meets").distinct()
+        if found:
+            at_meetings = at_meetings.join(_read(spark, found, schema).filter("meets"), ["start_id", "id"], "left_anti")
+        step = step.filter("NOT meets").unionByName(at_meetings)
+        path = store(step if barred is None else step.join(barred, ["start_id", "id"], "left_anti"))
+        frontier = _read(spark, [path], schema).select("start_id", "id")
+        if frontier.isEmpty():
+            return found
+        found.append(path)
+
+
 def lineage(flows: DataFrame | ReachIndex, starts: DataFrame) -> DataFrame:
     """``(start_id, id)`` for each id in ``starts(id)``: the node, all its ancestors, then the
     descendants that can be reached without passing through an ancestor.
 
     Ancestors and descendants differ but on a cycle: there all members are ancestors, so only what the start itself leads to outside goes on. The result has a
-    row for each start and node in its lineage, so with all nodes as starts it is the closure of the graph. Pass a ``ReachIndex`` to ask one graph more than once. Runs jobs, one for each level
-    that a walk meets.
+    row for each start and node in its lineage, so with all nodes as starts it is the closure of the graph. Given flows, a walk goes step by step and compares what it
+    finds with former pairs at meeting points only; given a ``ReachIndex``, which pays where one graph is asked often, it goes level by level and compares nothing. Runs jobs, some for each step.
     """
-    index = flows if isinstance(flows, ReachIndex) else ReachIndex.of(flows)
     spark = starts.sparkSession
-    own = cut(starts.select(F.col("id").alias("start_id"), "id").distinct())
+    first = store(starts.select(F.col("id").alias("start_id"), "id").distinct())
+    own = _read(spark, [first], _PAIR)
+    if isinstance(flows, ReachIndex):
+        return _indexed_lineage(flows, own)
+    edges = _meeting(flows)
+    up = _spread(edges, own, "to", "from")
+    if not up:
+        return _read(spark, [first, *_spread(edges, own, "from", "to")], _PAIR)
+    above = _read(spark, up, _PAIR)
+    # a start that leads to an ancestor of its own is on a cycle; only such starts can meet an ancestor on their way down
+    on_cycle = cut(edges.step(own, "from").select("start_id", F.col("to").alias("id")).join(above, ["start_id", "id"], "left_semi").select("start_id").distinct())
+    barred = None if on_cycle.isEmpty() else cut(above.join(on_cycle, "start_id", "left_semi"))
+    return _read(spark, [first, *up, *_spread(edges, own, "from", "to", barred)], _PAIR)
+
+
+def _indexed_lineage(index: ReachIndex, own: DataFrame) -> DataFrame:
+    """``lineage`` of ``own(start_id, id)``, stored, level by level."""
+    spark = own.sparkSession
     # each start as a node of the condensed graph, and what the start itself leads to outside its cycle
     placed = own.join(index.members, "id", "left").withColumn("id", F.coalesce("comp", "id")) if index.cyclic else own.withColumn("comp", F.lit(None).cast("string"))
     placed = cut(placed.join(index.levels, "id").select("start_id", "id", F.col("depth").alias("level"), F.col("comp").isNotNull().alias("on_cycle")))

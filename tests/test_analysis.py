@@ -204,13 +204,14 @@ def test_lineage_with_cycles(spark):
     ids = [f"n{i:02d}" for i in range(25)]
     pairs = sorted({tuple(rng.sample(ids, 2)) for _ in range(32)})
     starts = ids[:8]
-    df = traversal.lineage(edges(spark, pairs), spark.createDataFrame([(i,) for i in starts], "id string"))
-    got = {}
-    rows = df.collect()
-    for r in rows:
-        got.setdefault(r.start_id, set()).add(r.id)
-    assert got == {i: both_ways(i, pairs) for i in starts}
-    assert len(rows) == sum(map(len, got.values()))
+    flows, asked = edges(spark, pairs), spark.createDataFrame([(i,) for i in starts], "id string")
+    for source in (flows, traversal.ReachIndex.of(flows)):
+        got = {}
+        rows = traversal.lineage(source, asked).collect()
+        for r in rows:
+            got.setdefault(r.start_id, set()).add(r.id)
+        assert got == {i: both_ways(i, pairs) for i in starts}
+        assert len(rows) == sum(map(len, got.values()))
 
 
 def test_a_long_chain_has_a_small_plan(spark):

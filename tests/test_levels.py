@@ -90,6 +90,17 @@ def test_walks_read_each_pair_once(spark, monkeypatch):
     assert len(output) == len(set(output))
 
 
+def test_walks_compare_at_meeting_points_only(spark, monkeypatch):
+    """The same hub without an index: what is compared with former pairs are rows at nodes where edges meet."""
+    pairs = [(f"l{i:03d}", "hub") for i in range(50)] + [("hub", f"r{i:03d}") for i in range(40)] + [(f"r{i:03d}", "end") for i in range(40)] + [("end", "after")]
+    edges_of = traversal._meeting(edges(spark, pairs))
+    assert edges_of.by_from.filter("meets").select("to").distinct().count() == 2  # hub and end
+    assert edges_of.by_to.filter("meets").select("from").distinct().count() == 1  # hub
+    starts = spark.createDataFrame([(f"l{i:03d}",) for i in range(50)], "id string")
+    out = traversal.lineage(edges(spark, pairs), starts)
+    assert out.count() == out.distinct().count() == 50 * (1 + 1 + 40 + 1 + 1)
+
+
 def test_cycle_members(spark):
     pairs = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 5), (6, 7), (8, 1), (9, 9)]
     ids = spark.createDataFrame([(str(i),) for i in range(1, 10)], "id string")
