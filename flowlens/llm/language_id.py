@@ -20,15 +20,23 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import python_tasks, sample_share
 
-#: Signs that count as word characters but are neither letters nor decimal digits, such as fractions and Roman numerals.
-_SIGNS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-#: A word is a run of letters, here and in training.
-WORD = re.compile(rf"[^\W\d_{_SIGNS}]+")
+#: Signs of the basic plane that count as word characters but are neither letters nor decimal digits, such as fractions and Roman numerals.
+_SIGNS = "".join(c for c in map(chr, range(0x10000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+#: A word is a run of letters, here and in training: the plain case, all of the basic plane, and any text.
+_ASCII, _BASIC, _OTHERS, _ANY = re.compile("[a-z]+"), re.compile(rf"[^\W\d_{_SIGNS}]+"), re.compile("[\U00010000-\U0010FFFF]"), regex.compile(r"\p{L}+")
+
+
+def words_of(text: str) -> list[str]:
+    text = text.lower()
+    return (_ASCII if text.isascii() else _ANY if _OTHERS.search(text) else _BASIC).findall(text)
+
+
 ORDERS = (4, 3, 2, 1)
 #: Each step of the fall-back counts less than the one before.
 BACKOFF = 0.7
@@ -73,7 +81,7 @@ class LanguageModel:
         return self._extra[list(map(memo.__getitem__, words))].sum(axis=0, dtype=np.float64)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall(text.lower()) if text else []
+        words = words_of(text) if text else []
         if not words or not self.languages:
             return "und", 0.0
         rows = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))

@@ -78,10 +78,11 @@ def test_op1(spark, tables):
 
 def test_only_letters_make_words():
     model = language_id.LanguageModel(["en"], {}, np.zeros((0, 1), np.float32), {"<": 0}, np.zeros((1, 1), np.float32))
-    for text in ("½ ½", "²", "Ⅷ ⑳", "٣٤", "12_3", "", None, " \n", "!?"):
+    for text in ("½ ½", "²", "Ⅷ ⑳", "٣٤", "𐄇 𐏒", "12_3", "", None, " \n", "!?"):
         assert model.predict(text) == ("und", 0.0)
     assert model.predict("x²")[0] == "en"
-    assert language_id.WORD.findall("naïve²x½ Ⅷß 中文_ª") == regex.findall(r"\p{L}+", "naïve²x½ Ⅷß 中文_ª")
+    for text in ("naïve²x½ Ⅷß 中文_ª", "plain words 12", "𝐛old 𐄇x 𐤀é²"):
+        assert language_id.words_of(text) == regex.findall(r"\p{L}+", text)
 
 
 def test_small_languages_keep_their_words(spark):
