@@ -137,6 +137,19 @@ def test_lookup_join_of_every_kind(spark):
         assert sorted(map(str, map(tuple, skew.lookup_join(df, lookup, "key", how).collect()))) == sorted(map(str, expected)), how
 
 
+def test_lookup_sides_of_many_short_ids_are_not_broadcast(spark, capsys):
+    """Files of 150,000 ids are far below Spark's threshold in bytes."""
+    ids = spark.range(150_000).select(F.concat(F.lit("order:"), "id").alias("key"))
+    df = spark.createDataFrame([("order:7", 1), ("order:149999", 2), ("order:150000", 3), (None, 4)], "key string, n int")
+    for joined, want in ((skew.lookup_join(df, ids, "key", "left_semi"), [1, 2]), (skew.lookup_join(df, ids, "key", "left_anti"), [3, 4]),
+                         (skew.null_safe_join(df, ids.unionByName(df.filter("key IS NULL").select("key")), "key"), [1, 2, 3, 4])):
+        joined.explain()
+        assert "Broadcast" not in capsys.readouterr().out
+        assert sorted(r.n for r in joined.collect()) == want
+    skew.lookup_join(df, ids.limit(20), "key").explain()
+    assert "Broadcast" in capsys.readouterr().out
+
+
 def test_save_and_load(spark, tmp_path):
     g = graph_from_calls(sample_calls(spark))
     g.save(str(tmp_path / "g"))
