@@ -16,15 +16,20 @@ def adjacency(nodes: DataFrame, flows: DataFrame) -> DataFrame:
     """Neighbours as rows ``(id, direction, neighbour)``, direction ``in`` or ``out``; a node without
     neighbours in a direction has one row with a null neighbour.
 
-    Rows, not lists: a hub has as many neighbours as a third of the graph.
+    Rows, not lists: a hub has as many neighbours as a third of the graph. Which nodes are alone comes from one count by id for both directions, a hub's ends combined before
+    it; a node id that repeats has its rows as often.
     """
-    def one(direction: str, near: str, far: str) -> DataFrame:
-        pairs = flows.select(F.col(near).alias("id"), F.col(far).alias("neighbour"))
-        alone = nodes.select("id").join(pairs.select("id").distinct(), "id", "left_anti")
-        rows = pairs.unionByName(alone.withColumn("neighbour", F.lit(None).cast("string")))
-        return rows.select("id", F.lit(direction).alias("direction"), "neighbour")
-
-    return one("in", "to", "from").unionByName(one("out", "from", "to"))
+    def end(direction: str, near: str):
+        return F.struct(F.col(near).alias("id"), F.lit(0).alias("_nodes"), F.lit(int(direction == "in")).alias("_in"), F.lit(int(direction == "out")).alias("_out"))
+
+    ends = flows.select(F.explode(F.array(end("in", "to"), end("out", "from"))).alias("x")).select("x.*").filter("id IS NOT NULL")  # a null end meets no node
+    marks = nodes.select("id", F.lit(1).alias("_nodes"), F.lit(0).alias("_in"), F.lit(0).alias("_out")).unionByName(ends)
+    met = marks.groupBy("id").agg(F.sum("_nodes").cast("int").alias("_nodes"), F.max("_in").alias("_in"), F.max("_out").alias("_out"))
+    lacking = F.concat(F.expr("array_repeat('in', if(_in = 0, _nodes, 0))"), F.expr("array_repeat('out', if(_out = 0, _nodes, 0))"))
+    rows = met.select("id", F.explode(lacking).alias("direction"), F.lit(None).cast("string").alias("neighbour"))
+    for direction, near, far in (("in", "to", "from"), ("out", "from", "to")):
+        rows = rows.unionByName(flows.select(F.col(near).alias("id"), F.lit(direction).alias("direction"), F.col(far).alias("neighbour")))
+    return rows
 
 
 def search_nodes(nodes: DataFrame, term: str) -> DataFrame:

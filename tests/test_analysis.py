@@ -120,6 +120,18 @@ def test_adjacency(small):
     assert got == [("u", "in", ""), ("u", "out", "s"), ("x", "in", "d"), ("x", "in", "s"), ("x", "out", "")]
 
 
+def test_adjacency_counts_ends_once_for_both_directions(spark, capsys):
+    """No join sorts all ids; repeated and null ids, ends that are no nodes and null ends have the rows a left join gives."""
+    nodes = spark.createDataFrame([(i, "sink", "", "", "") for i in ("a", "a", "b", "c", None, None)], NODE_SCHEMA)
+    flows = spark.createDataFrame([(f, t, ["x"], "", "") for f, t in (("a", "b"), ("a", None), (None, "b"), ("x", "b"))], FLOW_SCHEMA)
+    found = details.adjacency(nodes, flows)
+    found.explain()
+    assert "Join" not in capsys.readouterr().out
+    pairs = [("a", "out", "b"), ("a", "out", None), (None, "out", "b"), ("x", "out", "b"), ("b", "in", "a"), (None, "in", "a"), ("b", "in", None), ("b", "in", "x")]
+    alone = [("a", "in", None)] * 2 + [("b", "out", None), ("c", "in", None), ("c", "out", None)] + [(None, d, None) for d in ("in", "out") for _ in range(2)]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, pairs + alone))
+
+
 def test_weights(small):
     t = {r.id: (r.in_weight, r.out_weight, r.throughput) for r in weights.node_throughput(small.nodes, small.flows).collect()}
     assert t == {"u": (0, 2, 2), "s": (2, 6, 6), "d": (2, 2, 2), "l": (3, 0, 3), "x": (2, 0, 2)}
