@@ -37,11 +37,13 @@ def classify_names(names: DataFrame, tokens: DataFrame, qualifiers: DataFrame, c
 
 def categories_of(rows: DataFrame, key: str, snippet: str, tokens: DataFrame, qualifiers: DataFrame) -> DataFrame:
     """``(key, categories)`` for each row of ``rows``, which has one row per ``key``: distinct category ids named by the identifiers of a snippet, in first-seen order, as
-    ``categories_in`` gives them. An identifier is shuffled once per row that holds it, whatever the size of the dictionary. Runs jobs."""
-    found = rows.select(F.col(key).alias("key"), F.posexplode(identifiers(F.col(snippet))).alias("at", "id")).groupBy("key", "id").agg(F.min("at").alias("at"))
-    found = cut(found)
-    named = classify_names(found, tokens, qualifiers).filter("category IS NOT NULL")
-    per_category = lookup_join(found, named, "id", "inner", stored=True).groupBy("key", "category").agg(F.min("at").alias("at"))
+    ``categories_in`` gives them. Snippets are read twice: for their distinct names, which are classified, and for the places of names that stand for something. Only those names
+    are joined to the places, so places are shuffled only if the names are too many for a broadcast. Runs jobs."""
+    ids = identifiers(F.col(snippet))
+    named = classify_names(rows.select(F.explode(ids).alias("id")), tokens, qualifiers).filter("category IS NOT NULL")
+    places = rows.select(F.col(key).alias("key"), F.posexplode(ids).alias("at", "id"))
+    # stored once more, without the names that stand for nothing: they are most of a text's, and their bytes count against a broadcast
+    per_category = lookup_join(places, named, "id", "inner").groupBy("key", "category").agg(F.min("at").alias("at"))
     listed = per_category.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "category"))).alias("l"))  # as many as there are categories
     listed = listed.select(F.col("key").alias(key), F.col("l.category").alias("categories"))
     return rows.select(key).join(listed, key, "left").select(key, F.coalesce("categories", F.array().cast("array<string>")).alias("categories"))

@@ -11,7 +11,7 @@ from flowlens import dims
 from flowlens.functions import identifiers as idf
 from flowlens.functions import targets as tgt
 from flowlens.functions import text as txt
-from flowlens.operators import dictionary, lines
+from flowlens.operators import dictionary, lines, skew
 
 NAMES = ["email", "userEmail", "customer_name", "name", "nameOfUser", "nameFirst", "shipping-address", "address", "addressLine", "creditCardNumber", "card_number", "IBAN",
          "x", "", "_", "HTTPEmail", "date.of.birth", "pass/word", "user_id_name", "Éclair", None, "ssnEmail", "emailSsn", "billing  address", "accessToken name first"]
@@ -35,6 +35,25 @@ def test_snippets_by_join_equal_the_expression(spark):
     assert found == want
 
 
+def test_places_of_names_are_neither_stored_nor_shuffled(spark, monkeypatch, capsys):
+    rows = [(k, " ".join(f"w{(k * 31 + i) % 200}" for i in range(100)) + (" userEmail email cardNumber" if k % 2 else "")) for k in range(50)]
+    df = spark.createDataFrame(rows, "k int, s string")
+    stored, cut = [], skew.cut
+
+    def counted(frame):
+        stored.append(cut(frame))
+        return stored[-1]
+
+    monkeypatch.setattr(dictionary, "cut", counted)
+    monkeypatch.setattr(skew, "cut", counted)
+    found = dictionary.categories_of(df, "k", "s", dims.dim_pii_token(spark), dims.dim_qualifier(spark))
+    assert max(f.count() for f in stored) == 203  # the distinct names; there are 5,075 places
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(id" not in plan and "BroadcastHashJoin [id" in plan
+    assert {r.k: r.categories for r in found.collect()} == {k: ["email", "card"] if k % 2 else [] for k, _ in rows}
+
+
 def test_a_million_tokens_stay_off_the_driver(spark, monkeypatch):
     tokens = spark.range(1_000_000).select(F.concat(F.lit("tok"), "id").alias("token"), F.concat(F.lit("c"), F.col("id") % 1000).alias("cat_id"))
     names = spark.createDataFrame([("tok77",), ("my_tok999999",), ("tok_1000",), ("tok1000000",), ("userName",)], "id string")
