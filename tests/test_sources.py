@@ -1,6 +1,7 @@
 import json
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from flowlens.plans.views import blackbox, graph_summary
 from flowlens.sinks import graph_source
 from flowlens.sinks.graph_json import json_lines, write_graph_json
 from flowlens.sources import files as file_ops
-from flowlens.sources.calls import extract_calls, find_calls
+from flowlens.sources.calls import _extract, extract_calls, find_calls
 from flowlens.sources.tree import list_tree, read_corpus, routed_files
 
 # one file each of four languages, with a vendor call, a plain host, a message, a log line and two kinds of stores
@@ -249,6 +250,18 @@ def test_extract_calls_frame(spark):
     assert rows_of(extract_calls(df).select("rel", "line", "callee"), "line") == [("r.py", 1, "f"), ("r.py", 2, "g")]
 
 
+def test_extracted_calls_go_on_in_small_batches():
+    """A worker holds no more calls than a batch, however many a file or a batch of files has."""
+    sources = [b"\n".join(b"f%d(x)" % i for i in range(n)) for n in (24_000, 0, 7_000, 3)] + [b"g(" + b"y" * (3 << 20) + b")"] * 3
+    files = pa.RecordBatch.from_pydict({"root_idx": pa.array([0] * 7, pa.int32()), "base": ["b"] * 7, "rel": [f"{i}.py" for i in range(7)],
+                                        "content": sources, "language": ["python"] * 7})
+    batches = list(_extract(iter([files.slice(0, 2), files.slice(2)])))
+    assert max(b.num_rows for b in batches) <= 10_000
+    assert max(b.nbytes for b in batches) <= 12 << 20  # a call that is itself large, twice, and what was there before it
+    got = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    assert got == [(0, "b", f"{i}.py", *c) for i, src in enumerate(sources) for c in find_calls(src, "python")]
+
+
 def read_document(path):
     parts = sorted(p for p in os.listdir(path) if p.startswith("part-"))
     return json.loads("".join(open(os.path.join(path, p)).read() for p in parts))
