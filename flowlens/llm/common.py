@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,14 @@ def free_finished(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def give_back() -> None:
+    """At the end of a task's Python: memory that is free in the worker goes back to the system, since workers stay for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def bucket(key: Column, n: int) -> Column:
     """crc32 of a key as text, modulo ``n``: how rows are held out. A null key is never held out (null)."""
     return F.crc32(key.cast("string").cast("binary")) % n

@@ -8,9 +8,11 @@ Lines with the same set are one class, which stands where its first line stands.
    occurs nowhere else and is no key. Any order is correct, the sketch only makes it a good one.
 2. Each class lists its rarest words as keys (prefix filter): matching lines share one of them.
 3. Per key, classes are compared by length, by the key's place in either line (positional filter) and by a
-   128-bit digest, the parity of the words at each bit, whose differing bits bound the differing words from below.
-   A key that very many classes share is dealt to tasks as pairs of blocks.
-4. What is left is verified on the words themselves. Every pair of classes that match is a link; removal follows from the links.
+   digest, the parity of the words at each bit, whose differing bits bound the differing words from below; long lines have longer ones.
+   A key that very many classes share is dealt to tasks as pairs of blocks. A key does not list its pairs but joins each
+   class with one other of its candidates, so a group of n variants gives some n rows.
+4. Classes that are connected so are a group; each pair of matching classes lies in one. The words of a group's classes are brought together once, and
+   all its pairs are verified there, on the words themselves, and counted where they are found. A very large group is dealt to tasks as pairs of blocks.
 
 Defined results: null text and lines without words have no class and stay. Documents with a null id come last in the order.
 Rows that repeat id and text are one document; each of them is returned and loses the same lines. A document that loses all its
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,21 +32,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import bit_set, free_finished, may_be_in, python_tasks
+from .common import bit_set, free_finished, give_back, may_be_in, python_tasks
+from .links import components
 
 THRESHOLD = 0.8
 CELLS = 1 << 22
 #: The sketch travels in so many parts.
 PARTS = 64
 #: Bytes of text that are handled at a time; a line is never split, a document may be.
-BATCH = 1 << 20
+BATCH = 1 << 18
 LAST = (1 << 63) - 1
 #: Classes under a key up to which all keys of a batch are compared at once; larger ones are compared one by one, in blocks.
 FEW, BLOCK = 48, 1_000
 #: Occurrences of a word from which its rows are dealt to several tasks, and rows of a block of them.
 HOT = 1 << 15
-#: Rounds of proposals before all candidates of what is still undecided are compared.
-ROUNDS = 6
+#: Longs of a digest, for lines of up to so many words: lines that are not alike differ in about half of its bits, alike ones in fewer than two ninths of their words.
+WIDTHS, LENGTHS = np.array([1, 2, 4, 8, 16]), np.array([64, 150, 300, 600])
+#: Classes of a group from which it is dealt to several tasks, in blocks of about so many.
+CROWD = 1 << 12
+#: For removal alone, a class meets so many small blocks of the earliest classes of its group before it meets whole ones.
+ROUNDS = 3
+#: Word places that are looked up at once, and pairs of two blocks from which their words are multiplied as matrices of so many columns.
+LOOKUPS, DENSE, COLUMNS = 1 << 20, 1 << 14, 1 << 12
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -104,7 +114,7 @@ def word_levels(docs: DataFrame, hashes: Callable[[bytes], np.ndarray] | None =
     python_tasks(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
+        cells = np.zeros(CELLS, np.uint32)
         waiting, size = [], 0
 
         def take():
@@ -113,10 +123,7 @@ def word_levels(docs: DataFrame, hashes: Callable[[bytes], np.ndarray] | None =
             else:
                 h = np.concatenate([np.zeros(0, np.uint64), *map(hashes, waiting)])
             waiting.clear()
-            cells[:] += np.bincount(_cell(h), minlength=CELLS) if len(h) > CELLS // 8 else 0
-            if 0 < len(h) <= CELLS // 8:
-                which, n = np.unique(_cell(h), return_counts=True)
-                cells[which] += n
+            np.add.at(cells, _cell(h), np.uint32(1))
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -127,11 +134,13 @@ def word_levels(docs: DataFrame, hashes: Callable[[bytes], np.ndarray] | None =
                         take()
                         size = 0
         take()
-        used = np.flatnonzero(cells)
-        part = used // (CELLS // PARTS)
-        bounds = np.searchsorted(part, np.arange(PARTS + 1))
-        rows = [(k, used[x:y].astype("<u4").tobytes(), cells[used[x:y]].astype("<u4").tobytes()) for k, (x, y) in enumerate(zip(bounds, bounds[1:]))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["part", "cells", "n"])
+        each = CELLS // PARTS
+        for k in range(PARTS):
+            used = np.flatnonzero(cells[k * each:(k + 1) * each]) + k * each
+            row = k, used.astype("<u4").tobytes(), cells[used].astype("<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()))], names=["part", "cells", "n"])
+        del cells
+        give_back()
 
     def add(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, low = np.zeros(CELLS // PARTS, np.int64), key[0] * (CELLS // PARTS)
@@ -171,9 +180,58 @@ def _parities(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return tuple(np.bitwise_xor.reduceat(np.where(side, bit, zero), starts) for side in (~high, high))
 
 
+def _digests(h: np.ndarray, n: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parities of each line's words in the number of longs that tells lines of ``n`` words apart, one after another, and these numbers. A word's bits above the
+    lowest six choose the long, so a digest folds to half as many longs by exclusive or."""
+    width = WIDTHS[np.searchsorted(LENGTHS, n)]
+    begins = np.cumsum(width) - width
+    flat = np.zeros(width.sum(), np.uint64)
+    bit = np.uint64(1) << (h & np.uint64(63))
+    for w in np.unique(width):
+        of = np.flatnonzero(width == w)
+        words = np.repeat(width, n) == w
+        long, own = (h[words] >> np.uint64(6)) & np.uint64(w - 1), bit[words]
+        first = np.cumsum(n[of]) - n[of]
+        for k in range(w):
+            flat[begins[of] + k] = np.bitwise_xor.reduceat(np.where(long == np.uint64(k), own, np.uint64(0)) if w > 1 else own, first)
+    return flat, width
+
+
+class _Digests:
+    """Digests of some lines, as the bytes of their longs."""
+
+    def __init__(self, digests: np.ndarray):
+        self.width = np.fromiter(map(len, digests), np.int64, len(digests)) >> 3
+        flat = np.frombuffer(b"".join(digests), "<u8")
+        begins = np.cumsum(self.width) - self.width
+        self.levels, rows, matrix = [], np.zeros(0, np.int64), None
+        for w in WIDTHS[::-1].tolist():  # those of at least w longs, folded to w
+            own = np.flatnonzero(self.width == w)
+            folded = np.zeros((0, w), np.uint64) if matrix is None else matrix[:, :w] ^ matrix[:, w:]
+            matrix = np.concatenate((folded, flat[begins[own][:, None] + np.arange(w)]))
+            rows = np.concatenate((rows, own))
+            place = np.zeros(len(digests), np.int64)
+            place[rows] = np.arange(len(rows))
+            self.levels.insert(0, (w, place, matrix))
+
+    def differ_less(self, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Indexes of the pairs that differ in no more bits than ``most``."""
+        left = np.arange(len(x))
+        narrower = np.minimum(self.width[x], self.width[y])
+        for w, place, matrix in self.levels:
+            there = narrower[left] >= w
+            if not there.any():
+                break
+            at = left[there]
+            bits = np.bitwise_count(matrix[place[x[at]]] ^ matrix[place[y[at]]]).sum(axis=1, dtype=np.int64)
+            there[there] = bits > most[at]
+            left = left[~there]
+        return left
+
+
 def _line_rows(data: bytes, levels: np.ndarray):
-    """Of the lines with words in lower-case bytes: ``(number, n, class hash 1, class hash 2, two halves of the digest)`` of each, and
-    ``(index of the line, key, place)`` of each key."""
+    """Of the lines with words in lower-case bytes: ``(number, n, class hash 1, class hash 2, two halves of a digest)`` of each, ``(index of the line, key, place)`` of
+    each key, and the digests and their widths."""
     array = np.frombuffer(data, np.uint8)
     at, h = _tokens(array)
     number = np.searchsorted(np.flatnonzero(array == 10), at)
@@ -186,7 +244,7 @@ def _line_rows(data: bytes, levels: np.ndarray):
     starts = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1]))) if len(h) else np.zeros(0, int)
     n = np.diff(np.append(starts, len(h)))
     if not len(n):
-        return (*[np.zeros(0, np.int64)] * 6, *[np.zeros(0, np.int64)] * 3)
+        return (*[np.zeros(0, np.int64)] * 9, np.zeros(0, np.uint64), np.zeros(0, np.int64))
     one = np.add.reduceat(h * (h | np.uint64(1)) ^ (h >> np.uint64(29)), starts)
     two = np.add.reduceat((h ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) ^ (h >> np.uint64(31)), starts)
     d1, d2 = _parities(h, starts)
@@ -195,7 +253,7 @@ def _line_rows(data: bytes, levels: np.ndarray):
     # sets of up to three words match equal sets only, and a word that occurs once is in no other line
     key = np.flatnonzero((place < np.repeat(prefix, n)) & (level > 0) & np.repeat(n > 3, n))
     owner = np.searchsorted(starts, key, side="right") - 1
-    return number[starts], n, one.view(np.int64), two.view(np.int64), d1.view(np.int64), d2.view(np.int64), owner, h[key].view(np.int64), place[key]
+    return number[starts], n, one.view(np.int64), two.view(np.int64), d1.view(np.int64), d2.view(np.int64), owner, h[key].view(np.int64), place[key], *_digests(h, n, starts)
 
 
 def busy_level(hot: int) -> int:
@@ -204,20 +262,20 @@ def busy_level(hot: int) -> int:
 
 
 def lines(docs: DataFrame, levels: np.ndarray, hot: int = HOT) -> DataFrame:
-    """``(doc, version, line, n, c1, c2, d1, d2, keys, places, busy)`` for each line with words of ``docs(doc_id, text)``. ``doc`` is the id,
+    """``(doc, version, line, n, c1, c2, d1, d2, keys, places, busy, digest)`` for each line with words of ``docs(doc_id, text)``. ``doc`` is the id,
     the largest number for a null one; ``(c1, c2)`` is the class; ``busy`` marks keys whose word occurs ``hot`` times or more. Of lines of one class within a batch the first one carries the keys, so
     a line that stands in a third of all rows has few."""
     spark = docs.sparkSession
     python_tasks(spark)
     shared = spark.sparkContext.broadcast(levels)
-    names = ["doc", "version", "line", "n", "c1", "c2", "d1", "d2", "keys", "places", "busy"]
+    names = ["doc", "version", "line", "n", "c1", "c2", "d1", "d2", "keys", "places", "busy", "digest"]
     from_level = busy_level(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
 
         def out():
-            number, n, one, two, d1, d2, owner, h, place = _line_rows(b"\n".join(w[3] for w in waiting), shared.value)
+            number, n, one, two, d1, d2, owner, h, place, digests, width = _line_rows(b"\n".join(w[3] for w in waiting), shared.value)
             sizes = np.array([w[3].count(b"\n") + 1 for w in waiting])
             begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             piece = np.searchsorted(begins, number, side="right") - 1
@@ -233,6 +291,8 @@ def lines(docs: DataFrame, levels: np.ndarray, hot: int = HOT) -> DataFrame:
             arrays = [pa.array(x, t) for x, t in ((doc, None), (version, None), (line, pa.int32()), (n, pa.int32()), (one, None), (two, None), (d1, None), (d2, None))]
             arrays += [pa.ListArray.from_arrays(offsets, pa.array(h)), pa.ListArray.from_arrays(offsets, pa.array(place, pa.int32()))]
             arrays.append(pa.ListArray.from_arrays(offsets, pa.array(shared.value[_cell(h.view(np.uint64))] >= from_level)))
+            ends = pa.array(np.concatenate(([0], np.cumsum(8 * width))), pa.int32())
+            arrays.append(pa.Array.from_buffers(pa.binary(), len(n), [None, ends.buffers()[1], pa.py_buffer(digests.astype("<u8").tobytes())]))
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         size = 0
@@ -246,18 +306,84 @@ def lines(docs: DataFrame, levels: np.ndarray, hot: int = HOT) -> DataFrame:
                         size = 0
         if waiting:
             yield out()
+        give_back()
 
     return docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(
-        run, "doc long, version long, line int, n int, c1 long, c2 long, d1 long, d2 long, keys array<bigint>, places array<int>, busy array<boolean>")
+        run, "doc long, version long, line int, n int, c1 long, c2 long, d1 long, d2 long, keys array<bigint>, places array<int>, busy array<boolean>, digest binary")
 
 
-def _pairs(n, i, d1, d2, x, y):
+def _pairs(n, i, digests, x, y):
     """Which index pairs pass the length, positional and digest filters."""
     nx, ny = n[x], n[y]
     need = overlap_needed(nx, ny)
     ok = (np.minimum(nx, ny) >= need) & (np.minimum(nx - i[x], ny - i[y]) >= need)
-    differ = np.bitwise_count(d1[x] ^ d1[y]).astype(np.int64) + np.bitwise_count(d2[x] ^ d2[y])
-    return ok & (differ <= nx + ny - 2 * need)
+    at = np.flatnonzero(ok)
+    ok[:] = False
+    ok[at[digests.differ_less(x[at], y[at], (nx + ny - 2 * need)[at])]] = True
+    return ok
+
+
+def _other_block(p, x, y):
+    """Which index pairs are this task's: of two blocks, pairs within either are another task's."""
+    return (p[x] & 4 == 0) | ((p[x] ^ p[y]) & 2 != 0)
+
+
+def _near(starts, sizes, key):
+    """Index pairs of all rows of the keys of at most FEW rows."""
+    few = np.repeat(sizes <= FEW, sizes)
+    for step in range(1, FEW):
+        y = np.flatnonzero(few[step:] & (key[step:] == key[:-step])) + step
+        if not len(y):
+            break
+        yield y - step, y
+
+
+def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each of ``n`` points the smallest one that it is connected with by the edges ``x``, ``y``."""
+    root = np.arange(n)
+    while True:
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        differ = low < high
+        if not differ.any():
+            return root
+        x, y = x[differ], y[differ]
+        np.minimum.at(root, high[differ], low[differ])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each id of the pairs to the smallest id that the pairs connect it with."""
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    root = _roots(len(ids), at[:len(a)], at[len(a):])
+    other = root != np.arange(len(ids))
+    return ids[other], ids[root[other]]
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows in the order of the first one, so that equal values of it come together."""
+    carried = None
+    for batch in batches:
+        columns = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+        if carried is not None:
+            columns = [np.concatenate(v) for v in zip(carried, columns)]
+        last = np.searchsorted(columns[0], columns[0][-1]) if len(columns[0]) else 0
+        carried = [v[last:] for v in columns]
+        if last:
+            yield [v[:last] for v in columns]
+    if carried is not None and len(carried[0]):
+        yield carried
+
+
+def _bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal keys."""
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return starts, np.diff(np.append(starts, len(key)))
+
+
+def _by_key(rows: DataFrame, *order: str) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key").sortWithinPartitions("key", *order)
 
 
 def _dealt(rows: DataFrame, hot: int) -> DataFrame:
@@ -281,212 +407,257 @@ def _dealt(rows: DataFrame, hot: int) -> DataFrame:
     return dealt.select(key.alias("key"), "c1", *[(F.col(c) + 4 * cross + 2 * side if c == "p" else F.col(c)).alias(c) for c in others])
 
 
-def candidates(all_rows: DataFrame, first_only: bool = False, hot: int = HOT, still_open: DataFrame | None = None) -> DataFrame:
+def candidates(all_rows: DataFrame, hot: int = HOT, connected: bool = False) -> DataFrame:
     """``(later, earlier)``: classes (by their first hash) that share a key and pass the filters, each pair once. ``all_rows`` is as from
-    ``lines``. With ``first_only`` a class gives its earliest partner under a key (and pair of blocks) only. With ``still_open(c1, tried)``, stored, only its classes
-    are later ones, and the partners they have ``tried`` are left out. No task holds more of a key than two blocks of about ``hot`` classes."""
-    spark = all_rows.sparkSession
-    names = ["later", "earlier"]
-    grouped = ["tried"] if still_open is not None else []
-    rows = all_rows.filter(F.size("keys") > 0).select("c1", "doc", "line", "n", "d1", "d2", F.explode(F.arrays_zip("keys", "places", "busy")).alias("k"))
+    ``lines``. If ``connected``, edges ``(a, b)`` instead, in no order, which connect the same classes: about one for a class under a key. No task holds more of a key
+    than two blocks of about ``hot`` classes."""
+    places = [] if connected else ["doc", "line"]
+    rows = all_rows.filter(F.size("keys") > 0).select("c1", *places, "n", F.col("digest").alias("d"), F.explode(F.arrays_zip("keys", "places", "busy")).alias("k"))
     # n and the key's place share one number, with two bits for the blocks: rows are many, so they are narrow
     packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("k.places") * 8
-    keyed = rows.select(F.col("k.keys").alias("key"), "c1", "doc", "line", packed.alias("p"), "d1", "d2", F.col("k.busy").alias("busy"))
-    if still_open is not None:
-        of_open = all_rows.join(still_open, "c1", "left_semi").select(F.explode("keys").alias("key")).distinct()
-        keyed = keyed.join(cut(of_open), "key", "left_semi").join(still_open, "c1", "left")
-        keyed = keyed.select("key", "c1", "doc", "line", "p", "d1", "d2", "tried", "busy")
+    keyed = rows.select(F.col("k.keys").alias("key"), "c1", packed.alias("p"), "d", *places, F.col("k.busy").alias("busy"))
     busy = keyed.filter("busy").drop("busy")
     keyed = keyed.filter("NOT busy").drop("busy")
     if not busy.isEmpty():
         keyed = keyed.unionByName(_dealt(busy, hot))
+    names = ["a", "b"] if connected else ["later", "earlier"]
+
+    def fits(p, d, x, y):
+        return _pairs(p >> 32, (p & 0xFFFFFFFF) >> 3, d, x, y) & _other_block(p, x, y)
+
+    def one_key(p, d, start, size):
+        """Index pairs of a key of many classes, a block with a block."""
+        root = np.arange(size)
+        for a in range(0, size, BLOCK):
+            for b in range(0, a + 1, BLOCK):
+                if connected and root[a] == root[b] and (root[a:a + BLOCK] == root[a]).all() and (root[b:b + BLOCK] == root[a]).all():
+                    continue
+                x, y = (z.ravel() for z in np.meshgrid(np.arange(b, min(b + BLOCK, size)), np.arange(a, min(a + BLOCK, size))))
+                before = x < y
+                x, y = x[before], y[before]
+                ok = fits(p, d, x + start, y + start)
+                if connected:
+                    root = _roots(size, root[x[ok]], root[y[ok]])[root]
+                elif ok.any():
+                    yield x[ok] + start, y[ok] + start
+        other = np.flatnonzero(root != np.arange(size))
+        if len(other):
+            yield root[other] + start, other + start
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried = None
-
-        def pair(a, b):
-            return (a.view(np.uint64) * np.uint64(_BASE)) ^ b.view(np.uint64)
-
-        def fits(v, x, y):
-            c, p, d1, d2, tried, past = v
-            ok = _pairs(p >> 32, (p & 0xFFFFFFFF) >> 3, d1, d2, x, y)
-            # of two blocks, pairs within either are another task's
-            ok &= (p[x] & 4 == 0) | ((p[x] ^ p[y]) & 2 != 0)
-            return ok & tried[y] & ~np.isin(pair(c[y], c[x]), past) if grouped else ok
-
-        def found(c, x, y):
-            if first_only:
-                order = np.lexsort((x, y))  # classes of a key stand in order, so the smallest index is the earliest
-                x, y = x[order], y[order]
-                first = np.ones(len(y), bool)
-                first[1:] = y[1:] != y[:-1]
-                x, y = x[first], y[first]
-            return pa.RecordBatch.from_arrays([pa.array(c[y]), pa.array(c[x])], names=names)
-
-        def one_key(v):
-            c = v[0]
-            for a in range(0, len(c), BLOCK):
-                later = np.arange(a, min(a + BLOCK, len(c)))
-                later = later[v[4][later]] if grouped else later
-                # most of a crowd of variants match one of the first, so blocks of earlier ones begin small
-                b, size = 0, 16 if first_only else BLOCK
-                while b < a + BLOCK and len(later):
-                    earlier = np.arange(b, min(b + size, len(c)))
-                    b, size = b + size, min(4 * size, BLOCK)
-                    x, y = (z.ravel() for z in np.meshgrid(earlier, later))
-                    before = x < y
-                    x, y = x[before], y[before]
-                    ok = fits(v, x, y)
-                    x, y = x[ok], y[ok]
-                    if len(x):
-                        yield found(c, x, y)
-                        if first_only:
-                            later = np.setdiff1d(later, y)
-
-        def work(columns) -> Iterator[pa.RecordBatch]:
-            """Whole keys, in the order of key, document and line; a class counts once for a key, where it stands first."""
-            key, c, doc, line, p, d1, d2 = columns[:7]
-            tried = columns[7] if grouped else c
-            past = np.concatenate([np.zeros(0, np.uint64), *[pair(c[k], np.asarray(tried[k], np.int64)) for k in range(len(c)) if tried[k] is not None]]) if grouped else None
-            tried = np.array([t is not None for t in tried], bool) if grouped else c
-            order = np.lexsort((np.arange(len(key)), c, key))
-            repeated = np.zeros(len(key), bool)
-            repeated[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
-            key, c, p, d1, d2, tried = (v[~repeated] for v in (key, c, p, d1, d2, tried))
-            v = (c, p, d1.view(np.uint64), d2.view(np.uint64), tried, past)
-            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            sizes = np.diff(np.append(starts, len(key)))
-            few = np.repeat(sizes <= FEW, sizes)
-            xs, ys = [], []
-            for step in range(1, FEW):
-                y = np.flatnonzero(few[step:] & (key[step:] == key[:-step])) + step
-                if not len(y):
-                    break
-                x = y - step
-                ok = fits(v, x, y)
-                xs.append(x[ok])
-                ys.append(y[ok])
-            if xs:
-                yield found(c, np.concatenate(xs), np.concatenate(ys))
-            for k in np.flatnonzero(sizes > FEW):
-                yield from one_key((*[z[starts[k]:starts[k] + sizes[k]] for z in v[:5]], past))
+        def out(x, y):
+            return pa.RecordBatch.from_arrays([pa.array(y), pa.array(x)], names=names)
 
-        for batch in batches:
-            columns = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
-            if carried is not None:
-                columns = [np.concatenate(v) for v in zip(carried, columns)]
-            last = np.searchsorted(columns[0], columns[0][-1]) if len(columns[0]) else 0
-            carried = [v[last:] for v in columns]
-            if last:
-                yield from work([v[:last] for v in columns])
-        if carried is not None and len(carried[0]):
-            yield from work(carried)
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartition(parts, "key").sortWithinPartitions("key", "doc", "line", "c1")
-    return ordered.mapInArrow(compare, "later long, earlier long").distinct()
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(later, earlier)`` of the pairs whose words match, on the lines' texts."""
-    wanted = pairs.select(F.col("later").alias("c1")).union(pairs.select("earlier")).distinct()
-    where = classes.select("c1", "doc", "version", "line").join(wanted, "c1", "left_semi")
-    spots = where.groupBy("doc", "version").agg(F.collect_list(F.struct("line", "c1")).alias("spots"))
-    spots = cut(spots)
+        for key, c, p, d, *_ in _whole_keys(batches):
+            # a class counts once for a key, where it stands first
+            order = np.lexsort((np.arange(len(key)), c, key))
+            first = np.ones(len(key), bool)
+            first[order[1:]] = (key[order[1:]] != key[order[:-1]]) | (c[order[1:]] != c[order[:-1]])
+            key, c, p, d = key[first], c[first], p[first], _Digests(d[first])
+            starts, sizes = _bounds(key)
+            found = [(x[ok], y[ok]) for x, y in _near(starts, sizes, key) for ok in [fits(p, d, x, y)]]
+            large = (pair for k in np.flatnonzero(sizes > FEW) for pair in one_key(p, d, starts[k], sizes[k]))
+            if connected:
+                found += large
+                if found:
+                    yield out(*_stars(*(c[np.concatenate(z)] for z in zip(*found))))
+            else:
+                for x, y in chain(found, large):
+                    yield out(c[x], c[y])
+        give_back()
+
+    ordered = _by_key(keyed) if connected else _by_key(keyed, "doc", "line", "c1")
+    return ordered.mapInArrow(compare, ", ".join(f"{n} long" for n in names)).distinct()
+
+
+def groups_of(all_rows: DataFrame, hot: int = HOT) -> DataFrame:
+    """``(c1, g)``: the classes that are candidates of any other, with the group that holds all of them, stored."""
+    edges = cut(candidates(all_rows, hot, connected=True))
+    free_finished(all_rows.sparkSession)
+    found = cut(components(edges).select(F.col("id").alias("c1"), F.col("component").alias("g")))
+    free_finished(all_rows.sparkSession)
+    return found
+
+
+class _Words:
+    """The word sets of some lines, as numbers."""
+
+    def __init__(self, texts: Iterator[str]):
+        known: dict[bytes, int] = {}
+        sets = [np.sort(np.fromiter((known.setdefault(w, len(known)) for w in set(t.encode("utf-8", "replace").lower().split())), np.int64)) for t in texts]
+        self.n = np.array([len(x) for x in sets], np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.n)[:-1]))
+        self.ids = np.concatenate(sets)
+        self.most = max(1, len(known))
+        self.places = np.repeat(np.arange(len(sets)), self.n) * self.most + self.ids  # in order
+        flat, width = _digests(self.ids.astype(np.uint64) * np.uint64(_BASE) >> np.uint64(40), self.n, self.starts)
+        self.digests = _Digests(np.array([x.tobytes() for x in np.split(flat, np.cumsum(width)[:-1])], object))
+
+    def _looked_up(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Shared words of index pairs."""
+        out = []
+        ends = np.cumsum(self.n[x])
+        a = 0
+        while a < len(x):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + LOOKUPS, side="right")))
+            n = self.n[x[a:b]]
+            begins = np.cumsum(n) - n
+            at = np.arange(n.sum()) + np.repeat(self.starts[x[a:b]] - begins, n)
+            wanted = np.repeat(y[a:b], n) * self.most + self.ids[at]
+            place = np.minimum(np.searchsorted(self.places, wanted), len(self.places) - 1)
+            out.append(np.add.reduceat((self.places[place] == wanted).astype(np.int64), begins))
+            a = b
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def _multiplied(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Shared words of index pairs of not many lines: products of matrices of lines and words."""
+        (rows, i), (cols, j) = (np.unique(z, return_inverse=True) for z in (x, y))
+        sides = []
+        for lines_ in (rows, cols):
+            n = self.n[lines_]
+            sides.append((np.repeat(np.arange(len(lines_)), n), self.ids[np.arange(n.sum()) + np.repeat(self.starts[lines_] - np.cumsum(n) + n, n)]))
+        common = np.intersect1d(sides[0][1], sides[1][1])
+        shared = np.zeros((len(rows), len(cols)), np.float32)  # whole numbers, exact up to 16 million words
+        for a in range(0, len(common), COLUMNS):
+            words = common[a:a + COLUMNS]
+            left, right = (np.zeros((len(z), len(words)), np.float32) for z in (rows, cols))
+            for matrix, (line, ids) in zip((left, right), sides):
+                place = np.minimum(np.searchsorted(words, ids), len(words) - 1)
+                hit = words[place] == ids
+                matrix[line[hit], place[hit]] = 1
+            shared += left @ right.T
+        return shared[i, j].astype(np.int64)
+
+    def match(self, x: np.ndarray, y: np.ndarray, blocks: bool) -> np.ndarray:
+        """Which index pairs match; pairs of two ``blocks`` share their lines, and many are multiplied."""
+        ok = _pairs(self.n, np.zeros(len(self.n), np.int64), self.digests, x, y)
+        x, y = x[ok], y[ok]
+        shared = self._multiplied(x, y) if blocks and len(x) >= DENSE else self._looked_up(x, y)
+        ok[ok] = shared >= THRESHOLD * (self.n[x] + self.n[y] - shared) - 1e-9
+        return ok
+
+
+def _matching(words: _Words, p: np.ndarray, key: np.ndarray, rounds: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs that match, earlier line first, of rows in the order of group and line. With ``rounds``, a line of a group of more than FEW is done with when it matches any."""
+    def good(x, y, blocks=False):
+        ok = _other_block(p, x, y)
+        x, y = x[ok], y[ok]
+        ok = words.match(x, y, blocks)
+        return x[ok], y[ok]
+
+    starts, sizes = _bounds(key)
+    for x, y in _near(starts, sizes, key):
+        yield good(x, y)
+    for k in np.flatnonzero(sizes > FEW):
+        begin, end = starts[k], starts[k] + sizes[k]
+        for a in range(begin, end, BLOCK):
+            later = np.arange(a, min(a + BLOCK, end))
+            b, turn = begin, 0
+            while b <= later[-1] if len(later) else False:
+                size = BLOCK if rounds is None or turn >= rounds else 16 * 4 ** turn
+                x, y = (z.ravel() for z in np.meshgrid(np.arange(b, min(b + size, end)), later))
+                before = x < y
+                x, y = good(x[before], y[before], blocks=True)
+                if len(x):
+                    yield x, y
+                    later = later if rounds is None else np.setdiff1d(later, y)
+                b, turn = b + size, turn + 1
+
+
+def _verified(groups: DataFrame, classes: DataFrame, docs: DataFrame, wanted: str = "counts", rounds: int = ROUNDS, hot: int = HOT) -> DataFrame:
+    """What matches among the classes ``(c1, g)`` of each group, on the lines' texts. ``wanted`` is ``pairs``: ``(later, earlier)`` for every pair that matches;
+    ``counts``: ``(c1, n_links, spot)``, the number of matches of each class that has any and the place of the earliest one, null if that is the class itself; or
+    ``later``: the same where an earlier class matches, by as few comparisons as that takes, so that the numbers and places are not whole."""
+    where = classes.select("c1", "doc", "version", "line", "n").join(groups, "c1")
+    spots = cut(where.groupBy("doc", "version").agg(F.collect_list(F.struct("line", "c1", "n", "g")).alias("spots")))
     own = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("version"), "text")
     # few documents hold a wanted line; a bounded bit set keeps most others from being shuffled
     marked = bit_set(spots.select(F.col("version").alias("h")))
     own = own.filter(may_be_in(F.col("version"), marked)).hint("shuffle_merge")
-    texts = own.join(spots, ["doc", "version"]).select(F.split("text", "\n", -1).alias("lines"), "spots").select(
-        F.explode(F.transform("spots", lambda s: F.struct(s["c1"].alias("c1"), F.get("lines", s["line"]).alias("text")))).alias("x"))
-    texts = cut(texts.select("x.*"))
-    free_finished(docs.sparkSession)
-    both = (pairs.select("later", "earlier").join(texts.withColumnsRenamed({"c1": "later", "text": "a"}), "later")
-            .join(texts.withColumnsRenamed({"c1": "earlier", "text": "b"}), "earlier"))
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                x, y = (set(t.encode("utf-8", "replace").lower().split()) for t in (a, b))
-                shared = len(x & y)
-                keep.append(shared >= THRESHOLD * (len(x) + len(y) - shared) - 1e-9)
-            yield batch.select(["later", "earlier"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("later", "earlier", "a", "b").mapInArrow(match, "later long, earlier long").distinct()
+    texts = own.join(spots, ["doc", "version"]).select("doc", F.split("text", "\n", -1).alias("lines"), "spots").select(
+        "doc", F.explode(F.transform("spots", lambda s: F.struct(s["g"].alias("key"), s["c1"].alias("c1"), F.shiftleft(s["n"].cast("long"), 32).alias("p"),
+                                                                  s["line"].alias("line"), F.get("lines", s["line"]).alias("text")))).alias("x"))
+    rows = texts.select("x.key", "x.c1", "x.p", "doc", "x.line", "x.text")
+    crowd = min(hot, CROWD)
+    large = groups.groupBy(F.col("g").alias("key")).count().filter(F.col("count") > crowd).select("key")
+    if not large.isEmpty():
+        rows, large = cut(rows), cut(large)
+        rows = rows.join(large, "key", "left_anti").unionByName(_dealt(rows.join(large, "key", "left_semi"), crowd))
+    few_rounds = rounds if wanted == "later" else None
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, c, p, doc, line, text in _whole_keys(batches):
+            order = np.lexsort((c, line, doc, key))
+            key, c, p, doc, line, text = (v[order] for v in (key, c, p, doc, line, text))
+            first = np.ones(len(key), bool)  # rows that repeat an id and a text repeat its lines
+            first[1:] = (key[1:] != key[:-1]) | (c[1:] != c[:-1])
+            key, c, p, doc, line, text = (v[first] for v in (key, c, p, doc, line, text))
+            n_links, best = np.zeros(len(key), np.int64), np.full(len(key), len(key))
+            for x, y in _matching(_Words(text), p, key, few_rounds):
+                if wanted == "pairs":
+                    yield pa.RecordBatch.from_arrays([pa.array(c[y]), pa.array(c[x])], names=["later", "earlier"])
+                n_links += np.bincount(x, minlength=len(key)) + np.bincount(y, minlength=len(key))
+                np.minimum.at(best, y, x)
+            if wanted != "pairs":
+                has = np.flatnonzero(n_links)
+                none = best[has] == len(key)
+                at = np.where(none, 0, best[has])
+                yield pa.RecordBatch.from_arrays([pa.array(c[has]), pa.array(n_links[has]), pa.array(doc[at], mask=none), pa.array(line[at], pa.int32(), mask=none)],
+                                                 names=["c1", "n_links", "doc", "line"])
+        give_back()
+
+    if wanted == "pairs":
+        return _by_key(rows).mapInArrow(verify, "later long, earlier long")
+    found = _by_key(rows).mapInArrow(verify, "c1 long, n_links long, doc long, line int")
+    spot = F.when(F.col("doc").isNotNull(), F.struct("doc", "line"))
+    found = found.groupBy("c1").agg(F.sum("n_links").alias("n_links"), F.min(spot).alias("spot"))
+    return found.filter("spot IS NOT NULL") if wanted == "later" else found
 
 
 def _first_lines(all_lines: DataFrame) -> DataFrame:
-    """The classes ``(c1, c2, doc, line, version)``, each where it stands first, stored."""
-    place = F.struct("doc", "line", "version")
-    return cut(all_lines.groupBy("c1", "c2").agg(F.min(place).alias("p")).select("c1", "c2", "p.doc", "p.line", "p.version"))
+    """The classes ``(c1, c2, doc, line, version, n, n_rows)``, each where it stands first, stored."""
+    place = F.struct("doc", "line", "version", "n")
+    found = all_lines.groupBy("c1", "c2").agg(F.min(place).alias("p"), F.count("*").alias("n_rows"))
+    return cut(found.select("c1", "c2", "p.doc", "p.line", "p.version", "p.n", "n_rows"))
 
 
-def _links(docs: DataFrame, all_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The classes, and ``(later, earlier)`` for all that match."""
-    classes = _first_lines(all_lines)
-    pairs = cut(candidates(all_lines))
-    free_finished(docs.sparkSession)
-    good = cut(_verified(pairs, classes, docs))
-    free_finished(docs.sparkSession)
-    return classes, good
-
-
-def links(docs: DataFrame) -> DataFrame:
+def links(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """``(later, earlier)``: every pair of different classes of ``docs(doc_id, text)`` that match, once, by the ``c1`` of ``matches``."""
     docs = docs.select("doc_id", "text")
-    return _links(docs, cut(lines(docs, word_levels(docs))))[1]
+    all_lines = cut(lines(docs, word_levels(docs), hot).drop("d1", "d2"))
+    return _verified(groups_of(all_lines, hot), _first_lines(all_lines), docs, "pairs", hot=hot)
 
 
-def matches(docs: DataFrame) -> DataFrame:
+def matches(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """``(doc, version, line, n, removed, match_doc, match_line, c1, c2, n_links)`` for every line with words of ``docs(doc_id, text)``, each
     text under an id once. The match is the place of the earliest similar class; of a class's own later lines it is the class's first
     line unless an earlier class is similar. ``(c1, c2)`` is the line's class and ``n_links`` the number of other classes that match it."""
     docs = docs.select("doc_id", "text")
-    all_lines = cut(lines(docs, word_levels(docs)))
-    classes, good = _links(docs, all_lines)
-    spot = classes.select(F.col("c1").alias("earlier"), F.struct("doc", "line").alias("spot"))
-    ends = good.join(spot, "earlier").select(F.col("later").alias("c1"), "spot")
-    ends = ends.unionByName(good.select(F.col("earlier").alias("c1")), allowMissingColumns=True)
-    best = ends.groupBy("c1").agg(F.min("spot").alias("spot"), F.count("*").alias("n_links"))
-    judged = cut(classes.select("c1", "c2", F.struct("doc", "line").alias("own"), "version").join(best, "c1", "left"))
-    out = all_lines.select("doc", "version", "line", "n", "c1", "c2").join(
-        judged.withColumnRenamed("version", "first_version"), ["c1", "c2"])
+    all_lines = cut(lines(docs, word_levels(docs), hot).drop("d1", "d2"))
+    groups, classes = groups_of(all_lines, hot), _first_lines(all_lines)
+    best = cut(_verified(groups, classes, docs, "counts", hot=hot))
+    free_finished(docs.sparkSession)
+    # a class of one line that matches no other has nothing to tell
+    judged = cut(classes.join(best, "c1", "left").filter("n_rows > 1 OR n_links > 0").select("c1", "c2", F.struct("doc", "line").alias("own"), F.col("version").alias("first_version"), "spot", "n_links"))
+    out = all_lines.select("doc", "version", "line", "n", "c1", "c2").join(judged, ["c1", "c2"], "left")
     is_first = (F.col("own.doc") == F.col("doc")) & (F.col("own.line") == F.col("line")) & (F.col("first_version") == F.col("version"))
     match = F.coalesce("spot", F.when(~is_first, F.col("own")))
     return out.select("doc", "version", "line", "n", match.isNotNull().alias("removed"), match["doc"].alias("match_doc"),
                       match["line"].alias("match_line"), "c1", "c2", F.coalesce("n_links", F.lit(0)).alias("n_links")).distinct()
 
 
-def repeated_classes(docs: DataFrame, all_lines: DataFrame, classes: DataFrame, rounds: int = ROUNDS, hot: int = HOT) -> DataFrame:
-    """``(c1)`` of the classes that match an earlier one, stored. A class proposes its earliest candidate under each of its keys, and those that match none of theirs
-    propose the next ones, so a group of n variants costs about n verifications and not n squared. What is undecided after ``rounds`` compares all that are left."""
-    found, tried, still_open = [], None, None
-    for turn in range(rounds + 1):
-        pairs = cut(candidates(all_lines, first_only=turn < rounds, hot=hot, still_open=still_open))
-        if pairs.isEmpty():
-            break
-        good = cut(_verified(pairs, classes, docs).select("later").distinct())
-        found.append(good.select(F.col("later").alias("c1")))
-        failed = pairs.join(good, "later", "left_anti")
-        tried = failed if tried is None else tried.join(good, "later", "left_anti").unionByName(failed)
-        tried = cut(tried)
-        still_open = cut(failed.select("later").distinct().join(tried, "later").groupBy(F.col("later").alias("c1")).agg(F.collect_list("earlier").alias("tried")))
-    out = all_lines.select("c1").limit(0)
-    for part in found:
-        out = out.union(part)
-    return cut(out.distinct())
-
-
 def removals(docs: DataFrame, rounds: int = ROUNDS, hot: int = HOT) -> DataFrame:
-    """``(doc, version, line, removed)`` for every line with words of ``docs(doc_id, text)``, each text under an id once; as ``matches``, without the links."""
+    """``(doc, version, line, removed)`` for every line with words of ``docs(doc_id, text)``, each text under an id once; as ``matches``, without the links: a
+    class of a large group is compared with ``rounds`` small blocks of its earliest classes first, so n variants cost about n verifications and not n squared."""
     docs = docs.select("doc_id", "text")
-    all_lines = cut(lines(docs, word_levels(docs), hot))
-    classes = _first_lines(all_lines)
-    again = repeated_classes(docs, all_lines, classes, rounds, hot).withColumn("again", F.lit(True))
-    judged = cut(classes.join(again, "c1", "left").select("c1", "c2", F.struct("doc", "line", "version").alias("first"), F.coalesce("again", F.lit(False)).alias("again")))
-    out = all_lines.select("doc", "version", "line", "c1", "c2").join(judged, ["c1", "c2"])
-    return out.select("doc", "version", "line", (F.col("again") | (F.col("first") != F.struct("doc", "line", "version"))).alias("removed")).distinct()
+    all_lines = cut(lines(docs, word_levels(docs), hot).drop("d1", "d2"))
+    groups, classes = groups_of(all_lines, hot), _first_lines(all_lines)
+    again = cut(_verified(groups, classes, docs, "later", rounds, hot).select("c1", F.lit(True).alias("again")))
+    free_finished(docs.sparkSession)
+    judged = cut(classes.join(again, "c1", "left").filter("n_rows > 1 OR again").select("c1", "c2", F.struct("doc", "line", "version").alias("first"), F.coalesce("again", F.lit(False)).alias("again")))
+    out = all_lines.select("doc", "version", "line", "c1", "c2").join(judged, ["c1", "c2"], "left")
+    gone = F.col("first").isNotNull() & (F.col("again") | (F.col("first") != F.struct("doc", "line", "version")))
+    return out.select("doc", "version", "line", gone.alias("removed")).distinct()
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
