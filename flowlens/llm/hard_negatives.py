@@ -11,7 +11,8 @@ one-bit codes before anything is scored:
    beside the band, cannot count. All others are scored with whole numbers.
 
 First the positives of each anchor are found in this way, then the negatives for their bands. Each block pair passes on its best rows only, and the
-best of all pairs are the result, so no row is lost whatever the estimates are. Work is anchors times rows.
+best of all pairs are the result, so no row is lost whatever the estimates are. Work is anchors times rows, and what is shuffled grows with anchors times
+blocks of rows; a task holds one block of each at a time. Blocks are never broadcast: their files are much smaller than they are.
 
 Defined results: rows with a null id, label or vector, or with a null or infinite component or none (NaN) take no part. Shorter vectors are filled up with zeros. A row
 is no partner of rows with its own id; else rows that repeat an id are rows of their own (ties: label). Scores must fit a long. Empty tables give an
@@ -36,10 +37,12 @@ POSITIVES, NEGATIVES = 5, 10
 #: Percent of a positive's score between which a negative's score lies.
 LOW, HIGH = 30, 90
 PLANES = 8
-#: Most rows and anchors of a block.
-ROWS, ANCHORS = 16_384, 1_024
+#: Most rows and anchors of a block, and most components of its rows; fewer rows make a block if there were fewer than ``SPREAD`` blocks, or four a core.
+ROWS, ANCHORS, COMPONENTS, SPREAD = 32_768, 1_024, 1 << 22, 48
 SEED = 20_240_607
 _BLOCK = "block long, n int, ids binary, labels binary, vectors binary, codes binary, norms binary, aligned binary"
+#: What is needed of a block of anchors.
+_OWN = ["n", "ids", "labels", "vectors"]
 _ANCHOR = ["anchor_block", "slot"]
 
 
@@ -50,14 +53,29 @@ def rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def _top(x: np.ndarray) -> int:
+    """The largest absolute value."""
+    return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as hold them all."""
+    return x.astype(next((k for k in ("<i2", "<i4") if _top(x) <= np.iinfo(k).max), "<i8")).tobytes()
+
+
+def _wide(x: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(x, f"<i{len(x) // (n * dim)}").reshape(n, dim)
+
+
 class Block:
     """Vectors with their one-bit codes."""
 
     def __init__(self, ids, labels, vectors, codes, norms, aligned):
         self.ids, self.labels, self.vectors, self.codes, self.norms, self.aligned = ids, labels, vectors, codes, norms, aligned
-        self.ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
-        self.wide = np.sqrt(np.maximum(0.0, 1.0 - aligned * aligned))
-        self.exact = int(np.abs(vectors).max(initial=0)) ** 2 * vectors.shape[1] < 1 << 52
+        self.words = [np.ascontiguousarray(codes[:, k]) for k in range(codes.shape[1])]
+        self.ones = sum(np.bitwise_count(w).astype(float) for w in self.words)
+        self.along, self.across = norms * aligned, norms * np.sqrt(np.maximum(0.0, 1.0 - aligned * aligned))
+        self.top, self.parts, self.kinds = _top(vectors), {}, {}
 
     @classmethod
     def make(cls, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> "Block":
@@ -68,58 +86,83 @@ class Block:
         return cls(ids, labels, vectors, codes, norms, np.abs(turned).sum(axis=1) / np.sqrt(dim))
 
     @classmethod
-    def read(cls, row: dict) -> "Block":
+    def read(cls, row: dict, dim: int) -> "Block":
         n = row["n"]
         ids, labels = (np.frombuffer(row[c], "<i8") for c in ("ids", "labels"))
         norms, aligned = (np.frombuffer(row[c], "<f8") for c in ("norms", "aligned"))
-        return cls(ids, labels, np.frombuffer(row["vectors"], "<i8").reshape(n, -1), np.frombuffer(row["codes"], "<u8").reshape(n, -1), norms, aligned)
+        return cls(ids, labels, _wide(row["vectors"], n, dim), np.frombuffer(row["codes"], "<u8").reshape(n, -1), norms, aligned)
 
     def packed(self, block: int) -> tuple:
-        return (block, len(self.ids), *[x.tobytes() for x in (self.ids, self.labels, self.vectors, self.codes, self.norms, self.aligned)])
+        return (block, len(self.ids), self.ids.tobytes(), self.labels.tobytes(), _narrow(self.vectors), *[x.tobytes() for x in (self.codes, self.norms, self.aligned)])
+
+    def alike(self, label: int) -> tuple[int, int]:
+        """First and last place, exclusive, of a label in a block whose rows stand by label."""
+        return tuple(int(np.searchsorted(self.labels, label, side)) for side in ("left", "right"))
+
+    def part(self, label: int) -> "Block":
+        """The rows of a label, of a block whose rows stand by label."""
+        if label not in self.parts:
+            at = slice(*self.alike(label))
+            self.parts[label] = Block(*[x[at] for x in (self.ids, self.labels, self.vectors, self.codes, self.norms, self.aligned)])
+        return self.parts[label]
 
     def scores(self, rows: np.ndarray, vector: np.ndarray) -> np.ndarray:
-        if self.exact and int(np.abs(vector).max(initial=0)) < 1 << 20:  # doubles hold these sums exactly
-            return (self.vectors[rows].astype(float) @ vector.astype(float)).astype(np.int64)
-        return self.vectors[rows] @ vector
+        most = self.top * _top(vector) * len(vector)  # of a sum and of its parts
+        kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64  # that holds these sums exactly
+        if kind not in self.kinds:
+            self.kinds[kind] = self.vectors.astype(kind)
+        table, vector = self.kinds[kind], vector.astype(kind)
+        if 4 * len(rows) > len(table):  # reading on is faster than picking
+            return (table @ vector)[rows].astype(np.int64)
+        return (table[rows] @ vector).astype(np.int64)
 
     def intervals(self, vector: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Estimate, lower and upper bound of the score of every row with a vector."""
         dim = len(vector)
         q = rotation(dim) @ vector
-        length, low = float(np.sqrt(q @ q)), float(q.min())
+        length, low, root = float(np.sqrt(q @ q)), float(q.min()), float(np.sqrt(dim))
         unit = (float(q.max()) - low) / ((1 << PLANES) - 1) or 1.0
         level = np.rint((q - low) / unit).astype(np.int64)
-        error = float(np.abs(q - (low + unit * level)).sum()) / np.sqrt(dim)
-        counts = np.zeros(len(self.ids), np.int64)
-        for plane in range(PLANES):
-            bits = np.packbits((level >> plane & 1).astype(bool), bitorder="little").view("<u8")
-            counts += np.bitwise_count(self.codes & bits).sum(axis=1, dtype=np.int64) << plane
-        along = (2 * (low * self.ones + unit * counts) - (low * dim + unit * level.sum())) / np.sqrt(dim)
-        rest = np.sqrt(np.maximum(0.0, length * length - np.maximum(0.0, np.abs(along) - error) ** 2))
-        spread = self.aligned * error + self.wide * rest + 1e-9 * length
-        middle = self.aligned * along
-        return self.norms * middle, self.norms * (middle - spread) - 1e-6, self.norms * (middle + spread) + 1e-6
+        error = float(np.abs(q - (low + unit * level)).sum()) / root
+        counts = np.zeros(len(self.ids), np.uint16 if dim << PLANES <= 1 << 16 else np.uint32)
+        for plane in reversed(range(PLANES)):
+            counts += counts
+            for word, bits in zip(self.words, np.packbits((level >> plane & 1).astype(bool), bitorder="little").view("<u8")):
+                counts += np.bitwise_count(word & bits)
+        along = counts * (2 * unit / root)
+        along += self.ones * (2 * low / root)
+        along -= (low * dim + unit * float(level.sum())) / root
+        rest = np.maximum(np.abs(along) - error, 0.0)
+        rest = np.sqrt(np.maximum(length * length - rest * rest, 0.0))
+        spread = self.across * rest
+        spread += self.along * error + self.norms * (1e-9 * length)
+        spread += 1e-6
+        estimate = self.along * along
+        return estimate, estimate - spread, estimate + spread
 
 
 def _best(block: Block, vector: np.ndarray, able: np.ndarray, k: int, bands: list[tuple[int, int]], bounds) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each band of scores the ``k`` best rows of a block and their scores, best first, among those ``able``."""
     estimate, low, high = bounds
-    wanted = []
-    for least, most in bands:
-        fits = np.flatnonzero(able & (high >= least) & (low <= most))
-        if len(fits) > 4 * k:
-            near = np.where(estimate[fits] <= most, estimate[fits], -np.inf)
-            some = fits[np.argpartition(-near, 2 * k)[:2 * k]]
-            known = block.scores(some, vector)
-            known = np.sort(known[(known >= least) & (known <= most)])
-            if len(known) >= k:
-                fits = fits[high[fits] >= known[-k]]
-        wanted.append(fits)
-    rows = np.unique(np.concatenate(wanted)) if wanted else np.zeros(0, np.int64)
+    real = [(least, most) for least, most in bands if least <= most]
+    if not real:
+        return [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(bands)
+    floor, top = min(least for least, _ in real), max(most for _, most in real)
+    rows = np.flatnonzero(able & (high >= floor) & (low <= top))
+    if len(rows) > 4 * k:
+        near = estimate[rows]
+        near[near > min(most for _, most in real)] = -np.inf
+        known = np.sort(block.scores(rows[np.argpartition(near, -2 * k)[-2 * k:]], vector))
+        inside = [known[(known >= least) & (known <= most)] for least, most in real]
+        floor = min(int(x[-k]) if len(x) >= k else least for x, (least, _) in zip(inside, real))  # each band has k rows that reach it, or is open
+        rows = rows[high[rows] >= floor]
     score = block.scores(rows, vector)
-    out = []
+    kept = np.flatnonzero((score >= floor) & (score <= top))
+    rows, score = rows[kept], score[kept]
+    ranked, out = np.sort(score), []
     for least, most in bands:
-        inside = np.flatnonzero((score >= least) & (score <= most))
+        n = int(np.searchsorted(ranked, most, "right"))
+        inside = np.flatnonzero((score >= max(least, int(ranked[n - k]) if n >= k else least)) & (score <= most))
         order = inside[np.lexsort((block.labels[rows[inside]], block.ids[rows[inside]], -score[inside]))[:k]]
         out.append((rows[order], score[order]))
     return out
@@ -135,27 +178,43 @@ def whole_vectors(rows: DataFrame, vector: str = "embedding", label: str = "labe
 
 def _blocks(vectors: DataFrame, dim: int, size: int, n_blocks: int) -> DataFrame:
     """The vectors in blocks of about ``size`` rows, numbered from 0, stored. A number may stand more than once."""
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Block number, ids, labels and vectors of rows that stand together."""
+        for batch in batches:
+            block, ids, labels = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            lengths = batch.column(3).value_lengths().to_numpy(zero_copy_only=False)
+            table = np.zeros((len(block), dim), np.int64)
+            table[np.arange(dim) < lengths[:, None]] = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+            ends = [*(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)] if len(block) else []
+            for a, b in zip([0, *ends], ends):
+                yield int(block[a]), ids[a:b], labels[a:b], table[a:b]
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
 
-        def out():
-            block = waiting[0][0]
-            table = np.zeros((len(waiting), dim), np.int64)
-            for k, (_, _, _, v) in enumerate(waiting):
-                table[k, :len(v)] = v
-            ids, labels = (np.array([w[c] for w in waiting], np.int64) for c in (1, 2))
+        def out(block: int) -> pa.RecordBatch:
+            ids, labels, table = (np.concatenate(x) for x in zip(*waiting))
             waiting.clear()
-            row = Block.make(ids, labels, table).packed(block)
+            order = np.argsort(labels, kind="stable")
+            row = Block.make(ids[order], labels[order], table[order]).packed(block)
             kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 6]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=[c.split()[0] for c in _BLOCK.split(", ")])
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() if k < 3 else c.to_numpy(zero_copy_only=False) for k, c in enumerate(batch.columns))):
-                if waiting and (row[0] != waiting[0][0] or len(waiting) >= 2 * size):
-                    yield out()
-                waiting.append(row)
+        last = n = 0
+        for block, *some in tables(batches):
+            if waiting and block != last:
+                yield out(last)
+                n = 0
+            last = block
+            while n + len(some[0]) >= 2 * size:
+                waiting.append(tuple(x[:2 * size - n] for x in some))
+                some, n = [x[2 * size - n:] for x in some], 0
+                yield out(block)
+            if len(some[0]):
+                waiting.append(tuple(some))
+                n += len(some[0])
         if waiting:
-            yield out()
+            yield out(last)
 
     numbered = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block"), "vec_id", "label", "vector")
     return cut(numbered.repartition(n_blocks, "block").sortWithinPartitions("block").mapInArrow(pack, _BLOCK))
@@ -163,8 +222,9 @@ def _blocks(vectors: DataFrame, dim: int, size: int, n_blocks: int) -> DataFrame
 
 def _pairs(rows: DataFrame, anchors: DataFrame, n_blocks: int) -> DataFrame:
     """Each block of rows beside each block of anchors; anchors are the few, so they are repeated for every block of rows."""
-    renamed = anchors.withColumnsRenamed({c: f"a_{c}" for c in anchors.columns if c != "block"}).withColumnRenamed("block", "a_block")
-    return rows.join(renamed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))), "block")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
+    repeated = anchors.withColumnsRenamed({c: f"a_{c}" for c in anchors.columns}).withColumn("block", every)
+    return rows.join(repeated.hint("merge"), "block")
 
 
 def _first(found: DataFrame, by: list[str], score: str, partner: str, k: int) -> DataFrame:
@@ -181,41 +241,42 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = POSITIVES, nega
     python_tasks(spark)
     n, dim, n_anchors = vectors.agg(F.count("*"), F.max(F.size("vector")), F.count_if(is_anchor)).first()
     dim = max(64, -(-(dim or 0) // 64) * 64)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    block = block or min(ROWS, max(1_024, n // (2 * tasks)))
+    block = block or min(max(4_096, -(-n // max(SPREAD, 4 * spark.sparkContext.defaultParallelism))), ROWS, max(1, COMPONENTS // dim))
     n_blocks = max(1, -(-n // block))
     rows = _blocks(vectors, dim, block, n_blocks)
     anchors = _blocks(vectors.filter(is_anchor), dim, ANCHORS, max(1, -(-n_anchors // ANCHORS)))
-    anchors = cut(anchors.withColumn("block", F.monotonically_increasing_id()))  # a number for each, whatever its size
+    anchors = cut(anchors.select(F.monotonically_increasing_id().alias("block"), *_OWN))  # a number for each, whatever its size
 
     any_score = [(-(1 << 63), (1 << 63) - 1)]
 
     def by_anchor(batches: Iterator[pa.RecordBatch], judge) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                some, own = Block.read(row), Block.read({c: row[f"a_{c}"] for c in ("n", "ids", "labels", "vectors", "codes", "norms", "aligned")})
-                wanted: list[list] = [[] for _ in own.ids]
+                some, number = Block.read(row, dim), row["a_block"]
+                ids, labels = (np.frombuffer(row[c], "<i8").tolist() for c in ("a_ids", "a_labels"))
+                wanted: list[list] = [[] for _ in ids]
                 for p in row.get("a_wanted", []):
                     wanted[p["slot"]].append(p)
-                yield pa.RecordBatch.from_pylist([r for k in range(len(own.ids)) for r in judge(row, some, own, k, wanted[k])], schema=judge.schema)
+                vectors = _wide(row["a_vectors"], row["a_n"], dim).astype(np.int64)
+                found = [(number, k, ids[k], *r) for k in range(len(ids)) for r in judge(some, ids[k], labels[k], vectors[k], wanted[k])]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), judge.schema.types)], schema=judge.schema)
 
-    def find_positives(row, some, own, k, _):
-        vector = own.vectors[k]
-        able = (some.labels == own.labels[k]) & (some.ids != own.ids[k])
-        (at, score), = _best(some, vector, able, positives, any_score, some.intervals(vector))
-        return [{"anchor_block": row["a_block"], "slot": k, "anchor_id": own.ids[k], "positive_id": p, "label": own.labels[k], "positive_score": s}
-                for p, s in zip(some.ids[at].tolist(), score.tolist())]
+    def find_positives(some, own_id, label, vector, _):
+        alike = some.part(label)
+        (at, score), = _best(alike, vector, alike.ids != own_id, positives, any_score, alike.intervals(vector))
+        return [(p, label, s) for p, s in zip(alike.ids[at].tolist(), score.tolist())]
 
-    def find_negatives(row, some, own, k, wanted):
+    def find_negatives(some, _, label, vector, wanted):
         # 30 p <= 100 s <= 90 p in whole numbers
         bands = [(-(-low * p["positive_score"] // 100), high * p["positive_score"] // 100) for p in wanted]
         if not any(a <= b for a, b in bands):
             return []
-        vector = own.vectors[k]
-        found = _best(some, vector, some.labels != own.labels[k], negatives, bands, some.intervals(vector))
-        return [{"anchor_block": row["a_block"], "slot": k, "anchor_id": own.ids[k], "positive_rank": p["rank"], "positive_id": p["positive_id"],
-                 "positive_score": p["positive_score"], "negative_id": i, "label": label, "negative_score": s}
-                for p, (at, score) in zip(wanted, found) for i, label, s in zip(some.ids[at].tolist(), some.labels[at].tolist(), score.tolist())]
+        able = np.ones(len(some.ids), bool)
+        able[slice(*some.alike(label))] = False
+        found = _best(some, vector, able, negatives, bands, some.intervals(vector))
+        return [(p["rank"], p["positive_id"], p["positive_score"], i, l, s)
+                for p, (at, score) in zip(wanted, found) for i, l, s in zip(some.ids[at].tolist(), some.labels[at].tolist(), score.tolist())]
 
     def search(anchors: DataFrame, judge, columns: list[str]) -> DataFrame:
         kinds = {c: pa.int32() if c in ("slot", "positive_rank") else pa.int64() for c in columns}
@@ -226,6 +287,6 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = POSITIVES, nega
     near = search(anchors, find_positives, [*_ANCHOR, "anchor_id", "positive_id", "label", "positive_score"])
     near = cut(_first(near, _ANCHOR, "positive_score", "positive_id", positives))
     wanted = near.groupBy(F.col("anchor_block").alias("block")).agg(F.collect_list(F.struct("slot", "rank", "positive_id", "positive_score")).alias("wanted"))
-    far = search(anchors.join(wanted, "block"), find_negatives, [*_ANCHOR, "anchor_id", "positive_rank", "positive_id", "positive_score", "negative_id", "label", "negative_score"])
+    far = search(anchors.join(wanted.hint("merge"), "block"), find_negatives, [*_ANCHOR, "anchor_id", "positive_rank", "positive_id", "positive_score", "negative_id", "label", "negative_score"])
     far = _first(far, [*_ANCHOR, "positive_rank"], "negative_score", "negative_id", negatives)
     return far.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

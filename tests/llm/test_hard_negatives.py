@@ -84,3 +84,61 @@ def test_no_anchors_and_no_rows(spark):
     df = spark.createDataFrame([(1, [1.0], 1)], "vec_id long, embedding array<float>, label int")
     assert hard_negatives.mine(hard_negatives.whole_vectors(df), F.col("vec_id") == 0).count() == 0
     assert hard_negatives.mine(hard_negatives.whole_vectors(df.limit(0)), F.col("vec_id") == 0).count() == 0
+
+
+def test_blocks_of_anchors_are_not_broadcast(spark, monkeypatch):
+    """Their files are far below Spark's threshold, but every block of rows repeats them."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(64).tolist(), i % 3) for i in range(600)]
+    vectors = hard_negatives.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    held, pairs = [], hard_negatives._pairs
+    monkeypatch.setattr(hard_negatives, "_pairs", lambda *a: held.append(pairs(*a)) or held[-1])
+    found = hard_negatives.mine(vectors, F.col("vec_id") % 10 == 0, block=100)
+    assert len(held) == 2 and found.count()
+    for df in (*held, found):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_packed_blocks_are_narrow_and_whole():
+    rng = np.random.default_rng(6)
+    for scale, width in ((200, 2), (1 << 20, 4), (1 << 40, 8)):
+        vectors = rng.integers(-scale, scale, (50, 128))
+        labels = np.sort(rng.integers(0, 4, 50))
+        block = hard_negatives.Block.make(np.arange(50), labels, vectors)
+        row = dict(zip([c.split()[0] for c in hard_negatives._BLOCK.split(", ")], block.packed(3)))
+        assert len(row["vectors"]) == 50 * 128 * width
+        back = hard_negatives.Block.read(row, 128)
+        assert (back.vectors == vectors).all() and (back.codes == block.codes).all()
+        for label in range(5):
+            assert (back.part(label).vectors == vectors[labels == label]).all()
+
+
+def test_scores_and_intervals_at_any_width():
+    """Sums that single or double precision holds, and others; more than 256 dimensions; few and many rows."""
+    rng = np.random.default_rng(7)
+    for scale in (100, 1 << 14, 1 << 24):
+        vectors = rng.integers(-scale, scale, (300, 320))
+        block = hard_negatives.Block.make(np.arange(300), np.zeros(300, np.int64), vectors)
+        for rows in (np.array([5, 2]), np.arange(300)):
+            assert (block.scores(rows, vectors[0]) == vectors[rows] @ vectors[0]).all()
+        _, low, high = block.intervals(vectors[1])
+        score = vectors @ vectors[1]
+        assert (low <= score).all() and (score <= high).all()
+
+
+def test_best_of_several_bands():
+    """Bands that overlap, lie apart, hold nothing or are void; many equal scores."""
+    rng = np.random.default_rng(8)
+    vectors = np.floor(256 * rng.standard_normal((800, 64)) / 8).astype(np.int64)
+    vectors[400:] = vectors[:400]
+    ids, labels = rng.integers(0, 500, 800), rng.integers(0, 3, 800)
+    block = hard_negatives.Block.make(ids, labels, vectors)
+    able = rng.random(800) < .8
+    for k in range(0, 800, 40):
+        score = vectors @ vectors[k]
+        bands = [(-(1 << 63), (1 << 63) - 1), (10_000, 30_000), (5_000, 12_000), (-40_000, -20_000), (9_000, 9_000), (3, 2), (1 << 40, 1 << 41)]
+        found = hard_negatives._best(block, vectors[k], able, 10, bands, block.intervals(vectors[k]))
+        for (least, most), (rows, got) in zip(bands, found):
+            want = sorted((-s, i, l) for s, i, l, a in zip(score.tolist(), ids.tolist(), labels.tolist(), able) if a and least <= s <= most)[:10]
+            assert [(-s, i, l) for s, i, l in zip(got.tolist(), ids[rows].tolist(), labels[rows].tolist())] == want
