@@ -12,7 +12,8 @@ one-bit codes before anything is scored:
 
 First the positives of each anchor are found in this way, then the negatives for their bands. Each block pair passes on its best rows only, and the
 best of all pairs are the result, so no row is lost whatever the estimates are. Work is anchors times rows, and what is shuffled grows with anchors times
-blocks of rows; a task holds one block of each at a time. Blocks are never broadcast: their files are much smaller than they are.
+blocks of rows. A task reads a block of rows and then the blocks of anchors one after the other; no join makes or broadcasts pairs of them, since a row
+that holds two blocks is large and Spark's joins keep all rows of a key that match one.
 
 Defined results: rows with a null id, label or vector, or with a null or infinite component or none (NaN) take no part. Shorter vectors are filled up with zeros. A row
 is no partner of rows with its own id; else rows that repeat an id are rows of their own (ties: label). Scores must fit a long. Empty tables give an
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import python_tasks
+from .common import constant_array, python_tasks
 
 SCALE = 256
 POSITIVES, NEGATIVES = 5, 10
@@ -177,7 +178,7 @@ def whole_vectors(rows: DataFrame, vector: str = "embedding", label: str = "labe
 
 
 def _blocks(vectors: DataFrame, dim: int, size: int, n_blocks: int) -> DataFrame:
-    """The vectors in blocks of about ``size`` rows, numbered from 0, stored. A number may stand more than once."""
+    """The vectors in blocks of about ``size`` rows, each with a number of its own, stored."""
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Block number, ids, labels and vectors of rows that stand together."""
         for batch in batches:
@@ -192,39 +193,41 @@ def _blocks(vectors: DataFrame, dim: int, size: int, n_blocks: int) -> DataFrame
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
 
-        def out(block: int) -> pa.RecordBatch:
+        def out() -> pa.RecordBatch:
             ids, labels, table = (np.concatenate(x) for x in zip(*waiting))
             waiting.clear()
             order = np.argsort(labels, kind="stable")
-            row = Block.make(ids[order], labels[order], table[order]).packed(block)
+            row = Block.make(ids[order], labels[order], table[order]).packed(number << 20 | part)
             kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 6]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=[c.split()[0] for c in _BLOCK.split(", ")])
 
-        last = n = 0
+        number = part = n = 0
         for block, *some in tables(batches):
-            if waiting and block != last:
-                yield out(last)
-                n = 0
-            last = block
+            if block != number:
+                if waiting:
+                    yield out()
+                number, part, n = block, 0, 0
             while n + len(some[0]) >= 2 * size:
                 waiting.append(tuple(x[:2 * size - n] for x in some))
                 some, n = [x[2 * size - n:] for x in some], 0
-                yield out(block)
+                yield out()
+                part += 1
             if len(some[0]):
                 waiting.append(tuple(some))
                 n += len(some[0])
         if waiting:
-            yield out(last)
+            yield out()
 
     numbered = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block"), "vec_id", "label", "vector")
     return cut(numbered.repartition(n_blocks, "block").sortWithinPartitions("block").mapInArrow(pack, _BLOCK))
 
 
-def _pairs(rows: DataFrame, anchors: DataFrame, n_blocks: int) -> DataFrame:
-    """Each block of rows beside each block of anchors; anchors are the few, so they are repeated for every block of rows."""
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
-    repeated = anchors.withColumnsRenamed({c: f"a_{c}" for c in anchors.columns}).withColumn("block", every)
-    return rows.join(repeated.hint("merge"), "block")
+def _met(rows: DataFrame, anchors: DataFrame, numbers: list[int]) -> DataFrame:
+    """Each block of rows, and after it each block of anchors, whose columns begin with ``a_``; anchors are the few, so they are repeated for every block of rows."""
+    every = F.explode(constant_array(numbers, "bigint"))
+    repeated = anchors.select(every.alias("block"), *[F.col(c).alias(f"a_{c}") for c in anchors.columns])
+    both = rows.unionByName(repeated, allowMissingColumns=True)
+    return both.repartition("block").sortWithinPartitions("block", F.asc_nulls_first("a_block"))
 
 
 def _first(found: DataFrame, by: list[str], score: str, partner: str, k: int) -> DataFrame:
@@ -244,21 +247,23 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = POSITIVES, nega
     block = block or min(max(4_096, -(-n // max(SPREAD, 4 * spark.sparkContext.defaultParallelism))), ROWS, max(1, COMPONENTS // dim))
     n_blocks = max(1, -(-n // block))
     rows = _blocks(vectors, dim, block, n_blocks)
-    anchors = _blocks(vectors.filter(is_anchor), dim, ANCHORS, max(1, -(-n_anchors // ANCHORS)))
-    anchors = cut(anchors.select(F.monotonically_increasing_id().alias("block"), *_OWN))  # a number for each, whatever its size
+    anchors = _blocks(vectors.filter(is_anchor), dim, ANCHORS, max(1, -(-n_anchors // ANCHORS))).select("block", *_OWN)
+    numbers = [r["block"] for r in rows.select("block").collect()]  # one for thousands of rows
 
     any_score = [(-(1 << 63), (1 << 63) - 1)]
 
     def by_anchor(batches: Iterator[pa.RecordBatch], judge) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                some, number = Block.read(row, dim), row["a_block"]
+                if row["a_block"] is None:
+                    some = Block.read(row, dim)
+                    continue
                 ids, labels = (np.frombuffer(row[c], "<i8").tolist() for c in ("a_ids", "a_labels"))
                 wanted: list[list] = [[] for _ in ids]
-                for p in row.get("a_wanted", []):
+                for p in row.get("a_wanted") or []:
                     wanted[p["slot"]].append(p)
                 vectors = _wide(row["a_vectors"], row["a_n"], dim).astype(np.int64)
-                found = [(number, k, ids[k], *r) for k in range(len(ids)) for r in judge(some, ids[k], labels[k], vectors[k], wanted[k])]
+                found = [(row["a_block"], k, ids[k], *r) for k in range(len(ids)) for r in judge(some, ids[k], labels[k], vectors[k], wanted[k])]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), judge.schema.types)], schema=judge.schema)
 
@@ -282,7 +287,7 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = POSITIVES, nega
         kinds = {c: pa.int32() if c in ("slot", "positive_rank") else pa.int64() for c in columns}
         judge.schema = pa.schema(kinds)
         schema = ", ".join(f"{c} {'int' if t == pa.int32() else 'long'}" for c, t in kinds.items())
-        return _pairs(rows, anchors, n_blocks).mapInArrow(lambda batches: by_anchor(batches, judge), schema)
+        return _met(rows, anchors, numbers).mapInArrow(lambda batches: by_anchor(batches, judge), schema)
 
     near = search(anchors, find_positives, [*_ANCHOR, "anchor_id", "positive_id", "label", "positive_score"])
     near = cut(_first(near, _ANCHOR, "positive_score", "positive_id", positives))

@@ -86,18 +86,31 @@ def test_no_anchors_and_no_rows(spark):
     assert hard_negatives.mine(hard_negatives.whole_vectors(df.limit(0)), F.col("vec_id") == 0).count() == 0
 
 
-def test_blocks_of_anchors_are_not_broadcast(spark, monkeypatch):
-    """Their files are far below Spark's threshold, but every block of rows repeats them."""
+def test_blocks_are_not_joined_or_broadcast(spark, monkeypatch):
+    """Files of anchors are far below Spark's threshold, but every block of rows repeats them; a join would hold the block of rows beside each of them."""
     rng = np.random.default_rng(5)
     rows = [(i, rng.standard_normal(64).tolist(), i % 3) for i in range(600)]
     vectors = hard_negatives.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
-    held, pairs = [], hard_negatives._pairs
-    monkeypatch.setattr(hard_negatives, "_pairs", lambda *a: held.append(pairs(*a)) or held[-1])
+    held, met = [], hard_negatives._met
+    monkeypatch.setattr(hard_negatives, "ANCHORS", 7)
+    monkeypatch.setattr(hard_negatives, "_met", lambda *a: held.append(met(*a)) or held[-1])
     found = hard_negatives.mine(vectors, F.col("vec_id") % 10 == 0, block=100)
     assert len(held) == 2 and found.count()
-    for df in (*held, found):
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (*held, found)]
+    assert "Join" not in plans[0] and not any("Broadcast" in x for x in plans)
+    n = {c: held[0].filter(F.col(c).isNotNull()).select("block", "a_block").distinct().count() for c in ("n", "a_n")}
+    assert n["n"] > 1 and n["a_n"] > n["n"] and sum(n.values()) == held[0].count()  # no row holds two blocks
+
+
+def test_blocks_have_numbers_of_their_own(spark):
+    """Also those of an id that fills several."""
+    rows = [(5, [float(k % 5), 1.0], k % 2) for k in range(100)] + [(100, [2.0, 2.0], 1)]
+    vectors = hard_negatives.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    blocks = hard_negatives._blocks(vectors, 64, 6, 2).collect()
+    assert len({b["block"] for b in blocks}) == len(blocks) and max(b["n"] for b in blocks) == 12
+    assert sum(b["n"] for b in blocks) == 101 and sum(b["n"] == 12 for b in blocks) == 8
+    want = plain(rows)
+    assert want and Counter(map(tuple, hard_negatives.mine(vectors, F.col("vec_id") == 100, block=6).collect())) == Counter(want)
 
 
 def test_packed_blocks_are_narrow_and_whole():
